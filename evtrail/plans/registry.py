@@ -18,11 +18,13 @@ class Entry:
 REGISTRY: dict[str, Entry] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql=None):
+    """Register ``fn`` under ``name``; ``sql`` is a string or a zero-arg
+    callable returning one (to reuse other queries' SQL)."""
     def deco(fn):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Entry(name, fn, sql)
+        REGISTRY[name] = Entry(name, fn, sql() if callable(sql) else sql)
         return fn
     return deco
 
