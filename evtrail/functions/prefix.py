@@ -46,3 +46,36 @@ def grouped_prefix_sums(df: DataFrame, order_col: str, value_cols: list[str],
     out = out.select(*[c for c in df.columns],
                      *[(F.col(f"__o_{v}") + F.col(f"__in_{v}")).alias(f"{v}{suffix}") for v in value_cols])
     return out
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], group_cols: list[str] | None = None,
+                    name: str = "q") -> DataFrame:
+    """Exact linear-interpolation quantiles (numpy default) without sending
+    all values of a group to one task: count per distinct value, bucketed
+    running counts, then each requested rank finds its value with a
+    range predicate against the small table of ranks.
+
+    Output: group cols, ``prob``, ``<name>``."""
+    group_cols = list(group_cols or [])
+    gk = group_cols or ["__g"]
+    base = df.where(F.col(col).isNotNull()).select(*group_cols, F.col(col).cast("double").alias("__v"))
+    if not group_cols:
+        base = base.withColumn("__g", F.lit(0))
+    cnt = base.groupBy(*gk, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    cum = grouped_prefix_sums(cnt, "__v", ["__c"], gk)
+    cum = cum.withColumn("__lo", F.col("__c_cum") - F.col("__c"))        # ranks [lo, cum) hold this value
+    tot = cnt.groupBy(*gk).agg(F.sum("__c").alias("__n"))
+    pr = df.sparkSession.createDataFrame([(float(p),) for p in probs], "prob double")
+    # bounded: (#groups x #probs) rows
+    want = tot.crossJoin(F.broadcast(pr)).withColumn("__h", (F.col("__n") - 1) * F.col("prob"))
+    want = want.select(*gk, "prob", "__h", F.floor("__h").cast("long").alias("__r0"),
+                       F.ceil("__h").cast("long").alias("__r1"))
+    ranks = (want.select(*gk, "prob", F.col("__r0").alias("__r"))
+             .unionByName(want.select(*gk, "prob", F.col("__r1").alias("__r"))).distinct())
+    hit = ranks.join(cum, [*gk], "inner").where((F.col("__r") >= F.col("__lo")) & (F.col("__r") < F.col("__c_cum")))
+    vals = hit.select(*gk, "prob", "__r", "__v")
+    v0 = vals.withColumnRenamed("__r", "__r0").withColumnRenamed("__v", "__v0")
+    v1 = vals.withColumnRenamed("__r", "__r1").withColumnRenamed("__v", "__v1")
+    out = want.join(v0, [*gk, "prob", "__r0"]).join(v1, [*gk, "prob", "__r1"])
+    q = F.col("__v0") + (F.col("__h") - F.col("__r0")) * (F.col("__v1") - F.col("__v0"))
+    return out.select(*group_cols, "prob", q.alias(name))
