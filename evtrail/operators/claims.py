@@ -32,8 +32,10 @@ def collapse_claims(lines: DataFrame, claim: str, segment: str, code_prefix: str
     summed payment, first-by-segment ids and the distinct code list."""
     aggs = [F.min(c).alias(c) for c in min_ts] + [F.max(c).alias(c) for c in max_ts]
     aggs += [F.sum(c).alias(c) for c in sum_cols]
-    # first non-null value in segment order (explicit order; Spark rows are unordered)
-    aggs += [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(segment))).alias(c) for c in first_cols]
+    # first non-null value in segment order; duplicate segments tie-break on
+    # the value itself so the result never depends on row order
+    aggs += [F.min(F.struct(F.col(c).isNull().alias("n"), F.col(segment).alias("s"), F.col(c).alias("v")))["v"]
+             .alias(c) for c in first_cols]
     aggs.append(F.count(F.lit(1)).alias("n_segments"))
     header = lines.groupBy(claim).agg(*aggs)
     if not code_prefix:
