@@ -26,15 +26,24 @@ ENCOUNTER_CLASS = {
 # Fixed values (our binding): line return flag -> clinical interval kind.
 INTERVAL_KIND = {"R": "condition", "A": "medication", "N": "allergy"}
 
-# Fixed values (our binding): event type -> vital sign and affine scaling
-# (value in the source is 0..~100).  Scaled so all bands are reachable.
+# Fixed values (our binding): event type -> vital sign, scale, offset
+# (vital = value * scale + offset, rounded to 0.1).  Chosen so every band of
+# the safety rules is reachable; large temperatures exercise the °F path.
 VITAL_OF_EVENT = {
-    "view": ("temperature", 0.12, 30.0),
-    "click": ("heart_rate", 1.6, 30.0),
-    "purchase": ("spo2", 0.2, 85.0),
-    "error": ("systolic_bp", 2.0, 70.0),
-    "signup": ("respiratory_rate", 0.4, 4.0),
+    "view": ("temperature", 0.08, 33.0),
+    "click": ("heart_rate", 1.2, 40.0),
+    "purchase": ("spo2", -0.1, 100.0),
+    "error": ("systolic_bp", 0.8, 85.0),
+    "signup": ("respiratory_rate", 0.2, 8.0),
 }
+VITALS = [v[0] for v in VITAL_OF_EVENT.values()]
+
+# Fixed values (our binding): props.k % 20 -> (symptom flag text, value).
+SYMPTOM_OF_K = {0: ("Chest Pain", True), 1: (" shortness of breath", True), 2: ("bleeding", True),
+                3: ("cough", True), 4: ("No current symptoms", True), 5: ("convulsions", False)}
+# props.k % 25 -> AVPU token; pain = props.k % 11 on 'error' events.
+AVPU_OF_K = {0: "V", 1: "p", 2: "Unresponsive", 3: "A"}
+DECISION_HOUR = 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,3 +93,38 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").alias("start_ts"),
         F.when(F.col("l_linestatus") == "O", F.lit(None).cast("timestamp"))
         .otherwise(F.col("l_shipdate") + F.make_dt_interval(F.col("l_quantity").cast("int"))).alias("stop_ts"))
+
+
+def context_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per measurement event before the decision hour: the vital it
+    measures (others null), AVPU token, pain score and symptom flag."""
+    e = table(spark, sf_dir, "events").where(F.hour("ts") < DECISION_HOUR)
+    k = F.get_json_object("props", "$.k").cast("int")
+    sym = F.lit(None).cast("string")
+    symv = F.lit(None).cast("boolean")
+    for r, (txt, v) in SYMPTOM_OF_K.items():
+        sym = F.when(k % 20 == r, F.lit(txt)).otherwise(sym)
+        symv = F.when(k % 20 == r, F.lit(v)).otherwise(symv)
+    avpu = F.lit(None).cast("string")
+    for r, t in AVPU_OF_K.items():
+        avpu = F.when(k % 25 == r, F.lit(t)).otherwise(avpu)
+    vit = {vn: F.when(F.col("event_type") == et, F.round(F.col("value") * sc + off, 1))
+           for et, (vn, sc, off) in VITAL_OF_EVENT.items()}
+    return e.select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "ts", "event_id",
+                    *[c.alias(n) for n, c in vit.items()], avpu.alias("avpu"),
+                    F.when(F.col("event_type") == "error", (k % 11).cast("double")).alias("pain"),
+                    F.when(sym.isNotNull(), F.struct(sym.alias("k"), symv.alias("v"))).alias("symptom"))
+
+
+def clinical_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per (user, day) the latest value of each vital measured before
+    the decision time (18:00), AVPU, pain and a symptom flag map.  One
+    ``groupBy`` (latest = max of struct(ts, id, value): a partial aggregate;
+    the flag set is bounded by the symptom vocabulary)."""
+    e = context_events(spark, sf_dir)
+
+    def latest(c):
+        return F.max(F.when(F.col(c).isNotNull(), F.struct("ts", "event_id", F.col(c).alias("v"))))["v"].alias(c)
+    return e.groupBy("user_id", "day").agg(
+        *[latest(c) for c in [*VITALS, "avpu", "pain"]],
+        F.map_from_entries(F.collect_set("symptom")).alias("flags"))
