@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 def grouped_prefix_sums(df: DataFrame, order_col: str, value_cols: list[str],
                         group_cols: list[str] | None = None, descending: bool = False,
-                        n_buckets: int = 64, suffix: str = "_cum") -> DataFrame:
+                        n_buckets: int = 64, suffix: str = "_cum", tiebreak: list[str] | None = None) -> DataFrame:
     """Add ``<v><suffix>`` = sum of ``v`` over rows with order key <= current
     (>= when ``descending``), per group.  ``df`` must have one row per
-    (group, order key) -- aggregate first."""
+    (group, order key) -- aggregate first -- or pass ``tiebreak`` columns
+    that make (order key, tiebreak) unique (ascending tie-break)."""
     group_cols = list(group_cols or [])
     gkeys = group_cols or ["__g"]
     base = df if group_cols else df.withColumn("__g", F.lit(0))
@@ -29,11 +30,16 @@ def grouped_prefix_sums(df: DataFrame, order_col: str, value_cols: list[str],
     probs = [i / n_buckets for i in range(1, n_buckets)]
     splits = base.groupBy(*gkeys).agg(
         F.array_distinct(F.percentile_approx("__k", probs, 10_000)).alias("__splits"))
-    # one row per group with <= n_buckets splits: bounded, broadcast is safe
-    b = base.join(F.broadcast(splits), gkeys) if not group_cols else base.join(splits, gkeys)
+    # one row per group with <= n_buckets splits.  Group columns must have a
+    # bounded number of values (classes, splits, replicates, need keys), so
+    # this side is bounded and broadcast: the big side is never shuffled by
+    # a (possibly hot) group key.
+    b = base.join(F.broadcast(splits), gkeys)
     b = b.withColumn("__b", F.size(F.filter("__splits", lambda s: s < F.col("__k")))).drop("__splits")
 
-    w_in = (Window.partitionBy(*gkeys, "__b").orderBy("__k")
+    # rows equal on the order key share a bucket, so a tie-break column only
+    # orders rows inside one bucket
+    w_in = (Window.partitionBy(*gkeys, "__b").orderBy("__k", *(tiebreak or []))
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     inner = b.select("*", *[F.sum(v).over(w_in).alias(f"__in_{v}") for v in value_cols])
 
@@ -42,7 +48,7 @@ def grouped_prefix_sums(df: DataFrame, order_col: str, value_cols: list[str],
     off = tot.select(*gkeys, "__b",
                      *[F.coalesce(F.sum(f"__t_{v}").over(w_off), F.lit(0)).alias(f"__o_{v}")
                        for v in value_cols])
-    out = inner.join(off, [*gkeys, "__b"])
+    out = inner.join(F.broadcast(off), [*gkeys, "__b"])   # <= groups x n_buckets rows
     out = out.select(*[c for c in df.columns],
                      *[(F.col(f"__o_{v}") + F.col(f"__in_{v}")).alias(f"{v}{suffix}") for v in value_cols])
     return out
@@ -79,3 +85,12 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], group_cols: lis
     out = want.join(v0, [*gk, "prob", "__r0"]).join(v1, [*gk, "prob", "__r1"])
     q = F.col("__v0") + (F.col("__h") - F.col("__r0")) * (F.col("__v1") - F.col("__v0"))
     return out.select(*group_cols, "prob", q.alias(name))
+
+
+def global_rank(df: DataFrame, order_col: str, tiebreak: list[str], group_cols: list[str] | None = None,
+                name: str = "rank") -> DataFrame:
+    """1-based row number under (order_col, tiebreak...) per group, computed
+    with bucketed prefix sums instead of a single-partition window."""
+    d = df.withColumn("__one", F.lit(1))
+    out = grouped_prefix_sums(d, order_col, ["__one"], group_cols, tiebreak=tiebreak)
+    return out.withColumnRenamed("__one_cum", name).drop("__one")
