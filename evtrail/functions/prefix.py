@@ -94,3 +94,15 @@ def global_rank(df: DataFrame, order_col: str, tiebreak: list[str], group_cols:
     d = df.withColumn("__one", F.lit(1))
     out = grouped_prefix_sums(d, order_col, ["__one"], group_cols, tiebreak=tiebreak)
     return out.withColumnRenamed("__one_cum", name).drop("__one")
+
+
+def string_order_key(c) -> "F.Column":
+    """Numeric key monotone in string order over the first 3 characters
+    (code points packed base 2**16 -- exact in a double); use the string
+    itself as the tie-break so buckets split a string domain evenly."""
+    col = F.col(c) if isinstance(c, str) else c
+    key = F.lit(0.0)
+    for i in range(3):
+        ch = F.substring(col, i + 1, 1)
+        key = key * 65536.0 + F.when(ch == "", F.lit(0)).otherwise(F.ascii(ch)).cast("double")
+    return key

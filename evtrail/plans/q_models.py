@@ -1 +1,214 @@
-"""Registered queries."""
+"""Registered modelling queries (G).  Model fits have no SQL twin (rows-only
+check); deterministic preparation steps carry DuckDB oracles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from evtrail.functions.prefix import exact_quantiles
+from evtrail.operators import models as G
+from evtrail.operators import splits as S
+from evtrail.plans.q_evaluation import SCORED_SQL, scored
+from evtrail.plans.q_pointintime import E24_SQL, model_table_out
+from evtrail.plans.registry import query
+from evtrail.session import cut_lineage
+
+NUMERIC = ["n_emergency_30d", "n_emergency_90d", "n_emergency_365d", "n_inpatient_90d", "n_outpatient_90d",
+           "cost_30d", "cost_90d", "hist_visits", "days_since_prev_visit", "days_since_prev_emergency",
+           "cost_velocity", "ed_out_ratio", "accelerating"]
+CATEGORICAL = ["segment", "nation"]
+
+
+def modelling_table(spark, sf):
+    """Model table with the temporal split and label; checkpointed because
+    every model query reuses it several times."""
+    mt = model_table_out(spark, sf).withColumn("index_ts", F.to_timestamp("index_date"))
+    return cut_lineage(S.temporal_split(mt, "index_ts"))
+
+
+def _train_test(spark, sf):
+    d = modelling_table(spark, sf)
+    return d.where(F.col("split") != "test"), d.where(F.col("split") == "test")
+
+
+MT = lambda: f"""mt0 AS (SELECT * FROM ({E24_SQL}) x), y AS (SELECT max(year(CAST(index_date AS DATE))) AS ymax FROM mt0),
+mt AS (SELECT mt0.*, CASE WHEN year(CAST(index_date AS DATE)) = ymax THEN 'test'
+  WHEN year(CAST(index_date AS DATE)) = ymax - 1 THEN 'validation' ELSE 'train' END AS split FROM mt0, y)"""
+
+
+def median_impute(train, df, cols):
+    """G1 (exact): training median (numpy linear interpolation) + indicator."""
+    out = df
+    for c in cols:
+        m = exact_quantiles(train, c, [0.5], name="_med").select("_med")
+        out = (out.crossJoin(F.broadcast(m)).withColumn(f"{c}_missing", F.col(c).isNull().cast("int"))
+               .withColumn(c, F.coalesce(F.col(c), F.col("_med"))).drop("_med"))
+    return out
+
+
+@query("g01_median_impute", lambda: f"""WITH {MT()},
+med AS (SELECT quantile_cont(days_since_prev_emergency, 0.5) AS m FROM mt WHERE split <> 'test')
+SELECT index_id, round(COALESCE(days_since_prev_emergency, m), 6) AS days_since_prev_emergency,
+  CAST(days_since_prev_emergency IS NULL AS INTEGER) AS days_since_prev_emergency_missing FROM mt, med""")
+def g01(spark, sf):
+    tr, _ = _train_test(spark, sf)
+    d = median_impute(tr, modelling_table(spark, sf), ["days_since_prev_emergency"])
+    return d.select("index_id", F.round("days_since_prev_emergency", 6).alias("days_since_prev_emergency"),
+                    "days_since_prev_emergency_missing")
+
+
+@query("g02_mode_impute", lambda: f"""WITH {MT()},
+md AS (SELECT days_since_prev_emergency AS m FROM mt WHERE split <> 'test' AND days_since_prev_emergency IS NOT NULL
+       GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT index_id, COALESCE(days_since_prev_emergency, (SELECT m FROM md)) AS days_since_prev_emergency FROM mt""")
+def g02(spark, sf):
+    tr, _ = _train_test(spark, sf)
+    d = G.mode_impute(tr, modelling_table(spark, sf), ["days_since_prev_emergency"])
+    return d.select("index_id", "days_since_prev_emergency")
+
+
+@query("g03_standardise", lambda: f"""WITH {MT()},
+st AS (SELECT avg(cost_30d) AS m, stddev_samp(cost_30d) AS s FROM mt WHERE split <> 'test')
+SELECT index_id, round((cost_30d - m) / CASE WHEN COALESCE(s, 0) = 0 THEN 1.0 ELSE s END, 6) AS cost_30d FROM mt, st""")
+def g03(spark, sf):
+    tr, _ = _train_test(spark, sf)
+    d = G.standardise(tr, modelling_table(spark, sf), ["cost_30d"])
+    return d.select("index_id", F.round("cost_30d", 6).alias("cost_30d"))
+
+
+@query("g04_one_hot", lambda: f"""WITH {MT()},
+voc AS (SELECT segment, CAST(row_number() OVER (ORDER BY segment) - 1 AS DOUBLE) AS idx FROM
+        (SELECT DISTINCT segment FROM mt WHERE split = 'train' AND segment IS NOT NULL)),
+nv AS (SELECT count(*) AS n FROM voc)
+SELECT index_id, COALESCE(voc.idx, CAST(nv.n AS DOUBLE)) AS segment_idx, CAST(nv.n + 2 AS INTEGER) AS ohe_size
+FROM mt LEFT JOIN voc USING (segment), nv""")
+def g04(spark, sf):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    d = modelling_table(spark, sf)
+    model = Pipeline(stages=G.one_hot_stages(["segment"])).fit(d.where(F.col("split") == "train"))
+    out = model.transform(d)
+    return out.select("index_id", F.col("segment_idx").alias("segment_idx"),
+                      F.size(vector_to_array("segment_ohe")).alias("ohe_size"))
+
+
+@query("g05_ordinal_encode", lambda: f"""WITH {MT()},
+voc AS (SELECT nation, CAST(row_number() OVER (ORDER BY nation) - 1 AS INTEGER) AS code FROM
+        (SELECT DISTINCT nation FROM mt WHERE split = 'train' AND nation IS NOT NULL))
+SELECT index_id, COALESCE(voc.code, -1) AS nation_code FROM mt LEFT JOIN voc USING (nation)""")
+def g05(spark, sf):
+    d = modelling_table(spark, sf)
+    e = G.ordinal_encode(d.where(F.col("split") == "train"), d, "nation", unknown=-1, start=0)
+    return e.select("index_id", "nation_code")
+
+
+@query("g06_train_vocabulary", lambda: f"""WITH {MT()},
+voc AS (SELECT nation, CAST(row_number() OVER (ORDER BY nation) AS INTEGER) AS code FROM
+        (SELECT DISTINCT nation FROM mt WHERE split = 'train' AND index_id % 3 = 0 AND nation IS NOT NULL))
+SELECT index_id, COALESCE(voc.code, 0) AS nation_code FROM mt LEFT JOIN voc USING (nation)""")
+def g06(spark, sf):
+    d = modelling_table(spark, sf)
+    tr = d.where((F.col("split") == "train") & (F.col("index_id") % 3 == 0))   # a vocabulary with gaps
+    e = G.ordinal_encode(tr, d, "nation", unknown=0, start=1)
+    return e.select("index_id", "nation_code")
+
+
+GROUPS = G.feature_groups(["segment", "nation"], ["n_emergency_30d", "n_emergency_90d", "n_emergency_365d"],
+                          ["days_since_prev_visit", "days_since_prev_emergency"], ["hist_visits", "hist_emergency"],
+                          ["cost_velocity", "ed_out_ratio", "accelerating"])
+
+
+@query("g07_feature_groups", lambda: f"""WITH {MT()}
+SELECT index_id, {", ".join(GROUPS["E"])} FROM mt""")
+def g07(spark, sf):
+    d = modelling_table(spark, sf)
+    return d.select("index_id", *GROUPS["E"])
+
+
+def _fit_eval(spark, sf, kind):
+    tr, te = _train_test(spark, sf)
+    _, sc = G.fit_score(tr, te, NUMERIC, CATEGORICAL, kind)
+    s = G.score_summary(sc)
+    return s.select(F.lit(kind).alias("model"), "roc_auc", "average_precision", "brier")
+
+
+@query("g08_logistic_regression", None)
+def g08(spark, sf):
+    return _fit_eval(spark, sf, "logistic")
+
+
+@query("g09_random_forest", None)
+def g09(spark, sf):
+    return _fit_eval(spark, sf, "random_forest")
+
+
+@query("g10_gradient_boosted_trees", None)
+def g10(spark, sf):
+    return _fit_eval(spark, sf, "gbt")
+
+
+def _folds(spark, sf):
+    tr, _ = _train_test(spark, sf)
+    return cut_lineage(S.expanding_folds(tr, "index_ts", "index_id", 3))
+
+
+@query("g11_random_search", None)
+def g11(spark, sf):
+    return G.random_search(None, _folds(spark, sf), NUMERIC, [], "logistic",
+                           {"regParam": [0.0, 0.01, 0.1, 1.0], "maxIter": [20, 50]}, n_iter=3)
+
+
+@query("g12_cv_benchmark", None)
+def g12(spark, sf):
+    return G.cv_benchmark(_folds(spark, sf), NUMERIC, [], ["logistic", "random_forest"])
+
+
+@query("g13_calibration", None)
+def g13(spark, sf):
+    tr, te = _train_test(spark, sf)
+    model, sc_te = G.fit_score(tr, te, NUMERIC, CATEGORICAL, "gbt")
+    sc_tr = G.positive_score(model.transform(tr))
+    return G.calibrate(sc_tr.select("label", "p"), sc_te.select("label", "p"))
+
+
+@query("g14_ensemble_sweep", f"""WITH {SCORED_SQL},
+w AS (SELECT i / 10.0 AS weight FROM range(0, 11) t(i)),
+e AS (SELECT w.weight, s.y, w.weight * s.p + (1 - w.weight) * s.p2 AS pe FROM s, w),
+ap AS (SELECT o.weight, avg((SELECT count(*) FILTER (WHERE t.y = 1) * 1.0 / count(*) FROM e t
+        WHERE t.weight = o.weight AND t.pe >= o.pe)) AS ap FROM e o WHERE o.y = 1 GROUP BY o.weight)
+SELECT round(weight, 6) AS weight, round(ap, 6) AS average_precision,
+  round((SELECT weight FROM ap ORDER BY ap DESC, weight LIMIT 1), 6) AS best_weight FROM ap""")
+def g14(spark, sf):
+    sw = G.ensemble_sweep(scored(spark, sf), "y", "p", "p2", 10)
+    return sw.select(F.round("weight", 6).alias("weight"), F.round("average_precision", 6).alias("average_precision"),
+                     F.round("best_weight", 6).alias("best_weight"))
+
+
+@query("g15_stacking", None)
+def g15(spark, sf):
+    sc = scored(spark, sf).withColumnRenamed("y", "label")
+    tr, te = sc.where(F.col("split") != "test"), sc.where(F.col("split") == "test")
+    st = G.stacking(tr, te, ["p", "p2"])
+    return G.score_summary(st, "label", "p_stack")
+
+
+@query("g16_batch_scoring", None)
+def g16(spark, sf):
+    tr, _ = _train_test(spark, sf)
+    d = modelling_table(spark, sf)
+    model = G.build_pipeline(NUMERIC, CATEGORICAL, "logistic").fit(G.add_balanced_weight(tr))
+    sc = G.positive_score(model.transform(d)).select("entity_id", "index_id", "index_ts", "p")
+    return G.latest_per_entity(sc, "entity_id", "index_ts", "index_id")
+
+
+@query("g18_permutation_importance", None)
+def g18(spark, sf):
+    tr, te = _train_test(spark, sf)
+    model, _ = G.fit_score(tr, te, NUMERIC, [], "logistic")
+    return G.permutation_importance(model, te, ["n_emergency_90d", "hist_visits", "cost_30d"], "index_id")
+
+
+@query("g19_ablation", None)
+def g19(spark, sf):
+    tr, te = _train_test(spark, sf)
+    return G.ablation(tr, te, ["n_emergency_90d"], ["hist_visits", "cost_30d", "days_since_prev_visit"])
