@@ -1 +1,77 @@
-"""Registered queries."""
+"""Registered retrieval / graph / audit queries (K).
+
+Binding: the corpus is ``documents`` (tags = language, source); the
+questions are ``benchmark`` items; even items carry the filter ['en'].
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from evtrail.operators import retrieval as K
+from evtrail.plans import bindings as B
+from evtrail.plans.registry import query
+
+
+def _queries(spark, sf):
+    b = B.table(spark, sf, "benchmark")
+    return b.select("item_id", "text", F.when(F.col("item_id") % 2 == 0, F.array(F.lit("en")))
+                    .otherwise(F.array().cast("array<string>")).alias("filters"))
+
+
+def search(spark, sf, k=4):
+    d = B.table(spark, sf, "documents")
+    return K.lexical_search(_queries(spark, sf), d, "item_id", F.col("text"), F.col("filters"),
+                            "doc_id", F.col("text"), F.array("lang", "source"), k=k)
+
+
+_K2_SQL = """WITH q AS (SELECT item_id, text || CASE WHEN item_id % 2 = 0 THEN ' en' ELSE ' ' END AS qt,
+                         item_id % 2 = 0 AS has_filter FROM benchmark),
+qt AS (SELECT item_id, t AS term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(qt), '[a-z0-9_]+'))
+       AS t FROM q) GROUP BY ALL),
+dt AS (SELECT doc_id, t AS term, count(*) AS dtf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+'))
+       AS t FROM documents) GROUP BY ALL),
+lex AS (SELECT qt.item_id, dt.doc_id, sum(least(qtf, dtf)) AS lexical FROM qt JOIN dt USING (term) GROUP BY ALL),
+bon AS (SELECT q.item_id, d.doc_id, 3.0 AS bonus FROM q JOIN documents d ON q.has_filter
+        AND (lower(d.lang) = 'en' OR lower(d.source) = 'en')),
+sc AS (SELECT COALESCE(l.item_id, b.item_id) AS item_id, COALESCE(l.doc_id, b.doc_id) AS doc_id,
+        CAST(COALESCE(l.lexical, 0) AS DOUBLE) + COALESCE(b.bonus, 0.0) AS score
+       FROM lex l FULL JOIN bon b ON l.item_id = b.item_id AND l.doc_id = b.doc_id),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+        FROM sc WHERE score > 0) WHERE rank <= 4)
+"""
+
+
+@query("k02_lexical_retrieval", _K2_SQL + "SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM top")
+def k02(spark, sf):
+    return search(spark, sf).select("item_id", "doc_id", "score", "rank")
+
+
+@query("k04_audit_log", _K2_SQL + """SELECT item_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank) AS source_ids,
+  count(*) AS n_sources FROM top GROUP BY item_id""")
+def k04(spark, sf):
+    return K.audit_rows(search(spark, sf), "item_id", "doc_id")
+
+
+@query("k03_case_graph_nodes", None)
+def k03(spark, sf):
+    from evtrail.plans.q_ranking import cases, top5
+    from evtrail.plans.q_rules import decision_table, navigation
+    d = decision_table(spark, sf)
+    nav = navigation(spark, sf).select("entity_id", F.split("drivers", ",").alias("drivers"))
+    cs = cases(spark, sf).select("entity_id", "need_key")
+    prov = cs.join(top5(spark, sf), "need_key").select("entity_id", "rank", "provider_id")
+    nodes, _ = K.case_graph(d, nav, prov)
+    return nodes.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("k03b_case_graph_edges", None)
+def k03b(spark, sf):
+    from evtrail.plans.q_ranking import cases, top5
+    from evtrail.plans.q_rules import decision_table, navigation
+    d = decision_table(spark, sf)
+    nav = navigation(spark, sf).select("entity_id", F.split("drivers", ",").alias("drivers"))
+    cs = cases(spark, sf).select("entity_id", "need_key")
+    prov = cs.join(top5(spark, sf), "need_key").select("entity_id", "rank", "provider_id")
+    _, edges = K.case_graph(d, nav, prov)
+    return edges.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
