@@ -270,3 +270,17 @@ def exclude_competing(index: DataFrame, death_col: str, index_ts: str, label_col
     else:
         raise ValueError(policy)
     return index.withColumn("exclusion_reason", F.when(d.isNotNull() & cond, F.lit("competing_event")))
+
+
+def sum_in_day_window(queries: DataFrame, events: DataFrame, entity: str, q_day: str, e_day: str, value: Column,
+                      lo: int, hi: int, name: str) -> DataFrame:
+    """Σ ``value`` of the same entity's events with day in [q_day+lo,
+    q_day+hi] (e.g. lo=-90, hi=-1 for the 90 days before).  Events are
+    summed per (entity, day), query days merged in, one RANGE frame."""
+    ev = events.groupBy(F.col(entity).alias("_e"), F.col(e_day).alias("_k")).agg(F.sum(value).alias("_v"))
+    qk = queries.select(F.col(entity).alias("_e"), F.col(q_day).alias("_k")).distinct()
+    pts = ev.join(qk, ["_e", "_k"], "full")
+    frame = Window.partitionBy("_e").orderBy("_k").rangeBetween(lo, hi)
+    vals = pts.select("_e", "_k", F.coalesce(F.sum("_v").over(frame), F.lit(0)).alias(name))
+    return queries.join(vals, (queries[entity] == vals["_e"]) & (queries[q_day] == vals["_k"]), "left") \
+        .drop("_e", "_k")

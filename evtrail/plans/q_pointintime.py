@@ -328,3 +328,162 @@ def e16(spark, sf):
     out = pit.asof_last_before(idx, stays.withColumnRenamed("dday", "day"), "entity_id", "day", "los", "_ord",
                                "last_los", strict=True)
     return out.select("entity_id", "index_id", F.coalesce("last_los", F.lit(0)).alias("last_los"))
+
+
+# ---------------------------------------------------------------- E17 -----
+# Birth-date binding: a customer's first order date (tenure in years).
+@query("e17_age_at_index", with_(ENC, IDX) + """,
+b AS (SELECT entity_id, min(ts) AS born FROM ev GROUP BY entity_id)
+SELECT i.entity_id, i.index_id,
+  round(least(greatest(date_diff('day', CAST(b.born AS DATE), CAST(i.index_ts AS DATE)) / 365.25, 0.0), 120.0), 6) AS age
+FROM idx i JOIN b USING (entity_id)""")
+def e17(spark, sf):
+    enc = B.encounters(spark, sf)
+    born = enc.groupBy("entity_id").agg(F.min("ts").alias("born"))
+    idx = _idx_with_ts(spark, sf).join(born, "entity_id")
+    return idx.select("entity_id", "index_id", F.round(pit.age_years("index_ts", "born", (0.0, 120.0)), 6).alias("age"))
+
+
+# ---------------------------------------------------------------- E19 -----
+@query("e19_entity_year_attach", with_(ENC, IDX) + """,
+ey AS (SELECT entity_id, year(ts) AS year, count(DISTINCT month(ts)) AS coverage_months,
+   max(CAST(cls = 'emergency' AS INTEGER)) + max(CAST(cls = 'inpatient' AS INTEGER)) AS burden FROM ev GROUP BY ALL)
+SELECT i.entity_id, i.index_id, CAST(ey.coverage_months AS DOUBLE) AS prior_year_coverage_months,
+  CAST(ey.burden AS DOUBLE) AS prior_year_burden
+FROM idx i LEFT JOIN ey ON ey.entity_id = i.entity_id AND ey.year = year(i.index_ts) - 1""")
+def e19(spark, sf):
+    from evtrail.operators.claims import entity_year
+    enc = B.encounters(spark, sf)
+    ey = entity_year(enc, "entity_id", "ts", {"f_e": F.col("cls") == "emergency", "f_i": F.col("cls") == "inpatient"})
+    idx = _idx_with_ts(spark, sf).withColumn("year", F.year("index_ts") - 1)      # prior year: no leakage
+    j = idx.join(ey, ["entity_id", "year"], "left")
+    # nullable integers leave as DOUBLE so every result format agrees
+    return j.select("entity_id", "index_id", F.col("coverage_months").cast("double").alias("prior_year_coverage_months"),
+                    F.col("burden").cast("double").alias("prior_year_burden"))
+
+
+# ---------------------------------------------------------------- E20 -----
+_CODED_SQL = """,
+cc AS (SELECT claim_id, min(member_id) AS member_id, min(from_ts) AS from_ts,
+   count(*) FILTER (WHERE CAST(code_1 AS BIGINT) % 4 <> 0) AS n_coded_lines FROM cl GROUP BY claim_id),
+cd AS (SELECT member_id, date_diff('day', DATE '1970-01-01', CAST(from_ts AS DATE)) AS d, n_coded_lines FROM cc)"""
+
+
+def _coded_claims(spark, sf):
+    cl = B.claim_lines(spark, sf)
+    c = cl.groupBy("claim_id").agg(F.min("member_id").alias("entity_id"), F.min("from_ts").alias("from_ts"),
+                                   F.count(F.when(F.col("code_1").cast("long") % 4 != 0, 1)).alias("n_coded_lines"))
+    return c.withColumn("d", pit.day_number("from_ts"))
+
+
+@query("e20_coded_visit_counts", with_(ENC, IDX, CLAIM_LINES) + _CODED_SQL + """
+SELECT i.entity_id, i.index_id, (SELECT count(*) FROM cd WHERE cd.member_id = i.entity_id AND n_coded_lines > 0
+  AND cd.d >= i.day - 90 AND cd.d < i.day) AS coded_visits_90d FROM idx i""")
+def e20(spark, sf):
+    c = _coded_claims(spark, sf).where(F.col("n_coded_lines") > 0)
+    idx = _idx_with_ts(spark, sf)
+    out = pit.sum_in_day_window(idx, c, "entity_id", "day", "d", F.lit(1), -90, -1, "coded_visits_90d")
+    return out.select("entity_id", "index_id", F.col("coded_visits_90d").cast("long").alias("coded_visits_90d"))
+
+
+# ---------------------------------------------------------------- E27 -----
+@query("e27_procedure_intensity", with_(ENC, IDX, CLAIM_LINES) + _CODED_SQL + """
+SELECT i.entity_id, i.index_id, COALESCE((SELECT sum(n_coded_lines) FROM cd WHERE cd.member_id = i.entity_id
+  AND cd.d >= i.day - 90 AND cd.d < i.day), 0)::BIGINT AS procedure_intensity_90d FROM idx i""")
+def e27(spark, sf):
+    c = _coded_claims(spark, sf)
+    idx = _idx_with_ts(spark, sf)
+    out = pit.sum_in_day_window(idx, c, "entity_id", "day", "d", F.col("n_coded_lines"), -90, -1,
+                                "procedure_intensity_90d")
+    return out.select("entity_id", "index_id", F.col("procedure_intensity_90d").cast("long")
+                      .alias("procedure_intensity_90d"))
+
+
+# ---------------------------------------------------------------- E25 -----
+@query("e25_code_pattern_flag", with_(ENC, IDX, CLAIM_LINES) + """,
+fl AS (SELECT member_id, date_diff('day', DATE '1970-01-01', CAST(from_ts AS DATE)) AS d FROM cl
+       WHERE regexp_matches(code_1, '^13'))
+SELECT i.entity_id, i.index_id, CAST(EXISTS (SELECT 1 FROM fl WHERE fl.member_id = i.entity_id AND fl.d >= i.day - 90
+  AND fl.d < i.day) AS INTEGER) AS code_pattern_90d FROM idx i""")
+def e25(spark, sf):
+    cl = B.claim_lines(spark, sf).where(F.col("code_1").rlike("^13")).withColumn("d", pit.day_number("from_ts"))
+    idx = _idx_with_ts(spark, sf)
+    out = pit.sum_in_day_window(idx, cl.withColumnRenamed("member_id", "entity_id"), "entity_id", "day", "d",
+                                F.lit(1), -90, -1, "_n")
+    return out.select("entity_id", "index_id", (F.col("_n") > 0).cast("int").alias("code_pattern_90d"))
+
+
+# ---------------------------------------------------------------- E26 / E28
+@query("e26_code_category_diversity", with_(ENC, IDX, CLAIM_LINES) + """,
+cc AS (SELECT DISTINCT member_id, left(code_1, 2) AS cat, date_diff('day', DATE '1970-01-01', CAST(from_ts AS DATE)) AS d
+       FROM cl)
+SELECT i.entity_id, i.index_id, (SELECT count(DISTINCT cat) FROM cc WHERE cc.member_id = i.entity_id
+  AND cc.d >= i.day - 365 AND cc.d < i.day) AS code_categories_365d FROM idx i""")
+def e26(spark, sf):
+    cl = (B.claim_lines(spark, sf).withColumn("d", pit.day_number("from_ts"))
+          .withColumn("cat", F.substring("code_1", 1, 2)).withColumnRenamed("member_id", "entity_id"))
+    idx = _idx_with_ts(spark, sf)
+    out = pit.distinct_in_window(cl, idx, "entity_id", "d", "cat", 365, "code_categories_365d")
+    return out.select("entity_id", "index_id", F.coalesce("code_categories_365d", F.lit(0))
+                      .alias("code_categories_365d"))
+
+
+@query("e28_distinct_facilities_365d", with_(ENC, IDX, CLAIM_LINES) + """,
+cf AS (SELECT DISTINCT cl.member_id, s.s_nationkey AS fac, date_diff('day', DATE '1970-01-01', CAST(cl.from_ts AS DATE)) AS d
+       FROM cl JOIN supplier s ON s.s_suppkey = cl.provider_id)
+SELECT i.entity_id, i.index_id, (SELECT count(DISTINCT fac) FROM cf WHERE cf.member_id = i.entity_id
+  AND cf.d >= i.day - 365 AND cf.d < i.day) AS distinct_facilities_365d FROM idx i""")
+def e28(spark, sf):
+    s = B.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("provider_id"), F.col("s_nationkey").alias("fac"))
+    cl = (B.claim_lines(spark, sf).join(s, "provider_id").withColumn("d", pit.day_number("from_ts"))
+          .withColumnRenamed("member_id", "entity_id"))
+    idx = _idx_with_ts(spark, sf)
+    out = pit.distinct_in_window(cl, idx, "entity_id", "d", "fac", 365, "distinct_facilities_365d")
+    return out.select("entity_id", "index_id", F.coalesce("distinct_facilities_365d", F.lit(0))
+                      .alias("distinct_facilities_365d"))
+
+
+# ---------------------------------------------------------------- E22 -----
+@query("e22_current_context", with_(ENC, IDX, INTERVALS) + """
+SELECT i.entity_id, i.index_id,
+""" + ",\n".join(f"""  (SELECT count(*) FROM iv WHERE iv.entity_id = i.entity_id AND iv.kind = '{k}' AND iv.start_ts <= i.index_ts
+     AND (iv.stop_ts IS NULL OR iv.stop_ts > i.index_ts)) AS active_{k}""" for k in ("condition", "medication", "allergy"))
+       + "\nFROM idx i")
+def e22(spark, sf):
+    out = _idx_with_ts(spark, sf)
+    iv = B.intervals(spark, sf)
+    for k in ("condition", "medication", "allergy"):
+        out = pit.active_at(iv.where(F.col("kind") == k), out, "entity_id", "start_ts", "stop_ts", "index_ts",
+                            f"active_{k}", mode="context")
+    return out.select("entity_id", "index_id", *[F.coalesce(f"active_{k}", F.lit(0)).alias(f"active_{k}")
+                                                 for k in ("condition", "medication", "allergy")])
+
+
+# ---------------------------------------------------------------- E21 / E23
+def _ctx_sql():
+    from evtrail.plans.sql_rules import context_sql
+    return context_sql()
+
+
+@query("e21_vitals_pivot", lambda: f"WITH {_ctx_sql()}\nSELECT user_id, day, " +
+       ", ".join(B.VITALS) + ", avpu, pain FROM ctx")
+def e21(spark, sf):
+    return B.clinical_context(spark, sf).select("user_id", "day", *B.VITALS, "avpu", "pain")
+
+
+# Units of the context fields.
+CONTEXT_UNITS = {"temperature": "degC|degF", "heart_rate": "bpm", "spo2": "%", "systolic_bp": "mmHg",
+                 "respiratory_rate": "breaths/min", "avpu": "", "pain": "0-10"}
+
+
+@query("e23_context_catalogue", lambda: f"WITH {_ctx_sql()}\n" + " UNION ALL ".join(
+    f"SELECT '{c}' AS field, count({c}) AS available, round((count(*) - count({c})) * 100.0 / count(*), 4) AS pct_missing, "
+    f"'{u}' AS units FROM ctx" for c, u in CONTEXT_UNITS.items()))
+def e23(spark, sf):
+    ctx = B.clinical_context(spark, sf)
+    agg = ctx.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in CONTEXT_UNITS])
+    long = agg.unpivot(["_n"], list(CONTEXT_UNITS), "field", "available")
+    units = F.create_map(*[x for k, v in CONTEXT_UNITS.items() for x in (F.lit(k), F.lit(v))])
+    return long.select("field", "available",
+                       F.round((F.col("_n") - F.col("available")) * 100.0 / F.col("_n"), 4).alias("pct_missing"),
+                       F.try_element_at(units, F.col("field")).alias("units"))
