@@ -456,3 +456,58 @@ def call_review_override(reported: Column, reviewer_decision: Column) -> Column:
     sev = F.array(*[F.lit(s.lower()) for s in SEVERE_SYMPTOMS])
     low = F.transform(reported, lambda x: F.lower(F.trim(x)))
     return F.when(F.arrays_overlap(low, sev), F.lit("emergency")).otherwise(reviewer_decision)
+
+
+# ------------------------------------------------- I5 alternative matrix ---
+# The 13-rule clinical matrix (rule id, severity, action).
+# Thresholds differ from the banded engine above (e.g. heart rate < 60 or
+# > 130).  R12 / R13 come from the compound interval rules (I9) or flags.
+MATRIX_RULES = [
+    ("R01", "RED", "Emergency Escalation"),
+    ("R02", "YELLOW", "Urgent Medical Review"),
+    ("R03", "RED", "Emergency Escalation"),
+    ("R04", "RED", "Emergency Escalation"),
+    ("R05", "YELLOW", "Urgent Medical Review"),
+    ("R06", "RED", "Emergency Escalation"),
+    ("R07", "YELLOW", "Urgent Medical Review"),
+    ("R08", "RED", "Emergency Escalation"),
+    ("R09", "RED", "Emergency Escalation"),
+    ("R10", "RED", "Emergency Escalation"),
+    ("R11", "RED", "Emergency Escalation"),
+    ("R12", "RED", "Emergency Escalation"),
+    ("R13", "RED", "Emergency Escalation"),
+]
+
+
+def matrix_rule_hits(temp_c: Column, spo2: Column, hr: Column, sbp: Column, rr: Column, avpu: Column, pain: Column,
+                     syms: Column, r12: Column | None = None, r13: Column | None = None) -> Column:
+    """Array of fired matrix rule ids in table order."""
+    av = F.upper(F.trim(avpu.cast("string")))
+    has = lambda s: F.array_contains(syms, s)
+    conds = [spo2 < 92, (hr < 60) | (hr > 130), (rr < 10) | (rr > 30), sbp < 90, (temp_c < 36.0) | (temp_c > 39.0),
+             av.isin("V", "VOICE", "P", "PAIN", "U", "UNRESPONSIVE"), pain > 7, has("chest pain"), has("bleeding"),
+             has("convulsions"), has("allergic reaction"),
+             has("active high-risk condition") if r12 is None else (r12 == 1),
+             has("safety conflict") if r13 is None else (r13 == 1)]
+    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(rid))
+                                     for c, (rid, _, _) in zip(conds, MATRIX_RULES)]))
+
+
+def matrix_assessment(df: DataFrame, temp: str = "temperature", convert_fahrenheit: bool = True) -> DataFrame:
+    """I5 (alternative): max severity over the matrix hits, first hit wins
+    ties; GREEN when nothing fires.  Rule table is a literal map."""
+    t = fahrenheit_to_celsius(F.col(temp)) if convert_fahrenheit else F.col(temp).cast("double")
+    syms = true_symptoms(F.coalesce(F.col("flags"), F.create_map().cast("map<string,boolean>")))
+    hits = matrix_rule_hits(t, F.col("spo2").cast("double"), F.col("heart_rate").cast("double"),
+                            F.col("systolic_bp").cast("double"), F.col("respiratory_rate").cast("double"),
+                            F.col("avpu"), F.col("pain").cast("double"), syms)
+    sev = _lit_map({r: SEVERITY_RANK[s] for r, s, _ in MATRIX_RULES})
+    act = _lit_map({r: a for r, _, a in MATRIX_RULES})
+    order = _lit_map({r: i for i, (r, _, _) in enumerate(MATRIX_RULES)})
+    top = F.array_min(F.transform(hits, lambda h: F.struct((-F.try_element_at(sev, h)).alias("s"),
+                                                           F.try_element_at(order, h).alias("o"), h.alias("r"))))
+    name = _lit_map({r: s for r, s, _ in MATRIX_RULES})
+    return df.select("*", F.array_join(hits, ",").alias("matrix_rules"),
+                     F.coalesce(F.try_element_at(name, top["r"]), F.lit("GREEN")).alias("matrix_status"),
+                     F.coalesce(top["r"], F.lit("None")).alias("matrix_rule"),
+                     F.try_element_at(act, top["r"]).alias("matrix_action"))

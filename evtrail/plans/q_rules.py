@@ -428,3 +428,29 @@ def i24(spark, sf):
     u = F.col("user_id") % 4
     dec = F.when(u == 0, "same-day").when(u == 1, "routine").when(u == 2, "unsure").otherwise("routine")
     return r.select("user_id", "day", R.call_review_override(F.col("reported"), dec).alias("effective_decision"))
+
+
+def _matrix_sql():
+    t = "CASE WHEN temperature > 45 THEN (temperature - 32) * 5.0 / 9.0 ELSE temperature END"
+    conds = ["spo2 < 92", "heart_rate < 60 OR heart_rate > 130", "respiratory_rate < 10 OR respiratory_rate > 30",
+             "systolic_bp < 90", f"({t}) < 36.0 OR ({t}) > 39.0",
+             "upper(trim(avpu)) IN ('V', 'VOICE', 'P', 'PAIN', 'U', 'UNRESPONSIVE')", "pain > 7",
+             "list_contains(syms, 'chest pain')", "list_contains(syms, 'bleeding')", "list_contains(syms, 'convulsions')",
+             "list_contains(syms, 'allergic reaction')", "list_contains(syms, 'active high-risk condition')",
+             "list_contains(syms, 'safety conflict')"]
+    ids = [r for r, _, _ in R.MATRIX_RULES]
+    fired = "concat_ws(',', " + ", ".join(f"CASE WHEN COALESCE({c}, FALSE) THEN '{r}' END" for c, r in zip(conds, ids)) + ")"
+    red = [r for r, s, _ in R.MATRIX_RULES if s == "RED"]
+    return f"""m AS (SELECT user_id, day, {fired} AS matrix_rules FROM ctx),
+m2 AS (SELECT *, string_split(matrix_rules, ',') AS lst FROM m)
+SELECT user_id, day, matrix_rules,
+  CASE WHEN matrix_rules = '' THEN 'GREEN' WHEN list_has_any(lst, [{", ".join(repr(r) for r in red)}]) THEN 'RED'
+       ELSE 'YELLOW' END AS matrix_status,
+  CASE WHEN matrix_rules = '' THEN 'None' ELSE COALESCE(list_filter(lst, lambda x: x IN ({", ".join(repr(r) for r in red)}))[1],
+       lst[1]) END AS matrix_rule FROM m2"""
+
+
+@query("i05b_rule_matrix", lambda: f"WITH {context_sql()},\n{_matrix_sql()}")
+def i05b(spark, sf):
+    m = R.matrix_assessment(B.clinical_context(spark, sf))
+    return m.select("user_id", "day", "matrix_rules", "matrix_status", "matrix_rule")
