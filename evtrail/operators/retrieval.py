@@ -36,9 +36,16 @@ def lexical_search(queries: DataFrame, docs: DataFrame, q_id: str, q_text: Colum
     q = queries.select(F.col(q_id).alias("_q"), qt.alias("_qt"),
                        (q_filters if q_filters is not None else F.array().cast("array<string>")).alias("_qf"))
     qtc = term_counts(q, "_q", F.col("_qt")).withColumnRenamed("tf", "_qtf")
-    dtc = term_counts(docs, d_id, d_text).withColumnRenamed("tf", "_dtf")
     n_q_terms = qtc.count()   # size check (one number) before choosing the join
-    right = F.broadcast(qtc) if n_q_terms <= BROADCAST_ROW_LIMIT else qtc
+    small = n_q_terms <= BROADCAST_ROW_LIMIT
+    vocab = qtc.select("term").distinct()
+    # keep only document tokens that can score (semi-join on the query
+    # vocabulary) BEFORE counting them: the shuffle then carries matching
+    # terms only, not every token of every document
+    toks = docs.select(F.col(d_id), F.explode(word_tokens(d_text)).alias("term"))
+    toks = toks.join(F.broadcast(vocab) if small else vocab, "term", "left_semi")
+    dtc = toks.groupBy(d_id, "term").agg(F.count(F.lit(1)).alias("_dtf"))
+    right = F.broadcast(qtc) if small else qtc
     lex = dtc.join(right, "term").groupBy("_q", d_id).agg(F.sum(F.least("_dtf", "_qtf")).alias("lexical"))
     if d_tags is not None:
         tags = docs.select(F.col(d_id), F.transform(d_tags, lambda t: F.lower(t)).alias("_tags"))
