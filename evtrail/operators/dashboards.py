@@ -45,10 +45,12 @@ def dashboard_counts(rows: DataFrame, entity: str, ed90: str, appts: DataFrame,
 
 
 def newest_first(df: DataFrame, entity: str, entity_value, ts: str, id_col: str) -> DataFrame:
-    """One entity's rows newest first (rank column)."""
-    d = df.where(F.col(entity) == entity_value)
-    w = Window.partitionBy(entity).orderBy(F.col(ts).desc(), F.col(id_col).desc())
-    return d.withColumn("recency_rank", F.row_number().over(w))
+    """One entity's rows newest first (rank column).  The rank is the
+    bucketed global rank, so even a very busy entity is ranked in parallel."""
+    from evtrail.functions.prefix import global_rank
+    d = df.where(F.col(entity) == entity_value).withColumns({
+        "_nt": -F.unix_micros(F.col(ts).cast("timestamp")), "_ni": -F.col(id_col)})
+    return global_rank(d, "_nt", ["_ni"], name="recency_rank").drop("_nt", "_ni")
 
 
 def status_counts_with_all(df: DataFrame, status: str) -> DataFrame:

@@ -152,7 +152,8 @@ def gap_to_next_label(events: DataFrame, entity: str, ts: str, event_id: str,
 # ------------------------------------------------------------------ sweeps ---
 
 def sweep_count(intervals: DataFrame, queries: DataFrame, entity: str, open_after: str,
-                close_after: str | None, query_key: str, name: str = "active") -> DataFrame:
+                close_after: str | None, query_key: str, name: str = "active",
+                bucket_width: int | None = None) -> DataFrame:
     """Count intervals alive at each query key.
 
     An interval contributes at query key ``q`` iff ``q > open_after`` and not
@@ -160,7 +161,13 @@ def sweep_count(intervals: DataFrame, queries: DataFrame, entity: str, open_afte
     (day numbers or epoch micros).  Each interval becomes +1 at
     ``open_after`` and -1 at ``greatest(open_after, close_after)`` (so empty
     intervals cancel); deltas are pre-aggregated per (entity, key), then the
-    running sum over keys strictly below ``q`` is read at the query rows."""
+    running sum over keys strictly below ``q`` is read at the query rows.
+
+    ``bucket_width`` (e.g. one day of micros) makes the running sum two-level:
+    per-bucket totals are summed over preceding buckets (a window over at most
+    one row per bucket) plus a running sum inside the query's own bucket, so
+    even a hot entity never puts all of its distinct keys in one window
+    partition."""
     plus = intervals.select(F.col(entity).alias("_e"), F.col(open_after).cast("long").alias("_k"),
                             F.lit(1).alias("_d"))
     if close_after is None:
@@ -175,8 +182,18 @@ def sweep_count(intervals: DataFrame, queries: DataFrame, entity: str, open_afte
     qk = queries.select(F.col(entity).alias("_e"), F.col(query_key).cast("long").alias("_k")).distinct()
     pts = qk.withColumn("_d", F.lit(0).cast("long")).unionByName(deltas)
     pts = pts.groupBy("_e", "_k").agg(F.sum("_d").alias("_d"))
-    frame = Window.partitionBy("_e").orderBy("_k").rangeBetween(Window.unboundedPreceding, -1)
-    vals = pts.select("_e", "_k", F.coalesce(F.sum("_d").over(frame), F.lit(0)).cast("long").alias(name))
+    if bucket_width is None:
+        frame = Window.partitionBy("_e").orderBy("_k").rangeBetween(Window.unboundedPreceding, -1)
+        vals = pts.select("_e", "_k", F.coalesce(F.sum("_d").over(frame), F.lit(0)).cast("long").alias(name))
+    else:
+        pts = pts.withColumn("_b", F.floor(F.col("_k") / F.lit(bucket_width)).cast("long"))
+        tot = pts.groupBy("_e", "_b").agg(F.sum("_d").alias("_t"))
+        before = Window.partitionBy("_e").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        off = tot.select("_e", "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+        inside = Window.partitionBy("_e", "_b").orderBy("_k").rangeBetween(Window.unboundedPreceding, -1)
+        vals = (pts.select("_e", "_b", "_k", F.coalesce(F.sum("_d").over(inside), F.lit(0)).alias("_in"))
+                .join(off, ["_e", "_b"])
+                .select("_e", "_k", (F.col("_off") + F.col("_in")).cast("long").alias(name)))
     return (queries.join(vals, (queries[entity] == vals["_e"]) & (queries[query_key].cast("long") == vals["_k"]),
                          "left").drop("_e", "_k"))
 
@@ -223,7 +240,7 @@ def active_at(intervals: DataFrame, queries: DataFrame, entity: str, start: str,
     iv = intervals.where(F.col(start).isNotNull()).select(
         F.col(entity), opens.alias("_open"), closes.alias("_close"))
     q = queries.withColumn("_qk", F.unix_micros(F.col(query_ts).cast("timestamp")))
-    return sweep_count(iv, q, entity, "_open", "_close", "_qk", name).drop("_qk")
+    return sweep_count(iv, q, entity, "_open", "_close", "_qk", name, bucket_width=86_400_000_000).drop("_qk")
 
 
 # ---------------------------------------------------------- misc features ---

@@ -112,7 +112,10 @@ def tfidf_similarity(need_docs: DataFrame, cand_docs: DataFrame, group: str, doc
     w = w.join(norms, [group, "_d"]).withColumn("_u", F.col("_w") / F.col("_norm"))
     qv = w.where(F.col("_d") == "__need__").select(group, "_t", F.col("_u").alias("_q"))
     cv = w.where(F.col("_d") != "__need__").select(group, "_d", "_t", "_u")
-    dot = cv.join(qv, [group, "_t"]).groupBy(group, "_d").agg(F.sum(F.col("_u") * F.col("_q")).alias("_cos"))
+    # the need vectors are bounded (distinct needs x their few terms): broadcast
+    # them so a term shared by every candidate of a group is never a hot key
+    dot = cv.join(F.broadcast(qv), [group, "_t"]).groupBy(group, "_d").agg(
+        F.sum(F.col("_u") * F.col("_q")).alias("_cos"))
     allc = (cand_docs.select(group, doc_id, F.col(doc_id).cast("string").alias("_d"))
             .join(dot, [group, "_d"], "left").fillna({"_cos": 0.0}).drop("_d"))
     mx = allc.groupBy(group).agg(F.max("_cos").alias("_mx"))

@@ -217,7 +217,8 @@ def compound_flags(queries: DataFrame, intervals: DataFrame, entity: str, query_
     ts = lambda c: F.col(c).cast("timestamp")  # noqa: E731  (NTZ -> session-UTC instant)
     c_iv = cond.select(entity, (us(ts(start)) - 1).alias("_o"), (us(ts(stop)) - 1).alias("_c"))
     q = queries.withColumn("_qk", us(ts(query_ts)))
-    out = sweep_count(c_iv, q, entity, "_o", "_c", "_qk", "_n_hr")
+    day_us = 86_400_000_000
+    out = sweep_count(c_iv, q, entity, "_o", "_c", "_qk", "_n_hr", bucket_width=day_us)
     al = iv.where(F.col(kind) == "allergy").select(entity, code, F.col(start).alias("_as"), F.col(stop).alias("_ae"))
     md = iv.where(F.col(kind) == "medication").select(entity, code, F.col(start).alias("_ms"), F.col(stop).alias("_me"))
     ov = al.join(md, [entity, code]).select(
@@ -225,7 +226,7 @@ def compound_flags(queries: DataFrame, intervals: DataFrame, entity: str, query_
         F.when(F.col("_ae").isNull(), F.col("_me")).when(F.col("_me").isNull(), F.col("_ae"))
         .otherwise(F.least("_ae", "_me")).alias("_e"))
     o_iv = ov.select(entity, (us(ts("_s")) - 1).alias("_o"), (us(ts("_e")) - 1).alias("_c"))
-    out = sweep_count(o_iv, out, entity, "_o", "_c", "_qk", "_n_conflict")
+    out = sweep_count(o_iv, out, entity, "_o", "_c", "_qk", "_n_conflict", bucket_width=day_us)
     return out.drop("_qk").withColumns({
         "R12": ((F.coalesce("_n_hr", F.lit(0)) > 0) & acute).cast("int"),
         "R13": (F.coalesce("_n_conflict", F.lit(0)) > 0).cast("int")}).drop("_n_hr", "_n_conflict")
