@@ -32,7 +32,9 @@ def build_model_table(enc: DataFrame, entity: str = "entity_id", ts: str = "ts",
     f = pit.lookahead_any(f, entity, idx_cnt, horizon, "label")
     f = f.where(F.col("_first").isNotNull())
     if censor:
-        f = pit.censor_followup(f, pit.max_event_day(enc, ts), horizon)
+        # end of observation = max day over ALL events, read off the daily
+        # rollup (already aggregated) instead of scanning the events again
+        f = pit.censor_followup(f, daily.agg(F.max("day").alias("max_day")), horizon)
     w_short, w_mid, w_long = windows[0], windows[1], windows[-1]
     ic = f"n_{index_class}"
     return f.select(
