@@ -72,7 +72,9 @@ def candidate_fetch(needs: DataFrame, providers: DataFrame, need_key: str, need_
     Needs are distinct keys (small); the contains-predicate join is
     answered per need x provider only for the distinct needs."""
     nd = needs.select(need_key, need_specialty).distinct()
-    j = nd.join(providers, F.lower(F.col("specialty")).contains(F.lower(F.col(need_specialty))))
+    # distinct needs are a bounded categorical product: broadcast them so the
+    # contains-predicate join streams the provider table once
+    j = providers.join(F.broadcast(nd), F.lower(F.col("specialty")).contains(F.lower(F.col(need_specialty))))
     j = j.withColumn("norm_quality", F.coalesce(F.col("quality"), F.lit(50.0)))
     return topk_per_group(j, [need_key], [F.col("provider_id")], limit, rank_col="fetch_rank")
 
@@ -196,7 +198,8 @@ def nearest(points: DataFrame, providers: DataFrame, point_key: str, plat: str,
     ties broken by utilisation (desc) then id.  Query points are a bounded
     set (e.g. nation centroids x specialty), not individual cases."""
     pr = providers.where(F.col("lat").isNotNull())
-    j = points.join(pr, list(on)) if on else points.crossJoin(pr)
+    # query points are bounded (centroids x specialties): broadcast them
+    j = pr.join(F.broadcast(points), list(on)) if on else pr.crossJoin(F.broadcast(points))
     j = j.withColumn("distance_km", haversine_km(plat, plon, "lat", "lon"))
     return topk_per_group(j, [point_key], [F.col("distance_km"), F.col("utilization").desc(), F.col("provider_id")],
                           k)
@@ -207,7 +210,8 @@ def catalog_search(requests: DataFrame, providers: DataFrame, req_key: str, page
     providers matching any specialty word, the state and (if asked)
     telehealth='Y'; order: non-null quality first, quality desc, facility
     count desc, id; requests with no match return one NO_PROVIDER_FOUND row."""
-    j = requests.join(providers, (F.col("req_state") == F.col("state")) &
+    # requests are distinct (pathway, state, telehealth) triples: bounded, broadcast
+    j = providers.join(F.broadcast(requests), (F.col("req_state") == F.col("state")) &
                       F.exists("specialties", lambda s: F.col("specialty").contains(s)) &
                       (~F.col("telehealth_only") | (F.col("telehealth") == "Y")))
     top = topk_per_group(j, [req_key], [F.col("quality").desc_nulls_last(), F.col("n_facilities").desc(),
