@@ -97,95 +97,96 @@ def display_score(p: Column) -> Column:
 
 # ------------------------------------------------------- I3 / I4 vitals ----
 
-def _trig(rule: str, evidence: Column, order: int) -> Column:
-    return F.struct(F.lit(order).alias("order"), F.lit(rule).alias("rule_id"), evidence.alias("evidence"))
-
-
 def _fmt(c: Column, fmt: str) -> Column:
     return F.format_string(fmt, c)
 
 
 def vital_triggers(temp_c: Column, spo2: Column, hr: Column, sbp: Column, rr: Column, avpu: Column,
-                   pain: Column) -> list[Column]:
-    """One trigger (struct order/rule_id/evidence) or null per vital."""
-    t_ev = _fmt(temp_c, "Temp = %.2f°C")
-    temp = (F.when(temp_c < 32.22, _trig("T02", t_ev, 1)).when(temp_c < 35.0, _trig("T01", t_ev, 1))
-            .when(temp_c >= 40.0, _trig("T06", t_ev, 1)).when(temp_c >= 39.0, _trig("T05", t_ev, 1))
-            .when(temp_c >= 38.0, _trig("T04", t_ev, 1)))
-    s_ev = F.concat(F.lit("SpO2 = "), spo2.cast("string"), F.lit("%"))
-    sp = F.when(spo2 < 92, _trig("S03", s_ev, 2)).when(spo2 <= 93, _trig("S02", s_ev, 2))
-    h_ev = F.concat(F.lit("HR = "), hr.cast("string"), F.lit(" bpm"))
-    h = (F.when(hr < 40, _trig("HR07", h_ev, 3)).when(hr < 50, _trig("HR06", h_ev, 3))
-         .when(hr > 130, _trig("HR04", h_ev, 3)).when(hr >= 121, _trig("HR03", h_ev, 3))
-         .when(hr >= 101, _trig("HR02", h_ev, 3)))
-    b_ev = F.concat(F.lit("Systolic BP = "), sbp.cast("string"), F.lit(" mmHg"))
-    b = (F.when(sbp < 90, _trig("BP03", b_ev, 4)).when(sbp <= 99, _trig("BP02", b_ev, 4))
-         .when(sbp >= 200, _trig("BP05", b_ev, 4)).when(sbp >= 181, _trig("BP04", b_ev, 4)))
-    r_ev = F.concat(F.lit("RR = "), rr.cast("string"), F.lit(" bpm"))
-    r = (F.when(rr <= 8, _trig("RR05", r_ev, 5)).when(rr <= 11, _trig("RR04", r_ev, 5))
-         .when(rr >= 30, _trig("RR03", r_ev, 5)).when(rr >= 21, _trig("RR02", r_ev, 5)))
+                   pain: Column) -> list[tuple[Column, Column]]:
+    """Per vital, in evaluation order, (rule id or null, evidence)."""
+    temp = (F.when(temp_c < 32.22, "T02").when(temp_c < 35.0, "T01").when(temp_c >= 40.0, "T06")
+            .when(temp_c >= 39.0, "T05").when(temp_c >= 38.0, "T04"))
+    sp = F.when(spo2 < 92, "S03").when(spo2 <= 93, "S02")
+    h = (F.when(hr < 40, "HR07").when(hr < 50, "HR06").when(hr > 130, "HR04").when(hr >= 121, "HR03")
+         .when(hr >= 101, "HR02"))
+    b = F.when(sbp < 90, "BP03").when(sbp <= 99, "BP02").when(sbp >= 200, "BP05").when(sbp >= 181, "BP04")
+    r = F.when(rr <= 8, "RR05").when(rr <= 11, "RR04").when(rr >= 30, "RR03").when(rr >= 21, "RR02")
     av = F.upper(F.trim(avpu.cast("string")))
-    a_ev = F.concat(F.lit("AVPU = "), av)
-    a = (F.when(av.isin("V", "VOICE"), _trig("AV02", a_ev, 6)).when(av.isin("P", "PAIN"), _trig("AV03", a_ev, 6))
-         .when(av.isin("U", "UNRESPONSIVE"), _trig("AV04", a_ev, 6)))
-    p_ev = F.concat(F.lit("Pain = "), pain.cast("string"), F.lit("/10"))
-    pn = F.when(pain >= 7, _trig("PAIN02", p_ev, 7)).when(pain >= 4, _trig("PAIN01", p_ev, 7))
-    return [temp, sp, h, b, r, a, pn]
+    a = (F.when(av.isin("V", "VOICE"), "AV02").when(av.isin("P", "PAIN"), "AV03")
+         .when(av.isin("U", "UNRESPONSIVE"), "AV04"))
+    pn = F.when(pain >= 7, "PAIN02").when(pain >= 4, "PAIN01")
+    return [
+        (temp, _fmt(temp_c, "Temp = %.2f°C")),
+        (sp, F.concat(F.lit("SpO2 = "), spo2.cast("string"), F.lit("%"))),
+        (h, F.concat(F.lit("HR = "), hr.cast("string"), F.lit(" bpm"))),
+        (b, F.concat(F.lit("Systolic BP = "), sbp.cast("string"), F.lit(" mmHg"))),
+        (r, F.concat(F.lit("RR = "), rr.cast("string"), F.lit(" bpm"))),
+        (a, F.concat(F.lit("AVPU = "), av)),
+        (pn, F.concat(F.lit("Pain = "), pain.cast("string"), F.lit("/10"))),
+    ]
 
 
 def true_symptoms(flags: Column) -> Column:
-    """I4: keys whose value is boolean TRUE, trimmed and lower-cased."""
+    """I4: keys whose value is boolean TRUE, trimmed and lower-cased.  (A
+    higher-order function: call it once at ingestion, then pass the array.)"""
     kept = F.map_filter(flags, lambda k, v: v)
     return F.array_distinct(F.transform(F.map_keys(kept), lambda k: F.lower(F.trim(k))))
 
 
-def symptom_triggers(syms: Column) -> list[Column]:
-    return [F.when(F.array_contains(syms, key), _trig(rule, F.lit(ev), 8 + i))
-            for i, (key, rule, ev) in enumerate(SYMPTOM_RULES)]
+def symptom_triggers(syms: Column) -> list[tuple[Column, Column]]:
+    return [(F.when(F.array_contains(syms, key), F.lit(rule)), F.lit(ev)) for key, rule, ev in SYMPTOM_RULES]
+
+
+def resolve_first_max(rules: list[Column], red: Sequence[str]) -> Column:
+    """Highest severity wins, first trigger in evaluation order wins ties --
+    plain coalesce over the fixed trigger slots (stays in generated code)."""
+    reds = [F.when(r.isin(*red), r) for r in rules]
+    return F.coalesce(*reds, *rules)
 
 
 # ------------------------------------------------ I5 / I6 resolution ------
 
 def safety_assessment(df: DataFrame, temp: str = "temperature", spo2: str = "spo2", hr: str = "heart_rate",
                       sbp: str = "systolic_bp", rr: str = "respiratory_rate", avpu: str = "avpu", pain: str = "pain",
-                      flags: str = "flags", convert_fahrenheit: bool = True) -> DataFrame:
+                      flags: str = "flags", symptoms: str | None = None, convert_fahrenheit: bool = True) -> DataFrame:
     """Triggers, max severity (first trigger wins ties), reason /
     action from the rule table, completeness gate (PENDING when nothing
     fired and temperature or symptom information is missing; a trigger
-    outranks missing data)."""
+    outranks missing data).  ``symptoms``: a column with the normalised
+    TRUE symptom names (preferred); otherwise they are derived from the
+    ``flags`` map.  ``fired_rules`` is the comma-joined trigger list."""
     t = fahrenheit_to_celsius(F.col(temp)) if convert_fahrenheit else F.col(temp).cast("double")
-    syms = true_symptoms(F.coalesce(F.col(flags), F.create_map().cast("map<string,boolean>")))
-    trig = F.array_compact(F.array(*vital_triggers(t, F.col(spo2).cast("double"), F.col(hr).cast("double"),
-                                                   F.col(sbp).cast("double"), F.col(rr).cast("double"),
-                                                   F.col(avpu), F.col(pain).cast("double")),
-                                   *symptom_triggers(syms)))
-    sev_map = _lit_map({k: SEVERITY_RANK[v[0]] for k, v in SAFETY_RULES.items()})
-    ranked = F.transform(trig, lambda x: F.struct((-F.try_element_at(sev_map, x["rule_id"])).alias("neg_sev"),
-                                                  x["order"].alias("order"), x["rule_id"].alias("rule_id"),
-                                                  x["evidence"].alias("evidence")))
-    top = F.array_min(ranked)
-    has_info = F.size(syms) > 0
-    missing = F.array_compact(F.array(F.when(t.isNull(), F.lit("Temperature")),
-                                      F.when(~has_info, F.lit("Current Symptoms"))))
-    sev_name = _lit_map({k: v[0] for k, v in SAFETY_RULES.items()})
+    syms = (F.coalesce(F.col(symptoms), F.array().cast("array<string>")) if symptoms
+            else true_symptoms(F.coalesce(F.col(flags), F.create_map().cast("map<string,boolean>"))))
+    slots = vital_triggers(t, F.col(spo2).cast("double"), F.col(hr).cast("double"), F.col(sbp).cast("double"),
+                           F.col(rr).cast("double"), F.col(avpu), F.col(pain).cast("double")) + symptom_triggers(syms)
+    d = df.withColumns({"_t": t, "_syms": syms})
+    d = d.withColumns({f"_r{i}": r for i, (r, _) in enumerate(slots)} | {f"_e{i}": e for i, (_, e) in enumerate(slots)})
+    rules = [F.col(f"_r{i}") for i in range(len(slots))]
+    red = [k for k, v in SAFETY_RULES.items() if v[0] == "RED"]
+    d = d.withColumns({"_top": resolve_first_max(rules, red), "_fired": F.concat_ws(",", *rules)})
+    # rule ids are unique across slots, so the top rule identifies its evidence
+    d = d.withColumn("_ev", F.coalesce(*[F.when(F.col(f"_r{i}") == F.col("_top"), F.col(f"_e{i}"))
+                                         for i in range(len(slots))]))
+    missing = F.concat_ws(", ", F.when(F.col("_t").isNull(), F.lit("Temperature")),
+                          F.when(F.size("_syms") == 0, F.lit("Current Symptoms")))
     reason_map = _lit_map({k: v[2] for k, v in SAFETY_RULES.items()})
     action_map = _lit_map({k: v[1] for k, v in SAFETY_RULES.items()})
-    none = F.size(trig) == 0
-    pending = none & (F.size(missing) > 0)
-    status = F.when(pending, "PENDING").when(none, "GREEN").otherwise(F.try_element_at(sev_name, top["rule_id"]))
-    out = df.withColumns({"_trig": trig, "_top": top, "_missing": missing})
-    return out.select(
+    none = F.col("_top").isNull()
+    pending = none & (missing != "")
+    status = (F.when(pending, "PENDING").when(none, "GREEN")
+              .when(F.col("_top").isin(*red), "RED").otherwise("YELLOW"))
+    return d.select(
         *[c for c in df.columns],
-        F.col("_trig.rule_id").alias("fired_rules"),
+        F.col("_fired").alias("fired_rules"),
         status.alias("status"),
-        F.when(none, F.lit("None")).otherwise(F.col("_top.rule_id")).alias("triggered_rule"),
+        F.coalesce(F.col("_top"), F.lit("None")).alias("triggered_rule"),
         F.when(pending, "Current clinical assessment incomplete").when(none, "No detected safety red flag")
-        .otherwise(F.try_element_at(reason_map, F.col("_top.rule_id"))).alias("reason"),
-        F.when(pending, F.concat(F.lit("Missing required fields: "), F.array_join("_missing", ", ")))
-        .when(none, "Required parameters within normal limits").otherwise(F.col("_top.evidence"))
-        .alias("supporting_data"),
+        .otherwise(F.try_element_at(reason_map, F.col("_top"))).alias("reason"),
+        F.when(pending, F.concat(F.lit("Missing required fields: "), missing))
+        .when(none, "Required parameters within normal limits").otherwise(F.col("_ev")).alias("supporting_data"),
         F.when(pending, "Complete Care Assessment").when(none, "Proceed with automated care pathway")
-        .otherwise(F.try_element_at(action_map, F.col("_top.rule_id"))).alias("recommended_action"),
+        .otherwise(F.try_element_at(action_map, F.col("_top"))).alias("recommended_action"),
         F.when(pending, "System requires clinical data")
         .when(none, "System proceeds autonomously")
         .otherwise("Human clinician/care manager now proceed").alias("final_decision"))
@@ -194,9 +195,10 @@ def safety_assessment(df: DataFrame, temp: str = "temperature", spo2: str = "spo
 def status_distribution(assessed: DataFrame) -> DataFrame:
     """Status counts (PENDING included) and the set of fired rules
     (bounded by the 33-rule table)."""
+    rules = F.array_remove(F.split("fired_rules", ","), "")
     return assessed.groupBy("status").agg(
         F.count(F.lit(1)).alias("n"),
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("fired_rules")))), ",").alias("rules"))
+        F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_set(rules)))), ",").alias("rules"))
 
 
 # ---------------------------------------------------------- I9 compound ----
@@ -343,17 +345,17 @@ def lineage_gate(provider: DataFrame, pathway: DataFrame, driver: DataFrame, opp
 # ----------------------------------------------------------- I16 -----------
 
 def reassessment(context_events: DataFrame, session: str, ts: str, fields: Sequence[str], attempt_limit: int = 2,
-                 assess=None) -> DataFrame:
+                 carry: Sequence[str] = (), assess=None) -> DataFrame:
     """I16: per session, merge context fields over time (last non-null
-    wins), count attempts, re-assess; still PENDING after ``attempt_limit``
-    attempts -> HUMAN_CLINICAL_REVIEW.  One window per session (sessions are
-    short-lived; bounded by attempts)."""
+    wins; ``carry`` columns are already cumulative), count attempts,
+    re-assess; still PENDING after ``attempt_limit`` attempts ->
+    HUMAN_CLINICAL_REVIEW.  One window per session (a session is short)."""
     w = Window.partitionBy(session).orderBy(ts).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     merged = context_events.select(
-        session, ts, *[F.last(F.col(f), ignorenulls=True).over(w).alias(f) for f in fields if f != "flags"],
-        *([F.col("flags")] if "flags" in fields else []),
+        session, ts, *[F.last(F.col(f), ignorenulls=True).over(w).alias(f) for f in fields],
+        *[F.col(c) for c in carry],
         F.row_number().over(Window.partitionBy(session).orderBy(ts)).alias("attempt"))
-    a = (assess or safety_assessment)(merged)
+    a = (assess or (lambda d: safety_assessment(d, symptoms="symptoms" if "symptoms" in carry else None)))(merged)
     return a.withColumn("outcome", F.when((F.col("status") == "PENDING") & (F.col("attempt") >= attempt_limit),
                                           "HUMAN_CLINICAL_REVIEW").otherwise(F.col("status")))
 
@@ -481,8 +483,8 @@ MATRIX_RULES = [
 
 
 def matrix_rule_hits(temp_c: Column, spo2: Column, hr: Column, sbp: Column, rr: Column, avpu: Column, pain: Column,
-                     syms: Column, r12: Column | None = None, r13: Column | None = None) -> Column:
-    """Array of fired matrix rule ids in table order."""
+                     syms: Column, r12: Column | None = None, r13: Column | None = None) -> list[Column]:
+    """Per matrix rule, in table order: the rule id when it fires, else null."""
     av = F.upper(F.trim(avpu.cast("string")))
     has = lambda s: F.array_contains(syms, s)
     conds = [spo2 < 92, (hr < 60) | (hr > 130), (rr < 10) | (rr > 30), sbp < 90, (temp_c < 36.0) | (temp_c > 39.0),
@@ -490,25 +492,23 @@ def matrix_rule_hits(temp_c: Column, spo2: Column, hr: Column, sbp: Column, rr:
              has("convulsions"), has("allergic reaction"),
              has("active high-risk condition") if r12 is None else (r12 == 1),
              has("safety conflict") if r13 is None else (r13 == 1)]
-    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(rid))
-                                     for c, (rid, _, _) in zip(conds, MATRIX_RULES)]))
+    return [F.when(F.coalesce(c, F.lit(False)), F.lit(rid)) for c, (rid, _, _) in zip(conds, MATRIX_RULES)]
 
 
-def matrix_assessment(df: DataFrame, temp: str = "temperature", convert_fahrenheit: bool = True) -> DataFrame:
+def matrix_assessment(df: DataFrame, temp: str = "temperature", convert_fahrenheit: bool = True,
+                      symptoms: str | None = None) -> DataFrame:
     """I5 (alternative): max severity over the matrix hits, first hit wins
     ties; GREEN when nothing fires.  Rule table is a literal map."""
     t = fahrenheit_to_celsius(F.col(temp)) if convert_fahrenheit else F.col(temp).cast("double")
-    syms = true_symptoms(F.coalesce(F.col("flags"), F.create_map().cast("map<string,boolean>")))
+    syms = (F.coalesce(F.col(symptoms), F.array().cast("array<string>")) if symptoms
+            else true_symptoms(F.coalesce(F.col("flags"), F.create_map().cast("map<string,boolean>"))))
     hits = matrix_rule_hits(t, F.col("spo2").cast("double"), F.col("heart_rate").cast("double"),
                             F.col("systolic_bp").cast("double"), F.col("respiratory_rate").cast("double"),
                             F.col("avpu"), F.col("pain").cast("double"), syms)
-    sev = _lit_map({r: SEVERITY_RANK[s] for r, s, _ in MATRIX_RULES})
+    red = [r for r, s_, _ in MATRIX_RULES if s_ == "RED"]
+    top = resolve_first_max(hits, red)
     act = _lit_map({r: a for r, _, a in MATRIX_RULES})
-    order = _lit_map({r: i for i, (r, _, _) in enumerate(MATRIX_RULES)})
-    top = F.array_min(F.transform(hits, lambda h: F.struct((-F.try_element_at(sev, h)).alias("s"),
-                                                           F.try_element_at(order, h).alias("o"), h.alias("r"))))
-    name = _lit_map({r: s for r, s, _ in MATRIX_RULES})
-    return df.select("*", F.array_join(hits, ",").alias("matrix_rules"),
-                     F.coalesce(F.try_element_at(name, top["r"]), F.lit("GREEN")).alias("matrix_status"),
-                     F.coalesce(top["r"], F.lit("None")).alias("matrix_rule"),
-                     F.try_element_at(act, top["r"]).alias("matrix_action"))
+    return df.select("*", F.concat_ws(",", *hits).alias("matrix_rules"),
+                     F.when(top.isNull(), "GREEN").when(top.isin(*red), "RED").otherwise("YELLOW").alias("matrix_status"),
+                     F.coalesce(top, F.lit("None")).alias("matrix_rule"),
+                     F.try_element_at(act, top).alias("matrix_action"))

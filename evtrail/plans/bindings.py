@@ -113,18 +113,19 @@ def context_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "ts", "event_id",
                     *[c.alias(n) for n, c in vit.items()], avpu.alias("avpu"),
                     F.when(F.col("event_type") == "error", (k % 11).cast("double")).alias("pain"),
-                    F.when(sym.isNotNull(), F.struct(sym.alias("k"), symv.alias("v"))).alias("symptom"))
+                    # normalised once here: the TRUE symptom name (lower/trim), else null
+                    F.when(sym.isNotNull() & symv, F.lower(F.trim(sym))).alias("symptom"))
 
 
 def clinical_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per (user, day) the latest value of each vital measured before
-    the decision time (18:00), AVPU, pain and a symptom flag map.  One
+    the decision time (18:00), AVPU, pain and the TRUE symptom names.  One
     ``groupBy`` (latest = max of struct(ts, id, value): a partial aggregate;
-    the flag set is bounded by the symptom vocabulary)."""
+    the symptom set is bounded by the symptom vocabulary)."""
     e = context_events(spark, sf_dir)
 
     def latest(c):
         return F.max(F.when(F.col(c).isNotNull(), F.struct("ts", "event_id", F.col(c).alias("v"))))["v"].alias(c)
     return e.groupBy("user_id", "day").agg(
         *[latest(c) for c in [*VITALS, "avpu", "pain"]],
-        F.map_from_entries(F.collect_set("symptom")).alias("flags"))
+        F.sort_array(F.collect_set("symptom")).alias("symptoms"))

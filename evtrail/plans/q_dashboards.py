@@ -210,7 +210,7 @@ SELECT user_id, day, CAST(CAST(ctx.temperature AS DECIMAL(5,2)) AS VARCHAR) AS t
 FROM sa JOIN ctx USING (user_id, day)""")
 def l15(spark, sf):
     from evtrail.operators.rules import safety_assessment
-    a = safety_assessment(B.clinical_context(spark, sf))
+    a = safety_assessment(B.clinical_context(spark, sf), symptoms="symptoms")
     # typed NUMERIC(5,2) as persisted; rendered as text so every result format agrees
     dec = {c: F.col(c).try_cast("decimal(5,2)").cast("string").alias(c) for c in ("temperature", "spo2", "heart_rate")}
     return a.select("user_id", "day", *dec.values(),

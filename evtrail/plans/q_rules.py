@@ -17,9 +17,7 @@ _SA_COLS = ["user_id", "day", "fired_rules", "status", "triggered_rule", "reason
 
 
 def assessed(spark, sf):
-    ctx = B.clinical_context(spark, sf)
-    a = R.safety_assessment(ctx)
-    return a.withColumn("fired_rules", F.array_join("fired_rules", ","))
+    return R.safety_assessment(B.clinical_context(spark, sf), symptoms="symptoms")
 
 
 # I1 --------------------------------------------------------------------------
@@ -73,8 +71,7 @@ SELECT status, count(*) AS n,
      WHERE fired_rules <> '')))), ','), '') AS rules
 FROM sa GROUP BY status""")
 def i07(spark, sf):
-    ctx = B.clinical_context(spark, sf)
-    return R.status_distribution(R.safety_assessment(ctx))
+    return R.status_distribution(assessed(spark, sf))
 
 
 # I9 ---------------------------------------------------------------------------
@@ -277,9 +274,9 @@ def i16(spark, sf):
     ev = B.context_events(spark, sf).withColumn("session", F.concat_ws(":", "user_id", "day"))
     from pyspark.sql import Window
     w = Window.partitionBy("session").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    ev = ev.withColumn("flags", F.map_from_entries(F.collect_set("symptom").over(w)))
-    r = R.reassessment(ev.select("session", "ts", *B.VITALS, "avpu", "pain", "flags"), "session", "ts",
-                       [*B.VITALS, "avpu", "pain", "flags"])
+    ev = ev.withColumn("symptoms", F.sort_array(F.collect_set("symptom").over(w)))
+    r = R.reassessment(ev.select("session", "ts", *B.VITALS, "avpu", "pain", "symptoms"), "session", "ts",
+                       [*B.VITALS, "avpu", "pain"], carry=["symptoms"])
     return r.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -452,5 +449,5 @@ SELECT user_id, day, matrix_rules,
 
 @query("i05b_rule_matrix", lambda: f"WITH {context_sql()},\n{_matrix_sql()}")
 def i05b(spark, sf):
-    m = R.matrix_assessment(B.clinical_context(spark, sf))
+    m = R.matrix_assessment(B.clinical_context(spark, sf), symptoms="symptoms")
     return m.select("user_id", "day", "matrix_rules", "matrix_status", "matrix_rule")

@@ -58,8 +58,8 @@ def run_available(df: DataFrame, name: str, mode: str = "append",
 
 def event_context(events: DataFrame) -> DataFrame:
     """Per measurement event (stateless): the vital it carries, AVPU, pain
-    and its symptom flag as a one-entry map -- same decoding as the batch
-    context binding."""
+    and its TRUE symptom (normalised) -- same decoding as the batch context
+    binding."""
     k = F.get_json_object("props", "$.k").cast("int")
     sym = F.lit(None).cast("string")
     symv = F.lit(None).cast("boolean")
@@ -71,15 +71,15 @@ def event_context(events: DataFrame) -> DataFrame:
         avpu = F.when(k % 25 == r, F.lit(t)).otherwise(avpu)
     vit = {vn: F.when(F.col("event_type") == et, F.round(F.col("value") * sc + off, 1))
            for et, (vn, sc, off) in B.VITAL_OF_EVENT.items()}
-    flags = F.when(sym.isNotNull(), F.create_map(sym, symv)).otherwise(F.create_map().cast("map<string,boolean>"))
+    syms = F.when(sym.isNotNull() & symv, F.array(F.lower(F.trim(sym)))).otherwise(F.array().cast("array<string>"))
     return events.select("event_id", "user_id", "ts", *[c.alias(n) for n, c in vit.items()], avpu.alias("avpu"),
                          F.when(F.col("event_type") == "error", (k % 11).cast("double")).alias("pain"),
-                         flags.alias("flags"))
+                         syms.alias("symptoms"))
 
 
 def s1_safety(events: DataFrame) -> DataFrame:
     """Stateless vitals -> safety status per event."""
-    a = R.safety_assessment(event_context(events))
+    a = R.safety_assessment(event_context(events), symptoms="symptoms")
     return a.select("event_id", "user_id", "ts", "status", "triggered_rule")
 
 
