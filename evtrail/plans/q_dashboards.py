@@ -196,7 +196,7 @@ def l13(spark, sf):
 
 @query("l14_cost_avoidance", """
 SELECT count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS flagged, count(*) AS total,
-  count(*) FILTER (WHERE o_orderpriority = '1-URGENT') * 1200.0 AS cost_avoidance,
+  CAST(count(*) FILTER (WHERE o_orderpriority = '1-URGENT') * 1200.0 AS DOUBLE) AS cost_avoidance,
   round(count(*) FILTER (WHERE o_orderpriority = '1-URGENT') / count(*), 6) AS flag_rate FROM orders""")
 def l14(spark, sf):
     c = L.cost_avoidance(B.table(spark, sf, "orders"), F.col("o_orderpriority") == "1-URGENT", 1200.0)
@@ -206,7 +206,7 @@ def l14(spark, sf):
 @query("l15_vitals_persist", lambda: f"""WITH {context_sql()},\n{assessment_sql()}
 SELECT user_id, day, CAST(CAST(ctx.temperature AS DECIMAL(5,2)) AS VARCHAR) AS temperature,
   CAST(CAST(ctx.spo2 AS DECIMAL(5,2)) AS VARCHAR) AS spo2, CAST(CAST(ctx.heart_rate AS DECIMAL(5,2)) AS VARCHAR) AS heart_rate,
-  json_object('status', status, 'triggered_rule', triggered_rule, 'reason', reason) AS payload
+  CAST(json_object('status', status, 'triggered_rule', triggered_rule, 'reason', reason) AS VARCHAR) AS payload
 FROM sa JOIN ctx USING (user_id, day)""")
 def l15(spark, sf):
     from evtrail.operators.rules import safety_assessment

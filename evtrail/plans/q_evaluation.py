@@ -118,7 +118,7 @@ SWEEP = H.threshold_grid(0.01, 0.405, 0.005)
 
 
 @query("h07_threshold_sweep", f"""WITH {SCORED_SQL},
-th AS (SELECT round(0.01 + i * 0.005, 6) AS threshold FROM range(0, {len(SWEEP)}) r(i)),
+th AS (SELECT CAST(round(0.01 + i * 0.005, 6) AS DOUBLE) AS threshold FROM range(0, {len(SWEEP)}) r(i)),
 cm AS (SELECT th.threshold, count(*) FILTER (WHERE p >= threshold AND y = 1) AS tp,
          count(*) FILTER (WHERE p >= threshold AND y <> 1) AS fp, count(*) FILTER (WHERE p < threshold AND y <> 1) AS tn,
          count(*) FILTER (WHERE p < threshold AND y = 1) AS fn FROM th, s GROUP BY th.threshold)
@@ -127,7 +127,7 @@ def h07(spark, sf):
     return _r(H.threshold_sweep(scored(spark, sf), "y", "p", SWEEP), RATE_COLS)
 
 
-_SWEEP_CTE = f"""th AS (SELECT round(0.01 + i * 0.005, 6) AS threshold FROM range(0, {len(SWEEP)}) r(i)),
+_SWEEP_CTE = f"""th AS (SELECT CAST(round(0.01 + i * 0.005, 6) AS DOUBLE) AS threshold FROM range(0, {len(SWEEP)}) r(i)),
 cm AS (SELECT th.threshold, count(*) FILTER (WHERE p >= threshold AND y = 1) AS tp,
          count(*) FILTER (WHERE p >= threshold AND y <> 1) AS fp, count(*) FILTER (WHERE p < threshold AND y <> 1) AS tn,
          count(*) FILTER (WHERE p < threshold AND y = 1) AS fn FROM th, s GROUP BY th.threshold),
@@ -152,7 +152,7 @@ def h08(spark, sf):
 a AS (SELECT threshold FROM sw WHERE accuracy >= 0.5 AND recall >= 0.4 AND precision >= 0.15 AND f1 >= 0.2
       ORDER BY f1 DESC, threshold LIMIT 1),
 b AS (SELECT threshold FROM sw WHERE recall >= 0.4 ORDER BY accuracy DESC, threshold LIMIT 1)
-SELECT COALESCE((SELECT threshold FROM a), (SELECT threshold FROM b), 0.5) AS threshold,
+SELECT COALESCE((SELECT threshold FROM a), (SELECT threshold FROM b), CAST(0.5 AS DOUBLE)) AS threshold,
        CASE WHEN (SELECT count(*) FROM a) > 0 THEN 'constraints_met' WHEN (SELECT count(*) FROM b) > 0
             THEN 'max_accuracy_recall' ELSE 'fallback' END AS rule""")
 def h09(spark, sf):

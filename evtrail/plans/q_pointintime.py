@@ -327,7 +327,7 @@ def e16(spark, sf):
                          F.struct("thru_ts", "claim_id").alias("_ord"))
     out = pit.asof_last_before(idx, stays.withColumnRenamed("dday", "day"), "entity_id", "day", "los", "_ord",
                                "last_los", strict=True)
-    return out.select("entity_id", "index_id", F.coalesce("last_los", F.lit(0)).alias("last_los"))
+    return out.select("entity_id", "index_id", F.coalesce("last_los", F.lit(0)).cast("long").alias("last_los"))
 
 
 # ---------------------------------------------------------------- E17 -----

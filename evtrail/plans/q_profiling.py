@@ -298,7 +298,7 @@ def c24(spark, sf):
 
 
 @query("c26_scores_agree", """
-SELECT count(*) AS n, count(*) AS n_agree, 0 AS n_unaligned FROM labels""")
+SELECT count(*) AS n, count(*) AS n_agree, CAST(0 AS BIGINT) AS n_unaligned FROM labels""")
 def c26(spark, sf):
     from evtrail.plans.q_evaluation import scored
     s = scored(spark, sf)

@@ -94,7 +94,7 @@ cs AS (SELECT dp.entity_id, dp.safety_status, dp.pathway, lower(r.r_name) AS reg
   LEFT JOIN region r ON r.r_regionkey = n.n_regionkey),
 nd AS (SELECT DISTINCT need_key, need_specialty, need_text FROM cs),
 cand AS (SELECT * FROM (SELECT nd.need_key, prov.*, COALESCE(prov.quality, 50.0) AS norm_quality,
-   row_number() OVER (PARTITION BY nd.need_key ORDER BY prov.provider_id) AS fetch_rank
+   CAST(row_number() OVER (PARTITION BY nd.need_key ORDER BY prov.provider_id) AS INTEGER) AS fetch_rank
    FROM nd JOIN prov ON contains(lower(prov.specialty), lower(nd.need_specialty))) WHERE fetch_rank <= 500),
 docs AS (SELECT need_key, '__need__' AS d, need_text AS text FROM nd
          UNION ALL SELECT need_key, CAST(provider_id AS VARCHAR), specialty FROM cand),
@@ -207,8 +207,8 @@ def top5(spark, sf):
     return J.rank_topk(scored_candidates(spark, sf), "need_key", "topsis_score", "provider_id", 5)
 
 
-_TOP5_SQL = """top5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY need_key ORDER BY topsis_score DESC,
-   provider_id) AS rank FROM tp) WHERE rank <= 5)"""
+_TOP5_SQL = """top5 AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY need_key ORDER BY topsis_score DESC,
+   provider_id) AS INTEGER) AS rank FROM tp) WHERE rank <= 5)"""
 
 
 @query("j08_topk_per_case", lambda: _CASES_SQL() + f""", {_TOP5_SQL}
@@ -247,7 +247,8 @@ d AS (SELECT point_id, provider_id, utilization, 2 * 6371.0 * atan2(sqrt(a), sqr
             pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat))
                * pow(sin(radians(lon - plon) / 2), 2) AS a FROM pts, prov WHERE lat IS NOT NULL))
 SELECT point_id, provider_id, round(distance_km, 6) AS distance_km, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY distance_km, utilization DESC, provider_id) AS rank FROM d)
+  SELECT *, CAST(row_number() OVER (PARTITION BY point_id ORDER BY distance_km, utilization DESC, provider_id) AS INTEGER)
+    AS rank FROM d)
 WHERE rank <= 3""")
 def j10(spark, sf):
     n = B.table(spark, sf, "nation")

@@ -63,7 +63,7 @@ def f05(spark, sf):
 
 @query("f06_rolling_origin", lambda: f"""WITH {MT()},
 per AS (SELECT year(CAST(index_date AS DATE)) AS y, count(*) AS n, sum(label) AS pos FROM mt GROUP BY 1),
-t AS (SELECT e.y AS eval_year, CASE WHEN p.y < e.y - 1 THEN 'fit' WHEN p.y = e.y - 1 THEN 'tune' ELSE 'hold' END AS role,
+t AS (SELECT CAST(e.y AS INTEGER) AS eval_year, CASE WHEN p.y < e.y - 1 THEN 'fit' WHEN p.y = e.y - 1 THEN 'tune' ELSE 'hold' END AS role,
    CAST(sum(p.n) AS BIGINT) AS n, CAST(sum(p.pos) AS BIGINT) AS positives FROM per e, per p WHERE p.y <= e.y GROUP BY ALL)
 SELECT * FROM t WHERE eval_year IN (SELECT eval_year FROM t WHERE role = 'hold' AND positives > 0)
   AND eval_year IN (SELECT eval_year FROM t WHERE role = 'fit')""")
