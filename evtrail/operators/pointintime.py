@@ -168,17 +168,18 @@ def sweep_count(intervals: DataFrame, queries: DataFrame, entity: str, open_afte
     one row per bucket) plus a running sum inside the query's own bucket, so
     even a hot entity never puts all of its distinct keys in one window
     partition."""
-    plus = intervals.select(F.col(entity).alias("_e"), F.col(open_after).cast("long").alias("_k"),
-                            F.lit(1).alias("_d"))
+    # one pass over the intervals emits both deltas (+1 open, -1 close)
+    plus = F.struct(F.col(open_after).cast("long").alias("k"), F.lit(1).alias("d"))
     if close_after is None:
-        deltas = plus
+        ds = F.array(plus)
     else:
-        minus = (intervals.where(F.col(close_after).isNotNull())
-                 .select(F.col(entity).alias("_e"),
-                         F.greatest(F.col(open_after), F.col(close_after)).cast("long").alias("_k"),
-                         F.lit(-1).alias("_d")))
-        deltas = plus.unionByName(minus)
-    deltas = deltas.where(F.col("_k").isNotNull()).groupBy("_e", "_k").agg(F.sum("_d").alias("_d"))
+        minus = F.when(F.col(close_after).isNotNull(),
+                       F.struct(F.greatest(F.col(open_after), F.col(close_after)).cast("long").alias("k"),
+                                F.lit(-1).alias("d")))
+        ds = F.array(plus, minus)
+    deltas = (intervals.select(F.col(entity).alias("_e"), F.explode(ds).alias("_x"))
+              .where(F.col("_x").isNotNull() & F.col("_x.k").isNotNull())
+              .groupBy("_e", F.col("_x.k").alias("_k")).agg(F.sum("_x.d").alias("_d")))
     qk = queries.select(F.col(entity).alias("_e"), F.col(query_key).cast("long").alias("_k")).distinct()
     pts = qk.withColumn("_d", F.lit(0).cast("long")).unionByName(deltas)
     pts = pts.groupBy("_e", "_k").agg(F.sum("_d").alias("_d"))
@@ -301,3 +302,20 @@ def sum_in_day_window(queries: DataFrame, events: DataFrame, entity: str, q_day:
     vals = pts.select("_e", "_k", F.coalesce(F.sum("_v").over(frame), F.lit(0)).alias(name))
     return queries.join(vals, (queries[entity] == vals["_e"]) & (queries[q_day] == vals["_k"]), "left") \
         .drop("_e", "_k")
+
+
+def active_by_kind(intervals: DataFrame, queries: DataFrame, entity: str, start: str, stop: str, query_ts: str,
+                   kind_col: str, kinds: Sequence[str], prefix: str = "active_", mode: str = "v1",
+                   min_age_days: int = 0) -> DataFrame:
+    """Active-interval counts for several interval kinds in ONE sweep: the
+    kind joins the sweep key, the (bounded) kind list fans the queries out,
+    and a pivot folds the counts back to one column per kind."""
+    iv = intervals.where(F.col(kind_col).isin(*kinds)).withColumn(
+        "_ek", F.concat_ws("\x1f", F.col(entity).cast("string"), F.col(kind_col)))
+    q = queries.select(entity, query_ts).distinct().withColumn("_kind", F.explode(F.array(*[F.lit(k) for k in kinds])))
+    q = q.withColumn("_ek", F.concat_ws("\x1f", F.col(entity).cast("string"), F.col("_kind")))
+    counted = active_at(iv, q, "_ek", start, stop, query_ts, "_n", mode=mode, min_age_days=min_age_days)
+    piv = (counted.groupBy(entity, query_ts).pivot("_kind", list(kinds))
+           .agg(F.first(F.coalesce("_n", F.lit(0)))))
+    piv = piv.select(entity, query_ts, *[F.coalesce(F.col(k), F.lit(0)).cast("long").alias(prefix + k) for k in kinds])
+    return queries.join(piv, [entity, query_ts], "left")

@@ -450,13 +450,10 @@ SELECT i.entity_id, i.index_id,
      AND (iv.stop_ts IS NULL OR iv.stop_ts > i.index_ts)) AS active_{k}""" for k in ("condition", "medication", "allergy"))
        + "\nFROM idx i")
 def e22(spark, sf):
-    out = _idx_with_ts(spark, sf)
-    iv = B.intervals(spark, sf)
-    for k in ("condition", "medication", "allergy"):
-        out = pit.active_at(iv.where(F.col("kind") == k), out, "entity_id", "start_ts", "stop_ts", "index_ts",
-                            f"active_{k}", mode="context")
-    return out.select("entity_id", "index_id", *[F.coalesce(f"active_{k}", F.lit(0)).alias(f"active_{k}")
-                                                 for k in ("condition", "medication", "allergy")])
+    kinds = ["condition", "medication", "allergy"]
+    out = pit.active_by_kind(B.intervals(spark, sf), _idx_with_ts(spark, sf), "entity_id", "start_ts", "stop_ts",
+                             "index_ts", "kind", kinds, mode="context")
+    return out.select("entity_id", "index_id", *[f"active_{k}" for k in kinds])
 
 
 # ---------------------------------------------------------------- E21 / E23
