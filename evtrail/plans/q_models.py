@@ -11,7 +11,7 @@ from evtrail.operators import splits as S
 from evtrail.plans.q_evaluation import SCORED_SQL, scored
 from evtrail.plans.q_pointintime import E24_SQL, model_table_out
 from evtrail.plans.registry import query
-from evtrail.session import cut_lineage
+from evtrail.session import cut_lineage, memo_checkpoint
 
 NUMERIC = ["n_emergency_30d", "n_emergency_90d", "n_emergency_365d", "n_inpatient_90d", "n_outpatient_90d",
            "cost_30d", "cost_90d", "hist_visits", "days_since_prev_visit", "days_since_prev_emergency",
@@ -19,11 +19,12 @@ NUMERIC = ["n_emergency_30d", "n_emergency_90d", "n_emergency_365d", "n_inpatien
 CATEGORICAL = ["segment", "nation"]
 
 
+@memo_checkpoint
 def modelling_table(spark, sf):
     """Model table with the temporal split and label; checkpointed because
     every model query reuses it several times."""
     mt = model_table_out(spark, sf).withColumn("index_ts", F.to_timestamp("index_date"))
-    return cut_lineage(S.temporal_split(mt, "index_ts"))
+    return S.temporal_split(mt, "index_ts")
 
 
 def _train_test(spark, sf):

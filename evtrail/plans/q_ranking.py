@@ -13,7 +13,7 @@ from evtrail.operators import ranking as J
 from evtrail.plans import bindings as B
 from evtrail.plans.q_rules import _DECISION_SQL, decision_table
 from evtrail.plans.registry import query
-from evtrail.session import cut_lineage
+from evtrail.session import memo_checkpoint
 
 # Fixed values (our binding): pathway -> required provider specialty word.
 PATHWAY_SPECIALTY = {"P1": "large", "P2": "promo", "P3": "standard", "P4": "standard", "P5": "economy",
@@ -33,6 +33,7 @@ def _spec(col):
     return e
 
 
+@memo_checkpoint
 def cases(spark, sf):
     d = decision_table(spark, sf)
     c = B.table(spark, sf, "customer").select("c_custkey", "c_nationkey")
@@ -42,16 +43,22 @@ def cases(spark, sf):
     d = d.join(geo.select(F.col("c_custkey").alias("entity_id"), F.lower("r_name").alias("region"),
                           F.col("n_name").alias("state")), "entity_id", "left")
     spec = _spec(F.col("pathway"))
-    return cut_lineage(d.select("entity_id", "safety_status", "pathway", "pathway_name", "region", "state",
+    return d.select("entity_id", "safety_status", "pathway", "pathway_name", "region", "state",
                     spec.alias("need_specialty"),
                     F.concat_ws("|", spec, F.col("region"), F.col("pathway")).alias("need_key"),
-                    F.concat_ws(" ", spec, F.col("region"), F.col("pathway_name")).alias("need_text")))
+                    F.concat_ws(" ", spec, F.col("region"), F.col("pathway_name")).alias("need_text"))
 
 
+@memo_checkpoint
+def provider_catalog_cp(spark, sf):
+    return J.provider_catalog(spark, sf)
+
+
+@memo_checkpoint
 def scored_candidates(spark, sf):
     """Per need key: eligible providers with semantic, quality, TOPSIS."""
     cs = cases(spark, sf)
-    prov = cut_lineage(J.provider_catalog(spark, sf))
+    prov = provider_catalog_cp(spark, sf)
     needs = cs.select("need_key", "need_specialty", "need_text").distinct()
     cand = J.candidate_fetch(needs, prov, "need_key", "need_specialty", limit=500)
     sem = J.tfidf_similarity(needs.select("need_key", F.col("need_text").alias("text")),
@@ -59,7 +66,7 @@ def scored_candidates(spark, sf):
                              "need_key", "provider_id", "text")
     sc = cand.select("need_key", "provider_id", "norm_quality").join(sem, ["need_key", "provider_id"])
     # bounded (#needs x eligible providers) and reused by several rankings
-    return cut_lineage(J.topsis(sc, "need_key", ["semantic_score", "norm_quality"], [0.5, 0.5]))
+    return J.topsis(sc, "need_key", ["semantic_score", "norm_quality"], [0.5, 0.5])
 
 
 _PSPEC = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PATHWAY_SPECIALTY.items())

@@ -10,7 +10,7 @@ from evtrail.plans import bindings as B
 from evtrail.plans.q_pointintime import E24_SQL, model_table_out
 from evtrail.plans.registry import query
 from evtrail.plans.sql_rules import assessment_sql, context_sql
-from evtrail.session import cut_lineage
+from evtrail.session import memo_checkpoint
 
 _SA_COLS = ["user_id", "day", "fired_rules", "status", "triggered_rule", "reason", "supporting_data",
             "recommended_action"]
@@ -107,6 +107,7 @@ def i09(spark, sf):
 
 
 # I10 / I23 --------------------------------------------------------------------
+@memo_checkpoint
 def decision_table(spark, sf):
     """Latest index row per customer (model table) -> risk band; latest
     clinical context of the same id (PENDING when none) -> safety; pathway."""
@@ -126,9 +127,9 @@ def decision_table(spark, sf):
     out = j.select("entity_id", "index_id", "risk", band.alias("band"),
                    status.alias("safety_status"), pid.alias("pathway"), R.pathway_name(pid).alias("pathway_name"),
                    "n_emergency_90d", "n_outpatient_90d", "n_inpatient_90d", "days_since_prev_emergency")
-    # one row per entity, reused by many downstream plans: cut the lineage
-    # with a reliable checkpoint in the shared checkpoint folder
-    return cut_lineage(out)
+    # one row per entity, reused by many downstream plans: materialised once
+    # as a reliable checkpoint in the shared checkpoint folder
+    return out
 
 
 _DECISION_SQL = lambda: f"""WITH {context_sql()},\n{assessment_sql()},

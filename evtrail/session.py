@@ -60,3 +60,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss); never ``localCheckpoint``."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_MEMO: dict = {}
+
+
+def memo_checkpoint(fn):
+    """Materialise ``fn(spark, sf_dir)`` once per (application, data folder)
+    as a reliable checkpoint and reuse it: intermediate tables that many
+    queries build on (decision table, cases, scored candidates, modelling
+    table) are computed once per run."""
+    def wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (fn.__module__, fn.__qualname__, spark.sparkContext.applicationId, sf_dir)
+        if key not in _MEMO:
+            _MEMO[key] = cut_lineage(fn(spark, sf_dir))
+        return _MEMO[key]
+    wrap.__wrapped__ = fn
+    wrap.__doc__ = fn.__doc__
+    wrap.__name__ = fn.__name__
+    return wrap

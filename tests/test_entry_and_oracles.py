@@ -14,7 +14,8 @@ from tests.oracle_harness import compare, duck
 SF = "/root/testdata/sf0.001"
 FAST = ["e01_index_cohort", "e24_model_table", "e11_active_intervals", "b11_keep_first", "c03_column_profile",
         "d03_collapse_claims", "h03_roc_auc", "h07_threshold_sweep", "i05_safety_status", "k02_lexical_retrieval",
-        "l07_status_lifecycle", "f03_grouped_holdout", "a05_parquet_roundtrip"]
+        "l07_status_lifecycle", "f03_grouped_holdout", "a05_parquet_roundtrip", "s01_stream_safety", "s05_stream_dedup",
+        "j07_topsis", "i23_decision_table"]
 
 
 def test_contract_keys():
