@@ -484,3 +484,18 @@ def e23(spark, sf):
     return long.select("field", "available",
                        F.round((F.col("_n") - F.col("available")) * 100.0 / F.col("_n"), 4).alias("pct_missing"),
                        F.try_element_at(units, F.col("field")).alias("units"))
+
+
+# ---------------------------------------------------------------- E18 -----
+@query("e18_demographic_attach", with_(ENC, IDX) + """
+SELECT i.entity_id, i.index_id, c.c_mktsegment AS segment, n.n_name AS nation
+FROM idx i LEFT JOIN customer c ON c.c_custkey = i.entity_id LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey""")
+def e18(spark, sf):
+    """Left joins validated many-to-one (each right key unique, else the job fails)."""
+    from evtrail.operators.joins import join_many_to_one
+    idx = _idx_with_ts(spark, sf)
+    cust = B.table(spark, sf, "customer").select(F.col("c_custkey").alias("entity_id"), "c_mktsegment", "c_nationkey")
+    nat = B.table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    j = join_many_to_one(idx, cust, ["entity_id"], name="customer")
+    j = join_many_to_one(j, nat, ["c_nationkey"], name="nation")
+    return j.select("entity_id", "index_id", F.col("c_mktsegment").alias("segment"), F.col("n_name").alias("nation"))

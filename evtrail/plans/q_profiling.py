@@ -32,6 +32,19 @@ _C03_SQL = " UNION ALL ".join(
                  ("c_acctbal", "double"), ("c_mktsegment", "string")])
 
 
+def _roles_sql():
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+    vals = ", ".join(f"('{c}', '{r}')" for c, r in P.column_roles(cols))
+    return f"SELECT column_name, role FROM (VALUES {vals}) t(column_name, role)"
+
+
+@query("c01b_column_roles", _roles_sql())
+def c01b(spark, sf):
+    """Column roles by name keyword, for the columns of the given table."""
+    o = _t(spark, sf, "orders")
+    return spark.createDataFrame(P.column_roles(o.columns), "column_name string, role string")
+
+
 @query("c03_column_profile", _C03_SQL)
 def c03(spark, sf):
     return P.column_profile(_t(spark, sf, "customer"))
