@@ -53,7 +53,23 @@ def k04(spark, sf):
     return K.audit_rows(search(spark, sf), "item_id", "doc_id")
 
 
-@query("k03_case_graph_nodes", None)
+def _graph_sql():
+    from evtrail.plans.q_ranking import _CASES_SQL, _TOP5_SQL
+    from evtrail.plans.q_rules import _DECISION_SQL, _NAV_SQL
+    # the navigation CTEs reuse the name "nd"; rename it inside this chain
+    nav_part = _NAV_SQL()[len(_DECISION_SQL()):].replace("\nnd AS (", "\nnvd AS (").replace(
+        "AS cands FROM nd)", "AS cands FROM nvd)")
+    return _CASES_SQL() + ", " + _TOP5_SQL + nav_part + """,
+drv_n AS (SELECT CAST(sum(least(greatest(len(drv), 1), 3)) AS BIGINT) AS n FROM nc),
+prov_n AS (SELECT count(*) AS n FROM cs JOIN top5 USING (need_key) WHERE rank <= 3),
+base_n AS (SELECT count(*) AS n FROM dp)
+"""
+
+
+@query("k03_case_graph_nodes", lambda: _graph_sql() + """
+SELECT t.type, base_n.n AS n FROM base_n, (VALUES ('Patient'), ('Encounter'), ('RiskAssessment'), ('SafetyAssessment'),
+  ('CarePathway')) t(type)
+UNION ALL SELECT 'RiskDriver', n FROM drv_n UNION ALL SELECT 'Provider', n FROM prov_n""")
 def k03(spark, sf):
     from evtrail.plans.q_ranking import cases, top5
     from evtrail.plans.q_rules import decision_table, navigation
@@ -65,7 +81,10 @@ def k03(spark, sf):
     return nodes.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("k03b_case_graph_edges", None)
+@query("k03b_case_graph_edges", lambda: _graph_sql() + """
+SELECT t.type, base_n.n AS n FROM base_n, (VALUES ('HAS_ENCOUNTER'), ('HAS_RISK_ASSESSMENT'), ('HAS_SAFETY_ASSESSMENT'),
+  ('INFORMS'), ('GOVERNS')) t(type)
+UNION ALL SELECT 'SUPPORTED_BY', n FROM drv_n UNION ALL SELECT 'MATCHED_TO', n FROM prov_n""")
 def k03b(spark, sf):
     from evtrail.plans.q_ranking import cases, top5
     from evtrail.plans.q_rules import decision_table, navigation
