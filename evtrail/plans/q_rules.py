@@ -267,7 +267,23 @@ def i15(spark, sf):
 
 
 # I16 ---------------------------------------------------------------------------
-@query("i16_reassessment", None)
+def _i16_sql():
+    ctx_ce = context_sql().split(",\nctx AS (")[0]          # the per-event CTE "ce"
+    lv = ",\n".join(f"  last_value(CASE WHEN vn = '{v}' THEN v END IGNORE NULLS) OVER w AS {v}" for v in B.VITALS)
+    return f"""WITH {ctx_ce},
+m AS (SELECT user_id, day, ts, event_id,
+{lv},
+  last_value(avpu IGNORE NULLS) OVER w AS avpu, last_value(pain IGNORE NULLS) OVER w AS pain,
+  list(CASE WHEN sym IS NOT NULL AND symv THEN lower(trim(sym)) END) OVER w AS symlist,
+  row_number() OVER (PARTITION BY user_id, day ORDER BY ts) AS attempt
+  FROM ce WINDOW w AS (PARTITION BY user_id, day ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ctx2 AS (SELECT *, list_distinct(list_filter(symlist, lambda x: x IS NOT NULL)) AS syms FROM m),
+{assessment_sql('ctx2', 'user_id, day, ts, attempt')}
+SELECT CASE WHEN status = 'PENDING' AND attempt >= 2 THEN 'HUMAN_CLINICAL_REVIEW' ELSE status END AS outcome,
+  count(*) AS n FROM sa GROUP BY 1"""
+
+
+@query("i16_reassessment", lambda: _i16_sql())
 def i16(spark, sf):
     """Each measurement event of a user-day is one assessment attempt of the
     session (user, day): fields merge over the attempts (last non-null
