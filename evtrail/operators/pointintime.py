@@ -180,20 +180,24 @@ def sweep_count(intervals: DataFrame, queries: DataFrame, entity: str, open_afte
     deltas = (intervals.select(F.col(entity).alias("_e"), F.explode(ds).alias("_x"))
               .where(F.col("_x").isNotNull() & F.col("_x.k").isNotNull())
               .groupBy("_e", F.col("_x.k").alias("_k")).agg(F.sum("_x.d").alias("_d")))
+    # query points join the delta rows as flagged zero-deltas (no re-aggregation);
+    # the RANGE frame ends before the current key, so a delta at the same key
+    # never counts, and values are read at the flagged rows only
     qk = queries.select(F.col(entity).alias("_e"), F.col(query_key).cast("long").alias("_k")).distinct()
-    pts = qk.withColumn("_d", F.lit(0).cast("long")).unionByName(deltas)
-    pts = pts.groupBy("_e", "_k").agg(F.sum("_d").alias("_d"))
+    pts = (qk.withColumn("_d", F.lit(0).cast("long")).withColumn("_q", F.lit(True))
+           .unionByName(deltas.withColumn("_q", F.lit(False))))
     if bucket_width is None:
         frame = Window.partitionBy("_e").orderBy("_k").rangeBetween(Window.unboundedPreceding, -1)
-        vals = pts.select("_e", "_k", F.coalesce(F.sum("_d").over(frame), F.lit(0)).cast("long").alias(name))
+        vals = (pts.select("_e", "_k", "_q", F.coalesce(F.sum("_d").over(frame), F.lit(0)).cast("long").alias(name))
+                .where("_q").drop("_q"))
     else:
         pts = pts.withColumn("_b", F.floor(F.col("_k") / F.lit(bucket_width)).cast("long"))
         tot = pts.groupBy("_e", "_b").agg(F.sum("_d").alias("_t"))
         before = Window.partitionBy("_e").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
         off = tot.select("_e", "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
         inside = Window.partitionBy("_e", "_b").orderBy("_k").rangeBetween(Window.unboundedPreceding, -1)
-        vals = (pts.select("_e", "_b", "_k", F.coalesce(F.sum("_d").over(inside), F.lit(0)).alias("_in"))
-                .join(off, ["_e", "_b"])
+        vals = (pts.select("_e", "_b", "_k", "_q", F.coalesce(F.sum("_d").over(inside), F.lit(0)).alias("_in"))
+                .where("_q").join(off, ["_e", "_b"])
                 .select("_e", "_k", (F.col("_off") + F.col("_in")).cast("long").alias(name)))
     return (queries.join(vals, (queries[entity] == vals["_e"]) & (queries[query_key].cast("long") == vals["_k"]),
                          "left").drop("_e", "_k"))
