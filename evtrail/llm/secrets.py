@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evtrail.llm.common import read_table, text_or_empty
+from evtrail.llm.common import materialize, read_table, text_or_empty
 from evtrail.llm.registry import query
 
 # Kinds in report order, their pattern, part class
@@ -115,7 +115,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     own = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
     own = own.withColumn("h", F.xxhash64("t", F.char_length("t")))
-    found = _link(_parts(own, KINDS), KINDS, scope)
+    found = _link(materialize(_parts(own, KINDS), "secret-parts"), KINDS, scope)
     rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k[0], i)])
     spans = (found.groupBy("id", "h").agg(F.array_sort(F.collect_list(F.struct(
         "start", rank[F.col("kind")].alias("rank"), "kind", "end"))).alias("spans")))
