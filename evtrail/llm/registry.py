@@ -22,6 +22,6 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> tuple[dict[str, Callable], dict[str, str]]:
     from evtrail.llm import (  # noqa: F401
-        exact_dedup, secrets, simhash,
+        bpe, exact_dedup, packing, quality_rules, secrets, simhash, url_reputation,
     )
     return QUERIES, ORACLES
