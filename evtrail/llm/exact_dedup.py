@@ -86,6 +86,16 @@ def progressive_exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: s
                       F.col("sha").alias("text_sha256"))
 
 
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose id stands for no kept row.  Rows
+    without an id stay, and so do rows that repeat the id of a kept one."""
+    verdict = progressive_exact_dedup(docs, id_col, text_col).select(F.col(id_col).alias("gone"), "kept")
+    gone = (verdict.where("gone is not null").groupBy("gone").agg(F.max("kept").alias("kept"))
+            .where("not kept").select("gone"))
+    gone = materialize(gone, "exact-gone")
+    return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
+
+
 _SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(length(text), 0) AS code,
                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256

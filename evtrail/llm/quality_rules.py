@@ -19,11 +19,10 @@ two numbers, so very long documents need no more than their lines.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evtrail.llm.common import read_table, text_bytes
@@ -296,6 +295,25 @@ def judge_quality(docs: DataFrame, model: LineField, id_col: str = "doc_id", tex
     return out.withColumnRenamed("id", id_col)
 
 
+def _filter_batches(model: LineField, text_at: int, min_words: int, max_repeat: int, min_share: float):
+    def run(batches):
+        import pyarrow as pa
+        judge = _judge_batches(model, min_words, max_repeat, min_share)
+        for b in batches:
+            texts = pa.array([(t.as_py() or "").encode() for t in b.column(text_at)], pa.binary())
+            for verdict in judge([pa.RecordBatch.from_arrays([pa.nulls(len(texts)), texts], ["id", "t"])]):
+                yield b.filter(verdict.column(7))
+    return run
+
+
+def keep_good(docs: DataFrame, model: LineField, text_col: str = "text", min_words: int = MIN_WORDS,
+              max_repeat_percent: int = MAX_REPEAT_PERCENT, min_share: float = MIN_SHARE) -> DataFrame:
+    """The rows of ``docs`` that :func:`judge_quality` keeps, all columns as
+    they are, in one scan without a join."""
+    at = docs.columns.index(text_col)
+    return docs.mapInArrow(_filter_batches(model, at, min_words, max_repeat_percent, min_share), docs.schema)
+
+
 @query("op1_line_crf")
 def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")

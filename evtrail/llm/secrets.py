@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evtrail.llm.common import materialize, read_table, text_or_empty
+from evtrail.llm.common import materialize, read_table
 from evtrail.llm.registry import query
 
 # Kinds in report order, their pattern, part class
@@ -104,6 +104,22 @@ def _link(parts: DataFrame, kinds, scope: int) -> DataFrame:
     return parts.where("not weak").select("id", "h", "kind", "start", "end").unionByName(linked)
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row (all columns), id, t, h: whatever the columns of ``docs`` are called."""
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    own = own.select("row", F.col("row")[id_col].alias("id"),
+                     F.coalesce(F.col("row")[text_col].cast("string"), F.lit("")).alias("t"))
+    return own.withColumn("h", F.xxhash64("t", F.char_length("t")))
+
+
+def _found(own: DataFrame, scope: int) -> DataFrame:
+    """(id, h, spans) of the texts that have any."""
+    found = _link(materialize(_parts(own.select("id", "h", "t"), KINDS), "secret-parts"), KINDS, scope)
+    rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k[0], i)])
+    return found.groupBy("id", "h").agg(F.array_sort(F.collect_list(F.struct(
+        "start", rank[F.col("kind")].alias("rank"), "kind", "end"))).alias("spans"))
+
+
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """One row per input row: ``<id>`` and ``spans``, an array of
     (start, rank, kind, end) in report order, code points, end exclusive.
@@ -113,29 +129,26 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the same spans; a null id is a value like any other; an empty table
     gives an empty result; other columns are not read.
     """
-    own = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
-    own = own.withColumn("h", F.xxhash64("t", F.char_length("t")))
-    found = _link(materialize(_parts(own, KINDS), "secret-parts"), KINDS, scope)
-    rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k[0], i)])
-    spans = (found.groupBy("id", "h").agg(F.array_sort(F.collect_list(F.struct(
-        "start", rank[F.col("kind")].alias("rank"), "kind", "end"))).alias("spans")))
-    o, s = own.select("id", "h").alias("o"), spans.alias("s")
+    own = _keyed(docs, id_col, text_col)
+    o, s = own.select("id", "h").alias("o"), _found(own, scope).alias("s")
     out = o.join(s, F.col("o.id").eqNullSafe(F.col("s.id")) & (F.col("o.h") == F.col("s.h")), "left")
     none = F.expr("array()").cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
-    return out.select(F.col("o.id").alias(id_col), F.col("o.h").alias("text_hash"),
-                      F.coalesce("s.spans", none).alias("spans"))
+    return out.select(F.col("o.id").alias(id_col), F.coalesce("s.spans", none).alias("spans"))
 
 
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE,
-                   mask: str = "[SECRET]") -> DataFrame:
+                   mask: str = "[SECRET]", length_col: str | None = None) -> DataFrame:
     """``docs`` with every reported span replaced by ``mask`` (overlapping
-    spans by one mask); documents without a span are left as they are.
-    Columns, their order and the number of rows stay as in ``docs``."""
-    hits = scan_secrets(docs, id_col, text_col, scope).where(F.size("spans") > 0).distinct()
-    hits = hits.select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__h"), F.col("spans").alias("__spans"))
-    t = text_or_empty(text_col)
-    d = docs.withColumn("__th", F.xxhash64(t, F.char_length(t)))
-    j = d.join(hits, d[id_col].eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")), "left")
+    spans by one mask) and, where a text changed, its code points in
+    ``length_col``.  Rows, columns and their order stay as in ``docs``;
+    a text without a span is left as it is, null included.  Texts are only
+    shuffled if the spans of the texts that have any are too large to
+    broadcast."""
+    own = _keyed(docs, id_col, text_col)
+    hits = materialize(_found(own, scope), "secret-spans").alias("s")
+    o = own.alias("o")
+    j = o.join(hits, F.col("o.id").eqNullSafe(F.col("s.id")) & (F.col("o.h") == F.col("s.h")), "left")
+    t = F.col("o.t")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     step = lambda a, s: F.when(s["start"] >= a["at"], F.struct(
         s["end"].alias("at"),
@@ -143,9 +156,12 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                  F.lit(mask)).alias("out"))).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"),
                                                                 a["out"].alias("out")))
     done = lambda a: F.concat(a["out"], t.substr((a["at"] + 1).cast("int"), F.char_length(t)))
-    new = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(
-        F.aggregate("__spans", start, step, done))
-    return j.withColumn(text_col, new).select(*docs.columns)
+    j = j.select("o.row", F.when(F.col("s.spans").isNotNull(), F.aggregate("s.spans", start, step, done)).alias("new"))
+    kinds = dict(docs.dtypes)
+    return j.select(*[
+        F.coalesce("new", F.col("row")[c]).alias(c) if c == text_col
+        else F.coalesce(F.char_length("new").cast(kinds[c]), F.col("row")[c]).alias(c) if c == length_col
+        else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def _joined(spans: Column) -> Column:

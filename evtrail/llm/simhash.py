@@ -277,6 +277,18 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                       "component_id")
 
 
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                     max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one document of each component: the one of the smallest
+    id.  Rows without an id stay."""
+    comp = simhash_components(docs, id_col, text_col, shingle, max_bits).select(
+        F.col(id_col).alias("gone"), (F.col(id_col) == F.col("component_id")).alias("kept"))
+    gone = (comp.where("gone is not null").groupBy("gone").agg(F.max("kept").alias("kept"))
+            .where("not kept").select("gone"))
+    gone = materialize(gone, "simhash-gone")
+    return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
+
+
 @query("op8_simhash_golay")
 def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
