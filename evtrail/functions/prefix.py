@@ -1,11 +1,13 @@
 """Two-level (bucketed) cumulative sums over an ordered key.
 
 A window with ``orderBy`` but no ``partitionBy`` moves every row into one
-task.  Ordered metrics (ROC/PR curves, threshold sweeps) need running sums
-over the whole score axis, so we split the axis into ``n_buckets`` ranges
-from approximate quantiles, run the running sum inside each bucket in
-parallel, and add the (tiny) running total of the preceding buckets.
-The result is exact: quantiles only decide where buckets split.
+task.  Ordered metrics (ROC/PR curves, threshold sweeps) and ranks need
+running sums over a whole axis, so the rows are dealt into ranges of (group,
+order key, tie-break), the running sum runs inside each range in parallel,
+and the running total of the preceding ranges of the group is added.  The
+number of ranges follows the row count, and since the tie-break takes part in
+the cut, rows that share one order key (a day, a score) are split as well.
+The result is exact: ranges only decide where the work is cut.
 """
 
 from __future__ import annotations
@@ -13,45 +15,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evtrail.session import cut_lineage
+
+ROWS_PER_RANGE = 1_000_000
+
+
+def _ranges(df: DataFrame, rows: int) -> int:
+    """Enough ranges that none holds more than about ROWS_PER_RANGE rows, and
+    for smaller tables as many as the session has shuffle partitions."""
+    session = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(session, -(-rows // 1000)), -(-rows // ROWS_PER_RANGE))
+
 
 def grouped_prefix_sums(df: DataFrame, order_col: str, value_cols: list[str],
                         group_cols: list[str] | None = None, descending: bool = False,
-                        n_buckets: int = 64, suffix: str = "_cum", tiebreak: list[str] | None = None) -> DataFrame:
+                        suffix: str = "_cum", tiebreak: list[str] | None = None) -> DataFrame:
     """Add ``<v><suffix>`` = sum of ``v`` over rows with order key <= current
     (>= when ``descending``), per group.  ``df`` must have one row per
     (group, order key) -- aggregate first -- or pass ``tiebreak`` columns
-    that make (order key, tiebreak) unique (ascending tie-break)."""
-    group_cols = list(group_cols or [])
-    gkeys = group_cols or ["__g"]
-    base = df if group_cols else df.withColumn("__g", F.lit(0))
-    key = F.col(order_col).cast("double")
-    base = base.withColumn("__k", -key if descending else key)
-
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    splits = base.groupBy(*gkeys).agg(
-        F.array_distinct(F.percentile_approx("__k", probs, 10_000)).alias("__splits"))
-    # one row per group with <= n_buckets splits.  Group columns must have a
-    # bounded number of values (classes, splits, replicates, need keys), so
-    # this side is bounded and broadcast: the big side is never shuffled by
-    # a (possibly hot) group key.
-    b = base.join(F.broadcast(splits), gkeys)
-    b = b.withColumn("__b", F.size(F.filter("__splits", lambda s: s < F.col("__k")))).drop("__splits")
-
-    # rows equal on the order key share a bucket, so a tie-break column only
-    # orders rows inside one bucket
-    w_in = (Window.partitionBy(*gkeys, "__b").orderBy("__k", *(tiebreak or []))
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inner = b.select("*", *[F.sum(v).over(w_in).alias(f"__in_{v}") for v in value_cols])
+    that make (order key, tiebreak) unique (ascending tie-break).  The order
+    key is of any type that has an order; nulls come first.
+
+    ``df`` is written once, so that its source is planned once; the second
+    copy fixes which range each row is in."""
+    gkeys = list(group_cols or [])
+    order = [F.col(order_col).desc_nulls_first() if descending else F.col(order_col).asc_nulls_first(),
+             *(F.col(t).asc_nulls_first() for t in tiebreak or [])]
+    base = cut_lineage(df)
+    n = _ranges(df, base.count())
+    cut = cut_lineage(base.repartitionByRange(n, *[F.col(g) for g in gkeys], *order)
+                      .withColumn("__b", F.spark_partition_id()))
 
-    tot = b.groupBy(*gkeys, "__b").agg(*[F.sum(v).alias(f"__t_{v}") for v in value_cols])
+    w_in = (Window.partitionBy(*gkeys, "__b").orderBy(*order)
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    inner = cut.select("*", *[F.sum(v).over(w_in).alias(f"__in_{v}") for v in value_cols])
+    # one row per (group, range that holds some of it)
+    tot = cut.groupBy(*gkeys, "__b").agg(*[F.sum(v).alias(f"__t_{v}") for v in value_cols])
     w_off = Window.partitionBy(*gkeys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*gkeys, "__b",
-                     *[F.coalesce(F.sum(f"__t_{v}").over(w_off), F.lit(0)).alias(f"__o_{v}")
-                       for v in value_cols])
-    out = inner.join(F.broadcast(off), [*gkeys, "__b"])   # <= groups x n_buckets rows
-    out = out.select(*[c for c in df.columns],
-                     *[(F.col(f"__o_{v}") + F.col(f"__in_{v}")).alias(f"{v}{suffix}") for v in value_cols])
-    return out
+    off = tot.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(gkeys)], F.col("__b").alias("__ob"),
+                     *[F.coalesce(F.sum(f"__t_{v}").over(w_off), F.lit(0)).alias(f"__o_{v}") for v in value_cols])
+    same = F.col("__b") == F.col("__ob")
+    for i, g in enumerate(gkeys):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    out = inner.join(off, same)
+    return out.select(*[c for c in df.columns],
+                      *[(F.col(f"__o_{v}") + F.col(f"__in_{v}")).alias(f"{v}{suffix}") for v in value_cols])
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], group_cols: list[str] | None = None,
@@ -94,15 +102,3 @@ def global_rank(df: DataFrame, order_col: str, tiebreak: list[str], group_cols:
     d = df.withColumn("__one", F.lit(1))
     out = grouped_prefix_sums(d, order_col, ["__one"], group_cols, tiebreak=tiebreak)
     return out.withColumnRenamed("__one_cum", name).drop("__one")
-
-
-def string_order_key(c) -> "F.Column":
-    """Numeric key monotone in string order over the first 3 characters
-    (code points packed base 2**16 -- exact in a double); use the string
-    itself as the tie-break so buckets split a string domain evenly."""
-    col = F.col(c) if isinstance(c, str) else c
-    key = F.lit(0.0)
-    for i in range(3):
-        ch = F.substring(col, i + 1, 1)
-        key = key * 65536.0 + F.when(ch == "", F.lit(0)).otherwise(F.ascii(ch)).cast("double")
-    return key

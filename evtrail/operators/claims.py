@@ -37,15 +37,14 @@ def collapse_claims(lines: DataFrame, claim: str, segment: str, code_prefix: str
     aggs += [F.min(F.struct(F.col(c).isNull().alias("n"), F.col(segment).alias("s"), F.col(c).alias("v")))["v"]
              .alias(c) for c in first_cols]
     aggs.append(F.count(F.lit(1)).alias("n_segments"))
-    header = lines.groupBy(claim).agg(*aggs)
-    if not code_prefix:
-        return header
-    # D1 -> D2 -> D4: long codes, distinct set per claim (bounded by the code
-    # vocabulary, not by rows), attached with a left join.  Both sides are
-    # hash-partitioned on the claim key, so the join adds no exchange.
-    long = unpivot_codes(lines, [claim], code_prefix)
-    codes = long.groupBy(claim).agg(code_list(F.trim(F.col("code")), sep).alias("codes"))
-    return header.join(codes, claim, "left")
+    if code_prefix:
+        # the distinct codes of a claim are bounded by the code vocabulary
+        cols = [c for c in lines.columns if c.startswith(code_prefix)]
+        own = F.filter(F.transform(F.array(*[F.col(c).cast("string") for c in cols]), lambda x: F.trim(x)),
+                       lambda x: x.isNotNull() & (x != ""))
+        codes = F.sort_array(F.array_distinct(F.flatten(F.collect_set(own))))
+        aggs.append(F.when(F.size(codes) > 0, F.array_join(codes, sep)).alias("codes"))
+    return lines.groupBy(claim).agg(*aggs)
 
 
 def union_aligned(*dfs: DataFrame) -> DataFrame:

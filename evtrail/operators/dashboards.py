@@ -17,13 +17,16 @@ from pyspark.sql import functions as F
 def lookup_or_latest(rows: DataFrame, requests: DataFrame, entity: str, event: str, ts: str,
                      req_event: str = "req_event") -> DataFrame:
     """L1: per request (entity, requested event) the exact row if present,
-    else the entity's latest row -- one aggregate per entity."""
-    j = rows.join(requests, entity)
-    exact = (F.col(event) == F.col(req_event)).cast("int")
-    others = [c for c in rows.columns if c != entity]
-    agg = j.groupBy(entity, req_event).agg(F.max(F.struct(exact.alias("_x"), F.col(ts).alias("_t"),
-                                                          F.col(event).alias("_e"), *others)).alias("_m"))
-    return agg.select(entity, req_event, F.col("_m._x").alias("exact_match"), *[F.col(f"_m.{c}").alias(c) for c in others])
+    else the entity's latest row: an equi-join on (entity, event) and one row
+    per entity, never every row of an entity against every request."""
+    others = [c for c in rows.columns if c not in (entity, event, ts)]
+    pick = F.max(F.struct(F.col(ts).alias("_t"), F.col(event).alias("_e"), *others)).alias("_m")
+    latest = rows.groupBy(entity).agg(pick)
+    exact = rows.groupBy(entity, F.col(event).alias(req_event)).agg(pick).withColumnRenamed("_m", "_x")
+    j = requests.join(latest, entity).join(exact, [entity, req_event], "left")
+    m = F.coalesce("_x", "_m")
+    return j.select(entity, req_event, F.col("_x").isNotNull().cast("int").alias("exact_match"),
+                    m["_e"].alias(event), m["_t"].alias(ts), *[m[c].alias(c) for c in others])
 
 
 def id_search(df: DataFrame, col: str, needle: str, order: str, limit: int = 50) -> DataFrame:
@@ -44,13 +47,12 @@ def dashboard_counts(rows: DataFrame, entity: str, ed90: str, appts: DataFrame,
     return a.crossJoin(b)
 
 
-def newest_first(df: DataFrame, entity: str, entity_value, ts: str, id_col: str) -> DataFrame:
-    """One entity's rows newest first (rank column).  The rank is the
-    bucketed global rank, so even a very busy entity is ranked in parallel."""
+def newest_first(df: DataFrame, entity: str, ts: str, id_col: str) -> DataFrame:
+    """Every entity's rows newest first (rank column), by the global
+    rank within entities, so a very busy entity is ranked in parallel."""
     from evtrail.functions.prefix import global_rank
-    d = df.where(F.col(entity) == entity_value).withColumns({
-        "_nt": -F.unix_micros(F.col(ts).cast("timestamp")), "_ni": -F.col(id_col)})
-    return global_rank(d, "_nt", ["_ni"], name="recency_rank").drop("_nt", "_ni")
+    d = df.withColumns({"_nt": -F.unix_micros(F.col(ts).cast("timestamp")), "_ni": -F.col(id_col)})
+    return global_rank(d, "_nt", ["_ni"], group_cols=[entity], name="recency_rank").drop("_nt", "_ni")
 
 
 def status_counts_with_all(df: DataFrame, status: str) -> DataFrame:
@@ -82,14 +84,22 @@ def validated_append(existing: DataFrame, new: DataFrame, valid: Column) -> tupl
     return existing.unionByName(new.where(valid), allowMissingColumns=True), new.where(~valid | valid.isNull())
 
 
-def row_access(rows: DataFrame, viewers: DataFrame, owner_col: str) -> DataFrame:
-    """(viewer, row) pairs a viewer may see: patients their own rows
-    (semi/equi join), managers all rows (managers are a bounded role list)."""
-    pats = viewers.where(F.col("role") == "patient").select("viewer_id", F.col("patient_id").alias("_vp"))
-    mgrs = viewers.where(F.col("role") == "manager").select("viewer_id")
-    own = rows.join(pats, rows[owner_col] == pats["_vp"]).select("viewer_id", *rows.columns)
-    allr = rows.crossJoin(F.broadcast(mgrs)).select("viewer_id", *rows.columns)
-    return own.unionByName(allr)
+def row_access(rows: DataFrame, viewer_id: str, role: str, owner_col: str, patient_id=None) -> DataFrame:
+    """The rows one viewer may see: a patient their own, a manager all."""
+    if role == "manager":
+        return rows.withColumn("viewer_id", F.lit(viewer_id))
+    return rows.where(F.col(owner_col) == F.lit(patient_id)).withColumn("viewer_id", F.lit(viewer_id))
+
+
+def visible_rows(rows: DataFrame, viewers: DataFrame, owner_col: str) -> DataFrame:
+    """How many rows each viewer (viewer_id, role, patient_id) may see.
+    Rows are counted per owner first; managers share the one total, so no
+    (viewer, row) pair is built."""
+    per = rows.groupBy(F.col(owner_col).alias("_o")).agg(F.count(F.lit(1)).alias("_n"))
+    total = per.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_all"))          # one row
+    v = viewers.join(per, F.col("patient_id") == F.col("_o"), "left").crossJoin(F.broadcast(total))
+    n = F.when(F.col("role") == "manager", F.col("_all")).otherwise(F.coalesce("_n", F.lit(0)))
+    return v.select("viewer_id", n.alias("visible_rows")).where("visible_rows > 0")
 
 
 def monthly_trend(df: DataFrame, ts: str, flag: Column) -> DataFrame:

@@ -58,13 +58,13 @@ def rates(cm: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------- curves ----
 
-def score_curve(df: DataFrame, y: str, p: str, group_cols: Sequence[str] = (), n_buckets: int = 64) -> DataFrame:
+def score_curve(df: DataFrame, y: str, p: str, group_cols: Sequence[str] = ()) -> DataFrame:
     """Per (group, distinct score): pos, neg, cum_tp/cum_fp for scores >=
     this one, and group totals P/N."""
     g = _gk(group_cols)
     per = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*g, F.col(p).alias("score")).agg(
         F.count(F.when(F.col(y) == 1, 1)).alias("pos"), F.count(F.when(F.col(y) != 1, 1)).alias("neg"))
-    cum = grouped_prefix_sums(per, "score", ["pos", "neg"], g, descending=True, n_buckets=n_buckets)
+    cum = grouped_prefix_sums(per, "score", ["pos", "neg"], g, descending=True)
     cum = cum.withColumnRenamed("pos_cum", "cum_tp").withColumnRenamed("neg_cum", "cum_fp")
     tot = per.groupBy(*g).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     return cum.join(tot, g) if g else cum.crossJoin(tot)

@@ -20,7 +20,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evtrail.functions.prefix import global_rank, string_order_key
+from evtrail.functions.prefix import global_rank
 from evtrail.operators import evaluation as H
 
 
@@ -67,8 +67,7 @@ def ordinal_encode(train: DataFrame, df: DataFrame, col: str, unknown: int = -1,
     back; unseen -> ``unknown`` (G5: -1, G6: 0 with start=1).  The dictionary
     is ranked with bucketed counts, not a single-partition window."""
     vocab = train.select(F.col(col).cast("string").alias("_v")).where(F.col("_v").isNotNull()).distinct()
-    vocab = vocab.withColumn("_k", string_order_key("_v"))
-    ranked = global_rank(vocab, "_k", ["_v"], name="_code").select("_v", (F.col("_code") - 1 + start).alias("_code"))
+    ranked = global_rank(vocab, "_v", [], name="_code").select("_v", (F.col("_code") - 1 + start).alias("_code"))
     out = df.join(ranked, df[col].cast("string") == ranked["_v"], "left")
     return out.withColumn(f"{col}_code", F.coalesce(F.col("_code"), F.lit(unknown)).cast("int")).drop("_v", "_code")
 

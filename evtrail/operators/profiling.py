@@ -99,7 +99,7 @@ def sample_values(df: DataFrame, cols: Sequence[str], k: int = 5) -> DataFrame:
     """The k smallest distinct non-null values per column (sorted, so
     deterministic), via salted two-level top-k -- no unbounded collect."""
     long = _long_values(df, cols).where(F.col("value").isNotNull()).distinct()
-    top = topk_per_group(long, ["column_name"], [F.col("value")], k, salt_cols=["value"])
+    top = topk_per_group(long, ["column_name"], [F.col("value")], k)
     return top.groupBy("column_name").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]),
                      " | ").alias("examples"))
@@ -122,7 +122,7 @@ def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str
     pk = parent.select(F.col(parent_key).alias("_k")).distinct()
     orph = ck.join(pk, "_k", "left_anti")
     cnt = orph.agg(F.count(F.lit(1)).alias("orphan_keys"))
-    smp = topk_per_group(orph.withColumn("_g", F.lit(1)), ["_g"], [F.col("_k")], k, salt_cols=["_k"])
+    smp = topk_per_group(orph.withColumn("_g", F.lit(1)), ["_g"], [F.col("_k")], k)
     smp = smp.agg(F.array_join(F.transform(F.sort_array(F.collect_list("_k")), lambda x: x.cast("string")), ",")
                   .alias("samples"))
     return cnt.crossJoin(smp).select(F.lit(relation).alias("relation"), "orphan_keys",

@@ -65,18 +65,31 @@ def provider_catalog(spark, sf) -> DataFrame:
 
 # --------------------------------------------------------- J1 / J2 / J3 ---
 
-def candidate_fetch(needs: DataFrame, providers: DataFrame, need_key: str, need_specialty: str,
-                    limit: int = 500) -> DataFrame:
-    """Providers whose specialty contains the need (case-insensitive),
-    quality defaulting to 50, first ``limit`` per need by provider id.
-    Needs are distinct keys (small); the contains-predicate join is
-    answered per need x provider only for the distinct needs."""
+def candidate_fetch(needs: DataFrame, providers: DataFrame, need_key: str, need_specialty: str) -> DataFrame:
+    """All providers whose specialty contains the need (case-insensitive),
+    quality defaulting to 50.  Every eligible provider is ranked later; there
+    is no limit before scoring.  Needs are distinct keys of a fixed
+    vocabulary (specialty x region x pathway, a few dozen)."""
     nd = needs.select(need_key, need_specialty).distinct()
     # distinct needs are a bounded categorical product: broadcast them so the
     # contains-predicate join streams the provider table once
     j = providers.join(F.broadcast(nd), F.lower(F.col("specialty")).contains(F.lower(F.col(need_specialty))))
-    j = j.withColumn("norm_quality", F.coalesce(F.col("quality"), F.lit(50.0)))
-    return topk_per_group(j, [need_key], [F.col("provider_id")], limit, rank_col="fetch_rank")
+    return j.withColumn("norm_quality", F.coalesce(F.col("quality"), F.lit(50.0)))
+
+
+HALF_CIRCLE_KM = 20015.0
+
+
+def criteria(cand: DataFrame, providers: DataFrame, lat: str, lon: str) -> DataFrame:
+    """J4 inputs, each 0..100: quality as it is, closeness (100 at the need's
+    point ``lat``/``lon``, 0 at the far side of the earth or without a known
+    location), experience and facilities relative to the best provider."""
+    best = providers.agg(F.max("utilization").alias("_mu"), F.max("n_facilities").alias("_mf"))     # one row
+    km = haversine_km(lat, lon, "lat", "lon")
+    return cand.crossJoin(F.broadcast(best)).withColumns({
+        "norm_distance": F.coalesce(100 - km / HALF_CIRCLE_KM * 100, F.lit(0.0)),
+        "norm_experience": 100.0 * F.col("utilization") / F.greatest("_mu", F.lit(1)),
+        "norm_facility": 100.0 * F.col("n_facilities") / F.greatest("_mf", F.lit(1))}).drop("_mu", "_mf")
 
 
 def eligibility_status(safety: Column, n_eligible: Column, yellow_policy: str = "proceed") -> Column:
@@ -159,7 +172,8 @@ def weight_sensitivity(scored: DataFrame, group: str, id_col: str, configs: dict
     the config list is a handful of literals)."""
     out = None
     for cname, cw in configs.items():
-        s = scored.withColumn("_ws", weighted_sum(cw)).withColumn("config", F.lit(cname))
+        # six digits: scores that differ by rounding only are ties, broken by id
+        s = scored.withColumn("_ws", F.round(weighted_sum(cw), 6)).withColumn("config", F.lit(cname))
         top = topk_per_group(s, [group, "config"], [F.col("_ws").desc(), F.col(id_col)], k)
         top = top.withColumnRenamed("_ws", "weighted_score")
         out = top if out is None else out.unionByName(top)

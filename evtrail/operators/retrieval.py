@@ -1,11 +1,10 @@
 """Lexical retrieval, case graph, audit rows (K).
 
 Scoring is a sparse product: query term counts joined to document term
-counts on the term.  The query-term table is small relative to the corpus;
-it is broadcast only after its row count has been checked, so a hot term
-(one that occurs in most documents) never sends all of its postings to one
-shuffle task.  Past the limit the join falls back to a shuffle join with
-adaptive skew splitting.
+counts on the term.  Documents are dealt by id once; scores are summed and
+each partition's own best documents of a query are kept where they are, so
+only ``partitions * k`` rows a query are shuffled, never (query, document)
+pairs.  How the query terms reach the documents is left to the planner.
 """
 
 from __future__ import annotations
@@ -18,9 +17,6 @@ from pyspark.sql import functions as F
 from evtrail.functions.text import word_tokens
 from evtrail.functions.topk import topk_per_group
 
-BROADCAST_ROW_LIMIT = 2_000_000
-
-
 def term_counts(df: DataFrame, id_col: str, text: Column, pattern: str = "[a-z0-9_]+") -> DataFrame:
     """(id, term, tf) from lower-cased regex tokens."""
     return (df.select(F.col(id_col), F.explode(word_tokens(text, pattern)).alias("term"))
@@ -31,39 +27,40 @@ def lexical_search(queries: DataFrame, docs: DataFrame, q_id: str, q_text: Colum
                    d_id: str, d_text: Column, d_tags: Column | None, k: int = 4, tag_bonus: float = 3.0) -> DataFrame:
     """K2: score = Σ_term min(tf_query, tf_doc) (+ ``tag_bonus`` when a
     filter equals a document tag, case-insensitive); score > 0; top ``k``
-    per query by score desc then doc id.  Filters are also query text."""
-    qt = q_text if q_filters is None else F.concat_ws(" ", q_text, F.array_join(q_filters, " "))
-    q = queries.select(F.col(q_id).alias("_q"), qt.alias("_qt"),
-                       (q_filters if q_filters is not None else F.array().cast("array<string>")).alias("_qf"))
+    per query by score desc then doc id.  Filters are also query text, and
+    tags are also document text."""
+    none = F.array().cast("array<string>")
+    lower = lambda c: F.array_distinct(F.transform(F.coalesce(c, none), lambda t: F.lower(t)))
+    q = queries.select(F.col(q_id).alias("_q"),
+                       (q_text if q_filters is None else F.concat_ws(" ", q_text, F.array_join(q_filters, " "))).alias("_qt"),
+                       lower(q_filters if q_filters is not None else none).alias("_qf"))
     qtc = term_counts(q, "_q", F.col("_qt")).withColumnRenamed("tf", "_qtf")
-    n_q_terms = qtc.count()   # size check (one number) before choosing the join
-    small = n_q_terms <= BROADCAST_ROW_LIMIT
-    vocab = qtc.select("term").distinct()
-    # keep only document tokens that can score (semi-join on the query
-    # vocabulary) BEFORE counting them: the shuffle then carries matching
-    # terms only, not every token of every document
-    toks = docs.select(F.col(d_id), F.explode(word_tokens(d_text)).alias("term"))
-    toks = toks.join(F.broadcast(vocab) if small else vocab, "term", "left_semi")
-    dtc = toks.groupBy(d_id, "term").agg(F.count(F.lit(1)).alias("_dtf"))
-    right = F.broadcast(qtc) if small else qtc
-    lex = dtc.join(right, "term").groupBy("_q", d_id).agg(F.sum(F.least("_dtf", "_qtf")).alias("lexical"))
-    if d_tags is not None:
-        tags = docs.select(F.col(d_id), F.transform(d_tags, lambda t: F.lower(t)).alias("_tags"))
-        qf = q.select("_q", F.transform("_qf", lambda t: F.lower(t)).alias("_qfl")).where(F.size("_qfl") > 0)
-        # bonus pairs only for queries that carry filters and docs sharing a tag:
-        # explode both to (tag) and equi-join
-        dt = tags.select(d_id, F.explode(F.array_distinct("_tags")).alias("_tag"))
-        qq = qf.select("_q", F.explode(F.array_distinct("_qfl")).alias("_tag"))
-        bonus = dt.join(F.broadcast(qq) if n_q_terms <= BROADCAST_ROW_LIMIT else qq, "_tag") \
-            .select("_q", d_id).distinct().withColumn("bonus", F.lit(tag_bonus))
-        scored = lex.join(bonus, ["_q", d_id], "full")
-        scored = scored.select("_q", d_id, (F.coalesce("lexical", F.lit(0)) + F.coalesce("bonus", F.lit(0.0)))
-                               .alias("score"))
+    qtc = qtc.join(q.select("_q", "_qf"), "_q")
+    text = d_text if d_tags is None else F.concat_ws(" ", d_text, F.array_join(d_tags, " "))
+    d = docs.select(F.col(d_id).alias("_d"), word_tokens(text).alias("_w"),
+                    lower(d_tags if d_tags is not None else none).alias("_tags"))
+    # everything up to the kept rows stays in the partition of the document
+    toks = d.repartition("_d").select("_d", "_tags", F.explode("_w").alias("term"))
+    toks = toks.join(qtc.select("term").distinct(), "term", "left_semi")
+    dtc = toks.groupBy("_d", "_tags", "term").agg(F.count(F.lit(1)).alias("_dtf"))
+    bonus = F.when(F.arrays_overlap("_tags", "_qf"), tag_bonus).otherwise(0.0)
+    scored = (dtc.join(qtc, "term").groupBy("_d", "_q", "_tags", "_qf").agg(F.sum(F.least("_dtf", "_qtf")).alias("_l"))
+              .select("_q", "_d", (F.col("_l") + bonus).alias("score")).where(F.col("score") > 0))
+    order = [F.col("score").desc(), F.col("_d")]
+    top = topk_per_group(scored, ["_q"], order, k).drop("rank")
+    if q_filters is not None and d_tags is not None:
+        # a tag without a single token scores by the bonus alone: its first k
+        # documents are enough, as any of them with a lexical hit ranks higher
+        tags = d.select("_d", F.explode("_tags").alias("_t")).join(
+            q.select(F.explode("_qf").alias("_t")).distinct(), "_t", "left_semi")
+        first = topk_per_group(tags, ["_t"], [F.col("_d")], k).drop("rank")
+        only = (q.select("_q", F.explode("_qf").alias("_t")).join(first, "_t")
+                .select("_q", "_d", F.lit(tag_bonus).alias("score")))
+        top = top.unionByName(only).groupBy("_q", "_d").agg(F.max("score").alias("score"))
+        top = topk_per_group(top, ["_q"], order, k)
     else:
-        scored = lex.select("_q", d_id, F.col("lexical").cast("double").alias("score"))
-    scored = scored.where(F.col("score") > 0)
-    top = topk_per_group(scored, ["_q"], [F.col("score").desc(), F.col(d_id)], k)
-    return top.withColumnRenamed("_q", q_id)
+        top = topk_per_group(top, ["_q"], order, k)
+    return top.withColumnRenamed("_q", q_id).withColumnRenamed("_d", d_id)
 
 
 def audit_rows(results: DataFrame, q_id: str, d_id: str, rank: str = "rank") -> DataFrame:
@@ -114,7 +111,3 @@ def case_graph(cases: DataFrame, drivers: DataFrame, providers: DataFrame, case_
                                         F.concat(F.lit("provider:"), F.col("pos").cast("string")).alias("dst"),
                                         F.lit("MATCHED_TO").alias("type")))
     return nodes, edges
-
-
-def split_tags(tags: Sequence[str]) -> Column:
-    return F.array(*[F.col(t) for t in tags])

@@ -209,8 +209,9 @@ def compound_flags(queries: DataFrame, intervals: DataFrame, entity: str, query_
     an allergy active at t whose code equals a medication active at t.
 
     Active = START <= t AND (STOP IS NULL OR STOP > t).  Both use the sweep
-    (no query x interval pairs); R13 first intersects allergy and medication
-    intervals of the same (entity, code) -- pairs only within one code."""
+    (no query x interval pairs); R13 first runs two counts per (entity, code),
+    of active allergies and of active medications, and keeps the spans where
+    both are above zero -- no allergy x medication pairs."""
     iv = intervals.where(F.col(start).isNotNull())
     us = F.unix_micros
     # the high-risk code list is data-derived: the planner broadcasts it only
@@ -221,13 +222,18 @@ def compound_flags(queries: DataFrame, intervals: DataFrame, entity: str, query_
     q = queries.withColumn("_qk", us(ts(query_ts)))
     day_us = 86_400_000_000
     out = sweep_count(c_iv, q, entity, "_o", "_c", "_qk", "_n_hr", bucket_width=day_us)
-    al = iv.where(F.col(kind) == "allergy").select(entity, code, F.col(start).alias("_as"), F.col(stop).alias("_ae"))
-    md = iv.where(F.col(kind) == "medication").select(entity, code, F.col(start).alias("_ms"), F.col(stop).alias("_me"))
-    ov = al.join(md, [entity, code]).select(
-        entity, F.greatest("_as", "_ms").alias("_s"),
-        F.when(F.col("_ae").isNull(), F.col("_me")).when(F.col("_me").isNull(), F.col("_ae"))
-        .otherwise(F.least("_ae", "_me")).alias("_e"))
-    o_iv = ov.select(entity, (us(ts("_s")) - 1).alias("_o"), (us(ts("_e")) - 1).alias("_c"))
+    two = iv.where(F.col(kind).isin("allergy", "medication") & (F.col(stop).isNull() | (F.col(stop) > F.col(start))))
+    two = two.select(entity, code, (F.col(kind) == "allergy").cast("long").alias("_al"),
+                     F.explode(F.array(F.struct(us(ts(start)).alias("t"), F.lit(1).alias("d")),
+                                       F.struct(us(ts(stop)).alias("t"), F.lit(-1).alias("d")))).alias("_x"))
+    two = two.where(F.col("_x.t").isNotNull()).groupBy(entity, code, F.col("_x.t").alias("_t")).agg(
+        F.sum(F.col("_al") * F.col("_x.d")).alias("_da"), F.sum((1 - F.col("_al")) * F.col("_x.d")).alias("_dm"))
+    w = Window.partitionBy(entity, code).orderBy("_t")
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = two.select(entity, F.col("_t").alias("_s"), F.lead("_t").over(w).alias("_e"),
+                       F.sum("_da").over(run).alias("_a"), F.sum("_dm").over(run).alias("_m"))
+    o_iv = spans.where((F.col("_a") > 0) & (F.col("_m") > 0)).select(
+        entity, (F.col("_s") - 1).alias("_o"), (F.col("_e") - 1).alias("_c"))
     out = sweep_count(o_iv, out, entity, "_o", "_c", "_qk", "_n_conflict", bucket_width=day_us)
     return out.drop("_qk").withColumns({
         "R12": ((F.coalesce("_n_hr", F.lit(0)) > 0) & acute).cast("int"),
@@ -344,17 +350,18 @@ def lineage_gate(provider: DataFrame, pathway: DataFrame, driver: DataFrame, opp
 
 # ----------------------------------------------------------- I16 -----------
 
-def reassessment(context_events: DataFrame, session: str, ts: str, fields: Sequence[str], attempt_limit: int = 2,
+def reassessment(context_events: DataFrame, session: str, order: Sequence[str], fields: Sequence[str], attempt_limit: int = 2,
                  carry: Sequence[str] = (), assess=None) -> DataFrame:
     """I16: per session, merge context fields over time (last non-null
     wins; ``carry`` columns are already cumulative), count attempts,
     re-assess; still PENDING after ``attempt_limit`` attempts ->
-    HUMAN_CLINICAL_REVIEW.  One window per session (a session is short)."""
-    w = Window.partitionBy(session).orderBy(ts).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    HUMAN_CLINICAL_REVIEW.  ``order`` (time, then id) is a total order, so
+    equal times give one result.  The windows stream over a session."""
+    w = Window.partitionBy(session).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     merged = context_events.select(
-        session, ts, *[F.last(F.col(f), ignorenulls=True).over(w).alias(f) for f in fields],
+        session, *order, *[F.last(F.col(f), ignorenulls=True).over(w).alias(f) for f in fields],
         *[F.col(c) for c in carry],
-        F.row_number().over(Window.partitionBy(session).orderBy(ts)).alias("attempt"))
+        F.row_number().over(Window.partitionBy(session).orderBy(*order)).alias("attempt"))
     a = (assess or (lambda d: safety_assessment(d, symptoms="symptoms" if "symptoms" in carry else None)))(merged)
     return a.withColumn("outcome", F.when((F.col("status") == "PENDING") & (F.col("attempt") >= attempt_limit),
                                           "HUMAN_CLINICAL_REVIEW").otherwise(F.col("status")))

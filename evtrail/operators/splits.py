@@ -47,9 +47,15 @@ def grouped_holdout(df: DataFrame, entity: str, date_col: str, fractions=(0.6, 0
     return df.join(sp, entity)
 
 
+def text_hash(c, seed: int = 0):
+    """Seeded hash that every engine has: the first 32 bits of the MD5 of
+    ``seed:value`` as a long."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string"))), 1, 8), 16, 10).cast("long")
+
+
 def group_kfold(df: DataFrame, group: str, k: int = 5, seed: int = 0) -> DataFrame:
     """fold = hash(group) mod k [our choice: hash, not greedy balance]."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(group), F.lit(seed)), F.lit(k)).cast("int"))
+    return df.withColumn("fold", F.pmod(text_hash(F.col(group), seed), F.lit(k)).cast("int"))
 
 
 def expanding_folds(df: DataFrame, date_col: str, id_col: str, n_splits: int = 3) -> DataFrame:
@@ -89,16 +95,11 @@ def rolling_origin(df: DataFrame, date_col: str, label: str) -> DataFrame:
 def stratified_kfold(df: DataFrame, label: str, id_col: str, k: int = 5, seed: int = 0) -> DataFrame:
     """within each class, rows ordered by a seeded hash then id get folds
     0..k-1 round-robin -- exact stratification (ranks via bucketed counts)."""
-    h = df.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
+    h = df.withColumn("_h", text_hash(F.col(id_col), seed))
     r = global_rank(h, "_h", [id_col], group_cols=[label], name="_r")
     return r.withColumn("fold", ((F.col("_r") - 1) % k).cast("int")).drop("_h", "_r")
 
 
-def plain_kfold(df: DataFrame, id_col: str, k: int = 5, seed: int = 0) -> DataFrame:
-    """F7 (plain): hashed fold."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(k)).cast("int"))
-
-
 def split_audit(df: DataFrame, split: str, entity: str, date_col: str, label: str) -> DataFrame:
     """F8: per split: rows, entities, date range, class rate."""
     return df.groupBy(split).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(entity).alias("entities"),

@@ -95,10 +95,9 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("l_shipdate") + F.make_dt_interval(F.col("l_quantity").cast("int"))).alias("stop_ts"))
 
 
-def context_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per measurement event before the decision hour: the vital it
-    measures (others null), AVPU token, pain score and symptom flag."""
-    e = table(spark, sf_dir, "events").where(F.hour("ts") < DECISION_HOUR)
+def decode_context(events: DataFrame) -> DataFrame:
+    """One row per measurement event: the vital it measures (others null),
+    AVPU token, pain score and the TRUE symptom (lower/trim, else null)."""
     k = F.get_json_object("props", "$.k").cast("int")
     sym = F.lit(None).cast("string")
     symv = F.lit(None).cast("boolean")
@@ -110,19 +109,25 @@ def context_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         avpu = F.when(k % 25 == r, F.lit(t)).otherwise(avpu)
     vit = {vn: F.when(F.col("event_type") == et, F.round(F.col("value") * sc + off, 1))
            for et, (vn, sc, off) in VITAL_OF_EVENT.items()}
-    return e.select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "ts", "event_id",
+    return events.select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "ts", "event_id",
                     *[c.alias(n) for n, c in vit.items()], avpu.alias("avpu"),
                     F.when(F.col("event_type") == "error", (k % 11).cast("double")).alias("pain"),
                     # normalised once here: the TRUE symptom name (lower/trim), else null
                     F.when(sym.isNotNull() & symv, F.lower(F.trim(sym))).alias("symptom"))
 
 
-def clinical_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+def context_events(spark: SparkSession, sf_dir: str, before_hour: int | None = None) -> DataFrame:
+    """Decoded measurement events, all of them or those before an hour."""
+    e = table(spark, sf_dir, "events")
+    return decode_context(e if before_hour is None else e.where(F.hour("ts") < before_hour))
+
+
+def clinical_context(spark: SparkSession, sf_dir: str, before_hour: int | None = DECISION_HOUR) -> DataFrame:
     """Per (user, day) the latest value of each vital measured before
-    the decision time (18:00), AVPU, pain and the TRUE symptom names.  One
+    the decision time (18:00 unless given), AVPU, pain and the TRUE symptom names.  One
     ``groupBy`` (latest = max of struct(ts, id, value): a partial aggregate;
     the symptom set is bounded by the symptom vocabulary)."""
-    e = context_events(spark, sf_dir)
+    e = context_events(spark, sf_dir, before_hour)
 
     def latest(c):
         return F.max(F.when(F.col(c).isNotNull(), F.struct("ts", "event_id", F.col(c).alias("v"))))["v"].alias(c)

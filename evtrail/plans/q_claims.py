@@ -184,9 +184,9 @@ def d12(spark, sf):
 
 
 @query("d13_group_having", """
-SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events WHERE event_type = 'error'
+SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events
 GROUP BY user_id, strftime(ts, '%Y-%m-%d') HAVING count(*) >= 2""")
 def d13(spark, sf):
-    e = B.table(spark, sf, "events").where(F.col("event_type") == "error").select(
+    e = B.table(spark, sf, "events").select(
         "user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
     return D.groups_having(e, ["user_id", "day"], 2)

@@ -72,18 +72,14 @@ def l04(spark, sf):
                               "status")
 
 
-@query("l05_newest_first", f"""WITH {APPTS_SQL},
-who AS (SELECT patient_id FROM ap GROUP BY patient_id ORDER BY count(*) DESC, patient_id LIMIT 1)
-SELECT appointment_id, status, strftime(appointment_date, '%Y-%m-%d') AS appointment_date,
-  row_number() OVER (ORDER BY appointment_date DESC, appointment_id DESC) AS recency_rank
-FROM ap WHERE patient_id = (SELECT patient_id FROM who)""")
+@query("l05_newest_first", f"""WITH {APPTS_SQL}
+SELECT patient_id, appointment_id, status, strftime(appointment_date, '%Y-%m-%d') AS appointment_date,
+  row_number() OVER (PARTITION BY patient_id ORDER BY appointment_date DESC, appointment_id DESC) AS recency_rank
+FROM ap""")
 def l05(spark, sf):
-    ap = appointments(spark, sf)
-    who = ap.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "patient_id") \
-        .limit(1).first()["patient_id"]       # one id: the busiest patient's page is the feature
-    r = L.newest_first(ap, "patient_id", who, "appointment_date", "appointment_id")
-    return r.select("appointment_id", "status", F.date_format("appointment_date", "yyyy-MM-dd").alias("appointment_date"),
-                    "recency_rank")
+    r = L.newest_first(appointments(spark, sf), "patient_id", "appointment_date", "appointment_id")
+    return r.select("patient_id", "appointment_id", "status",
+                    F.date_format("appointment_date", "yyyy-MM-dd").alias("appointment_date"), "recency_rank")
 
 
 @query("l06_status_counts_with_all", f"""WITH {APPTS_SQL}
@@ -128,33 +124,35 @@ def l07b(spark, sf):
 
 
 @query("l08_validated_append", f"""WITH {APPTS_SQL},
-dec AS (SELECT appointment_id, CASE appointment_id % 5 WHEN 0 THEN 'APPROVE' WHEN 1 THEN 'MODIFY' WHEN 2 THEN 'REJECT'
-  WHEN 3 THEN 'ESCALATE' ELSE 'BOGUS' END AS decision FROM ap WHERE status = 'Completed')
-SELECT 'appended' AS target, count(*) AS n FROM dec WHERE decision IN ('APPROVE', 'MODIFY', 'REJECT', 'ESCALATE')
-UNION ALL SELECT 'rejected', count(*) FROM dec WHERE decision NOT IN ('APPROVE', 'MODIFY', 'REJECT', 'ESCALATE')""")
+dec AS (SELECT appointment_id, status, CASE appointment_id % 5 WHEN 0 THEN 'APPROVE' WHEN 1 THEN 'MODIFY' WHEN 2 THEN 'REJECT'
+  WHEN 3 THEN 'ESCALATE' ELSE 'BOGUS' END AS decision FROM ap)
+SELECT 'appended' AS target, appointment_id, 'APPROVE' AS decision FROM dec WHERE status = 'Cancelled'
+UNION ALL SELECT 'appended', appointment_id, decision FROM dec WHERE status <> 'Cancelled' AND decision <> 'BOGUS'
+UNION ALL SELECT 'rejected', appointment_id, decision FROM dec WHERE status <> 'Cancelled' AND decision = 'BOGUS'""")
 def l08(spark, sf):
-    ap = appointments(spark, sf).where(F.col("status") == "Completed")
+    """The log already holds the cancelled appointments' decisions."""
+    ap = appointments(spark, sf)
     k = F.col("appointment_id") % 5
-    dec = ap.select("appointment_id", F.when(k == 0, "APPROVE").when(k == 1, "MODIFY").when(k == 2, "REJECT")
-                    .when(k == 3, "ESCALATE").otherwise("BOGUS").alias("decision"))
-    empty = dec.limit(0)
-    appended, rejected = L.validated_append(empty, dec, F.col("decision").isin("APPROVE", "MODIFY", "REJECT", "ESCALATE"))
-    return (appended.agg(F.count(F.lit(1)).alias("n")).select(F.lit("appended").alias("target"), "n")
-            .unionByName(rejected.agg(F.count(F.lit(1)).alias("n")).select(F.lit("rejected").alias("target"), "n")))
+    dec = ap.where(F.col("status") != "Cancelled").select(
+        "appointment_id", F.when(k == 0, "APPROVE").when(k == 1, "MODIFY").when(k == 2, "REJECT")
+        .when(k == 3, "ESCALATE").otherwise("BOGUS").alias("decision"))
+    log = ap.where(F.col("status") == "Cancelled").select("appointment_id", F.lit("APPROVE").alias("decision"))
+    appended, rejected = L.validated_append(log, dec, F.col("decision").isin("APPROVE", "MODIFY", "REJECT", "ESCALATE"))
+    return (appended.select(F.lit("appended").alias("target"), "appointment_id", "decision")
+            .unionByName(rejected.select(F.lit("rejected").alias("target"), "appointment_id", "decision")))
 
 
 @query("l09_row_access", f"""WITH {APPTS_SQL},
 v AS (SELECT 'patient:' || CAST(c_custkey AS VARCHAR) AS viewer_id, 'patient' AS role, c_custkey AS patient_id
-      FROM customer WHERE c_custkey % 50 = 0 UNION ALL SELECT 'manager:1', 'manager', NULL)
+      FROM customer UNION ALL SELECT 'manager:1', 'manager', NULL)
 SELECT v.viewer_id, count(*) AS visible_rows FROM v JOIN ap ON v.role = 'manager' OR ap.patient_id = v.patient_id
 GROUP BY v.viewer_id""")
 def l09(spark, sf):
-    c = B.table(spark, sf, "customer").where(F.col("c_custkey") % 50 == 0)
+    c = B.table(spark, sf, "customer")
     pv = c.select(F.concat(F.lit("patient:"), F.col("c_custkey").cast("string")).alias("viewer_id"),
                   F.lit("patient").alias("role"), F.col("c_custkey").alias("patient_id"))
     mv = spark.createDataFrame([("manager:1", "manager", None)], "viewer_id string, role string, patient_id long")
-    vis = L.row_access(appointments(spark, sf), pv.unionByName(mv), "patient_id")
-    return vis.groupBy("viewer_id").agg(F.count(F.lit(1)).alias("visible_rows"))
+    return L.visible_rows(appointments(spark, sf), pv.unionByName(mv), "patient_id")
 
 
 @query("l10_monthly_trend", """

@@ -262,12 +262,10 @@ FROM idx i""")
 def e11(spark, sf):
     idx = _idx_with_ts(spark, sf)
     iv = B.intervals(spark, sf)
-    out = pit.active_at(iv.where(F.col("kind") == "condition"), idx, "entity_id", "start_ts", "stop_ts",
-                        "index_ts", "active_conditions", mode="v1")
-    out = pit.active_at(iv.where(F.col("kind") == "medication"), out, "entity_id", "start_ts", "stop_ts",
-                        "index_ts", "active_medications", mode="v1")
-    return out.select("entity_id", "index_id", F.coalesce("active_conditions", F.lit(0)).alias("active_conditions"),
-                      F.coalesce("active_medications", F.lit(0)).alias("active_medications"))
+    out = pit.active_by_kind(iv, idx, "entity_id", "start_ts", "stop_ts", "index_ts", "kind",
+                             ["condition", "medication"], mode="v1")
+    return out.select("entity_id", "index_id", F.col("active_condition").alias("active_conditions"),
+                      F.col("active_medication").alias("active_medications"))
 
 
 @query("e12_long_standing_active", with_(ENC, IDX, INTERVALS) + """
@@ -415,13 +413,13 @@ def e25(spark, sf):
 
 # ---------------------------------------------------------------- E26 / E28
 @query("e26_code_category_diversity", with_(ENC, IDX, CLAIM_LINES) + """,
-cc AS (SELECT DISTINCT member_id, left(code_1, 2) AS cat, date_diff('day', DATE '1970-01-01', CAST(from_ts AS DATE)) AS d
+cc AS (SELECT DISTINCT member_id, left(code_1, 3) AS cat, date_diff('day', DATE '1970-01-01', CAST(from_ts AS DATE)) AS d
        FROM cl)
 SELECT i.entity_id, i.index_id, (SELECT count(DISTINCT cat) FROM cc WHERE cc.member_id = i.entity_id
   AND cc.d >= i.day - 365 AND cc.d < i.day) AS code_categories_365d FROM idx i""")
 def e26(spark, sf):
     cl = (B.claim_lines(spark, sf).withColumn("d", pit.day_number("from_ts"))
-          .withColumn("cat", F.substring("code_1", 1, 2)).withColumnRenamed("member_id", "entity_id"))
+          .withColumn("cat", F.substring("code_1", 1, 3)).withColumnRenamed("member_id", "entity_id"))
     idx = _idx_with_ts(spark, sf)
     out = pit.distinct_in_window(cl, idx, "entity_id", "d", "cat", 365, "code_categories_365d")
     return out.select("entity_id", "index_id", F.coalesce("code_categories_365d", F.lit(0))
@@ -457,9 +455,9 @@ def e22(spark, sf):
 
 
 # ---------------------------------------------------------------- E21 / E23
-def _ctx_sql():
+def _ctx_sql(before_hour=B.DECISION_HOUR):
     from evtrail.plans.sql_rules import context_sql
-    return context_sql()
+    return context_sql(before_hour)
 
 
 @query("e21_vitals_pivot", lambda: f"WITH {_ctx_sql()}\nSELECT user_id, day, " +
@@ -473,11 +471,11 @@ CONTEXT_UNITS = {"temperature": "degC|degF", "heart_rate": "bpm", "spo2": "%", "
                  "respiratory_rate": "breaths/min", "avpu": "", "pain": "0-10"}
 
 
-@query("e23_context_catalogue", lambda: f"WITH {_ctx_sql()}\n" + " UNION ALL ".join(
+@query("e23_context_catalogue", lambda: f"WITH {_ctx_sql(None)}\n" + " UNION ALL ".join(
     f"SELECT '{c}' AS field, count({c}) AS available, round((count(*) - count({c})) * 100.0 / count(*), 4) AS pct_missing, "
     f"'{u}' AS units FROM ctx" for c, u in CONTEXT_UNITS.items()))
 def e23(spark, sf):
-    ctx = B.clinical_context(spark, sf)
+    ctx = B.clinical_context(spark, sf, before_hour=None)
     agg = ctx.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in CONTEXT_UNITS])
     long = agg.unpivot(["_n"], list(CONTEXT_UNITS), "field", "available")
     units = F.create_map(*[x for k, v in CONTEXT_UNITS.items() for x in (F.lit(k), F.lit(v))])

@@ -32,17 +32,24 @@ _C03_SQL = " UNION ALL ".join(
                  ("c_acctbal", "double"), ("c_mktsegment", "string")])
 
 
-def _roles_sql():
-    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
-    vals = ", ".join(f"('{c}', '{r}')" for c, r in P.column_roles(cols))
-    return f"SELECT column_name, role FROM (VALUES {vals}) t(column_name, role)"
+# The role each column of events has by its name.
+_EVENT_ROLES = [("event_id", "id"), ("ts", "date"), ("user_id", "id"), ("event_type", "other"), ("value", "other"),
+                ("props", "other")]
+_ROLES_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, '{r}' AS role, count({c}) AS n_present, count(DISTINCT CAST({c} AS VARCHAR)) AS n_distinct "
+    "FROM events" for c, r in _EVENT_ROLES)
 
 
-@query("c01b_column_roles", _roles_sql())
+@query("c01b_column_roles", _ROLES_SQL)
 def c01b(spark, sf):
-    """Column roles by name keyword, for the columns of the given table."""
-    o = _t(spark, sf, "orders")
-    return spark.createDataFrame(P.column_roles(o.columns), "column_name string, role string")
+    """Each column's role by name keyword, with what it holds."""
+    e = _t(spark, sf, "events")
+    roles = P.column_roles(e.columns)
+    one = e.agg(*[x for c, _ in roles for x in (F.count(c).alias(f"p_{c}"),
+                                                F.count_distinct(F.col(c).cast("string")).alias(f"d_{c}"))])
+    return one.select(F.explode(F.array(*[F.struct(
+        F.lit(c).alias("column_name"), F.lit(r).alias("role"), F.col(f"p_{c}").alias("n_present"),
+        F.col(f"d_{c}").alias("n_distinct")) for c, r in roles])).alias("x")).select("x.*")
 
 
 @query("c03_column_profile", _C03_SQL)
@@ -50,13 +57,18 @@ def c03(spark, sf):
     return P.column_profile(_t(spark, sf, "customer"))
 
 
-@query("c03b_schema_drift", """
-SELECT column_name, status FROM (VALUES ('o_orderkey', 'present'), ('o_custkey', 'present'),
-  ('o_orderstatus', 'additional'), ('o_totalprice', 'present'), ('o_orderdate', 'present'),
-  ('o_orderpriority', 'additional'), ('o_shippriority', 'missing')) t(column_name, status)""")
+@query("c03b_schema_drift", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, '{st}' AS status, {f'count({c})' if st != 'missing' else 'CAST(count(*) * 0 AS BIGINT)'} AS n_present "
+    "FROM orders" for c, st in [
+        ("o_orderkey", "present"), ("o_custkey", "present"), ("o_orderstatus", "additional"), ("o_totalprice", "present"),
+        ("o_orderdate", "present"), ("o_orderpriority", "additional"), ("o_shippriority", "missing")]))
 def c03b(spark, sf):
-    return P.schema_drift(_t(spark, sf, "orders"),
-                          ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_shippriority"])
+    """Expected against present columns, with the values each holds."""
+    o = _t(spark, sf, "orders")
+    drift = P.schema_drift(o, ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_shippriority"])
+    held = o.agg(*[F.count(c).alias(c) for c in o.columns]).unpivot([], o.columns, "column_name", "n")
+    return drift.join(held, "column_name", "left").select(
+        "column_name", "status", F.coalesce("n", F.lit(0)).cast("long").alias("n_present"))
 
 
 @query("c04_blank_counts", """

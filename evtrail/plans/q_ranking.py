@@ -21,9 +21,10 @@ PATHWAY_SPECIALTY = {"P1": "large", "P2": "promo", "P3": "standard", "P4": "stan
 # Fixed values (our binding): pathway -> catalogue specialty set.
 PATHWAY_SPECIALTY_SET = {"P1": ["large"], "P2": ["promo", "large"], "P3": ["standard", "medium"], "P4": ["standard"],
                          "P5": ["economy", "small"], "Assessment Required": ["medium"], "UNKNOWN": []}
-WEIGHT_CONFIGS = {"balanced": {"semantic_score": 0.5, "norm_quality": 0.5},
-                  "semantic_heavy": {"semantic_score": 0.8, "norm_quality": 0.2},
-                  "quality_heavy": {"semantic_score": 0.2, "norm_quality": 0.8}}
+# Weights of quality, distance, experience, facility.
+WEIGHT_CONFIGS = {"base": (0.35, 0.35, 0.20, 0.10), "quality_heavy": (0.40, 0.30, 0.20, 0.10),
+                  "distance_heavy": (0.30, 0.40, 0.20, 0.10)}
+CRITERIA = ("norm_quality", "norm_distance", "norm_experience", "norm_facility")
 
 
 def _spec(col):
@@ -60,7 +61,7 @@ def scored_candidates(spark, sf):
     cs = cases(spark, sf)
     prov = provider_catalog_cp(spark, sf)
     needs = cs.select("need_key", "need_specialty", "need_text").distinct()
-    cand = J.candidate_fetch(needs, prov, "need_key", "need_specialty", limit=500)
+    cand = J.candidate_fetch(needs, prov, "need_key", "need_specialty")
     sem = J.tfidf_similarity(needs.select("need_key", F.col("need_text").alias("text")),
                              cand.select("need_key", "provider_id", F.col("specialty").alias("text")),
                              "need_key", "provider_id", "text")
@@ -69,6 +70,21 @@ def scored_candidates(spark, sf):
     return J.topsis(sc, "need_key", ["semantic_score", "norm_quality"], [0.5, 0.5])
 
 
+@memo_checkpoint
+def candidate_criteria(spark, sf):
+    """Per (need key, eligible provider): the four J4 criteria; the need's
+    point is the mean of its region's nation points."""
+    prov = provider_catalog_cp(spark, sf)
+    cs = cases(spark, sf).select("need_key", "need_specialty", F.col("region").alias("need_region")).distinct()
+    n = B.table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+    r = B.table(spark, sf, "region").select("r_regionkey", F.lower("r_name").alias("need_region"))
+    pts = n.join(r, n.n_regionkey == r.r_regionkey).groupBy("need_region").agg(
+        F.avg((F.col("n_nationkey") * 7) % 180 - 90).alias("plat"), F.avg((F.col("n_nationkey") * 53) % 360 - 180).alias("plon"))
+    cand = J.candidate_fetch(cs, prov, "need_key", "need_specialty").join(
+        cs.join(pts, "need_region", "left").select("need_key", "plat", "plon"), "need_key")
+    return J.criteria(cand, prov, "plat", "plon").select("need_key", "provider_id", *CRITERIA)
+
+
 _PSPEC = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PATHWAY_SPECIALTY.items())
 
 PROV_SQL = """lp AS (SELECT l.l_suppkey, p.p_type, p.p_brand FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
@@ -100,9 +116,8 @@ cs AS (SELECT dp.entity_id, dp.safety_status, dp.pathway, lower(r.r_name) AS reg
   FROM dp LEFT JOIN customer c ON c.c_custkey = dp.entity_id LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey
   LEFT JOIN region r ON r.r_regionkey = n.n_regionkey),
 nd AS (SELECT DISTINCT need_key, need_specialty, need_text FROM cs),
-cand AS (SELECT * FROM (SELECT nd.need_key, prov.*, COALESCE(prov.quality, 50.0) AS norm_quality,
-   CAST(row_number() OVER (PARTITION BY nd.need_key ORDER BY prov.provider_id) AS INTEGER) AS fetch_rank
-   FROM nd JOIN prov ON contains(lower(prov.specialty), lower(nd.need_specialty))) WHERE fetch_rank <= 500),
+cand AS (SELECT nd.need_key, prov.*, COALESCE(prov.quality, 50.0) AS norm_quality
+   FROM nd JOIN prov ON contains(lower(prov.specialty), lower(nd.need_specialty))),
 docs AS (SELECT need_key, '__need__' AS d, need_text AS text FROM nd
          UNION ALL SELECT need_key, CAST(provider_id AS VARCHAR), specialty FROM cand),
 tk AS (SELECT need_key, d, t FROM (SELECT need_key, d, unnest(regexp_extract_all(lower(COALESCE(text, '')),
@@ -136,12 +151,12 @@ def _r6(df, cols):
 
 
 @query("j01_candidate_fetch", lambda: _CASES_SQL() + """
-SELECT need_key, provider_id, norm_quality, fetch_rank FROM cand""")
+SELECT need_key, provider_id, norm_quality FROM cand""")
 def j01(spark, sf):
     cs = cases(spark, sf)
     needs = cs.select("need_key", "need_specialty").distinct()
-    c = J.candidate_fetch(needs, J.provider_catalog(spark, sf), "need_key", "need_specialty", 500)
-    return c.select("need_key", "provider_id", "norm_quality", "fetch_rank")
+    c = J.candidate_fetch(needs, J.provider_catalog(spark, sf), "need_key", "need_specialty")
+    return c.select("need_key", "provider_id", "norm_quality")
 
 
 _ELIG = """el AS (SELECT cs.entity_id, cs.safety_status, (SELECT count(*) FROM cand WHERE cand.need_key = cs.need_key) AS n_el
@@ -154,7 +169,7 @@ SELECT entity_id, CASE WHEN safety_status = 'RED' THEN 'BLOCKED' WHEN n_el = 0 T
 def j02(spark, sf):
     cs = cases(spark, sf)
     cand = J.candidate_fetch(cs.select("need_key", "need_specialty").distinct(), J.provider_catalog(spark, sf),
-                             "need_key", "need_specialty", 500)
+                             "need_key", "need_specialty")
     n = cand.groupBy("need_key").agg(F.count(F.lit(1)).alias("n_el"))
     j = cs.join(n, "need_key", "left")
     return j.select("entity_id", J.eligibility_status(F.col("safety_status"), F.col("n_el")).alias("match_status"))
@@ -168,7 +183,7 @@ SELECT entity_id,
 def j03(spark, sf):
     cs = cases(spark, sf)
     cand = J.candidate_fetch(cs.select("need_key", "need_specialty").distinct(), J.provider_catalog(spark, sf),
-                             "need_key", "need_specialty", 500)
+                             "need_key", "need_specialty")
     n = cand.groupBy("need_key").agg(F.count(F.lit(1)).alias("n_el"))
     j = cs.join(n, "need_key", "left")
     return j.select("entity_id",
@@ -177,25 +192,44 @@ def j03(spark, sf):
                     .alias("status_conditional"))
 
 
-@query("j04_weighted_score", lambda: _CASES_SQL() + """
-SELECT need_key, provider_id, round(0.6 * semantic_score + 0.4 * norm_quality, 6) AS weighted_score FROM tp""")
+_CRIT_SQL = """,
+np AS (SELECT lower(r_name) AS need_region, avg((n_nationkey * 7) % 180 - 90) AS plat, avg((n_nationkey * 53) % 360 - 180) AS plon
+       FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1),
+nr AS (SELECT DISTINCT need_key, region AS need_region FROM cs),
+ca AS (SELECT cand.need_key, cand.provider_id, cand.norm_quality, cand.utilization, cand.n_facilities,
+         pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2) AS a
+       FROM cand JOIN nr USING (need_key) LEFT JOIN np USING (need_region)),
+best AS (SELECT max(utilization) AS mu, max(n_facilities) AS mf FROM prov),
+cr AS (SELECT need_key, provider_id, norm_quality,
+         COALESCE(100 - 2 * 6371.0 * atan2(sqrt(a), sqrt(1 - a)) / 20015.0 * 100, 0.0) AS norm_distance,
+         100.0 * utilization / greatest(mu, 1) AS norm_experience, 100.0 * n_facilities / greatest(mf, 1) AS norm_facility
+       FROM ca, best)"""
+
+
+def _weights(config):
+    return dict(zip(CRITERIA, WEIGHT_CONFIGS[config]))
+
+
+@query("j04_weighted_score", lambda: _CASES_SQL() + _CRIT_SQL + """
+SELECT need_key, provider_id, round(0.35 * norm_quality + 0.35 * norm_distance + 0.2 * norm_experience
+  + 0.1 * norm_facility, 6) AS weighted_score FROM cr""")
 def j04(spark, sf):
-    s = scored_candidates(spark, sf)
-    return _r6(s.select("need_key", "provider_id",
-                        J.weighted_sum({"semantic_score": 0.6, "norm_quality": 0.4}).alias("weighted_score")),
+    s = candidate_criteria(spark, sf)
+    return _r6(s.select("need_key", "provider_id", J.weighted_sum(_weights("base")).alias("weighted_score")),
                ["weighted_score"])
 
 
-@query("j05_weight_sensitivity", lambda: _CASES_SQL() + """,
-cf AS (SELECT * FROM (VALUES ('balanced', 0.5, 0.5), ('semantic_heavy', 0.8, 0.2), ('quality_heavy', 0.2, 0.8))
-       c(config, ws, wq)),
-ws AS (SELECT tp.need_key, tp.provider_id, cf.config, semantic_score * ws + norm_quality * wq AS s FROM tp, cf)
-SELECT need_key, config, provider_id, round(s, 6) AS weighted_score FROM (
-  SELECT *, row_number() OVER (PARTITION BY need_key, config ORDER BY s DESC, provider_id) AS rn FROM ws) WHERE rn = 1""")
+@query("j05_weight_sensitivity", lambda: _CASES_SQL() + _CRIT_SQL + """,
+cf AS (SELECT * FROM (VALUES ('base', 0.35, 0.35, 0.2, 0.1), ('quality_heavy', 0.4, 0.3, 0.2, 0.1),
+       ('distance_heavy', 0.3, 0.4, 0.2, 0.1)) c(config, wq, wd, we, wf)),
+ws AS (SELECT cr.need_key, cr.provider_id, cf.config,
+         round(norm_quality * wq + norm_distance * wd + norm_experience * we + norm_facility * wf, 6) AS s FROM cr, cf)
+SELECT need_key, config, provider_id, s AS weighted_score, CAST(rn AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY need_key, config ORDER BY s DESC, provider_id) AS rn FROM ws) WHERE rn <= 5""")
 def j05(spark, sf):
-    s = scored_candidates(spark, sf)
-    out = J.weight_sensitivity(s, "need_key", "provider_id", WEIGHT_CONFIGS, k=1)
-    return _r6(out.select("need_key", "config", "provider_id", "weighted_score"), ["weighted_score"])
+    out = J.weight_sensitivity(candidate_criteria(spark, sf), "need_key", "provider_id",
+                               {c: _weights(c) for c in WEIGHT_CONFIGS}, k=5)
+    return out.select("need_key", "config", "provider_id", "weighted_score", "rank")
 
 
 @query("j06_tfidf_semantic", lambda: _CASES_SQL() + """

@@ -29,8 +29,8 @@ _K2_SQL = """WITH q AS (SELECT item_id, text || CASE WHEN item_id % 2 = 0 THEN '
                          item_id % 2 = 0 AS has_filter FROM benchmark),
 qt AS (SELECT item_id, t AS term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(qt), '[a-z0-9_]+'))
        AS t FROM q) GROUP BY ALL),
-dt AS (SELECT doc_id, t AS term, count(*) AS dtf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+'))
-       AS t FROM documents) GROUP BY ALL),
+dt AS (SELECT doc_id, t AS term, count(*) AS dtf FROM (SELECT doc_id, unnest(regexp_extract_all(
+       lower(concat_ws(' ', text, lang, source)), '[a-z0-9_]+')) AS t FROM documents) GROUP BY ALL),
 lex AS (SELECT qt.item_id, dt.doc_id, sum(least(qtf, dtf)) AS lexical FROM qt JOIN dt USING (term) GROUP BY ALL),
 bon AS (SELECT q.item_id, d.doc_id, 3.0 AS bonus FROM q JOIN documents d ON q.has_filter
         AND (lower(d.lang) = 'en' OR lower(d.source) = 'en')),

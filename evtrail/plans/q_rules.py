@@ -268,15 +268,15 @@ def i15(spark, sf):
 
 # I16 ---------------------------------------------------------------------------
 def _i16_sql():
-    ctx_ce = context_sql().split(",\nctx AS (")[0]          # the per-event CTE "ce"
+    ctx_ce = context_sql(None).split(",\nctx AS (")[0]          # the per-event CTE "ce"
     lv = ",\n".join(f"  last_value(CASE WHEN vn = '{v}' THEN v END IGNORE NULLS) OVER w AS {v}" for v in B.VITALS)
     return f"""WITH {ctx_ce},
 m AS (SELECT user_id, day, ts, event_id,
 {lv},
   last_value(avpu IGNORE NULLS) OVER w AS avpu, last_value(pain IGNORE NULLS) OVER w AS pain,
   list(CASE WHEN sym IS NOT NULL AND symv THEN lower(trim(sym)) END) OVER w AS symlist,
-  row_number() OVER (PARTITION BY user_id, day ORDER BY ts) AS attempt
-  FROM ce WINDOW w AS (PARTITION BY user_id, day ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  row_number() OVER (PARTITION BY user_id, day ORDER BY ts, event_id) AS attempt
+  FROM ce WINDOW w AS (PARTITION BY user_id, day ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 ctx2 AS (SELECT *, list_distinct(list_filter(symlist, lambda x: x IS NOT NULL)) AS syms FROM m),
 {assessment_sql('ctx2', 'user_id, day, ts, attempt')}
 SELECT CASE WHEN status = 'PENDING' AND attempt >= 2 THEN 'HUMAN_CLINICAL_REVIEW' ELSE status END AS outcome,
@@ -292,8 +292,8 @@ def i16(spark, sf):
     from pyspark.sql import Window
     w = Window.partitionBy("session").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     ev = ev.withColumn("symptoms", F.sort_array(F.collect_set("symptom").over(w)))
-    r = R.reassessment(ev.select("session", "ts", *B.VITALS, "avpu", "pain", "symptoms"), "session", "ts",
-                       [*B.VITALS, "avpu", "pain"], carry=["symptoms"])
+    r = R.reassessment(ev.select("session", "ts", "event_id", *B.VITALS, "avpu", "pain", "symptoms"), "session",
+                       ["ts", "event_id"], [*B.VITALS, "avpu", "pain"], carry=["symptoms"])
     return r.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -45,10 +45,11 @@ def f03(spark, sf):
     return S.grouped_holdout(cohort(spark, sf), "entity_id", "index_ts").select("entity_id", "split").distinct()
 
 
-@query("f04_group_kfold", None)
+@query("f04_group_kfold", lambda: f"""WITH {MT()}
+SELECT index_id, CAST(CAST('0x' || substr(md5('0:' || CAST(entity_id AS VARCHAR)), 1, 8) AS BIGINT) % 5 AS INTEGER) AS fold
+FROM mt""")
 def f04(spark, sf):
-    k = S.group_kfold(cohort(spark, sf), "entity_id", 5)
-    return k.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("entity_id").alias("entities"))
+    return S.group_kfold(cohort(spark, sf), "entity_id", 5).select("index_id", "fold")
 
 
 @query("f05_expanding_folds", lambda: f"""WITH {MT()},

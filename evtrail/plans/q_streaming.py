@@ -29,63 +29,77 @@ def _event_ctx_sql() -> str:
 S1_SQL = lambda: f"WITH {_event_ctx_sql()},\n{assessment_sql('ctx', 'event_id, user_id, ts')}\n"
 
 
-@query("s01_stream_safety", lambda: S1_SQL() + "SELECT status, count(*) AS n FROM sa GROUP BY status")
+@query("s01_stream_safety", lambda: S1_SQL() + "SELECT event_id, status, triggered_rule FROM sa")
 def s01(spark, sf):
     out = S.run_available(S.s1_safety(S.stream_table(spark, sf, "events")), "s01")
-    return out.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return out.select("event_id", "status", "triggered_rule")
 
 
-@query("s02_stream_windows", """
-SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n,
-  round(sum(value), 6) AS value_sum FROM events GROUP BY ALL""")
-def s02(spark, sf):
-    out = S.run_available(S.s2_windowed_counts(S.stream_table(spark, sf, "events")), "s02", mode="complete")
+# append mode: a window is written once, when the watermark (an hour behind
+# the latest event) has passed its end
+_CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+
+
+def _windows(out):
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n",
                       F.round("value_sum", 6).alias("value_sum"))
 
 
-@query("s03_stream_sessions", """
+@query("s02_stream_windows", f"""
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n,
+  round(sum(value), 6) AS value_sum FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= {_CLOSED} GROUP BY ALL""")
+def s02(spark, sf):
+    return _windows(S.run_available(S.s2_windowed_counts(S.stream_table(spark, sf, "events")), "s02"))
+
+
+@query("s02b_stream_sliding", f"""
+WITH e AS (SELECT *, time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 12 HOUR * i AS w
+  FROM events, range(0, 2) r(i))
+SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n,
+  round(sum(value), 6) AS value_sum FROM e WHERE w + INTERVAL 1 DAY <= {_CLOSED} GROUP BY ALL""")
+def s02b(spark, sf):
+    return _windows(S.run_available(S.s2_windowed_counts(S.stream_table(spark, sf, "events"), slide="12 hours"), "s02b"))
+
+
+@query("s03_stream_sessions", f"""
 WITH e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL
   OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events),
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM e)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start,
   strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS session_end, count(*) AS n_events
-FROM s GROUP BY user_id, sid""")
+FROM s GROUP BY user_id, sid HAVING max(ts) + INTERVAL 30 MINUTE <= {_CLOSED}""")
 def s03(spark, sf):
-    out = S.run_available(S.s3_sessions(S.stream_table(spark, sf, "events")), "s03", mode="complete")
-    last = out.groupBy("user_id", "session_start").agg(F.max_by(F.struct("session_end", "n_events"), "_batch").alias("x"))
-    return last.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session_start"),
-                       F.date_format("x.session_end", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session_end"),
-                       F.col("x.n_events").alias("n_events"))
-
-
-@query("s04_stream_reassessment", lambda: S1_SQL() + """
-, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS attempt FROM sa
-  JOIN ctx USING (event_id, user_id, ts))
-SELECT CASE WHEN status <> 'PENDING' THEN status WHEN attempt >= 2 THEN 'HUMAN_CLINICAL_REVIEW' ELSE 'PENDING' END
-  AS outcome, count(*) AS n FROM r GROUP BY 1""")
+    out = S.run_available(S.s3_sessions(S.stream_table(spark, sf, "events")), "s03")
+    return out.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session_start"),
+                      F.date_format("session_end", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session_end"), "n_events")
+
+
+def _s4_sql():
+    from evtrail.plans.q_rules import _i16_sql
+    return _i16_sql()
+
+
+@query("s04_stream_reassessment", lambda: _s4_sql())
 def s04(spark, sf):
-    assessed = S.s1_safety(S.stream_table(spark, sf, "events"))
-    out = S.run_available(S.s4_reassessment(assessed, 2), "s04")
+    out = S.run_available(S.s4_reassessment(S.stream_table(spark, sf, "events"), 2), "s04")
     return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s05_stream_dedup", """
-SELECT count(*) AS n FROM (SELECT DISTINCT user_id, event_type, strftime(ts, '%Y-%m-%d') FROM events)""")
+SELECT DISTINCT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day FROM events""")
 def s05(spark, sf):
     out = S.run_available(S.s5_dedup(S.stream_table(spark, sf, "events")), "s05")
-    return out.agg(F.count(F.lit(1)).alias("n"))
+    return out.select("user_id", "event_type", "day")
 
 
 @query("s06_stream_interval_join", """
-SELECT a.user_id, count(*) AS matches FROM events a JOIN events o ON a.user_id = o.user_id
-  AND a.event_type = 'error' AND o.event_type = 'purchase' AND o.ts > a.ts AND o.ts <= a.ts + INTERVAL 1 DAY
-GROUP BY a.user_id""")
+SELECT a.user_id, a.event_id AS anchor_id, o.event_id AS outcome_id FROM events a JOIN events o ON a.user_id = o.user_id
+  AND a.event_type = 'error' AND o.event_type = 'purchase' AND o.ts > a.ts AND o.ts <= a.ts + INTERVAL 1 DAY""")
 def s06(spark, sf):
     ev_a = S.stream_table(spark, sf, "events").where(F.col("event_type") == "error")
     ev_o = S.stream_table(spark, sf, "events").where(F.col("event_type") == "purchase")
     out = S.run_available(S.s6_interval_join(ev_a, ev_o, "1 day"), "s06")
-    return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("matches"))
+    return out.select("user_id", "anchor_id", "outcome_id")
 
 
 @query("s07_stream_upsert", """
@@ -95,4 +109,4 @@ def s07(spark, sf):
     o = S.stream_table(spark, sf, "orders").select("o_custkey", F.col("o_orderstatus").alias("status"),
                                                   F.struct("o_orderdate", "o_orderkey").alias("ord"))
     sink = S.run_available(o, "s07", batch_fn=S.s7_upsert_batch("o_custkey", "status", "ord"))
-    return S.s7_read_state(sink, "o_custkey", "status", "ord")
+    return S.s7_read_state(sink, "o_custkey", "status")

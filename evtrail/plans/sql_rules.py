@@ -10,7 +10,7 @@ def _case(mapping_expr: str, pairs) -> str:
     return "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in pairs) + " END"
 
 
-def context_sql() -> str:
+def context_sql(before_hour: int | None = DECISION_HOUR) -> str:
     k = "CAST(props->>'k' AS INTEGER)"
     name = _case("", [(f"event_type = '{et}'", f"'{vn}'") for et, (vn, _, _) in VITAL_OF_EVENT.items()])
     val = _case("", [(f"event_type = '{et}'", f"round(value * {sc} + {off}, 1)")
@@ -22,7 +22,7 @@ def context_sql() -> str:
     return f"""ce AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, ts, event_id, {name} AS vn, {val} AS v,
    {sym} AS sym, {symv} AS symv, {avpu} AS avpu,
    CASE WHEN event_type = 'error' THEN CAST({k} % 11 AS DOUBLE) END AS pain
-   FROM events WHERE hour(ts) < {DECISION_HOUR}),
+   FROM events{f" WHERE hour(ts) < {before_hour}" if before_hour is not None else ""}),
 ctx AS (SELECT user_id, day,
 {lat},
   arg_max(avpu, ts) FILTER (WHERE avpu IS NOT NULL) AS avpu,

@@ -1,10 +1,12 @@
 """Structured Streaming jobs (S1-S7), each with a batch twin.
 
-Sources read the given parquet tables as a file stream; sinks are
-``foreachBatch`` writers into folders under the shared checkpoint directory
-(with the query checkpoint next to them), so a restarted job resumes
-exactly-once from its offsets.  ``run_available`` drains what is available
-(``availableNow``) and hands back the sink as a batch DataFrame.
+Sources read the given parquet tables as a file stream.  Sinks are
+``foreachBatch`` writers in the job's folder, with the query checkpoint next
+to them.  A job with a name of its own keeps its folder, so a restarted job
+resumes from its offsets; every batch overwrites the folder of its batch id,
+so a batch that is replayed after a failure leaves no duplicates.
+``run_available`` drains what is available (``availableNow``) and hands back
+the sink as a batch DataFrame.
 """
 
 from __future__ import annotations
@@ -12,12 +14,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from evtrail.operators import rules as R
 from evtrail.plans import bindings as B
+from evtrail.session import ensure_checkpoint_dir
 from evtrail.sources.io import scratch_path
 
 
@@ -31,24 +34,24 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df
 
 
-def run_available(df: DataFrame, name: str, mode: str = "append",
-                  batch_fn: Callable[[DataFrame, int, str], None] | None = None) -> DataFrame:
+def run_available(df: DataFrame, name: str, batch_fn: Callable[[DataFrame, int, str], None] | None = None,
+                  job: str | None = None) -> DataFrame:
     """Run a streaming query over everything available and return its sink.
-    Default sink: each micro-batch appended as parquet (``complete`` mode
-    overwrites)."""
+
+    ``job``: a stable folder under the shared checkpoint folder, kept across
+    restarts; without it each call is a job of its own.  Default sink: each
+    micro-batch overwrites its own ``_batch=<id>`` folder."""
     spark = df.sparkSession
-    out = scratch_path(spark, name)
-    ckpt = f"{out}/_checkpoint"
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/evtrail-stream/{job}" if job else scratch_path(spark, name)
     data = f"{out}/data"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if batch_fn is not None:
             batch_fn(batch, batch_id, data)
-            return
-        w = batch.withColumn("_batch", F.lit(batch_id)).write
-        (w.mode("overwrite") if mode == "complete" else w.mode("append")).parquet(data)
+        else:
+            batch.write.mode("overwrite").parquet(f"{data}/_batch={batch_id}")
 
-    q = (df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", ckpt)
+    q = (df.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", f"{out}/_checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(data)
@@ -58,23 +61,10 @@ def run_available(df: DataFrame, name: str, mode: str = "append",
 
 def event_context(events: DataFrame) -> DataFrame:
     """Per measurement event (stateless): the vital it carries, AVPU, pain
-    and its TRUE symptom (normalised) -- same decoding as the batch context
-    binding."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    sym = F.lit(None).cast("string")
-    symv = F.lit(None).cast("boolean")
-    for r, (txt, v) in B.SYMPTOM_OF_K.items():
-        sym = F.when(k % 20 == r, F.lit(txt)).otherwise(sym)
-        symv = F.when(k % 20 == r, F.lit(v)).otherwise(symv)
-    avpu = F.lit(None).cast("string")
-    for r, t in B.AVPU_OF_K.items():
-        avpu = F.when(k % 25 == r, F.lit(t)).otherwise(avpu)
-    vit = {vn: F.when(F.col("event_type") == et, F.round(F.col("value") * sc + off, 1))
-           for et, (vn, sc, off) in B.VITAL_OF_EVENT.items()}
-    syms = F.when(sym.isNotNull() & symv, F.array(F.lower(F.trim(sym)))).otherwise(F.array().cast("array<string>"))
-    return events.select("event_id", "user_id", "ts", *[c.alias(n) for n, c in vit.items()], avpu.alias("avpu"),
-                         F.when(F.col("event_type") == "error", (k % 11).cast("double")).alias("pain"),
-                         syms.alias("symptoms"))
+    and its TRUE symptom as an array -- the decoding of the batch binding."""
+    none = F.array().cast("array<string>")
+    return B.decode_context(events).withColumn(
+        "symptoms", F.when(F.col("symptom").isNotNull(), F.array("symptom")).otherwise(none)).drop("symptom")
 
 
 def s1_safety(events: DataFrame) -> DataFrame:
@@ -108,49 +98,71 @@ def s3_sessions(events: DataFrame, gap: str = "30 minutes", watermark: str = "1
 
 # ------------------------------------------------------------------ S4 ----
 
-S4_OUT = "session string, event_id long, attempt int, status string, outcome string"
-S4_STATE = "attempts int, resolved boolean"
-
-
-def _s4_step(attempt_limit: int):
-    def step(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        attempts, resolved = state.get if state.exists else (0, False)
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            outs = []
-            for eid, st in zip(pdf["event_id"].tolist(), pdf["status"].tolist()):
-                attempts += 1
-                if st != "PENDING":
-                    resolved, outcome = True, st
-                elif attempts >= attempt_limit:
-                    outcome = "HUMAN_CLINICAL_REVIEW"
-                else:
-                    outcome = "PENDING"
-                outs.append((key[0], int(eid), attempts, st, outcome))
-            state.update((attempts, resolved))
-            yield pd.DataFrame(outs, columns=["session", "event_id", "attempt", "status", "outcome"])
-    return step
-
-
-def s4_reassessment(assessed_events: DataFrame, attempt_limit: int = 2) -> DataFrame:
-    """Per assessment session (user, day) count attempts; a session still
-    PENDING at the attempt limit goes to HUMAN_CLINICAL_REVIEW.  State is one
-    small record per session (attempts, resolved)."""
-    s = assessed_events.withColumn("session", F.concat_ws(":", "user_id", F.date_format("ts", "yyyy-MM-dd")))
-    return s.groupBy("session").applyInPandasWithState(_s4_step(attempt_limit), S4_OUT, S4_STATE, "append",
-                                                       GroupStateTimeout.NoTimeout)
-
-
-def s4_batch(assessed_events: DataFrame, attempt_limit: int = 2) -> DataFrame:
-    """S4 batch twin with windows (bounded by one session's attempts)."""
-    from pyspark.sql import Window
-    s = assessed_events.withColumn("session", F.concat_ws(":", "user_id", F.date_format("ts", "yyyy-MM-dd")))
-    w = Window.partitionBy("session").orderBy("ts", "event_id")
-    s = s.withColumn("attempt", F.row_number().over(w))
-    return s.select("session", "event_id", "attempt", "status",
-                    F.when(F.col("status") != "PENDING", F.col("status"))
-                    .when(F.col("attempt") >= attempt_limit, "HUMAN_CLINICAL_REVIEW").otherwise("PENDING")
-                    .alias("outcome"))
+S4_FIELDS = [*B.VITALS, "avpu", "pain"]
+_S4_TYPES = ", ".join(f"{f} {'string' if f == 'avpu' else 'double'}" for f in S4_FIELDS)
+S4_OUT = f"session string, ts timestamp, event_id long, attempt int, {_S4_TYPES}, symptoms array<string>"
+S4_STATE = f"attempts int, {_S4_TYPES}, symptoms array<string>"
+S4_KEEP_MS = 24 * 3600 * 1000
+
+
+def _s4_merge(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """Merge a session's context fields over its attempts.  The state is one
+    record: attempts so far, the last value of each field, the symptoms."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], ignore_index=True)
+    before = state.get if state.exists else (0, *[None] * len(S4_FIELDS), [])
+    seed = pd.DataFrame([dict(zip(S4_FIELDS, before[1:-1]))]).astype(rows[S4_FIELDS].dtypes.to_dict())
+    merged = pd.concat([seed, rows[S4_FIELDS]], ignore_index=True).ffill().iloc[1:].reset_index(drop=True)
+    merged = merged.astype(object).where(merged.notna(), None)
+    known = set(before[-1] or [])
+    symptoms = [sorted(known := known | set(x)) for x in rows["symptoms"]]
+    out = pd.concat([rows[["ts", "event_id"]], merged], axis=1)
+    out.insert(0, "session", key[0])
+    out.insert(3, "attempt", range(before[0] + 1, before[0] + 1 + len(rows)))
+    out["symptoms"] = symptoms
+    last = merged.iloc[-1].tolist()
+    state.update((before[0] + len(rows), *[None if x is None else x if isinstance(x, str) else float(x) for x in last],
+                  symptoms[-1]))
+    seen = int(rows["ts"].max().timestamp() * 1000)
+    state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + S4_KEEP_MS)
+    yield out
+
+
+def _s4_outcome(merged: DataFrame, attempt_limit: int) -> DataFrame:
+    a = R.safety_assessment(merged, symptoms="symptoms")
+    return a.select("session", "event_id", "attempt", "status",
+                    F.when((F.col("status") == "PENDING") & (F.col("attempt") >= attempt_limit), "HUMAN_CLINICAL_REVIEW")
+                    .otherwise(F.col("status")).alias("outcome"))
+
+
+def _sessions(events: DataFrame) -> DataFrame:
+    c = event_context(events)
+    return c.select(F.concat_ws(":", "user_id", "day").alias("session"), "ts", "event_id", *S4_FIELDS, "symptoms")
+
+
+def s4_reassessment(events: DataFrame, attempt_limit: int = 2, watermark: str = "1 day") -> DataFrame:
+    """Per assessment session (user, day) each event is an attempt; the
+    context merges over the attempts (last known value of a field, symptoms
+    add up) and is assessed as a whole; a session still PENDING at the
+    attempt limit goes to HUMAN_CLINICAL_REVIEW.  Within a micro-batch a
+    session's events are taken in time order; its state goes a day of event
+    time after its last event."""
+    s = _sessions(events).withWatermark("ts", watermark)
+    merged = s.groupBy("session").applyInPandasWithState(_s4_merge, S4_OUT, S4_STATE, "append",
+                                                         GroupStateTimeout.EventTimeTimeout)
+    return _s4_outcome(merged, attempt_limit)
+
+
+def s4_batch(events: DataFrame, attempt_limit: int = 2) -> DataFrame:
+    """S4 batch twin: the same merge with windows that stream over a session."""
+    w = Window.partitionBy("session").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = _sessions(events).select(
+        "session", "ts", "event_id", F.row_number().over(Window.partitionBy("session").orderBy("ts", "event_id"))
+        .alias("attempt"), *[F.last(f, ignorenulls=True).over(w).alias(f) for f in S4_FIELDS],
+        F.array_distinct(F.flatten(F.collect_list("symptoms").over(w))).alias("symptoms"))
+    return _s4_outcome(merged, attempt_limit)
 
 
 # ------------------------------------------------------------------ S5 ----
@@ -179,15 +191,31 @@ def s6_interval_join(anchors: DataFrame, outcomes: DataFrame, within: str = "1 d
 # ------------------------------------------------------------------ S7 ----
 
 def s7_upsert_batch(key: str, status: str, order: str):
-    """foreachBatch upsert of the latest state per key.  Each batch's
-    latest rows are appended with the batch id; readers take the last
-    (batch, order) per key -- last write wins, replay-safe."""
+    """foreachBatch upsert of the latest state per key.  Each batch writes
+    a whole new version of the state, ``_version=<batch id>``: the previous
+    version and the batch, reduced by ``order`` (event time, then id), so an
+    older event in a later batch never wins; equal orders go to the later
+    batch.  A replayed batch overwrites its version, and versions before the
+    previous one are removed, so the state does not grow with the log."""
     def fn(batch: DataFrame, batch_id: int, path: str) -> None:
-        latest = batch.groupBy(key).agg(F.max_by(status, F.col(order)).alias(status),
-                                        F.max(order).alias(order))
-        latest.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(path)
+        spark = batch.sparkSession
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
+        at = lambda v: jvm.org.apache.hadoop.fs.Path(f"{path}/_version={v}")
+        rows = batch.select(key, status, order).withColumn("_batch", F.lit(batch_id))
+        if fs.exists(at(batch_id - 1)):
+            rows = rows.unionByName(spark.read.parquet(f"{path}/_version={batch_id - 1}"))
+        last = F.max(F.struct(F.col(order), F.col("_batch"), F.col(status))).alias("_m")
+        state = rows.groupBy(key).agg(last).select(key, F.col(f"_m.{status}").alias(status),
+                                                   F.col(f"_m.{order}").alias(order), F.col("_m._batch").alias("_batch"))
+        state.write.mode("overwrite").parquet(f"{path}/_version={batch_id}")
+        if fs.exists(at(batch_id - 2)):
+            fs.delete(at(batch_id - 2), True)
     return fn
 
 
-def s7_read_state(sink: DataFrame, key: str, status: str, order: str) -> DataFrame:
-    return sink.groupBy(key).agg(F.max_by(status, F.struct("_batch", order)).alias(status))
+def s7_read_state(sink: DataFrame, key: str, status: str) -> DataFrame:
+    """The newest version (its number is one row)."""
+    newest = sink.agg(F.max("_version").alias("_v"))
+    return sink.join(F.broadcast(newest), F.col("_version") == F.col("_v")).select(key, status)

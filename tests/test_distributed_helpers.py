@@ -1,5 +1,5 @@
 """Distributed helpers (bucketed prefix sums, exact quantiles, global rank,
-salted top-k) and evaluation metrics against brute-force references."""
+top-k) and evaluation metrics against brute-force references."""
 
 import random
 
@@ -15,7 +15,7 @@ def test_prefix_sums(spark):
     rnd = random.Random(1)
     rows = [(g, float(k), rnd.randint(0, 5)) for g in range(3) for k in rnd.sample(range(1000), 200)]
     df = spark.createDataFrame(rows, "g int, k double, v long")
-    got = {(r["g"], r["k"]): r["v_cum"] for r in grouped_prefix_sums(df, "k", ["v"], ["g"], n_buckets=7).collect()}
+    got = {(r["g"], r["k"]): r["v_cum"] for r in grouped_prefix_sums(df, "k", ["v"], ["g"]).collect()}
     for g in range(3):
         run = 0
         for _, k, v in sorted([r for r in rows if r[0] == g], key=lambda r: r[1]):
@@ -43,13 +43,31 @@ def test_global_rank_and_topk(spark):
     r = {x["id"]: x["rank"] for x in global_rank(df, "s", ["id"]).collect()}
     order = sorted(rows, key=lambda t: (t[1], t[2]))
     assert all(r[t[2]] == i + 1 for i, t in enumerate(order))
-    top = topk_per_group(df, ["g"], [F.col("s").desc(), F.col("id")], 3, n_salts=8).collect()
+    top = topk_per_group(df, ["g"], [F.col("s").desc(), F.col("id")], 3).collect()
     for g in range(4):
         exp = sorted([t for t in rows if t[0] == g], key=lambda t: (-t[1], t[2]))[:3]
         got = sorted([(x["rank"], x["id"]) for x in top if x["g"] == g])
         assert [i for _, i in got] == [t[2] for t in exp]
 
 
+def test_ranks_of_ties_prefixes_and_wide_characters(spark, monkeypatch):
+    from evtrail.functions import prefix
+    monkeypatch.setattr(prefix, "ROWS_PER_RANGE", 100)          # many ranges
+    same = spark.createDataFrame([(7, i) for i in range(900)], "day int, id long")
+    got = {r["id"]: r["rank"] for r in global_rank(same, "day", ["id"]).collect()}
+    assert got == {i: i + 1 for i in range(900)}
+    cut = same.repartitionByRange(prefix._ranges(same, 900), F.col("day"), F.col("id"))
+    assert cut.withColumn("b", F.spark_partition_id()).groupBy("b").count().agg(F.max("count")).first()[0] < 300
+    names = ["Supplier#%06d" % i for i in range(300)] + ["b", "a\U0001F600", "a", "a\uFFFF", "", "zz"]
+    df = spark.createDataFrame([(n,) for n in names], "v string")
+    got = {r["v"]: r["rank"] for r in global_rank(df, "v", []).collect()}
+    assert got == {n: i + 1 for i, n in enumerate(sorted(names, key=lambda n: n.encode()))}
+    groups = spark.createDataFrame([(g, i) for g in ("hot", None, "x") for i in range(400 if g == "hot" else 3)],
+                                   "g string, s long")
+    got = {(r["g"], r["s"]): r["rank"] for r in global_rank(groups, "s", [], group_cols=["g"]).collect()}
+    assert got == {(g, i): i + 1 for g in ("hot", None, "x") for i in range(400 if g == "hot" else 3)}
+
+
 def _auc_ap(y, p):
     pos = [s for s, t in zip(p, y) if t == 1]
     neg = [s for s, t in zip(p, y) if t == 0]
