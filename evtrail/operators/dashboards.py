@@ -121,7 +121,11 @@ def trend_ranking(df: DataFrame, cat: str, period: Column) -> DataFrame:
     w = Window.partitionBy(cat).orderBy("period")
     c = c.withColumn("prev", F.lag("n").over(w))
     c = c.withColumn("trend_pct", F.when(F.col("prev") > 0, (F.col("n") - F.col("prev")) * 100.0 / F.col("prev")))
-    return c.drop("prev")
+    # categories by their latest count, ties by name
+    latest = c.groupBy(cat).agg(F.max_by("n", "period").alias("_latest"))
+    latest = latest.withColumn("rank", F.row_number().over(
+        Window.partitionBy(F.lit(1)).orderBy(F.col("_latest").desc(), cat)))      # one row per category
+    return c.drop("prev").join(latest.select(cat, "rank"), cat)
 
 
 def funnel(df: DataFrame, ts: str, outcome: str, stages: Sequence[str]) -> DataFrame:

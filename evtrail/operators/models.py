@@ -26,13 +26,6 @@ from evtrail.operators import evaluation as H
 
 # ------------------------------------------------------------- G1..G6 -----
 
-def median_impute_stage(cols: Sequence[str], with_indicator: bool = True):
-    """G1: Imputer(median) stage plus missing-indicator expressions."""
-    imp = Imputer(strategy="median", inputCols=list(cols), outputCols=[f"{c}_imp" for c in cols])
-    ind = {f"{c}_missing": F.col(c).isNull().cast("int") for c in cols} if with_indicator else {}
-    return imp, ind
-
-
 def mode_impute(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Fill nulls with the training mode (ties -> smallest value)."""
     out = df
@@ -104,7 +97,9 @@ def make_classifier(kind: str, params: Mapping | None = None, weight_col: str |
 def build_pipeline(numeric: Sequence[str], categorical: Sequence[str], kind: str, params: Mapping | None = None,
                    scale: bool = False) -> Pipeline:
     """Median impute -> (one-hot) -> assemble -> (scale) -> classifier."""
-    imp = Imputer(strategy="median", inputCols=list(numeric), outputCols=[f"{c}_imp" for c in numeric])
+    # exact medians, as the registered imputation computes them
+    imp = Imputer(strategy="median", relativeError=0.0, inputCols=list(numeric),
+                  outputCols=[f"{c}_imp" for c in numeric])
     stages = [imp]
     feats = [f"{c}_imp" for c in numeric]
     if categorical:
@@ -190,35 +185,39 @@ def cv_benchmark(folds: DataFrame, numeric, categorical, kinds: Sequence[str]) -
                                   F.avg("roc_auc").alias("auc_mean"), F.stddev_pop("roc_auc").alias("auc_std"))
 
 
-def top_importances(model: PipelineModel, feature_names: Sequence[str], k: int = 5) -> list[tuple[str, float]]:
-    """Top-k tree importances (model metadata, driver side by nature)."""
-    clf = model.stages[-1]
-    imp = clf.featureImportances.toArray()
-    pairs = sorted(zip(feature_names, imp), key=lambda x: (-x[1], x[0]))
-    return pairs[:k]
+def importances(model: PipelineModel, feature_names: Sequence[str], spark) -> DataFrame:
+    """A tree model's own importances as rows (feature, importance,
+    rank); one row per feature, metadata of the model."""
+    imp = model.stages[-1].featureImportances.toArray().tolist()
+    ranked = sorted(zip(feature_names, imp), key=lambda x: (-x[1], x[0]))
+    return spark.createDataFrame([(f, float(v), i) for i, (f, v) in enumerate(ranked, 1)],
+                                 "feature string, importance double, rank int")
 
 
-def calibrate(train_scored: DataFrame, test_scored: DataFrame, label: str = "label", p: str = "p") -> DataFrame:
+def calibrate(fit_scored: DataFrame, pick_scored: DataFrame, test_scored: DataFrame, label: str = "label",
+              p: str = "p") -> DataFrame:
     """Sigmoid (logistic regression on the logit of the score) and
-    isotonic calibration fitted on ``train_scored``; returns the Brier of
-    raw / sigmoid / isotonic on ``test_scored`` and the chosen method."""
+    isotonic calibration fitted on ``fit_scored``, rows the model was not
+    trained on; the method of least Brier on ``pick_scored`` is chosen, and
+    every method's Brier on ``test_scored`` reported."""
     eps = 1e-6
     logit = F.log(F.least(F.greatest(F.col(p), F.lit(eps)), F.lit(1 - eps)) /
                   (1 - F.least(F.greatest(F.col(p), F.lit(eps)), F.lit(1 - eps))))
     va = VectorAssembler(inputCols=["_logit"], outputCol="_f")
-    tr = va.transform(train_scored.withColumn("_logit", logit))
-    te = va.transform(test_scored.withColumn("_logit", logit))
+    tr = va.transform(fit_scored.withColumn("_logit", logit))
     sig = LogisticRegression(featuresCol="_f", labelCol=label, predictionCol="_sp", probabilityCol="_sprob",
                              rawPredictionCol="_sraw").fit(tr)
     iso = IsotonicRegression(featuresCol="_f", labelCol=label, predictionCol="_ip").fit(tr)
-    out = iso.transform(sig.transform(te)).withColumn("p_sigmoid", vector_to_array("_sprob")[1]) \
-        .withColumn("p_isotonic", F.col("_ip"))
-    b = out.agg(F.avg(F.pow(F.col(p) - F.col(label), 2)).alias("raw"),
-                F.avg(F.pow(F.col("p_sigmoid") - F.col(label), 2)).alias("sigmoid"),
-                F.avg(F.pow(F.col("p_isotonic") - F.col(label), 2)).alias("isotonic"))
-    long = b.unpivot([], ["raw", "sigmoid", "isotonic"], "method", "brier")
-    best = long.agg(F.min_by("method", F.struct("brier", "method")).alias("best"))
-    return long.crossJoin(best)
+
+    def briers(scored):
+        x = va.transform(scored.withColumn("_logit", logit))
+        x = iso.transform(sig.transform(x)).withColumn("_sp1", vector_to_array("_sprob")[1])
+        b = x.agg(*[F.avg(F.pow(F.col(c) - F.col(label), 2)).alias(n)
+                    for c, n in ((p, "raw"), ("_sp1", "sigmoid"), ("_ip", "isotonic"))])
+        return b.unpivot([], ["raw", "sigmoid", "isotonic"], "method", "brier")
+    picked = briers(pick_scored).withColumnRenamed("brier", "brier_validation")
+    best = picked.agg(F.min_by("method", F.struct("brier_validation", "method")).alias("best"))
+    return briers(test_scored).join(picked, "method").crossJoin(best)
 
 
 def ensemble_sweep(df: DataFrame, label: str, p1: str, p2: str, steps: int = 10) -> DataFrame:

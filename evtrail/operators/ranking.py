@@ -25,7 +25,7 @@ from evtrail.plans import bindings as B
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "in", "is", "it", "its", "of",
               "on", "or", "that", "the", "to", "was", "were", "will", "with")
 
-TOKEN_PATTERN = r"\b\w\w+\b"
+TOKEN_PATTERN = r"(?U)\b\w\w+\b"      # Unicode words
 
 
 # ------------------------------------------------------------- catalogue ---

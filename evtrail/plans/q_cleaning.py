@@ -125,6 +125,12 @@ def b09(spark, sf):
     return C.non_null_counts(c)
 
 
+@query("b09b_drop_null_columns", "SELECT c_custkey, c_name FROM customer")
+def b09b(spark, sf):
+    c = B.table(spark, sf, "customer").select("c_custkey", F.lit(None).cast("string").alias("c_comment"), "c_name")
+    return C.drop_all_null_columns(c)
+
+
 @query("b10_dedup_exact", """
 SELECT count(*) AS rows_before, (SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_returnflag FROM lineitem)) AS rows_after,
        count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_returnflag FROM lineitem)) AS duplicates

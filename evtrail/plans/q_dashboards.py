@@ -176,7 +176,8 @@ WITH c AS (SELECT cls, year(o_orderdate) AS period, count(*) AS n FROM (SELECT {
   FROM orders) GROUP BY ALL)
 SELECT cls, CAST(period AS INTEGER) AS period, n, round(CASE WHEN lag(n) OVER (PARTITION BY cls ORDER BY period) > 0
   THEN (n - lag(n) OVER (PARTITION BY cls ORDER BY period)) * 100.0 / lag(n) OVER (PARTITION BY cls ORDER BY period)
-  END, 6) AS trend_pct FROM c""")
+  END, 6) AS trend_pct, rank FROM c JOIN (SELECT cls, CAST(row_number() OVER (ORDER BY arg_max(n, period) DESC, cls) AS INTEGER)
+  AS rank FROM c GROUP BY cls) USING (cls)""")
 def l12(spark, sf):
     t = L.trend_ranking(B.encounters(spark, sf), "cls", F.year("ts"))
     return t.withColumn("trend_pct", F.round("trend_pct", 6))

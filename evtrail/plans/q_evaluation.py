@@ -148,6 +148,22 @@ def h08(spark, sf):
     return out
 
 
+@query("h08b_pr_curve_threshold", f"""WITH {SCORED_SQL},
+d AS (SELECT p AS threshold, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y <> 1) AS neg FROM s
+      WHERE p IS NOT NULL AND y IS NOT NULL GROUP BY p),
+c AS (SELECT threshold, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS np FROM d
+      WINDOW w AS (ORDER BY threshold DESC)),
+f AS (SELECT threshold, round(2.0 * tp / (tp + fp + np), 6) AS f1 FROM c)
+SELECT threshold, f1 FROM f ORDER BY f1 DESC, threshold LIMIT 1""")
+def h08b(spark, sf):
+    """H8: the score on the precision-recall curve with the best F1."""
+    c = H.score_curve(scored(spark, sf), "y", "p")
+    f1 = F.round(2.0 * F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp") + F.col("P")), 6)
+    best = c.agg(F.min_by(F.struct(F.col("score").alias("threshold"), f1.alias("f1")),
+                          F.struct(-f1, F.col("score"))).alias("b"))
+    return best.select("b.threshold", "b.f1")
+
+
 @query("h09_constrained_threshold", f"""WITH {SCORED_SQL}, {_SWEEP_CTE},
 a AS (SELECT threshold FROM sw WHERE accuracy >= 0.5 AND recall >= 0.4 AND precision >= 0.15 AND f1 >= 0.2
       ORDER BY f1 DESC, threshold LIMIT 1),
@@ -293,6 +309,39 @@ def h20(spark, sf):
     return _r(cmp, ["delta_brier", "delta_precision"])
 
 
+def _by_model(spark, sf):
+    sc = scored(spark, sf)
+    long = (sc.select(F.lit("length_model").alias("model"), "split", "y", "p")
+            .unionByName(sc.select(F.lit("id_model").alias("model"), "split", "y", F.col("p2").alias("p"))))
+    return _r(H.metrics_table(long, "y", "p", 0.5, ["model", "split"]).select("model", "split", "precision", "recall"),
+              ["precision", "recall"])
+
+
+_BY_MODEL_SQL = f"""WITH {SCORED_SQL},
+long AS (SELECT 'length_model' AS model, split, y, p FROM s UNION ALL SELECT 'id_model', split, y, p2 FROM s),
+m AS (SELECT model, split,
+  round(COALESCE(CAST(count(*) FILTER (WHERE p >= 0.5 AND y = 1) AS DOUBLE) / NULLIF(count(*) FILTER (WHERE p >= 0.5), 0), 0), 6)
+    AS precision,
+  round(COALESCE(CAST(count(*) FILTER (WHERE p >= 0.5 AND y = 1) AS DOUBLE) / NULLIF(count(*) FILTER (WHERE y = 1), 0), 0), 6)
+    AS recall FROM long GROUP BY model, split)"""
+
+
+@query("h20b_best_by_metric", _BY_MODEL_SQL + """
+SELECT metric, arg_min(model, (-value, model)) AS best_model, max(value) AS best_value FROM (
+  SELECT model, 'precision' AS metric, precision AS value FROM m WHERE split = 'test'
+  UNION ALL SELECT model, 'recall', recall FROM m WHERE split = 'test') GROUP BY metric""")
+def h20b(spark, sf):
+    return H.best_by_metric(_by_model(spark, sf).where(F.col("split") == "test"), "model", ["precision", "recall"])
+
+
+@query("h20c_train_test_gap", _BY_MODEL_SQL + """
+SELECT model, max(precision) FILTER (WHERE split = 'train') AS train, max(precision) FILTER (WHERE split = 'test') AS test,
+  round(max(precision) FILTER (WHERE split = 'train') - max(precision) FILTER (WHERE split = 'test'), 6) AS gap
+FROM m GROUP BY model""")
+def h20c(spark, sf):
+    return _r(H.train_test_gap(_by_model(spark, sf), "model", "split", "precision"), ["gap"])
+
+
 @query("f10_bootstrap_ci", None)
 def f10(spark, sf):
     b = H.bootstrap_ci(scored(spark, sf), "y", "p", "doc_id", 0.5, n_boot=100, seed=42)

@@ -163,12 +163,23 @@ def g12(spark, sf):
     return G.cv_benchmark(_folds(spark, sf), NUMERIC, [], ["logistic", "random_forest"])
 
 
+@query("g12b_forest_importances", None)
+def g12b(spark, sf):
+    tr, te = _train_test(spark, sf)
+    model, _ = G.fit_score(tr, te, NUMERIC, [], "random_forest")
+    return G.importances(model, NUMERIC, spark)
+
+
 @query("g13_calibration", None)
 def g13(spark, sf):
-    tr, te = _train_test(spark, sf)
-    model, sc_te = G.fit_score(tr, te, NUMERIC, CATEGORICAL, "gbt")
-    sc_tr = G.positive_score(model.transform(tr))
-    return G.calibrate(sc_tr.select("label", "p"), sc_te.select("label", "p"))
+    """The model is fitted on the training years, the calibrators on one half
+    of the validation year; the other half picks the method."""
+    d = modelling_table(spark, sf)
+    model, te = G.fit_score(d.where(F.col("split") == "train"), d.where(F.col("split") == "test"), NUMERIC, CATEGORICAL, "gbt")
+    va = G.positive_score(model.transform(d.where(F.col("split") == "validation")))
+    half = F.pmod(S.text_hash(F.col("index_id")), F.lit(2))
+    return G.calibrate(va.where(half == 0).select("label", "p"), va.where(half == 1).select("label", "p"),
+                       te.select("label", "p"))
 
 
 @query("g14_ensemble_sweep", f"""WITH {SCORED_SQL},
@@ -186,12 +197,28 @@ def g14(spark, sf):
 
 @query("g15_stacking", None)
 def g15(spark, sf):
-    sc = scored(spark, sf).withColumnRenamed("y", "label")
-    tr, te = sc.where(F.col("split") != "test"), sc.where(F.col("split") == "test")
-    st = G.stacking(tr, te, ["p", "p2"])
+    """Base models score the rows each temporal fold held out; the meta-model
+    learns on those scores and is judged on the test year."""
+    tr, te = _train_test(spark, sf)
+    kinds = ("logistic", "random_forest")
+    folds = _folds(spark, sf)
+    held = None
+    for f in range(3):
+        fit, out = (folds.where((F.col("fold") == f) & (F.col("role") == r)) for r in ("train", "test"))
+        one = _two_scores(fit, out, kinds)
+        held = one if held is None else held.unionByName(one)
+    st = G.stacking(cut_lineage(held), _two_scores(tr, te, kinds), [f"p_{k}" for k in kinds])
     return G.score_summary(st, "label", "p_stack")
 
 
+def _two_scores(fit, out, kinds):
+    for k in kinds:
+        _, out = G.fit_score(fit, out, NUMERIC, [], k)
+        out = out.withColumnRenamed("p", f"p_{k}")
+        out = out.drop("features", "rawPrediction", "probability", "prediction", *[f"{c}_imp" for c in NUMERIC])
+    return out.select("index_id", "label", *[f"p_{k}" for k in kinds])
+
+
 @query("g16_batch_scoring", None)
 def g16(spark, sf):
     tr, _ = _train_test(spark, sf)

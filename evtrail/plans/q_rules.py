@@ -156,6 +156,29 @@ def i10(spark, sf):
     return d.groupBy("safety_status", "band", "pathway").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Expected pathway of each safety status and risk band, D01..D09.
+PATHWAY_CHECKS = [
+    ("D01", "GREEN", "LOW", "P5"), ("D02", "GREEN", "MEDIUM", "P4"), ("D03", "GREEN", "HIGH", "P3"),
+    ("D04", "YELLOW", "LOW", "P2"), ("D05", "YELLOW", "MEDIUM", "P2"), ("D06", "YELLOW", "HIGH", "P2"),
+    ("D07", "RED", "LOW", "P1"), ("D08", "RED", "MEDIUM", "P1"), ("D09", "RED", "HIGH", "P1"),
+]
+_CHECK_ROWS = ", ".join(f"('{i}', '{s}', '{b}', '{p}')" for i, s, b, p in PATHWAY_CHECKS)
+
+
+@query("i10b_pathway_check", lambda: _DECISION_SQL() + f"""
+SELECT c.id, c.expected, count(dp.pathway) AS n, count(*) FILTER (WHERE dp.pathway <> c.expected) AS n_wrong
+FROM (VALUES {_CHECK_ROWS}) c(id, st, bd, expected) LEFT JOIN dp ON dp.safety_status = c.st AND dp.band = c.bd
+GROUP BY c.id, c.expected""")
+def i10b(spark, sf):
+    """Every decision held against the nine-field check table."""
+    checks = spark.createDataFrame(PATHWAY_CHECKS, "id string, safety_status string, band string, expected string")
+    d = decision_table(spark, sf).groupBy("safety_status", "band", "pathway").agg(F.count(F.lit(1)).alias("n"))
+    j = checks.join(d, ["safety_status", "band"], "left")
+    return j.groupBy("id", "expected").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(F.when(F.col("pathway") != F.col("expected"), F.col("n"))), F.lit(0)).alias("n_wrong"))
+
+
 _PNAME = " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in R.PATHWAYS.items())
 
 
@@ -409,7 +432,7 @@ _GUARD = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in R.GUARDRAILS.items())
 
 @query("i22_text_templates", lambda: _DECISION_SQL() + f"""
 SELECT entity_id, index_id, COALESCE(CASE safety_status {_GUARD} END, '{R.GUARDRAILS['GREEN']}') AS guardrail,
-  printf('Historical utilization risk: %s (score %s). Safety status: %s. Current pathway: %s - %s.', band,
+  printf('Historical utilization risk: %s (score %s). Safety status: %s. Current pathway: %s — %s.', band,
          CAST(round(least(risk0 * 5, 0.99), 3) AS VARCHAR), safety_status, pathway, CASE pathway {_PNAME} END) AS summary
 FROM dp""")
 def i22(spark, sf):

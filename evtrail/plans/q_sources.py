@@ -52,6 +52,24 @@ def a04(spark, sf):
             .unionByName(bad.agg(F.count(F.lit(1)).alias("n")).select(F.lit("malformed").alias("kind"), "n")))
 
 
+@query("a04b_wrong_field_count", """
+SELECT 'rows' AS kind, count(*) AS n FROM orders WHERE o_orderkey % 13 <> 0
+UNION ALL SELECT 'null_price', count(*) FROM orders WHERE o_orderkey % 13 <> 0 AND o_orderkey % 17 = 0
+UNION ALL SELECT 'skipped', count(*) FROM orders WHERE o_orderkey % 13 = 0""")
+def a04b(spark, sf):
+    """Lines with a field too many (13th keys) are skipped; a bad number is null."""
+    o = B.table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    price = F.when(k % 17 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string"))
+    path = A.scratch_path(spark, "a04b")
+    o.select(F.concat_ws(",", k.cast("string"), price, F.when(k % 13 == 0, "extra")).alias("value")).write.text(path)
+    schema = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_totalprice", T.DoubleType())])
+    good, skipped = A.read_lines_checked(spark, path, schema)
+    one = lambda df, kind: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
+    return (one(good, "rows").unionByName(one(good.where(F.col("o_totalprice").isNull()), "null_price"))
+            .unionByName(one(skipped, "skipped")))
+
+
 @query("a05_parquet_roundtrip", "SELECT * FROM customer")
 def a05(spark, sf):
     p = A.write_parquet(B.table(spark, sf, "customer"), A.scratch_path(spark, "a05"))
@@ -82,6 +100,19 @@ def a08(spark, sf):
     return spark.read.parquet(p).where(F.col("o_orderpriority") == "1-URGENT").drop("o_orderpriority")
 
 
+@query("a08b_bucketed_lookup", """
+SELECT c.c_custkey, count(o.o_orderkey) AS n_orders FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey
+GROUP BY c.c_custkey""")
+def a08b(spark, sf):
+    """Orders as a table bucketed on the customer: the lookup join shuffles
+    the customers only."""
+    path = A.scratch_path(spark, "a08b")
+    t = A.save_bucketed_table(B.table(spark, sf, "orders").select("o_custkey", "o_orderkey"),
+                              "evtrail_lookup_" + path[-12:], path, 8, ["o_custkey"], ["o_custkey"])
+    c = B.table(spark, sf, "customer").select("c_custkey")
+    return c.join(t, c.c_custkey == t.o_custkey).groupBy("c_custkey").agg(F.count("o_orderkey").alias("n_orders"))
+
+
 @query("a09_sql_with_params", """
 SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 400000 AND o_orderstatus = 'F'""")
 def a09(spark, sf):

@@ -59,9 +59,15 @@ def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType) -> tu
     return good, bad
 
 
-def read_dropmalformed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A4: the reader's own DROPMALFORMED mode."""
-    return spark.read.schema(schema).option("header", True).option("mode", "DROPMALFORMED").csv(path)
+def read_lines_checked(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",") -> tuple[DataFrame, DataFrame]:
+    """A4: (rows, skipped lines): lines with another number of fields than the
+    schema are skipped; a field that does not parse is null, as in the
+    reader.  For files without quoted separators."""
+    lines = spark.read.text(path).select(F.col("value").alias("_line"), F.split("value", re.escape(sep), -1).alias("_f"))
+    fits = F.size("_f") == len(schema.fields)
+    good = lines.where(fits).select(*[F.expr(f"try_cast(_f[{i}] AS {f.dataType.simpleString()})").alias(f.name)
+                                      for i, f in enumerate(schema.fields)])
+    return good, lines.where(~fits).select("_line")
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
@@ -126,26 +132,21 @@ def write_json_report(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
-def save_bucketed_table(df: DataFrame, table: str, buckets: int, by: Sequence[str], sort_by: Sequence[str] = (),
-                        partition_by: Sequence[str] = ()) -> None:
-    """Catalog table bucketed on the lookup key (co-located joins); the
-    warehouse location is the cluster's ``spark.sql.warehouse.dir``."""
-    w = df.write.mode("overwrite").format("parquet").bucketBy(buckets, *by)
-    if sort_by:
-        w = w.sortBy(*sort_by)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.saveAsTable(table)
+def save_bucketed_table(df: DataFrame, table: str, path: str, buckets: int, by: Sequence[str],
+                        sort_by: Sequence[str] = ()) -> DataFrame:
+    """External table bucketed (and sorted) on the lookup key: lookups
+    read one bucket, joins on the key are co-located.  Returns the table."""
+    w = df.write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, *by)
+    (w.sortBy(*sort_by) if sort_by else w).saveAsTable(table)
+    return df.sparkSession.table(table)
 
 
 def batched_copy(df: DataFrame, path: str, key: str, n_batches: int = 4) -> DataFrame:
-    """A10: copy in hash batches (each an ordinary distributed append) and
-    reconcile the row counts; returns (source_rows, target_rows, batches)."""
+    """A10: one write, partitioned by hash batch, and a reconciliation of the
+    row counts; returns (source_rows, target_rows, batches)."""
     b = F.pmod(F.xxhash64(F.col(key)), F.lit(n_batches))
-    for i in range(n_batches):
-        df.where(b == i).write.mode("append").parquet(path)
-    spark = df.sparkSession
+    df.withColumn("_batch", b).write.mode("overwrite").partitionBy("_batch").parquet(path)
     src = df.agg(F.count(F.lit(1)).alias("source_rows"))
-    tgt = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("target_rows"))
+    tgt = df.sparkSession.read.parquet(path).agg(F.count(F.lit(1)).alias("target_rows"))
     return src.crossJoin(tgt).withColumn("batches", F.lit(n_batches)) \
         .withColumn("reconciled", F.col("source_rows") == F.col("target_rows"))
