@@ -14,7 +14,6 @@ block of ``BLOCK_CHARS`` characters.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import heapq
 import json
@@ -24,11 +23,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evtrail.llm.common import read_table, text_or_empty
+from evtrail.llm.common import in_arrow, read_table, text_or_empty
 from evtrail.llm.registry import query
 
-CACHE_WORDS = 500_000
-BLOCK_CHARS = 32_000_000
+CACHE_WORDS = 250_000
+BLOCK_CHARS = 16_000_000
 _NONE = 1 << 60
 
 
@@ -250,7 +249,6 @@ def _blocks(texts: list[str], limit: int):
 def _encode_batches(path: str, pattern: str, digests: bool):
     def run(batches):
         import pyarrow as pa
-        gc.disable()                          # caches hold no cycles
         encoder = TextEncoder(PairIndexBPE(path), pattern)
         for b in batches:
             texts = b.column(1).to_pylist()
@@ -288,7 +286,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: s
     own = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
     kind = own.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, " + ("x string, y string" if digests else "x array<int>, y string")
-    out = own.mapInArrow(_encode_batches(tokenizer_path, pattern, digests), schema)
+    out = in_arrow(own, _encode_batches(tokenizer_path, pattern, digests), schema)
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
     return out.toDF(id_col, "n_tokens", *names)
 

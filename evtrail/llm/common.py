@@ -27,6 +27,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_arrow(df: DataFrame, fn, schema) -> DataFrame:
+    """``mapInArrow`` for rows that hold whole texts: batches of at most a
+    thousand rows, so that what a task has in hand stays small."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df.mapInArrow(fn, schema)
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

@@ -15,23 +15,24 @@ task that runs again gives the same rows.
 
 from __future__ import annotations
 
-import gc
 import re
 import zlib
+from array import array
 from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evtrail.llm.common import read_table, text_bytes
+from evtrail.llm.common import in_arrow, read_table, text_bytes
 from evtrail.llm.registry import query
 
 CAPACITY = 2048
 CLASSES = 64          # pieces of at most capacity / CLASSES ids are laid end to end
 SLACK = 128           # a piece stays whole if it wastes at most 1/SLACK of itself
 END_ID = 1
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
+DRAIN_IDS = 500_000   # ids a worker packs before it hands its rows on
 
 
 class WordEncoder:
@@ -58,19 +59,19 @@ class WordEncoder:
 
     def _reset(self):
         self.words: dict[bytes, int] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, array] = {}
         self.flat = np.zeros(1 << 16, np.int32)      # the ids of all known words
         self.bounds = np.zeros(1 << 14, np.int64)    # where each word's ids begin; the next one's end
         self.n = 0
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> array:
         ids = self.pieces.get(piece)
         if ids is None:
             spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.spell)
-            ids = self.pieces[piece] = [t.id for t in self.tokenize(spelt)]
+            ids = self.pieces[piece] = array("i", [t.id for t in self.tokenize(spelt)])
         return ids
 
-    def _word(self, word: bytes) -> list[int]:
+    def _word(self, word: bytes):
         if self.other(word):
             return self.tok.encode(word.decode(), add_special_tokens=False).ids
         low = word.decode().lower()
@@ -192,7 +193,6 @@ def _pack_batches(path: str, capacity: int, classes: int, slack: int, end_id: in
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
-        gc.disable()                          # caches hold no cycles
         encoder = WordEncoder(path)
         packer = HarmonicPacker(capacity, classes, slack, TaskContext.get().partitionId() << 33)
 
@@ -203,17 +203,21 @@ def _pack_batches(path: str, capacity: int, classes: int, slack: int, end_id: in
             cols = [pa.array(x, pa.int64()) for x in (doc, start, list(map(len, ids)), crc, total, sequence, offset)]
             names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             if with_ids:
-                cols.append(pa.array([x.tolist() for x in ids], pa.list_(pa.int32())))
+                bounds = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat, pa.int32())))
                 names.append("ids")
             return pa.RecordBatch.from_arrays(cols, names)
 
-        end = np.array([end_id], np.int32)
+        end, held = np.array([end_id], np.int32), 0
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                packer.add(doc, np.concatenate([encoder.encode(text.as_py()), end]))
-                if len(packer.rows) > 20_000:
+                ids = np.concatenate([encoder.encode(text.as_py()), end])
+                packer.add(doc, ids)
+                held += len(ids)
+                if held > DRAIN_IDS:
                     yield drain()
-            yield drain()
+                    held = 0
         packer.finish()
         yield drain()
     return run
@@ -235,7 +239,7 @@ def harmonic_pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     """
     schema = _SCHEMA + (", ids array<int>" if with_ids else "")
     own = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("t"))
-    out = own.mapInArrow(_pack_batches(tokenizer_path, capacity, classes, slack, end_id, with_ids), schema)
+    out = in_arrow(own, _pack_batches(tokenizer_path, capacity, classes, slack, end_id, with_ids), schema)
     return out.withColumnRenamed("id", id_col)
 
 

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evtrail.llm.common import read_table, text_bytes
+from evtrail.llm.common import in_arrow, read_table, text_bytes
 from evtrail.llm.registry import query
 
 SAMPLE = 1000             # labelled documents of each class
@@ -210,7 +210,7 @@ def train_line_field(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -
     parts = [chosen.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
     ids = parts[0].unionByName(parts[1]).dropDuplicates(["doc_id"])
     own = docs.select("doc_id", text_bytes().alias("t")).join(F.broadcast(ids), "doc_id").select("quality", "t")
-    rows = own.mapInArrow(_sample_batches, "quality int, lines array<int>").collect()   # <= 2 * sample rows
+    rows = in_arrow(own, _sample_batches, "quality int, lines array<int>").collect()   # <= 2 * sample rows
     if len({r["quality"] for r in rows}) < 2:
         return LineField()
     noise = sum(_BIT[x] for x in NOISE)
@@ -288,7 +288,7 @@ def judge_quality(docs: DataFrame, model: LineField, id_col: str = "doc_id", tex
     """
     own = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("t"))
     kind = own.schema["id"].dataType.simpleString()
-    out = own.mapInArrow(
+    out = in_arrow(own, 
         _judge_batches(model, min_words, max_repeat_percent, min_share),
         f"id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
         "base_failed boolean, kept boolean, content_share double, line_marks string")
@@ -311,7 +311,7 @@ def keep_good(docs: DataFrame, model: LineField, text_col: str = "text", min_wor
     """The rows of ``docs`` that :func:`judge_quality` keeps, all columns as
     they are, in one scan without a join."""
     at = docs.columns.index(text_col)
-    return docs.mapInArrow(_filter_batches(model, at, min_words, max_repeat_percent, min_share), docs.schema)
+    return in_arrow(docs, _filter_batches(model, at, min_words, max_repeat_percent, min_share), docs.schema)
 
 
 @query("op1_line_crf")

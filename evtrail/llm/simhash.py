@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evtrail.llm.common import connected_components, materialize, read_table, text_bytes
+from evtrail.llm.common import connected_components, in_arrow, materialize, read_table, text_bytes
 from evtrail.llm.registry import query
 
 SHINGLE = 4
@@ -260,7 +260,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if max_bits > 4:
         raise ValueError("the keys cover up to four differing bits")
     own = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("t"))
-    prints = materialize(own.mapInArrow(_fingerprint_batches(shingle), "id long, fp long"), "simhash-prints")
+    prints = materialize(in_arrow(own, _fingerprint_batches(shingle), "id long, fp long"), "simhash-prints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
 
     keys = _split_hot(distinct.select("fp").mapInArrow(_key_batches, "key long, fp long"), max_bucket)
