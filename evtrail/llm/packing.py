@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -35,11 +36,26 @@ CACHE_WORDS = 250_000
 DRAIN_IDS = 500_000   # ids a worker packs before it hands its rows on
 
 
+class _Index(dict):
+    """Word -> place; a word that is not known gets the next place and waits
+    in ``pending``."""
+
+    def __init__(self):
+        super().__init__()
+        self.pending: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = len(self)
+        self.pending.append(word)
+        return place
+
+
 class WordEncoder:
     """Ids of whole texts under a lower-casing word BPE of the tokenizers
     library.  Its normaliser and splitter never look across white space, so
     ids are cached by the text between ASCII spaces; the library's own model
-    encodes each new word, and its whole pipeline any that is not Latin."""
+    encodes each new word, and its whole pipeline any that is not Latin.  A
+    full cache keeps the words used most and forgets the others."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         import regex
@@ -55,53 +71,67 @@ class WordEncoder:
         other = [b for b in range(256) if b not in printable]
         self.spell = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(other)}
         self.limit = cache_words
-        self._reset()
-
-    def _reset(self):
-        self.words: dict[bytes, int] = {}
-        self.pieces: dict[str, array] = {}
+        self.words = _Index()
+        self.pieces: dict[bytes, array] = {}
         self.flat = np.zeros(1 << 16, np.int32)      # the ids of all known words
         self.bounds = np.zeros(1 << 14, np.int64)    # where each word's ids begin; the next one's end
+        self.uses = np.zeros(1 << 14, np.int64)
         self.n = 0
 
-    def _piece(self, piece: str) -> array:
+    def _piece(self, piece: bytes) -> array:
+        """Ids of one lower-case piece of the splitter."""
         ids = self.pieces.get(piece)
         if ids is None:
-            spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.spell)
+            spelt = piece.decode() if piece.isascii() else piece.decode("latin-1").translate(self.spell)
             ids = self.pieces[piece] = array("i", [t.id for t in self.tokenize(spelt)])
         return ids
 
     def _word(self, word: bytes):
+        if word.isalpha():                   # ASCII letters
+            return self._piece(word.lower())
         if self.other(word):
             return self.tok.encode(word.decode(), add_special_tokens=False).ids
         low = word.decode().lower()
         if low.isalpha():
-            return self._piece(low)
+            return self._piece(low.encode())
         if low[-1] in ".," and low[:-1].isalpha():
-            return self._piece(low[:-1]) + self._piece(low[-1])
-        return [i for p in self.split.findall(low) for i in self._piece(p)]
+            return self._piece(low[:-1].encode()) + self._piece(low[-1].encode())
+        return [i for p in self.split.findall(low) for i in self._piece(p.encode())]
 
-    def _learn(self, words: list[bytes]):
-        runs = [self._word(w) for w in words]
+    def _learn(self):
+        """Ids of the pending words, whose places follow the known ones."""
+        runs = list(map(self._word, self.words.pending))
+        self.words.pending = []
         ends = self.bounds[self.n] + np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs)))
         while ends[-1] > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.n + len(runs) >= len(self.bounds):
             self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
-        begin = self.bounds[self.n]
-        self.flat[begin:ends[-1]] = list(chain.from_iterable(runs))
+            self.uses = np.concatenate([self.uses, np.zeros_like(self.uses)])
+        self.flat[self.bounds[self.n]:ends[-1]] = list(chain.from_iterable(runs))
         self.bounds[self.n + 1:self.n + 1 + len(runs)] = ends
-        self.words.update(zip(words, range(self.n, self.n + len(runs))))
         self.n += len(runs)
-
-    def encode(self, text: bytes) -> np.ndarray:
-        words = text.split()                 # the six ASCII spaces
-        if len(self.words) > self.limit:
-            self._reset()
-        new = {w for w in words if w not in self.words}
-        if new:
-            self._learn(list(new))
-        which = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        if len(self.pieces) > self.limit // 2:
+            self.pieces = {}
+
+    def _forget(self):
+        """Keep the half of a full cache that was used most, at least twice."""
+        uses = self.uses[:self.n]
+        keep = np.flatnonzero(uses > 1)
+        keep = keep[np.argsort(-uses[keep], kind="stable")][:self.limit // 2]
+        place = np.full(self.n, -1)
+        place[keep] = np.arange(len(keep))
+        flat = self._gather(keep)
+        size = self.bounds[keep + 1] - self.bounds[keep]
+        words = _Index()
+        old = np.array(list(self.words), object)     # in the order of their places
+        words.update(zip(old[keep].tolist(), range(len(keep))))
+        self.words, self.n = words, len(keep)
+        self.flat[:len(flat)] = flat
+        self.bounds[1:len(keep) + 1] = np.cumsum(size)
+        self.uses[:] = 0
+
+    def _gather(self, which: np.ndarray) -> np.ndarray:
         begin = self.bounds[which]
         size = self.bounds[which + 1] - begin
         ends = np.cumsum(size)
@@ -109,6 +139,22 @@ class WordEncoder:
             return np.zeros(0, np.int32)
         return self.flat[np.repeat(begin - (ends - size), size) + np.arange(ends[-1])]
 
+    def encode(self, text: bytes) -> np.ndarray:
+        if len(self.words) > self.limit:
+            self._forget()
+        words = text.split()                 # the six ASCII spaces
+        which = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        if self.words.pending:
+            self._learn()
+        np.add.at(self.uses, which, 1)
+        return self._gather(which)
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """One encoder a worker process, kept from task to task."""
+    return WordEncoder(path)
+
 
 class HarmonicPacker:
     """Streams documents of one worker into sequences; ``rows`` collects one
@@ -193,7 +239,7 @@ def _pack_batches(path: str, capacity: int, classes: int, slack: int, end_id: in
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
-        encoder = WordEncoder(path)
+        encoder = _encoder(path)
         packer = HarmonicPacker(capacity, classes, slack, TaskContext.get().partitionId() << 33)
 
         def drain():
