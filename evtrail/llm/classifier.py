@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evtrail.llm.common import materialize, read_table, text_bytes
+from evtrail.llm.common import in_arrow, materialize, read_table, text_bytes
 from evtrail.llm.registry import query
 
 GOOD, BAD, ABSTAIN = 1, 0, 2
@@ -30,7 +30,7 @@ SAMPLE = 8000
 SHARDS = 4
 HASH_BITS = 16
 EPOCHS = 4
-MIN_SCORE = 0.5
+MIN_SCORE = 0.4
 _SYMBOLS = b"#*$%&|<>"
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 _MARKS = (b"!!", b"??", b"%%", b"$$", b"##", b"**", b"&&")
@@ -52,21 +52,21 @@ def _counts(text: bytes) -> dict:
             "twice": sum(c for c in grams.values() if c > 1), "grams": max(1, len(words) - 2)}
 
 
-def _between(value: float, bad: bool, good: bool) -> int:
+def _between(bad: bool, good: bool) -> int:
     return BAD if bad else GOOD if good else ABSTAIN
 
 
 # The labellers and their thresholds.
 LABELLERS = [
-    ("length", lambda c: _between(0, c["n"] < 20, c["n"] >= 100)),
-    ("symbols", lambda c: _between(0, 5 * c["symbols"] > c["n"], c["symbols"] == 0 and c["n"] >= 20)),
-    ("case", lambda c: _between(0, c["upper"] > c["lower"], 5 * c["upper"] < c["lower"])),
-    ("repeats", lambda c: _between(0, 2 * c["twice"] > c["grams"], c["n"] >= 20 and 10 * c["twice"] < c["grams"])),
-    ("bars", lambda c: _between(0, 5 * c["bars"] > c["n"], False)),
-    ("sentences", lambda c: _between(0, 4 * c["ended"] < c["lines"], c["lines"] > 0 and 4 * c["ended"] > 3 * c["lines"])),
-    ("variety", lambda c: _between(0, c["n"] >= 50 and 4 * c["distinct"] < c["n"],
+    ("length", lambda c: _between(c["n"] < 20, c["n"] >= 100)),
+    ("symbols", lambda c: _between(5 * c["symbols"] > c["n"], c["symbols"] == 0 and c["n"] >= 20)),
+    ("case", lambda c: _between(c["upper"] > c["lower"], 5 * c["upper"] < c["lower"])),
+    ("repeats", lambda c: _between(2 * c["twice"] > c["grams"], c["n"] >= 20 and 10 * c["twice"] < c["grams"])),
+    ("bars", lambda c: _between(5 * c["bars"] > c["n"], c["bars"] == 0 and c["n"] >= 20)),
+    ("sentences", lambda c: _between(4 * c["ended"] < c["lines"], c["lines"] > 0 and 4 * c["ended"] > 3 * c["lines"])),
+    ("variety", lambda c: _between(c["n"] >= 50 and 4 * c["distinct"] < c["n"],
                                    c["n"] >= 20 and 2 * c["distinct"] > c["n"])),
-    ("marks", lambda c: _between(0, 5 * c["marks"] > c["n"], c["marks"] == 0 and c["n"] >= 20)),
+    ("marks", lambda c: _between(5 * c["marks"] > c["n"], c["marks"] == 0 and c["n"] >= 20)),
 ]
 
 
@@ -85,10 +85,11 @@ def _vote_batches(batches):
 
 def label_model(patterns: dict[int, int], rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float]:
     """EM over pattern counts.  Returns the posterior of "good" for every
-    pattern, each labeller's P(vote | class) as (labellers, 2, 3), and the
-    share of good documents.  Labellers are taken as independent given the
-    class; counts of ``1`` smooth each table and tie it to a labeller that is
-    right more often than not."""
+    pattern, each labeller's P(vote | class, it voted) as (labellers, 2, 2),
+    and the share of good documents.  Labellers are taken as independent
+    given the class, and abstaining says nothing (a short text makes many
+    abstain); the prior counts tie each table to a labeller that is right
+    more often than not."""
     m = len(LABELLERS)
     every = np.arange(3 ** m)
     vote = np.stack([every // 3 ** i % 3 for i in range(m)], axis=1)
@@ -100,17 +101,18 @@ def label_model(patterns: dict[int, int], rounds: int = 60) -> tuple[np.ndarray,
     post = np.clip((good + 1) / (good + bad + 2), 0.05, 0.95)
     # a bad sign outweighs: junk shows in few labellers, clean text in none
     post = np.where(bad >= 2, np.minimum(post, 0.3), post)
-    table = np.zeros((m, 2, 3))
+    table = np.zeros((m, 2, 2))
     share = 0.5
-    prior = np.array([[4.0, 1.0, 2.0], [1.0, 4.0, 2.0]])     # rows: bad, good; columns: votes bad, good, abstain
+    prior = np.array([[4.0, 1.0], [1.0, 4.0]])               # rows: bad, good; columns: votes bad, good
     for _ in range(rounds):
         weight = np.stack([n * (1 - post), n * post])
         share = (weight[1].sum() + 1) / (n.sum() + 2)
         for i in range(m):
             for c in (0, 1):
-                t = np.bincount(vote[:, i], weights=weight[c], minlength=3) + prior[c]
+                t = np.bincount(vote[:, i], weights=weight[c], minlength=3)[:2] + prior[c]
                 table[i, c] = t / t.sum()
-        log = np.log([1 - share, share])[:, None] + sum(np.log(table[i])[:, vote[:, i]] for i in range(m))
+        said = np.concatenate([np.log(table), np.zeros((m, 2, 1))], axis=2)
+        log = np.log([1 - share, share])[:, None] + sum(said[i][:, vote[:, i]] for i in range(m))
         post = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
     return post, table, float(share)
 
@@ -118,7 +120,8 @@ def label_model(patterns: dict[int, int], rounds: int = 60) -> tuple[np.ndarray,
 # ------------------------------------------------------- linear scorer ---
 
 def hashed_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed features and their values (unit length)."""
+    """Distinct hashed features and their values: words (unit length), word
+    shapes (twice that), and tenths of some shares of the text."""
     mask = (1 << HASH_BITS) - 1
     seen = Counter(text.lower().split())
     shapes = Counter([w[-4:] for w in text.translate(_SHAPE).split()])
@@ -127,10 +130,14 @@ def hashed_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     value = np.log1p(np.fromiter(seen.values(), float, len(seen)))
     value /= max(1e-9, np.sqrt((value * value).sum()))
     at2 = np.fromiter((zlib.crc32(w, 1) & mask for w in shapes), np.int64, len(shapes))
-    value2 = np.sqrt(np.fromiter(shapes.values(), float, len(shapes)) / n)   # shares: unit length too
-    at, value = np.concatenate([at, at2]), np.concatenate([value, value2])
+    value2 = 2 * np.sqrt(np.fromiter(shapes.values(), float, len(shapes)) / n)
     if not len(at):
         return at, value
+    size = len(text)
+    shares = (len(seen) / n, (size - len(text.translate(None, _SYMBOLS))) / n, sum(map(text.count, _MARKS)) / n,
+              (size - len(text.translate(None, _UPPER))) / size)
+    at3 = np.array([zlib.crc32(b"%d %d" % (i, min(10, int(10 * x))), 2) & mask for i, x in enumerate(shares)])
+    at, value = np.concatenate([at, at2, at3]), np.concatenate([value, value2, np.ones(len(shares))])
     at, inverse = np.unique(at, return_inverse=True)
     return at, np.bincount(inverse, weights=value)
 
@@ -146,8 +153,7 @@ def _feature_batches(batches):
 
 
 def _train_batches(epochs: int):
-    """One shard: logistic loss against posterior labels, AdaGrad; both
-    classes weigh alike."""
+    """One shard: logistic loss against posterior labels, AdaGrad."""
     def run(batches):
         import pyarrow as pa
         rows = []
@@ -157,14 +163,12 @@ def _train_batches(epochs: int):
         if not rows:
             return
         rows.sort(key=lambda r: r[0])
-        good = sum(p for _, p, _, _ in rows)
-        scale = [len(rows) / (2 * max(1.0, len(rows) - good)), len(rows) / (2 * max(1.0, good))]
         w, g = np.zeros((1 << HASH_BITS) + 1), np.full((1 << HASH_BITS) + 1, 1e-3)
         for _ in range(epochs):
             for _, p, a, v in rows:
                 z = w[a] @ v + w[-1]
                 q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                d = (1 - p) * scale[0] * q - p * scale[1] * (1 - q)
+                d = q - p
                 step = d * v + 1e-5 * w[a]
                 g[a] += step * step
                 w[a] -= 0.3 * step / np.sqrt(g[a])
@@ -206,7 +210,7 @@ def weak_label_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("t"))
     kind = own.schema["id"].dataType.simpleString()
-    cast = materialize(own.mapInArrow(_vote_batches, f"id {kind}, pattern int"), "weak-votes")
+    cast = materialize(in_arrow(own, _vote_batches, f"id {kind}, pattern int"), "weak-votes")
     patterns = {r["pattern"]: r["count"] for r in cast.groupBy("pattern").count().collect()}  # <= 3^labellers rows
     post, _, _ = label_model(patterns)
 
@@ -214,13 +218,13 @@ def weak_label_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str =
               .orderBy("h", "id").limit(sample).dropDuplicates(["id"]))
     labels = spark.createDataFrame([(int(p), float(post[p])) for p in patterns], "pattern int, post double")
     chosen = chosen.join(F.broadcast(labels), "pattern").select("id", "h", "post")
-    rows = (own.join(F.broadcast(chosen), "id").select("h", "post", "t")          # <= sample ids
-            .mapInArrow(_feature_batches, "h long, post double, at binary, value binary"))
+    rows = in_arrow(own.join(F.broadcast(chosen), "id").select("h", "post", "t"),          # <= sample ids
+                    _feature_batches, "h long, post double, at binary, value binary")
     shards = rows.repartition(SHARDS, F.pmod("h", F.lit(SHARDS))).mapInArrow(_train_batches(epochs), "w binary")
     trained = [np.frombuffer(r["w"], float) for r in shards.collect()]            # <= SHARDS vectors
     w = np.mean(trained, axis=0) if trained else np.zeros((1 << HASH_BITS) + 1)
     shared = spark.sparkContext.broadcast((post, w))
-    out = own.mapInArrow(_score_batches(shared, min_score),
+    out = in_arrow(own, _score_batches(shared, min_score),
                          f"id {kind}, pattern int, posterior double, score double, kept boolean")
     return out.withColumnRenamed("id", id_col)
 
