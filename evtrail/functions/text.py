@@ -36,3 +36,9 @@ def normalize_header(name: str) -> str:
     s = re.sub(r"[^a-z0-9_]", "_", name.strip().lower())
     s = re.sub(r"_+", "_", s)
     return s.strip("_")
+
+
+def text_hash(c, seed: int = 0) -> Column:
+    """Seeded hash that every engine has: the first 32 bits of the MD5 of
+    ``seed:value`` as a long."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string"))), 1, 8), 16, 10).cast("long")

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evtrail.functions.prefix import exact_quantiles, grouped_prefix_sums
+from evtrail.functions.text import text_hash
 
 
 def _gk(group_cols):
@@ -297,9 +298,9 @@ def train_test_gap(metrics: DataFrame, model_col: str, split_col: str, metric: s
 
 # ------------------------------------------------------------- F10 ---------
 
-# Poisson(1) CDF, used to turn a uniform hash into a Poisson(1) count
-# (truncated at 12; the remaining tail mass is < 1e-10).
-def _poisson1_cdf(kmax: int = 12) -> list[float]:
+# Poisson(1) CDF, used to turn a uniform hash into a Poisson(1) count.  The
+# mass above 12 is under 2**-32, the step of the hash: no larger count occurs.
+def poisson1_cdf(kmax: int = 12) -> list[float]:
     import math
     out, acc = [], 0.0
     for k in range(kmax + 1):
@@ -309,8 +310,8 @@ def _poisson1_cdf(kmax: int = 12) -> list[float]:
 
 
 def poisson_weight(row_key: Column, replicate: Column, seed: int) -> Column:
-    u = (F.pmod(F.xxhash64(row_key, replicate, F.lit(seed)), F.lit(1 << 40)).cast("double") / float(1 << 40))
-    cdf = F.array(*[F.lit(c) for c in _poisson1_cdf()])
+    u = text_hash(F.concat_ws(":", row_key.cast("string"), replicate.cast("string")), seed) / float(1 << 32)
+    cdf = F.array(*[F.lit(c) for c in poisson1_cdf()])
     return F.size(F.filter(cdf, lambda c: c <= u))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evtrail.functions.prefix import global_rank
+from evtrail.functions.text import text_hash
 
 
 def temporal_split(df: DataFrame, date_col: str, min_years: int = 3) -> DataFrame:
@@ -47,12 +48,6 @@ def grouped_holdout(df: DataFrame, entity: str, date_col: str, fractions=(0.6, 0
     return df.join(sp, entity)
 
 
-def text_hash(c, seed: int = 0):
-    """Seeded hash that every engine has: the first 32 bits of the MD5 of
-    ``seed:value`` as a long."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string"))), 1, 8), 16, 10).cast("long")
-
-
 def group_kfold(df: DataFrame, group: str, k: int = 5, seed: int = 0) -> DataFrame:
     """fold = hash(group) mod k [our choice: hash, not greedy balance]."""
     return df.withColumn("fold", F.pmod(text_hash(F.col(group), seed), F.lit(k)).cast("int"))

@@ -342,7 +342,29 @@ def h20c(spark, sf):
     return _r(H.train_test_gap(_by_model(spark, sf), "model", "split", "precision"), ["gap"])
 
 
-@query("f10_bootstrap_ci", None)
+_WEIGHT_SQL = " + ".join(f"CAST(u >= {c!r} AS INTEGER)" for c in H.poisson1_cdf())
+
+
+@query("f10_bootstrap_ci", f"""WITH {SCORED_SQL},
+r AS (SELECT y, p, b, CAST('0x' || substr(md5('42:' || CAST(doc_id AS VARCHAR) || ':' || CAST(b AS VARCHAR)), 1, 8) AS BIGINT)
+        / 4294967296.0::DOUBLE AS u FROM s, range(0, 100) t(b)),
+w AS (SELECT y, p, b, {_WEIGHT_SQL} AS w FROM r),
+cm AS (SELECT b, sum(w) FILTER (WHERE p >= 0.5 AND y = 1) AS tp, sum(w) FILTER (WHERE p >= 0.5 AND y <> 1) AS fp,
+         sum(w) FILTER (WHERE p < 0.5 AND y = 1) AS fn FROM w GROUP BY b),
+sc AS (SELECT b, p, sum(w) FILTER (WHERE y = 1) AS pos, sum(w) AS n FROM w WHERE w > 0 GROUP BY b, p),
+cu AS (SELECT b, COALESCE(pos, 0) AS pos, sum(COALESCE(pos, 0)) OVER d AS cp, sum(n) OVER d AS cn,
+         sum(COALESCE(pos, 0)) OVER (PARTITION BY b) AS np FROM sc WINDOW d AS (PARTITION BY b ORDER BY p DESC)),
+ap AS (SELECT b, sum(pos * cp / cn) / max(np) AS average_precision FROM cu GROUP BY b),
+per AS (SELECT COALESCE(tp / nullif(tp + COALESCE(fp, 0), 0), 0) AS precision, COALESCE(tp / nullif(tp + COALESCE(fn, 0), 0), 0) AS recall,
+          COALESCE(2.0 * tp / nullif(2 * tp + COALESCE(fp, 0) + COALESCE(fn, 0), 0), 0) AS f1, average_precision FROM cm JOIN ap USING (b)),
+long AS (UNPIVOT per ON precision, recall, f1, average_precision INTO NAME metric VALUE value),
+ci AS (SELECT metric, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi, count(value) AS n_boot FROM long GROUP BY metric),
+c0 AS (SELECT count(*) FILTER (WHERE p >= 0.5 AND y = 1) AS tp, count(*) FILTER (WHERE p >= 0.5 AND y <> 1) AS fp,
+         count(*) FILTER (WHERE p < 0.5 AND y = 1) AS fn FROM s),
+a0 AS (SELECT avg((SELECT count(*) FILTER (WHERE t.y = 1) * 1.0 / count(*) FROM s t WHERE t.p >= o.p)) AS ap FROM s o WHERE o.y = 1),
+pt AS (SELECT 'precision' AS metric, tp * 1.0 / (tp + fp) AS point FROM c0 UNION ALL SELECT 'recall', tp * 1.0 / (tp + fn) FROM c0
+  UNION ALL SELECT 'f1', 2.0 * tp / (2 * tp + fp + fn) FROM c0 UNION ALL SELECT 'average_precision', ap FROM a0)
+SELECT metric, round(point, 6) AS point, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, n_boot FROM ci JOIN pt USING (metric)""")
 def f10(spark, sf):
     b = H.bootstrap_ci(scored(spark, sf), "y", "p", "doc_id", 0.5, n_boot=100, seed=42)
     return _r(b, ["point", "ci_low", "ci_high"])

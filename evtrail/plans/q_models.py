@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evtrail.functions.prefix import exact_quantiles
 from evtrail.operators import models as G
 from evtrail.operators import splits as S
+from evtrail.functions.text import text_hash
 from evtrail.plans.q_evaluation import SCORED_SQL, scored
 from evtrail.plans.q_pointintime import E24_SQL, model_table_out
 from evtrail.plans.registry import query
@@ -177,7 +178,7 @@ def g13(spark, sf):
     d = modelling_table(spark, sf)
     model, te = G.fit_score(d.where(F.col("split") == "train"), d.where(F.col("split") == "test"), NUMERIC, CATEGORICAL, "gbt")
     va = G.positive_score(model.transform(d.where(F.col("split") == "validation")))
-    half = F.pmod(S.text_hash(F.col("index_id")), F.lit(2))
+    half = F.pmod(text_hash(F.col("index_id")), F.lit(2))
     return G.calibrate(va.where(half == 0).select("label", "p"), va.where(half == 1).select("label", "p"),
                        te.select("label", "p"))
 
