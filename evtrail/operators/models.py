@@ -66,15 +66,16 @@ def ordinal_encode(train: DataFrame, df: DataFrame, col: str, unknown: int = -1,
 
 
 # Nested feature groups (each group adds to the previous).
-def feature_groups(base: Sequence[str], windows: Sequence[str], recency: Sequence[str], history: Sequence[str],
-                   ratios: Sequence[str]) -> dict[str, list[str]]:
-    """Nested groups A..E."""
-    a = list(base)
-    b = a + list(windows)
-    c = b + list(recency)
-    d = c + list(history)
-    e = d + list(ratios)
-    return {"A": a, "B": b, "C": c, "D": d, "E": e}
+def feature_groups(base: Sequence[str], utilization: Sequence[str], blocks: Sequence[Sequence[str]],
+                   specialists: Mapping[str, Sequence[str]] | None = None) -> dict[str, list[str]]:
+    """A the base, B with utilization, then B with one block each (C, D,
+    ...), the last letter B with all blocks; and the specialist groups."""
+    b = [*base, *utilization]
+    groups = {"A": list(base), "B": b}
+    for letter, block in zip("CDEFGHIJKLMNOPQRSTUVWXY", blocks):
+        groups[letter] = [*b, *block]
+    groups[chr(ord("C") + len(blocks))] = [*b, *(c for block in blocks for c in block)]
+    return groups | {k: list(v) for k, v in (specialists or {}).items()}
 
 
 # ------------------------------------------------------------- G8..G10 ----

@@ -114,16 +114,31 @@ def g06(spark, sf):
     return e.select("index_id", "nation_code")
 
 
-GROUPS = G.feature_groups(["segment", "nation"], ["n_emergency_30d", "n_emergency_90d", "n_emergency_365d"],
-                          ["days_since_prev_visit", "days_since_prev_emergency"], ["hist_visits", "hist_emergency"],
-                          ["cost_velocity", "ed_out_ratio", "accelerating"])
+_UTILIZATION = ["n_emergency_30d", "n_emergency_90d", "n_emergency_365d", "n_inpatient_90d", "n_outpatient_90d",
+                "days_since_prev_visit", "days_since_prev_emergency"]
+GROUPS = G.feature_groups(
+    ["segment", "nation"], _UTILIZATION,
+    [["hist_visits", "hist_emergency"], ["cost_30d", "cost_90d"], ["cost_velocity", "ed_out_ratio"], ["accelerating"]],
+    {"demographic": ["segment", "nation"], "utilization": _UTILIZATION, "cost": ["cost_30d", "cost_90d", "cost_velocity"]})
 
 
 @query("g07_feature_groups", lambda: f"""WITH {MT()}
-SELECT index_id, {", ".join(GROUPS["E"])} FROM mt""")
+SELECT index_id, {", ".join(GROUPS["G"])} FROM mt""")
 def g07(spark, sf):
     d = modelling_table(spark, sf)
-    return d.select("index_id", *GROUPS["E"])
+    return d.select("index_id", *GROUPS["G"])
+
+
+@query("g07b_group_catalogue", lambda: f"WITH {MT()}\n" + " UNION ALL ".join(
+    f"SELECT '{g}' AS feature_group, {len(c)} AS n_features, CAST({' + '.join(f'count({x})' for x in c)} AS BIGINT) AS n_values FROM mt"
+    for g, c in GROUPS.items()))
+def g07b(spark, sf):
+    """The nested groups A..G and the specialist groups, with the values each holds."""
+    d = modelling_table(spark, sf)
+    one = d.agg(*[F.count(c).alias(c) for c in dict.fromkeys(x for g in GROUPS.values() for x in g)])
+    return one.select(F.explode(F.array(*[F.struct(
+        F.lit(g).alias("feature_group"), F.lit(len(c)).alias("n_features"),
+        sum((F.col(x) for x in c[1:]), F.col(c[0])).alias("n_values")) for g, c in GROUPS.items()])).alias("x")).select("x.*")
 
 
 def _fit_eval(spark, sf, kind):
