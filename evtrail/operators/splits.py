@@ -138,8 +138,3 @@ def assemble_oof(fold_outputs: Sequence[DataFrame]) -> DataFrame:
     for d in fold_outputs[1:]:
         out = out.unionByName(d)
     return out
-
-
-def weight_column(label: Column, pos_weight: Column) -> Column:
-    """Balanced sample weight for ``ml`` estimators."""
-    return F.when(label == 1, pos_weight).otherwise(F.lit(1.0))
