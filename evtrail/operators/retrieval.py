@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from evtrail.functions.text import word_tokens
 from evtrail.functions.topk import topk_per_group
+from evtrail.sources.io import scratch_path
 
 def term_counts(df: DataFrame, id_col: str, text: Column, pattern: str = "[a-z0-9_]+") -> DataFrame:
     """(id, term, tf) from lower-cased regex tokens."""
@@ -35,7 +36,12 @@ def lexical_search(queries: DataFrame, docs: DataFrame, q_id: str, q_text: Colum
                        (q_text if q_filters is None else F.concat_ws(" ", q_text, F.array_join(q_filters, " "))).alias("_qt"),
                        lower(q_filters if q_filters is not None else none).alias("_qf"))
     qtc = term_counts(q, "_q", F.col("_qt")).withColumnRenamed("tf", "_qtf")
+    # written first: the planner then knows the size of the query terms and
+    # broadcasts them where it allows; the documents' dealing by id survives
+    spark, path = queries.sparkSession, scratch_path(queries.sparkSession, "query-terms")
     qtc = qtc.join(q.select("_q", "_qf"), "_q")
+    qtc.write.parquet(path)
+    qtc = spark.read.schema(qtc.schema).parquet(path)
     text = d_text if d_tags is None else F.concat_ws(" ", d_text, F.array_join(d_tags, " "))
     d = docs.select(F.col(d_id).alias("_d"), word_tokens(text).alias("_w"),
                     lower(d_tags if d_tags is not None else none).alias("_tags"))
