@@ -27,7 +27,6 @@ training that is common elsewhere is split by adaptive execution.
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -36,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evtrail.llm.common import materialize, read_table, text_bytes
+from evtrail.llm.common import in_arrow, materialize, read_table, text_bytes
 from evtrail.llm.registry import query
 
 TOP = 1 << 17             # tokens whose counts every worker has
@@ -45,10 +44,10 @@ HEAD, CLASS_SIZE = 1024, 32
 BUCKETS = 512             # of each feature template
 OWN = 319                 # contexts with a bucket of their own; then the start, then hashed endings
 TEMPLATES = 3
-STRIDE = 16
+STRIDE = 8
 ROUNDS = 4
-STEP = 0.5
-PRIOR = 4.0               # added to observed and expected counts
+STEP = 0.35
+PRIOR = 8.0               # added to observed and expected counts
 FOLDS = 10                # remainder 0 is held out
 _FLUSH = 300_000
 _BLOCK = 1 << 14
@@ -86,7 +85,7 @@ def _count_batches(batches):
 
 def token_counts(texts: DataFrame) -> DataFrame:
     """``texts``: one binary column.  Returns ``token``, ``c``."""
-    return texts.mapInArrow(_count_batches, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
+    return in_arrow(texts, _count_batches, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
 
 # ------------------------------------------------------------- model -----
@@ -211,7 +210,6 @@ def log10_probabilities(vocab: Vocabulary, weights: Weights, codes: np.ndarray,
 def _position_batches(shared):
     def run(batches):
         import pyarrow as pa
-        gc.disable()
         vocab = shared.value[0]
         make = Featurizer(vocab)
         k = classes(vocab)
@@ -330,7 +328,7 @@ def train(spark: SparkSession, texts: DataFrame, rounds: int = ROUNDS) -> tuple[
     if not head:
         return vocab, weights, counts
     shared = spark.sparkContext.broadcast((vocab, weights))
-    positions = materialize(texts.mapInArrow(_position_batches(shared), "rows binary"), "lm-positions")
+    positions = materialize(in_arrow(texts, _position_batches(shared), "rows binary"), "lm-positions")
     seen = _corpus_sums(positions, shared, True, weights)
     for _ in range(rounds):
         expected = _corpus_sums(positions, shared, False, weights)
@@ -346,7 +344,6 @@ def train(spark: SparkSession, texts: DataFrame, rounds: int = ROUNDS) -> tuple[
 def _score_batches(shared):
     def run(batches):
         import pyarrow as pa
-        gc.disable()
         vocab, weights = shared.value
         make = Featurizer(vocab)
         base = vocab.base_log10(vocab.counts.astype(float))
@@ -407,8 +404,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
                       text_bytes(text_col).alias("t"))
     vocab, weights, counts = train(spark, own.where("not held").select("t"), rounds)
     shared = spark.sparkContext.broadcast((vocab, weights))
-    rows = own.select(F.monotonically_increasing_id().alias("rid"), "id", "held", "t").mapInArrow(
-        _score_batches(shared),
+    rows = in_arrow(
+        own.select(F.monotonically_increasing_id().alias("rid"), "id", "held", "t"), _score_batches(shared),
         "rid long, id long, held boolean, token binary, n long, known long, base double, score double")
     rows = materialize(rows, "lm-rows")      # row numbers are fixed from here on
 
