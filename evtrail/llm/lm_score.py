@@ -12,13 +12,15 @@ distribution over the known tokens and one unknown token, as the base is.
 Training.  Token counts cover every training text.  Feature weights start at
 zero above the unigram biases and are moved by distributed gradient updates:
 each worker sums observed less expected feature counts over its share of the
-training positions (every ``STRIDE``-th position of every training text, so
-they grow with the corpus), the sums meet in one table, and each weight moves
-by the damped log ratio of observed to expected counts, the step iterative
-scaling takes along that gradient.
+training positions (all positions of every training text), the sums meet in
+one table, and each weight moves by the damped log ratio of observed to
+expected counts, the step iterative scaling takes along that gradient.  Equal
+events (context buckets, class, token) are one row with their number: workers
+count theirs while scanning, a shuffle by (context, class) adds them up, and a
+round takes each distinct context and class once, however often it occurs.
 
 Plan.  Three scans: counts (combined per worker, then shuffled by token),
-positions, scores.  Only ``TOP`` tokens of at most ``MAX_TOKEN`` bytes and
+events, scores.  Only ``TOP`` tokens of at most ``MAX_TOKEN`` bytes and
 the weights reach the driver (both bounded by parameters).  What a text has of
 rarer tokens leaves the scoring scan as (row, token, n) and meets its count in
 a shuffled join; such tokens are rare by construction, and a token unknown to
@@ -44,12 +46,12 @@ HEAD, CLASS_SIZE = 1024, 32
 BUCKETS = 512             # of each feature template
 OWN = 319                 # contexts with a bucket of their own; then the start, then hashed endings
 TEMPLATES = 3
-STRIDE = 8
 ROUNDS = 4
 STEP = 0.35
 PRIOR = 8.0               # added to observed and expected counts
 FOLDS = 10                # remainder 0 is held out
 _FLUSH = 300_000
+_EVENTS = 1 << 21         # positions a worker has in hand before it counts equal ones
 _BLOCK = 1 << 14
 
 
@@ -143,6 +145,11 @@ def start_weights(vocab: Vocabulary) -> Weights:
                    np.zeros((n, k + 1), np.float32), np.zeros((n, k, CLASS_SIZE), np.float32))
 
 
+def context_features(last: np.ndarray, skip: np.ndarray) -> tuple:
+    """Buckets of the templates: the last token, the one before it, the pair."""
+    return last, BUCKETS + skip, 2 * BUCKETS + (last * 769 + skip * 31) % BUCKETS
+
+
 class Featurizer:
     """Token codes and hashed context features of texts.  A code is a token's
     rank among the top tokens, or -1 less the bucket of its ending."""
@@ -166,7 +173,7 @@ class Featurizer:
         key[2:][top] = self.context[codes[top]]
         key[2:][~top] = OWN - codes[~top]
         last, skip = key[1:-1], key[:-2]
-        return np.stack([last, BUCKETS + skip, 2 * BUCKETS + (last * 769 + skip * 31) % BUCKETS], axis=1)
+        return np.stack(context_features(last, skip), axis=1)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -207,33 +214,78 @@ def log10_probabilities(vocab: Vocabulary, weights: Weights, codes: np.ndarray,
 
 # ---------------------------------------------------------- training -----
 
-def _position_batches(shared):
+def _event_batches(shared):
+    """Texts -> (event, word, n): how often each class, and each token in it,
+    follows a context.  The event is the context buckets and the class; the
+    pair's bucket follows from the other two."""
     def run(batches):
         import pyarrow as pa
         vocab = shared.value[0]
         make = Featurizer(vocab)
         k = classes(vocab)
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush():
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(key // CLASS_SIZE, pa.int64()), pa.array(key % CLASS_SIZE, pa.int32()),
+                 pa.array(n, pa.int64())], ["event", "word", "n"])
+
         for b in batches:
-            blobs = []
             for text in b.column(0):
-                raw = text.as_py()
-                codes = make.codes(tokens_of(raw))
-                at = np.arange(zlib.crc32(raw[:64]) % STRIDE, len(codes), STRIDE)
-                if not len(at):
-                    continue
-                head = (codes[at] >= 0) & (codes[at] < vocab.head)
-                rows = np.empty((len(at), TEMPLATES + 2), np.int16)
-                rows[:, :TEMPLATES] = make.features(codes)[at]
-                rows[:, TEMPLATES] = np.where(head, codes[at] // CLASS_SIZE, k)
-                rows[:, TEMPLATES + 1] = np.where(head, codes[at] % CLASS_SIZE, -1)
-                blobs.append(rows.tobytes())
-            joined = b"".join(blobs)
-            size = 2 * (TEMPLATES + 2) * (1 << 18)           # positions a row at most
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([joined[i:i + size] for i in range(0, len(joined), size)], pa.binary())], ["rows"])
+                every = make.codes(tokens_of(text.as_py()))
+                feats = make.features(every)
+                for lo in range(0, len(every), _EVENTS):
+                    codes, f = every[lo:lo + _EVENTS], feats[lo:lo + _EVENTS]
+                    head = (codes >= 0) & (codes < vocab.head)
+                    event = (f[:, 0] * BUCKETS + f[:, 1] - BUCKETS) * (k + 1) + np.where(head, codes // CLASS_SIZE, k)
+                    held.append(event * CLASS_SIZE + np.where(head, codes % CLASS_SIZE, 0))
+                    size += len(codes)
+                    if size >= _EVENTS:
+                        yield flush()
+                        held, size = [], 0
+        if held:
+            yield flush()
     return run
 
 
+def _packed_batches(batches):
+    """(event, word, n) rows -> blobs of them in order of the event."""
+    import pyarrow as pa
+    held: list[np.ndarray] = []
+    size = 0
+
+    def flush():
+        rows = np.concatenate(held)
+        return pa.RecordBatch.from_arrays([pa.array([rows[np.argsort(rows[:, 0], kind="stable")].tobytes()],
+                                                    pa.binary())], ["rows"])
+
+    for b in batches:
+        held.append(np.column_stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]))
+        size += len(held[-1])
+        if size >= 1 << 18:
+            yield flush()
+            held, size = [], 0
+    if size:
+        yield flush()
+
+
+def training_events(texts: DataFrame, shared) -> DataFrame:
+    """``rows``: blobs of (event, word, n) over all training positions."""
+    counted = (in_arrow(texts, _event_batches(shared), "event long, word int, n long")
+               .repartition("event").groupBy("event", "word").agg(F.sum("n").alias("n")))
+    return counted.mapInArrow(_packed_batches, "rows binary")
+
+
+def _unpacked(blob: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Feature buckets, class and token in it of each row, and its number."""
+    event, word, n = np.frombuffer(blob, np.int64).reshape(-1, 3).T
+    context, cls = event // (k + 1), event % (k + 1)
+    last, skip = context // BUCKETS, context % BUCKETS
+    return np.stack([*context_features(last, skip), cls, np.where(cls < k, word, -1)], axis=1), n
+
+
 def _add_rows(into: np.ndarray, at: np.ndarray, rows: np.ndarray):
     """into[at] += rows, with repeats, by sorted segments."""
     order = np.argsort(at, kind="stable")
@@ -243,25 +295,40 @@ def _add_rows(into: np.ndarray, at: np.ndarray, rows: np.ndarray):
         into[at[first]] += np.add.reduceat(rows[order], first, axis=0)
 
 
-def gradient(weights: Weights, rows: np.ndarray, observed: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Summed expected feature counts (or observed ones) of positions."""
-    cls_sum = np.zeros(weights.cls.shape, np.float32)
-    word_sum = np.zeros(weights.word.shape, np.float32)
+def _runs(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the first of each run of equal rows, and the run's sum of ``n``."""
+    if not len(rows):
+        return np.zeros(0, np.int64), n
+    first = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]).any(axis=1)))
+    return first, np.add.reduceat(n, first)
+
+
+def gradient(weights: Weights, rows: np.ndarray, observed: bool, n: np.ndarray | None = None
+             ) -> tuple[np.ndarray, np.ndarray]:
+    """Summed expected feature counts (or observed ones) of positions, each
+    row counted ``n`` times."""
+    cls_sum = np.zeros(weights.cls.shape)
+    word_sum = np.zeros(weights.word.shape)
     flat = word_sum.reshape(-1, CLASS_SIZE)
     k = weights.word.shape[1]
+    n = np.ones(len(rows)) if n is None else n.astype(float)
     for lo in range(0, len(rows), _BLOCK):
-        part = rows[lo:lo + _BLOCK].astype(np.int64)
+        part, m = rows[lo:lo + _BLOCK].astype(np.int64), n[lo:lo + _BLOCK]
         f, cls, word = part[:, :TEMPLATES], part[:, TEMPLATES], part[:, TEMPLATES + 1]
         head = word >= 0
-        hf, hc = f[head], cls[head]
+        hf, hc, hm = f[head], cls[head], m[head]
         if observed:
-            p = np.zeros((len(part), k + 1), np.float32)
-            p[np.arange(len(part)), cls] = 1
-            q = np.zeros((len(hc), CLASS_SIZE), np.float32)
-            q[np.arange(len(hc)), word[head]] = 1
-        else:
-            p = _softmax(_gathered(weights.cls, f, weights.cls_bias))
-            q = _softmax(_gathered(weights.word.reshape(-1, CLASS_SIZE), hf * k + hc[:, None], weights.word_bias[hc]))
+            for t in range(TEMPLATES):
+                np.add.at(cls_sum, (f[:, t], cls), m)
+                np.add.at(flat, (hf[:, t] * k + hc, word[head]), hm)
+            continue
+        first, times = _runs(f, m)            # equal contexts, and equal contexts and classes, are one row
+        f = f[first]
+        p = _softmax(_gathered(weights.cls, f, weights.cls_bias)) * times[:, None]
+        first, times = _runs(np.column_stack([hf, hc]), hm)
+        hf, hc = hf[first], hc[first]
+        q = _softmax(_gathered(weights.word.reshape(-1, CLASS_SIZE), hf * k + hc[:, None],
+                               weights.word_bias[hc])) * times[:, None]
         for t in range(TEMPLATES):
             _add_rows(cls_sum, f[:, t], p)
             _add_rows(flat, hf[:, t] * k + hc, q)
@@ -271,15 +338,15 @@ def gradient(weights: Weights, rows: np.ndarray, observed: bool) -> tuple[np.nda
 def _gradient_batches(shared, observed: bool, slices: int):
     def run(batches):
         import pyarrow as pa
-        weights = shared.value[1]
+        vocab, weights = shared.value
         total = None
         for b in batches:
             for blob in b.column(0):
-                rows = np.frombuffer(blob.as_py(), np.int16).reshape(-1, TEMPLATES + 2)
-                one = gradient(weights, rows, observed)
+                rows, n = _unpacked(blob.as_py(), classes(vocab))
+                one = gradient(weights, rows, observed, n)
                 total = one if total is None else tuple(x + y for x, y in zip(total, one))
         if total is not None:
-            flat = np.concatenate([x.ravel() for x in total])
+            flat = np.concatenate([x.ravel() for x in total]).astype(np.float32)
             parts = np.array_split(flat, slices)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(slices), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())],
@@ -299,10 +366,10 @@ def _sum_batches(batches):
                                                      pa.binary())], ["slice", "sums"])
 
 
-def _corpus_sums(positions: DataFrame, shared, observed: bool, like: Weights, slices: int = 16):
+def _corpus_sums(events: DataFrame, shared, observed: bool, like: Weights, slices: int = 16):
     """Feature sums over all workers: each adds up its own, slices of the
     vector meet by shuffle, and the bounded whole comes to the driver."""
-    parts = positions.mapInArrow(_gradient_batches(shared, observed, slices), "slice int, sums binary")
+    parts = events.mapInArrow(_gradient_batches(shared, observed, slices), "slice int, sums binary")
     rows = parts.repartition("slice").mapInArrow(_sum_batches, "slice int, sums binary").collect()
     size = like.cls.size + like.word.size
     flat = (np.concatenate([np.frombuffer(r["sums"], np.float32) for r in sorted(rows, key=lambda r: r["slice"])])
@@ -328,10 +395,10 @@ def train(spark: SparkSession, texts: DataFrame, rounds: int = ROUNDS) -> tuple[
     if not head:
         return vocab, weights, counts
     shared = spark.sparkContext.broadcast((vocab, weights))
-    positions = materialize(in_arrow(texts, _position_batches(shared), "rows binary"), "lm-positions")
-    seen = _corpus_sums(positions, shared, True, weights)
+    events = materialize(training_events(texts, shared), "lm-events")
+    seen = _corpus_sums(events, shared, True, weights)
     for _ in range(rounds):
-        expected = _corpus_sums(positions, shared, False, weights)
+        expected = _corpus_sums(events, shared, False, weights)
         shared.unpersist()
         for w, o, e in zip((weights.cls, weights.word), seen, expected):
             w += STEP * np.log((o + PRIOR) / (np.maximum(e, 0) + PRIOR))

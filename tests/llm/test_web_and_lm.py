@@ -150,6 +150,31 @@ def test_lm_base_counts_and_held_out_score(spark):
     assert sum(r.score for r in held) > 0.75 * sum(r.base_score for r in held)      # both are negative
 
 
+def test_lm_learns_from_every_position(spark, monkeypatch):
+    texts = ["same first words " * 6 + f"then number {i} and {i * i}" for i in range(30)] + ["one", "", "two words"] * 3
+    sums = []
+    own = lm_score._corpus_sums
+
+    def kept(events, shared, observed, *a, **b):
+        sums.append((observed, own(events, shared, observed, *a, **b)))
+        return sums[-1][1]
+    monkeypatch.setattr(lm_score, "_corpus_sums", kept)
+    df = frame(spark, list(enumerate(texts))).repartition(3)
+    vocab, weights, _ = lm_score.train(spark, df.select(lm_score.text_bytes().alias("t")), rounds=1)
+    make = lm_score.Featurizer(vocab)
+    want = np.zeros(weights.cls.shape)
+    words = np.zeros(weights.word.shape)
+    for t in texts:
+        codes = make.codes(lm_score.tokens_of(t.encode()))
+        for f, c in zip(make.features(codes), codes):
+            want[f, c // lm_score.CLASS_SIZE] += 1
+            words[f, c // lm_score.CLASS_SIZE, c % lm_score.CLASS_SIZE] += 1
+    (seen, (cls, word)), (guess, (e_cls, _)) = sums
+    assert seen and not guess
+    assert (cls == want).all() and (word == words).all()
+    assert abs(e_cls.sum() - lm_score.TEMPLATES * vocab.total) < 1
+
+
 def test_lm_is_a_distribution(spark):
     texts = [" ".join(f"t{(i * k) % 1500}" for k in range(200)) for i in range(1, 60)]
     df = frame(spark, [(i, t) for i, t in enumerate(texts)])
