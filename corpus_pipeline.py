@@ -13,11 +13,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from evtrail.llm.common import materialize, read_table
-from evtrail.llm.exact_dedup import drop_exact_copies
+from evtrail.llm.exact_dedup import one_of_each_text
 from evtrail.llm.packing import harmonic_pack, word_vocabulary
 from evtrail.llm.quality_rules import keep_good, train_line_field
 from evtrail.llm.secrets import redact_secrets
-from evtrail.llm.simhash import drop_near_copies
+from evtrail.llm.simhash import one_of_each_component
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,11 +25,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_exact_copies(docs)
+    return one_of_each_text(docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_copies(docs)
+    return one_of_each_component(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

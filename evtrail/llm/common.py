@@ -27,6 +27,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs`` written with a number for each row, and that column's name:
+    rows are told apart whatever their ids, and every later scan sees the
+    same numbers."""
+    key = "row_key"
+    while key in {c.lower() for c in docs.columns}:
+        key += "_"
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), name), key
+
+
 def in_arrow(df: DataFrame, fn, schema) -> DataFrame:
     """``mapInArrow`` for rows that hold whole texts: batches of at most a
     thousand rows, so that what a task has in hand stays small."""

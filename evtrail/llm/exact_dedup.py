@@ -16,10 +16,10 @@ adaptive execution splits the large side where one group holds many rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evtrail.llm.common import ASCII_SPACE, materialize, read_table, text_or_empty
+from evtrail.llm.common import ASCII_SPACE, materialize, read_table, text_or_empty, with_row_key
 from evtrail.llm.registry import query
 
 PREFIX_CHARS = 256
@@ -52,9 +52,15 @@ def progressive_exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: s
     an empty result; other columns of ``docs``, whatever their names, are
     not read.
     """
-    own = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
+    return _verdicts(docs, id_col, text_col, F.monotonically_increasing_id(), prefix_chars, digest_all).drop("rid")
+
+
+def _verdicts(docs: DataFrame, id_col: str, text_col: str, row: Column, prefix_chars: int = PREFIX_CHARS,
+              digest_all: bool = False) -> DataFrame:
+    """The columns of ``progressive_exact_dedup`` and ``rid``, the row's number."""
+    own = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"), row.alias("rid"))
     own = own.withColumn("norm", normalised("t"))
-    own = own.select("id", F.char_length("t").cast("long").alias("code"), "norm",
+    own = own.select("id", "rid", F.char_length("t").cast("long").alias("code"), "norm",
                      F.octet_length("norm").cast("long").alias("len"),
                      F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("pre"))
 
@@ -69,8 +75,7 @@ def progressive_exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: s
         F.broadcast(alive.withColumn("alive", F.lit(True))), "bucket", "left")
     sha = F.sha2("norm", 256)
     cand = flagged.select("id", "code", F.coalesce("alive", F.lit(False)).alias("alive"),
-                          (sha if digest_all else F.when(F.col("alive"), sha)).alias("sha"),
-                          F.monotonically_increasing_id().alias("rid"))
+                          (sha if digest_all else F.when(F.col("alive"), sha)).alias("sha"), "rid")
     cand = materialize(cand, "exact-cand")
     groups = (cand.where("alive").groupBy("sha")
               .agg(F.count(F.lit(1)).alias("n"),
@@ -83,7 +88,7 @@ def progressive_exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: s
                       F.when(single, F.col("id")).otherwise(-F.col("neg")).alias("keep_id"),
                       F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
                       (single | (F.col("rid") == -F.col("negrid"))).alias("kept"),
-                      F.col("sha").alias("text_sha256"))
+                      F.col("sha").alias("text_sha256"), "rid")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,6 +101,16 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
 
 
+def one_of_each_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with exactly one row of each group of equal texts, the kept
+    one of ``progressive_exact_dedup``, whatever its id: rows go by their own
+    number, so null and repeated ids are no exception."""
+    keyed, key = with_row_key(docs, "exact-rows")
+    verdict = _verdicts(keyed, id_col, text_col, F.col(key))
+    gone = materialize(verdict.where("not kept").select(F.col("rid").alias("gone")), "exact-gone")
+    return keyed.join(gone, keyed[key] == gone["gone"], "left_anti").select(*docs.columns)
+
+
 _SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(length(text), 0) AS code,
                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256

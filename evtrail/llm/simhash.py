@@ -33,7 +33,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evtrail.llm.common import connected_components, in_arrow, materialize, read_table, text_bytes
+from evtrail.llm.common import (connected_components, in_arrow, materialize, read_table, text_bytes,
+                                with_row_key)
 from evtrail.llm.registry import query
 
 SHINGLE = 4
@@ -76,7 +77,7 @@ def _fingerprint_batches(shingle: int):
         for b in batches:
             ids, texts = b.column(0), b.column(1)
             fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(fp.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(fp.view(np.int64))], [b.schema.names[0], "fp"])
     return run
 
 
@@ -246,6 +247,18 @@ def _split_hot(keys: DataFrame, limit: int) -> DataFrame:
     return keys
 
 
+def _labelled(distinct: DataFrame, max_bits: int, max_bucket: int) -> DataFrame:
+    """``distinct`` (one row a fingerprint ``fp``) with the ``label`` of its component."""
+    if max_bits > 4:
+        raise ValueError("the keys cover up to four differing bits")
+    keys = _split_hot(distinct.select("fp").mapInArrow(_key_batches, "key long, fp long"), max_bucket)
+    links = (keys.repartition(F.col("key")).sortWithinPartitions("key")
+             .mapInArrow(_link_batches(max_bits), "a long, b long").distinct())
+    comp = materialize(connected_components(links), "simhash-comp")
+    return (distinct.join(comp, distinct["fp"] == comp["node"], "left")
+            .select(*distinct.columns, F.coalesce("root", "fp").alias("label")))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                        max_bits: int = MAX_BITS, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """One row per input row: ``<id>``, ``fingerprint`` (16 lower-case hex
@@ -257,19 +270,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component whose ids are all null has a null ``component_id``; an empty
     table gives an empty result; other columns are not read.
     """
-    if max_bits > 4:
-        raise ValueError("the keys cover up to four differing bits")
     own = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("t"))
     prints = materialize(in_arrow(own, _fingerprint_batches(shingle), "id long, fp long"), "simhash-prints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
 
-    keys = _split_hot(distinct.select("fp").mapInArrow(_key_batches, "key long, fp long"), max_bucket)
-    links = (keys.repartition(F.col("key")).sortWithinPartitions("key")
-             .mapInArrow(_link_batches(max_bits), "a long, b long").distinct())
-    comp = materialize(connected_components(links), "simhash-comp")
-
-    labelled = (distinct.join(comp, distinct["fp"] == comp["node"], "left")
-                .select("fp", "least", F.coalesce("root", "fp").alias("label")))
+    labelled = _labelled(distinct, max_bits, max_bucket)
     least = materialize(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "simhash-least")
     named = materialize(labelled.join(least, "label").select("fp", "component_id"), "simhash-named")
     out = prints.join(named, "fp")
@@ -289,6 +294,25 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
 
 
+def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                          max_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with exactly one row of each component: that of the smallest
+    id, a null id after any other, of equal ids the first row.  Rows go by
+    their own number, so null and repeated ids are no exception."""
+    keyed, key = with_row_key(docs, "simhash-rows")
+    own = keyed.select(F.struct(F.col(key).alias("rid"), F.col(id_col).cast("long").alias("id")).alias("row"),
+                       text_bytes(text_col).alias("t"))
+    prints = materialize(in_arrow(own, _fingerprint_batches(shingle), "row struct<rid:long,id:long>, fp long"),
+                         "simhash-prints")
+    first = F.min(F.struct(F.col("row.id").isNull().alias("none"), "row.id", "row.rid"))
+    distinct = materialize(prints.groupBy("fp").agg(first.alias("first")), "simhash-distinct")
+    kept = (_labelled(distinct, max_bits, MAX_BUCKET).groupBy("label").agg(F.min("first").alias("first"))
+            .select(F.col("first.rid").alias("kept")))
+    rids = prints.select(F.col("row.rid").alias("gone"))
+    gone = materialize(rids.join(kept, rids["gone"] == kept["kept"], "left_anti"), "simhash-gone")
+    return keyed.join(gone, keyed[key] == gone["gone"], "left_anti").select(*docs.columns)
+
+
 @query("op8_simhash_golay")
 def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))

@@ -1,13 +1,14 @@
 import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
+import corpus_pipeline
 from evtrail.llm import simhash
 from evtrail.llm.common import connected_components
 from evtrail.llm.exact_dedup import drop_exact_copies, progressive_exact_dedup
-from tests.llm.helpers import SPACE, docs, frame, odd_texts, words_of
+from tests.llm.helpers import PROSE, SPACE, docs, frame, odd_texts, words_of
 
 
 def test_exact_dedup_against_brute_force(spark):
@@ -60,6 +61,38 @@ def test_dropping_keeps_columns_null_ids_and_one_of_each(spark):
     assert near.columns == d.columns and 1 in {r.doc_id for r in near.collect()}
 
 
+def test_pipeline_keeps_one_of_each_group_whatever_the_ids(spark):
+    rows = [(1, PROSE), (1, PROSE), (2, PROSE + "  "), (2, "some other words entirely"), (None, PROSE),
+            (None, "a text without id"), (None, "a text without id"), (3, "some other words entirely"),
+            (None, PROSE.replace("quick", "swift"))]
+    d = frame(spark, rows).repartition(3)
+    out = corpus_pipeline.exact_dedup(spark, d, "")
+    assert out.columns == d.columns
+    assert sorted((str(r.doc_id), r.text) for r in out.collect()) == sorted(
+        [("2", PROSE + "  "), ("2", "some other words entirely"), ("None", "a text without id"),
+         ("None", PROSE.replace("quick", "swift"))])
+    near = corpus_pipeline.simhash_dedup(spark, d, "")
+    assert near.columns == d.columns
+    groups = defaultdict(list)
+    for label, (i, t) in zip(plain_labels([(i, plain_fingerprint(t)) for i, t in rows]), rows):
+        groups[label].append((i is None, i or 0))
+    assert Counter(str(r.doc_id) for r in near.collect()) == Counter(
+        "None" if min(g)[0] else str(min(g)[1]) for g in groups.values())
+    for stage in (corpus_pipeline.exact_dedup, corpus_pipeline.simhash_dedup):
+        assert stage(spark, frame(spark, []), "").count() == 0
+
+
+def plain_labels(prints):
+    """Position of the first member of each one's component."""
+    up = list(range(len(prints)))
+    for i, (_, a) in enumerate(prints):
+        for j, (_, b) in enumerate(prints):
+            if (a ^ b).bit_count() <= 4:
+                x, y = up[i], up[j]
+                up = [min(x, y) if u in (x, y) else u for u in up]
+    return up
+
+
 def plain_fingerprint(text):
     from xxhash import xxh64_intdigest
     w = words_of(text)
