@@ -10,9 +10,11 @@ Plan.  One scan: a row-wise prefilter, then each pattern's matches are framed
 by a marker, the text is split at the markers and the piece lengths (never
 the texts) are exploded, so positions are a running sum over one text's
 pieces.  The link is an interval join on (document, bin of ``scope`` code
-points): each bin is first reduced to the least and greatest start of each
-part class, so a candidate meets at most three bins of each class and pairs
-are never built, however many parts a document holds.  Documents are keyed by
+points): each bin is first reduced to the least and greatest place a part of
+each class has in it, so a candidate meets its own bins and one on either
+side and pairs are never built, however many parts a document holds.  Parts
+of one kind do not overlap, so the bins they touch are bounded by the length
+of the text.  Documents are keyed by
 id and text hash; only parts and (id, hash) are shuffled, never texts.
 """
 
@@ -35,7 +37,7 @@ KINDS = [
     ("hex", r"[0-9a-f]{24,}", "S", False, 24, False),
     ("account", r"(?i:user(?:name)?|login|account|client_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@_.-]{3,})",
      "I", True, 3, True),
-    ("key", r"(?<![A-Za-z0-9+/=_.-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_.-])", "S", True, 40, False),
+    ("key", r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_-])", "S", True, 40, False),
     ("endpoint", r"(?i:https?|ftps?|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+",
      "E", True, 8, False),
 ]
@@ -83,23 +85,29 @@ def _parts(docs: DataFrame, kinds) -> DataFrame:
             .select("id", "h", "kind", (F.col("end") - F.col("len")).alias("start"), "end"))
 
 
-def _link(parts: DataFrame, kinds, scope: int) -> DataFrame:
-    """Keep strong parts, and weak parts with a complementary part within ``scope``."""
+def _link(parts: DataFrame, kinds, scope: int, gap: bool) -> DataFrame:
+    """Keep strong parts, and weak parts with a complementary part within
+    ``scope``: from the end of one to the start of the next (``gap``), else
+    from start to start."""
     lookup = lambda i: F.create_map(*[F.lit(x) for k in kinds for x in (k[0], k[i])])
     parts = parts.withColumn("class", lookup(2)[F.col("kind")]).withColumn("weak", lookup(3)[F.col("kind")])
-    parts = parts.withColumn("bin", F.floor(F.col("start") / scope).cast("long"))
-    # least and greatest start of each class in each bin: enough to decide
-    # whether any part of it starts within scope, without pairing parts
-    bins = parts.groupBy("id", "h", F.col("bin").alias("near"), F.col("class").alias("other")).agg(
-        F.min("start").alias("lo"), F.max("start").alias("hi"))
+    parts = parts.withColumn("stop", F.col("end" if gap else "start"))
+    of = lambda x: F.floor(x / scope).cast("long")
+    # least and greatest place of each class in each bin it touches: a
+    # candidate's reach is longer than a bin, so it takes a bin's beginning,
+    # its end or all of it, and the two decide without pairing parts
+    bins = (parts.withColumn("near", F.explode(F.sequence(of(F.col("start")), of(F.col("stop")))))
+            .groupBy("id", "h", "near", F.col("class").alias("other")).agg(
+                F.min(F.greatest("start", F.col("near") * scope)).alias("lo"),
+                F.max(F.least("stop", F.col("near") * scope + scope - 1)).alias("hi")))
     needs = F.create_map(*[x for k, c in COMPLEMENTS.items() for x in (F.lit(k), F.array(*map(F.lit, c)))])
     cand = (parts.where("weak")
-            .withColumn("near", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
+            .withColumn("near", F.explode(F.sequence(of(F.col("start")) - 1, of(F.col("stop")) + 1)))
             .withColumn("other", F.explode(needs[F.col("kind")])))
     c, b = cand.alias("c"), bins.alias("b")
     linked = (c.join(b, F.col("c.id").eqNullSafe(F.col("b.id")) & (F.col("c.h") == F.col("b.h"))
                      & (F.col("c.near") == F.col("b.near")) & (F.col("c.other") == F.col("b.other"))
-                     & (F.col("b.lo") <= F.col("c.start") + scope) & (F.col("b.hi") >= F.col("c.start") - scope))
+                     & (F.col("b.lo") <= F.col("c.stop") + scope) & (F.col("b.hi") >= F.col("c.start") - scope))
               .select("c.id", "c.h", "c.kind", "c.start", "c.end").distinct())
     return parts.where("not weak").select("id", "h", "kind", "start", "end").unionByName(linked)
 
@@ -112,17 +120,20 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return own.withColumn("h", F.xxhash64("t", F.char_length("t")))
 
 
-def _found(own: DataFrame, scope: int) -> DataFrame:
+def _found(own: DataFrame, scope: int, gap: bool) -> DataFrame:
     """(id, h, spans) of the texts that have any."""
-    found = _link(materialize(_parts(own.select("id", "h", "t"), KINDS), "secret-parts"), KINDS, scope)
+    found = _link(materialize(_parts(own.select("id", "h", "t"), KINDS), "secret-parts"), KINDS, scope, gap)
     rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k[0], i)])
     return found.groupBy("id", "h").agg(F.array_sort(F.collect_list(F.struct(
         "start", rank[F.col("kind")].alias("rank"), "kind", "end"))).alias("spans"))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE,
+                 gap: bool = False) -> DataFrame:
     """One row per input row: ``<id>`` and ``spans``, an array of
     (start, rank, kind, end) in report order, code points, end exclusive.
+    Parts are linked over at most ``scope`` code points between them with
+    ``gap`` (the query and redaction), else between their starts.
 
     Defined cases: a null or empty text has no spans; rows that repeat an id
     with another text are scanned apart, rows that repeat id and text get
@@ -130,14 +141,14 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gives an empty result; other columns are not read.
     """
     own = _keyed(docs, id_col, text_col)
-    o, s = own.select("id", "h").alias("o"), _found(own, scope).alias("s")
+    o, s = own.select("id", "h").alias("o"), _found(own, scope, gap).alias("s")
     out = o.join(s, F.col("o.id").eqNullSafe(F.col("s.id")) & (F.col("o.h") == F.col("s.h")), "left")
     none = F.expr("array()").cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
     return out.select(F.col("o.id").alias(id_col), F.coalesce("s.spans", none).alias("spans"))
 
 
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE,
-                   mask: str = "[SECRET]", length_col: str | None = None) -> DataFrame:
+                   mask: str = "[SECRET]", length_col: str | None = None, gap: bool = True) -> DataFrame:
     """``docs`` with every reported span replaced by ``mask`` (overlapping
     spans by one mask) and, where a text changed, its code points in
     ``length_col``.  Rows, columns and their order stay as in ``docs``;
@@ -145,7 +156,7 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shuffled if the spans of the texts that have any are too large to
     broadcast."""
     own = _keyed(docs, id_col, text_col)
-    hits = materialize(_found(own, scope), "secret-spans").alias("s")
+    hits = materialize(_found(own, scope, gap), "secret-spans").alias("s")
     o = own.alias("o")
     j = o.join(hits, F.col("o.id").eqNullSafe(F.col("s.id")) & (F.col("o.h") == F.col("s.h")), "left")
     t = F.col("o.t")
@@ -171,7 +182,7 @@ def _joined(spans: Column) -> Column:
 
 @query("op10_secret_scan")
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scan_secrets(read_table(spark, sf_dir, "documents"))
+    s = scan_secrets(read_table(spark, sf_dir, "documents"), gap=True)
     n = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
     base = F.filter("spans", lambda x: x["kind"].isin(*BASE_KINDS))
     return s.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"),
