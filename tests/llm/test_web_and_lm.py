@@ -41,6 +41,23 @@ def test_main_text_of_odd_pages(page, text):
     assert wrapper.main_text(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<article><p>long " + "word " * 50 + "</p></article><article><p>Update: short.</p></article>",
+     ("long " + "word " * 50).strip() + "\nUpdate: short."),
+    ("<main><p>Before.</p><article><p>Inside.</p></article><p>After.</p></main>", "Before.\nInside.\nAfter."),
+    ("<main><p>One.</p></main><p>out</p><main><p>Two is longer.</p></main>", "One.\nTwo is longer."),
+    ("<div class=entry><p>One.</p></div><div>x</div><div class=entry><p>Two is <b>longer</b>.</p></div>",
+     "One.\nTwo is longer."),
+    ("<p>Body.</p><p>See <a href=1>a long reference</a>, <a href=2>another reference</a>.</p>"
+     "<ul><li>1. <a href=3>third reference</a></ul>",
+     "Body.\nSee a long reference, another reference.\n1. third reference"),
+    ("<p>text</p>\n<ul>\n <li><a href=1>one</a> | </li>\n <li><a href=2>two</a>&nbsp;</li>\n</ul>", "text"),
+    ("<article></article><div id=content><p>text</p></div>", "text"),
+])
+def test_no_content_is_left_out_for_length_or_links(page, text):
+    assert wrapper.main_text(page) == text
+
+
 def test_tree_matching_is_the_largest_simple_matching():
     rng = random.Random(3)
 
