@@ -58,6 +58,26 @@ def test_no_content_is_left_out_for_length_or_links(page, text):
     assert wrapper.main_text(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ('<div class="content with-sidebar"><article><p>Body of it.</p></article><div class=sidebar>side</div></div>',
+     "Body of it."),
+    ("<div class=no-sidebar><p>Body of it.</p></div>", "Body of it."),
+    ("<div class=has-banner><div class=banner>b</div><p>Body of it.</p></div>", "Body of it."),
+    ('<article class="post social"><p>Body of it.</p></article>', "Body of it."),
+    ("<div class=layout-sidebar-left><p>Body of the page.</p></div><div class=sidebar-box>side</div>",
+     "Body of the page."),
+    ("<div class=overlay><main><p>Body of it.</p></main></div>", "Body of it."),
+    ("<article><p>Body.</p></article><section id=comments><article><p>nice " + "nice " * 40 + "</p></article></section>",
+     "Body."),
+    ("<div class=overlay><main>Body.</main></div><div>" + "other " * 40 + "</div>", "Body."),
+    ("<article><p>Body.</p></article><div class=comments-area><p>nice " + "nice " * 40 + "</p></div>", "Body."),
+    ("<p>Body.</p><div class=comments><p>nice " + "nice " * 40 + "</p></div>", "Body."),
+    ("<div class=cookie-notice>We use cookies</div><p>Body of the page.</p>", "Body of the page."),
+])
+def test_layout_words_do_not_drop_the_content(page, text):
+    assert wrapper.main_text(page) == text
+
+
 def test_tree_matching_is_the_largest_simple_matching():
     rng = random.Random(3)
 
