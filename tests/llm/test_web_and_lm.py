@@ -123,6 +123,24 @@ def test_constant_slots_become_template(spark, monkeypatch):
     assert wrapper.extract_main_text(pages(spark, [])).count() == 0
 
 
+def test_template_of_few_pages_and_of_several_layouts(spark):
+    def other(i):
+        return (f"<html><body><div class=brand>Brand</div><section class=story><h1>Head {i}</h1><p>text {i} of it</p>"
+                f"<p>Made for the second layout.</p></section></body></html>")
+    rows = [(i, "http://two.com/", site_page(i, f"body {i} here")) for i in range(2)]
+    rows += [(100 + i, "http://half.com/", site_page(i, f"body {i} here") if i % 2 else other(i)) for i in range(20)]
+    # a notice that a third of the pages have, the first tree or not
+    rows += [(200 + i, "http://some.com/", f"<article><h1>Head {i}</h1><p>text {i} of it</p>"
+              + ("<div class=letter>Get our letter today.</div>" if i % 3 == 0 else "") + "</article>")
+             for i in range(12)]
+    rows += [(300, "http://one.com/", site_page(0, "alone"))]
+    text = {r.page_id: r.text for r in wrapper.extract_main_text(pages(spark, rows).repartition(3)).collect()}
+    assert text[1] == "Head 1\nbody 1 here"
+    assert text[101] == "Head 1\nbody 1 here" and text[102] == "Head 2\ntext 2 of it"
+    assert all(text[200 + i] == f"Head {i}\ntext {i} of it" for i in range(12))
+    assert text[300] == "Head 0\nalone\nSubscribe to our letter today."
+
+
 # ------------------------------------------------------------- urls ------
 
 def test_url_verdicts(spark):
