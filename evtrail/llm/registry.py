@@ -22,6 +22,7 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> tuple[dict[str, Callable], dict[str, str]]:
     from evtrail.llm import (  # noqa: F401
-        bpe, classifier, exact_dedup, lm_score, packing, quality_rules, secrets, simhash, url_reputation, wrapper,
+        align, bpe, classifier, divergence, exact_dedup, lm_score, packing, quality_rules, run_index, secrets, simhash,
+        url_reputation, wrapper,
     )
     return QUERIES, ORACLES
