@@ -62,6 +62,50 @@ def grouped_prefix_sums(df: DataFrame, order_col: str, value_cols: list[str],
                       *[(F.col(f"__o_{v}") + F.col(f"__in_{v}")).alias(f"{v}{suffix}") for v in value_cols])
 
 
+def running_state(df: DataFrame, group_cols: list[str], order_cols: list[str], last_cols: list[str] = (),
+                  sum_cols: list[str] = (), set_cols: list[str] = ()) -> DataFrame:
+    """Replace columns by their running state over ``order_cols`` (a total
+    order) within a group: ``last_cols`` by the last value that is not null so
+    far, ``sum_cols`` by the sum so far, ``set_cols`` (arrays of a bounded
+    vocabulary) by the sorted union so far.
+
+    Rows are dealt into ranges of (group, order), so a group of any size is
+    split: windows run inside a range, one row per (group, range) says what
+    the range adds, and each range starts from what the ranges before it
+    left.  ``df`` is written once, and once more with its ranges."""
+    order = [F.col(c).asc_nulls_first() for c in order_cols]
+    base = cut_lineage(df)
+    n = _ranges(df, base.count())
+    cut = cut_lineage(base.repartitionByRange(n, *[F.col(g) for g in group_cols], *order)
+                      .withColumn("__b", F.spark_partition_id()))
+    inside = (Window.partitionBy(*group_cols, "__b").orderBy(*order)
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    kept = [c for c in df.columns if c not in {*last_cols, *sum_cols, *set_cols}]
+    inner = cut.select(*kept, "__b", *[F.last(c, ignorenulls=True).over(inside).alias(c) for c in last_cols],
+                       *[F.sum(c).over(inside).alias(c) for c in sum_cols],
+                       *[F.array_distinct(F.flatten(F.collect_set(c).over(inside))).alias(c) for c in set_cols])
+    # what each range adds: one row per (group, range)
+    place = F.struct(*[F.col(c) for c in order_cols])
+    adds = cut.groupBy(*group_cols, "__b").agg(
+        F.count(F.lit(1)).alias("__rows"),
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"__last_{c}") for c in last_cols],
+        *[F.sum(c).alias(f"__sum_{c}") for c in sum_cols],
+        *[F.array_distinct(F.flatten(F.collect_set(c))).alias(f"__set_{c}") for c in set_cols])
+    before = Window.partitionBy(*group_cols).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = adds.select(
+        *[F.col(g).alias(f"__g{i}") for i, g in enumerate(group_cols)], F.col("__b").alias("__ob"),
+        *[F.last(f"__last_{c}", ignorenulls=True).over(before).alias(f"__last_{c}") for c in last_cols],
+        *[F.sum(f"__sum_{c}").over(before).alias(f"__sum_{c}") for c in sum_cols],
+        *[F.flatten(F.collect_set(f"__set_{c}").over(before)).alias(f"__set_{c}") for c in set_cols])
+    same = F.col("__b") == F.col("__ob")
+    for i, g in enumerate(group_cols):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    state = ({c: F.coalesce(c, f"__last_{c}") for c in last_cols}
+             | {c: F.coalesce(F.col(c), F.lit(0)) + F.coalesce(f"__sum_{c}", F.lit(0)) for c in sum_cols}
+             | {c: F.array_sort(F.array_union(c, f"__set_{c}")) for c in set_cols})
+    return inner.join(starts, same).select(*[state[c].alias(c) if c in state else F.col(c) for c in df.columns])
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: list[float], group_cols: list[str] | None = None,
                     name: str = "q") -> DataFrame:
     """Exact linear-interpolation quantiles (numpy default) without sending

@@ -7,11 +7,13 @@ rule tables are constants (a few dozen rows) and never grow with the data.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evtrail.functions.prefix import running_state
 from evtrail.operators.cleaning import fahrenheit_to_celsius
 from evtrail.operators.pointintime import sweep_count
 
@@ -101,29 +103,35 @@ def _fmt(c: Column, fmt: str) -> Column:
     return F.format_string(fmt, c)
 
 
-def vital_triggers(temp_c: Column, spo2: Column, hr: Column, sbp: Column, rr: Column, avpu: Column,
-                   pain: Column) -> list[tuple[Column, Column]]:
-    """Per vital, in evaluation order, (rule id or null, evidence)."""
-    temp = (F.when(temp_c < 32.22, "T02").when(temp_c < 35.0, "T01").when(temp_c >= 40.0, "T06")
-            .when(temp_c >= 39.0, "T05").when(temp_c >= 38.0, "T04"))
-    sp = F.when(spo2 < 92, "S03").when(spo2 <= 93, "S02")
-    h = (F.when(hr < 40, "HR07").when(hr < 50, "HR06").when(hr > 130, "HR04").when(hr >= 121, "HR03")
-         .when(hr >= 101, "HR02"))
-    b = F.when(sbp < 90, "BP03").when(sbp <= 99, "BP02").when(sbp >= 200, "BP05").when(sbp >= 181, "BP04")
-    r = F.when(rr <= 8, "RR05").when(rr <= 11, "RR04").when(rr >= 30, "RR03").when(rr >= 21, "RR02")
-    av = F.upper(F.trim(avpu.cast("string")))
-    a = (F.when(av.isin("V", "VOICE"), "AV02").when(av.isin("P", "PAIN"), "AV03")
-         .when(av.isin("U", "UNRESPONSIVE"), "AV04"))
-    pn = F.when(pain >= 7, "PAIN02").when(pain >= 4, "PAIN01")
-    return [
-        (temp, _fmt(temp_c, "Temp = %.2f°C")),
-        (sp, F.concat(F.lit("SpO2 = "), spo2.cast("string"), F.lit("%"))),
-        (h, F.concat(F.lit("HR = "), hr.cast("string"), F.lit(" bpm"))),
-        (b, F.concat(F.lit("Systolic BP = "), sbp.cast("string"), F.lit(" mmHg"))),
-        (r, F.concat(F.lit("RR = "), rr.cast("string"), F.lit(" bpm"))),
-        (a, F.concat(F.lit("AVPU = "), av)),
-        (pn, F.concat(F.lit("Pain = "), pain.cast("string"), F.lit("/10"))),
-    ]
+#: Per vital, in evaluation order, the evidence around its value
+#: and the values ``x`` at which each rule fires.
+VITAL_BANDS = (
+    ("temperature", "Temp = ", "°C", {"T02": "x < 32.22", "T01": "x >= 32.22 AND x < 35", "T04": "x >= 38 AND x < 39",
+                                      "T05": "x >= 39 AND x < 40", "T06": "x >= 40"}),
+    ("spo2", "SpO2 = ", "%", {"S03": "x < 92", "S02": "x >= 92 AND x <= 93"}),
+    ("heart_rate", "HR = ", " bpm", {"HR07": "x < 40", "HR06": "x >= 40 AND x < 50", "HR02": "x >= 101 AND x < 121",
+                                     "HR03": "x >= 121 AND x <= 130", "HR04": "x > 130"}),
+    ("systolic_bp", "Systolic BP = ", " mmHg", {"BP03": "x < 90", "BP02": "x >= 90 AND x <= 99",
+                                                "BP04": "x >= 181 AND x < 200", "BP05": "x >= 200"}),
+    ("respiratory_rate", "RR = ", " bpm", {"RR05": "x <= 8", "RR04": "x > 8 AND x <= 11", "RR02": "x >= 21 AND x < 30",
+                                           "RR03": "x >= 30"}),
+    ("avpu", "AVPU = ", "", {"AV02": "x IN ('V', 'VOICE')", "AV03": "x IN ('P', 'PAIN')",
+                             "AV04": "x IN ('U', 'UNRESPONSIVE')"}),
+    ("pain", "Pain = ", "/10", {"PAIN01": "x >= 4 AND x < 7", "PAIN02": "x >= 7"}),
+)
+
+
+def vital_triggers(values: dict[str, str]) -> list[tuple[Column, Column]]:
+    """Per vital of the table, in its order, (rule id or null, evidence).
+    ``values``: the column that holds each vital."""
+    slots = []
+    for vital, before, after, bands in VITAL_BANDS:
+        col = values[vital]
+        fired = F.expr("CASE " + " ".join(f"WHEN {re.sub(r'\bx\b', f'`{col}`', cond)} THEN '{rule}'"
+                                          for rule, cond in bands.items()) + " END")
+        shown = _fmt(F.col(col), "%.2f") if vital == "temperature" else F.col(col).cast("string")
+        slots.append((fired, F.concat(F.lit(before), shown, F.lit(after))))
+    return slots
 
 
 def true_symptoms(flags: Column) -> Column:
@@ -158,9 +166,11 @@ def safety_assessment(df: DataFrame, temp: str = "temperature", spo2: str = "spo
     t = fahrenheit_to_celsius(F.col(temp)) if convert_fahrenheit else F.col(temp).cast("double")
     syms = (F.coalesce(F.col(symptoms), F.array().cast("array<string>")) if symptoms
             else true_symptoms(F.coalesce(F.col(flags), F.create_map().cast("map<string,boolean>"))))
-    slots = vital_triggers(t, F.col(spo2).cast("double"), F.col(hr).cast("double"), F.col(sbp).cast("double"),
-                           F.col(rr).cast("double"), F.col(avpu), F.col(pain).cast("double")) + symptom_triggers(syms)
-    d = df.withColumns({"_t": t, "_syms": syms})
+    named = {"temperature": t, "avpu": F.upper(F.trim(F.col(avpu).cast("string")))}
+    named |= {v: F.col(c).cast("double") for v, c in (("spo2", spo2), ("heart_rate", hr), ("systolic_bp", sbp),
+                                                      ("respiratory_rate", rr), ("pain", pain))}
+    slots = vital_triggers({v: f"_v_{v}" for v in named}) + symptom_triggers(syms)
+    d = df.withColumns({"_t": t, "_syms": syms} | {f"_v_{v}": c for v, c in named.items()})
     d = d.withColumns({f"_r{i}": r for i, (r, _) in enumerate(slots)} | {f"_e{i}": e for i, (_, e) in enumerate(slots)})
     rules = [F.col(f"_r{i}") for i in range(len(slots))]
     red = [k for k, v in SAFETY_RULES.items() if v[0] == "RED"]
@@ -347,18 +357,15 @@ def lineage_gate(provider: DataFrame, pathway: DataFrame, driver: DataFrame, opp
 # ----------------------------------------------------------- I16 -----------
 
 def reassessment(context_events: DataFrame, session: str, order: Sequence[str], fields: Sequence[str], attempt_limit: int = 2,
-                 carry: Sequence[str] = (), assess=None) -> DataFrame:
-    """I16: per session, merge context fields over time (last non-null
-    wins; ``carry`` columns are already cumulative), count attempts,
-    re-assess; still PENDING after ``attempt_limit`` attempts ->
-    HUMAN_CLINICAL_REVIEW.  ``order`` (time, then id) is a total order, so
-    equal times give one result.  The windows stream over a session."""
-    w = Window.partitionBy(session).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    merged = context_events.select(
-        session, *order, *[F.last(F.col(f), ignorenulls=True).over(w).alias(f) for f in fields],
-        *[F.col(c) for c in carry],
-        F.row_number().over(Window.partitionBy(session).orderBy(*order)).alias("attempt"))
-    a = (assess or (lambda d: safety_assessment(d, symptoms="symptoms" if "symptoms" in carry else None)))(merged)
+                 sets: Sequence[str] = (), assess=None) -> DataFrame:
+    """I16: per session, merge context fields over time (last non-null wins,
+    ``sets`` columns add up), count attempts, re-assess; still PENDING after
+    ``attempt_limit`` attempts -> HUMAN_CLINICAL_REVIEW.  ``order`` (time,
+    then id) is a total order, so equal times give one result.  The state runs
+    over ranges of a session, so a long one is split."""
+    rows = context_events.select(session, *order, *fields, *sets, F.lit(1).cast("long").alias("attempt"))
+    merged = running_state(rows, [session], list(order), list(fields), ["attempt"], list(sets))
+    a = (assess or (lambda d: safety_assessment(d, symptoms="symptoms" if "symptoms" in sets else None)))(merged)
     return a.withColumn("outcome", F.when((F.col("status") == "PENDING") & (F.col("attempt") >= attempt_limit),
                                           "HUMAN_CLINICAL_REVIEW").otherwise(F.col("status")))
 

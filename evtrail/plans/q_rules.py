@@ -312,11 +312,8 @@ def i16(spark, sf):
     session (user, day): fields merge over the attempts (last non-null
     wins, symptom flags accumulate) and are re-assessed each time."""
     ev = B.context_events(spark, sf).withColumn("session", F.concat_ws(":", "user_id", "day"))
-    from pyspark.sql import Window
-    w = Window.partitionBy("session").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    ev = ev.withColumn("symptoms", F.sort_array(F.collect_set("symptom").over(w)))
-    r = R.reassessment(ev.select("session", "ts", "event_id", *B.VITALS, "avpu", "pain", "symptoms"), "session",
-                       ["ts", "event_id"], [*B.VITALS, "avpu", "pain"], carry=["symptoms"])
+    ev = ev.withColumn("symptoms", F.array_compact(F.array("symptom")))
+    r = R.reassessment(ev, "session", ["ts", "event_id"], [*B.VITALS, "avpu", "pain"], sets=["symptoms"])
     return r.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -81,7 +81,7 @@ def _s4_sql():
 
 @query("s04_stream_reassessment", lambda: _s4_sql())
 def s04(spark, sf):
-    out = S.run_available(S.s4_reassessment(S.stream_table(spark, sf, "events"), 2), "s04")
+    out = S.run_available(S.s4_sessions(S.stream_table(spark, sf, "events")), "s04", S.s4_reassess_batch(2))
     return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -11,17 +11,17 @@ the sink as a batch DataFrame.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
+from evtrail.functions.prefix import running_state
 from evtrail.operators import rules as R
 from evtrail.plans import bindings as B
-from evtrail.session import ensure_checkpoint_dir
+from evtrail.session import cut_lineage, ensure_checkpoint_dir
 from evtrail.sources.io import scratch_path
+from evtrail.streaming.state import BUCKETS, BucketedState
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
@@ -99,35 +99,7 @@ def s3_sessions(events: DataFrame, gap: str = "30 minutes", watermark: str = "1
 # ------------------------------------------------------------------ S4 ----
 
 S4_FIELDS = [*B.VITALS, "avpu", "pain"]
-_S4_TYPES = ", ".join(f"{f} {'string' if f == 'avpu' else 'double'}" for f in S4_FIELDS)
-S4_OUT = f"session string, ts timestamp, event_id long, attempt int, {_S4_TYPES}, symptoms array<string>"
-S4_STATE = f"attempts int, {_S4_TYPES}, symptoms array<string>"
-S4_KEEP_MS = 24 * 3600 * 1000
-
-
-def _s4_merge(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Merge a session's context fields over its attempts.  The state is one
-    record: attempts so far, the last value of each field, the symptoms."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], ignore_index=True)
-    before = state.get if state.exists else (0, *[None] * len(S4_FIELDS), [])
-    seed = pd.DataFrame([dict(zip(S4_FIELDS, before[1:-1]))]).astype(rows[S4_FIELDS].dtypes.to_dict())
-    merged = pd.concat([seed, rows[S4_FIELDS]], ignore_index=True).ffill().iloc[1:].reset_index(drop=True)
-    merged = merged.astype(object).where(merged.notna(), None)
-    known = set(before[-1] or [])
-    symptoms = [sorted(known := known | set(x)) for x in rows["symptoms"]]
-    out = pd.concat([rows[["ts", "event_id"]], merged], axis=1)
-    out.insert(0, "session", key[0])
-    out.insert(3, "attempt", range(before[0] + 1, before[0] + 1 + len(rows)))
-    out["symptoms"] = symptoms
-    last = merged.iloc[-1].tolist()
-    state.update((before[0] + len(rows), *[None if x is None else x if isinstance(x, str) else float(x) for x in last],
-                  symptoms[-1]))
-    seen = int(rows["ts"].max().timestamp() * 1000)
-    state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + S4_KEEP_MS)
-    yield out
+_S4_ROW = ["session", "ts", "event_id", "attempt", *S4_FIELDS, "symptoms"]
 
 
 def _s4_outcome(merged: DataFrame, attempt_limit: int) -> DataFrame:
@@ -137,32 +109,60 @@ def _s4_outcome(merged: DataFrame, attempt_limit: int) -> DataFrame:
                     .otherwise(F.col("status")).alias("outcome"))
 
 
-def _sessions(events: DataFrame) -> DataFrame:
+def s4_sessions(events: DataFrame) -> DataFrame:
+    """Stateless part of S4: one row per event, an attempt of its session
+    (user, day), with the fields it measures."""
     c = event_context(events)
-    return c.select(F.concat_ws(":", "user_id", "day").alias("session"), "ts", "event_id", *S4_FIELDS, "symptoms")
+    return c.select(F.concat_ws(":", "user_id", "day").alias("session"), "ts", "event_id",
+                    F.lit(1).cast("long").alias("attempt"), *S4_FIELDS, "symptoms")
 
 
-def s4_reassessment(events: DataFrame, attempt_limit: int = 2, watermark: str = "1 day") -> DataFrame:
-    """Per assessment session (user, day) each event is an attempt; the
-    context merges over the attempts (last known value of a field, symptoms
-    add up) and is assessed as a whole; a session still PENDING at the
-    attempt limit goes to HUMAN_CLINICAL_REVIEW.  Within a micro-batch a
-    session's events are taken in time order; its state goes a day of event
-    time after its last event."""
-    s = _sessions(events).withWatermark("ts", watermark)
-    merged = s.groupBy("session").applyInPandasWithState(_s4_merge, S4_OUT, S4_STATE, "append",
-                                                         GroupStateTimeout.EventTimeTimeout)
-    return _s4_outcome(merged, attempt_limit)
+def _s4_merged(rows: DataFrame) -> DataFrame:
+    return running_state(rows, ["session"], ["ts", "event_id"], S4_FIELDS, ["attempt"], ["symptoms"])
+
+
+def s4_reassess_batch(attempt_limit: int = 2, keep: str = "2 days", buckets: int = BUCKETS):
+    """S4 as a batch function over :func:`s4_sessions`: the context of a
+    session merges over its attempts (last known value of a field, symptoms
+    add up) and is assessed as a whole; a session still PENDING at the attempt
+    limit goes to HUMAN_CLINICAL_REVIEW.
+
+    A session's state (attempts so far, last values, symptoms) is one row of a
+    :class:`BucketedState`; it enters the batch as a row before the session's
+    events, and native windows over ranges carry it on, so a session that
+    holds a third of all rows is split and no Python runs per session.  Within
+    a micro-batch events are taken in time order; a late event is an attempt
+    of the batch it comes in.  A session's state goes ``keep`` of event time
+    after its last event, when its bucket is next written."""
+    def fn(batch: DataFrame, batch_id: int, path: str) -> None:
+        spark = batch.sparkSession
+        store = BucketedState(spark, f"{path.rsplit('/', 1)[0]}/state", "session", buckets)
+        rows = cut_lineage(batch.select(*_S4_ROW))
+        if rows.isEmpty():
+            return
+        newest = rows.agg(F.max("ts")).first()[0]
+
+        def step(before: DataFrame) -> DataFrame:
+            # the state's row comes first whatever its time: null sorts first
+            seeds = before.select(F.col("session"), F.lit(None).cast("timestamp").alias("ts"), "event_id", "attempt",
+                                  *S4_FIELDS, "symptoms", F.col("ts").alias("last_ts"), F.lit(True).alias("seed"))
+            own = rows.select("*", F.col("ts").alias("last_ts"), F.lit(False).alias("seed"))
+            merged = cut_lineage(_s4_merged(own.unionByName(seeds)))
+            _s4_outcome(merged.where(~F.col("seed")), attempt_limit).write.mode("overwrite").parquet(
+                f"{path}/_batch={batch_id}")
+            last = merged.groupBy("session").agg(
+                F.max("last_ts").alias("ts"),
+                F.max_by(F.struct("event_id", "attempt", *S4_FIELDS, "symptoms"), "attempt").alias("s"))
+            state = last.select("session", "ts", "s.*").select(*_S4_ROW)
+            return state.where(F.col("ts") >= F.lit(newest) - F.expr(f"INTERVAL {keep}")) if newest else state
+
+        store.merge(rows, batch_id, rows.schema, step)
+    return fn
 
 
 def s4_batch(events: DataFrame, attempt_limit: int = 2) -> DataFrame:
-    """S4 batch twin: the same merge with windows that stream over a session."""
-    w = Window.partitionBy("session").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    merged = _sessions(events).select(
-        "session", "ts", "event_id", F.row_number().over(Window.partitionBy("session").orderBy("ts", "event_id"))
-        .alias("attempt"), *[F.last(f, ignorenulls=True).over(w).alias(f) for f in S4_FIELDS],
-        F.array_distinct(F.flatten(F.collect_list("symptoms").over(w))).alias("symptoms"))
-    return _s4_outcome(merged, attempt_limit)
+    """S4 batch twin: the same merge over all events."""
+    return _s4_outcome(_s4_merged(s4_sessions(events)), attempt_limit)
 
 
 # ------------------------------------------------------------------ S5 ----
@@ -190,32 +190,28 @@ def s6_interval_join(anchors: DataFrame, outcomes: DataFrame, within: str = "1 d
 
 # ------------------------------------------------------------------ S7 ----
 
-def s7_upsert_batch(key: str, status: str, order: str):
-    """foreachBatch upsert of the latest state per key.  Each batch writes
-    a whole new version of the state, ``_version=<batch id>``: the previous
-    version and the batch, reduced by ``order`` (event time, then id), so an
-    older event in a later batch never wins; equal orders go to the later
-    batch.  A replayed batch overwrites its version, and versions before the
-    previous one are removed, so the state does not grow with the log."""
+def s7_upsert_batch(key: str, status: str, order: str, buckets: int = BUCKETS):
+    """foreachBatch upsert of the latest state per key.  The buckets the
+    batch's keys fall into are read, reduced with the batch by ``order``
+    (event time, then id) and written as a new version, so an older event in a
+    later batch never wins; equal orders go to the later batch."""
     def fn(batch: DataFrame, batch_id: int, path: str) -> None:
-        spark = batch.sparkSession
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
-        at = lambda v: jvm.org.apache.hadoop.fs.Path(f"{path}/_version={v}")
-        rows = batch.select(key, status, order).withColumn("_batch", F.lit(batch_id))
-        if fs.exists(at(batch_id - 1)):
-            rows = rows.unionByName(spark.read.parquet(f"{path}/_version={batch_id - 1}"))
-        last = F.max(F.struct(F.col(order), F.col("_batch"), F.col(status))).alias("_m")
-        state = rows.groupBy(key).agg(last).select(key, F.col(f"_m.{status}").alias(status),
-                                                   F.col(f"_m.{order}").alias(order), F.col("_m._batch").alias("_batch"))
-        state.write.mode("overwrite").parquet(f"{path}/_version={batch_id}")
-        if fs.exists(at(batch_id - 2)):
-            fs.delete(at(batch_id - 2), True)
+        rows = cut_lineage(batch.select(key, status, order).withColumn("_batch", F.lit(batch_id).cast("long")))
+        if rows.isEmpty():
+            return
+
+        def step(before: DataFrame) -> DataFrame:
+            last = F.max(F.struct(F.col(order), F.col("_batch"), F.col(status))).alias("_m")
+            return rows.unionByName(before).groupBy(key).agg(last).select(
+                key, F.col(f"_m.{status}").alias(status), F.col(f"_m.{order}").alias(order),
+                F.col("_m._batch").alias("_batch"))
+
+        BucketedState(batch.sparkSession, path, key, buckets).merge(rows, batch_id, rows.schema, step)
     return fn
 
 
 def s7_read_state(sink: DataFrame, key: str, status: str) -> DataFrame:
-    """The newest version (its number is one row)."""
-    newest = sink.agg(F.max("_version").alias("_v"))
-    return sink.join(F.broadcast(newest), F.col("_version") == F.col("_v")).select(key, status)
+    """The newest version of every bucket (one row a bucket: broadcast)."""
+    newest = sink.groupBy(F.col("_bucket").alias("_b")).agg(F.max("_version").alias("_v"))
+    return sink.join(F.broadcast(newest), (F.col("_bucket") == F.col("_b")) & (F.col("_version") == F.col("_v"))).select(
+        key, status)

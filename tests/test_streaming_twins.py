@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evtrail.plans import bindings as B
+from evtrail.sources.io import scratch_path
 from evtrail.streaming import jobs as S
 
 SF = "/root/testdata/sf0.001"
@@ -57,7 +58,7 @@ def test_reassessment_equals_batch_twin_over_several_files(spark):
     path = _folder(spark, [ev.where(third < 8), ev.where((third >= 8) & (third < 16)), ev.where(third >= 16)])
     cols = ["session", "event_id", "attempt", "status", "outcome"]
     want = _rows(S.s4_batch(ev, 2).select(*cols))
-    got = S.run_available(S.s4_reassessment(_stream(spark, path, ev.schema), 2, watermark="100000 days"), "t_s4")
+    got = S.run_available(S.s4_sessions(_stream(spark, path, ev.schema)), "t_s4", S.s4_reassess_batch(2, "100000 days"))
     assert _rows(got.select(*cols)) == want
 
 
@@ -81,4 +82,62 @@ def test_older_status_in_a_later_batch_does_not_win(spark):
     sink = S.run_available(_stream(spark, path, parts[0].schema).select("k", "status", F.struct("t").alias("ord")),
                            "t_s7", batch_fn=S.s7_upsert_batch("k", "status", "ord"))
     assert {r["k"]: r["status"] for r in S.s7_read_state(sink, "k", "status").collect()} == {1: "new", 2: "tie", 3: "x"}
-    assert sink.select("_version").distinct().count() <= 2          # old versions go
+    per_bucket = sink.groupBy("_bucket").agg(F.countDistinct("_version").alias("n"))
+    assert per_bucket.agg(F.max("n")).first()[0] <= 2               # old versions go
+
+
+def test_upsert_writes_only_the_buckets_it_touches_and_survives_a_replay(spark):
+    path = scratch_path(spark, "t-state")
+    fn = S.s7_upsert_batch("k", "status", "ord", buckets=16)
+    frame = lambda rows: spark.createDataFrame(rows, "k long, status string, t long").select("k", "status", F.struct("t").alias("ord"))
+    fn(frame([(k, "first", 1) for k in range(500)]), 0, path)
+    fn(frame([(7, "second", 2)]), 1, path)
+    written = lambda v: spark.read.parquet(path).where(F.col("_version") == v)
+    assert written(0).select("_bucket").distinct().count() == 16
+    assert written(1).select("_bucket").distinct().count() == 1 and written(1).count() < 100
+    want = {k: "second" if k == 7 else "first" for k in range(500)}
+    got = lambda: {r["k"]: r["status"] for r in S.s7_read_state(spark.read.parquet(path), "k", "status").collect()}
+    assert got() == want
+    fn(frame([(7, "second", 2)]), 1, path)                           # replayed
+    assert got() == want
+    fn(frame([(7, "third", 3), (8, "late", 0)]), 2, path)
+    assert got() == want | {7: "third"}
+
+
+def plain_attempts(rows):
+    """(session, event_id) -> (attempt, temperature, symptoms) in time order."""
+    out, state = {}, {}
+    for session, ts, event, temp, syms in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        n, last, held = state.get(session, (0, None, frozenset()))
+        state[session] = n, last, held = n + 1, last if temp is None else temp, held | set(syms)
+        out[session, event] = (n, last, sorted(held))
+    return out
+
+
+def test_running_state_splits_a_hot_group(spark, monkeypatch):
+    import random
+
+    from evtrail.functions import prefix
+    monkeypatch.setattr(prefix, "ROWS_PER_RANGE", 50)
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot"] * 5 + ["a", "b", None]), rng.randint(0, 200), i,
+             rng.choice([None, None, 36.5, 39.0]), rng.sample(["x", "y", "z"], rng.choice([0, 0, 1, 2]))) for i in range(900)]
+    df = spark.createDataFrame(rows, "s string, ts long, event_id long, temp double, syms array<string>").withColumn("n", F.lit(1))
+    out = prefix.running_state(df, ["s"], ["ts", "event_id"], ["temp"], ["n"], ["syms"])
+    want = plain_attempts([(r[0] or "~", *r[1:]) for r in rows])
+    assert {(r["s"] or "~", r["event_id"]): (r["n"], r["temp"], r["syms"]) for r in out.collect()} == want
+
+
+def test_sessions_carry_over_batches_and_replays(spark):
+    fn = S.s4_reassess_batch(2, buckets=8)
+    path = f"{scratch_path(spark, 't-s4')}/data"
+    ev = _events(spark).orderBy("ts").limit(400)
+    rows = S.s4_sessions(ev)
+    cut = rows.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    parts = [rows.where(F.col("ts") <= F.lit(cut)), rows.where(F.col("ts") > F.lit(cut))]
+    fn(parts[0], 0, path)
+    fn(parts[1], 1, path)
+    fn(parts[1], 1, path)                                            # replayed
+    cols = ["session", "event_id", "attempt", "status", "outcome"]
+    got = _rows(spark.read.parquet(path).select(*cols))
+    assert got == _rows(S.s4_batch(ev, 2).select(*cols))
