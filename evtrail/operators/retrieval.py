@@ -1,22 +1,21 @@
 """Lexical retrieval, case graph, audit rows (K).
 
-Scoring is a sparse product: query term counts joined to document term
-counts on the term.  Documents are dealt by id once; scores are summed and
-each partition's own best documents of a query are kept where they are, so
-only ``partitions * k`` rows a query are shuffled, never (query, document)
-pairs.  How the query terms reach the documents is left to the planner.
+Scoring is a sparse product of query and document term counts over an
+inverted index (:mod:`evtrail.operators.postings`), which leaves out the
+documents that cannot reach a query's top ``k``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evtrail.functions.text import word_tokens
 from evtrail.functions.topk import topk_per_group
-from evtrail.sources.io import scratch_path
+from evtrail.operators.postings import _written, build_index, search_index
+
 
 def term_counts(df: DataFrame, id_col: str, text: Column, pattern: str = "[a-z0-9_]+") -> DataFrame:
     """(id, term, tf) from lower-cased regex tokens."""
@@ -35,29 +34,14 @@ def lexical_search(queries: DataFrame, docs: DataFrame, q_id: str, q_text: Colum
     q = queries.select(F.col(q_id).alias("_q"),
                        (q_text if q_filters is None else F.concat_ws(" ", q_text, F.array_join(q_filters, " "))).alias("_qt"),
                        lower(q_filters if q_filters is not None else none).alias("_qf"))
-    qtc = term_counts(q, "_q", F.col("_qt")).withColumnRenamed("tf", "_qtf")
-    # written first: the planner then knows the size of the query terms and
-    # broadcasts them where it allows; the documents' dealing by id survives
-    spark, path = queries.sparkSession, scratch_path(queries.sparkSession, "query-terms")
-    qtc = qtc.join(q.select("_q", "_qf"), "_q")
-    qtc.write.parquet(path)
-    qtc = spark.read.schema(qtc.schema).parquet(path)
-    text = d_text if d_tags is None else F.concat_ws(" ", d_text, F.array_join(d_tags, " "))
-    d = docs.select(F.col(d_id).alias("_d"), word_tokens(text).alias("_w"),
-                    lower(d_tags if d_tags is not None else none).alias("_tags"))
-    # everything up to the kept rows stays in the partition of the document
-    toks = d.repartition("_d").select("_d", "_tags", F.explode("_w").alias("term"))
-    toks = toks.join(qtc.select("term").distinct(), "term", "left_semi")
-    dtc = toks.groupBy("_d", "_tags", "term").agg(F.count(F.lit(1)).alias("_dtf"))
-    bonus = F.when(F.arrays_overlap("_tags", "_qf"), tag_bonus).otherwise(0.0)
-    scored = (dtc.join(qtc, "term").groupBy("_d", "_q", "_tags", "_qf").agg(F.sum(F.least("_dtf", "_qtf")).alias("_l"))
-              .select("_q", "_d", (F.col("_l") + bonus).alias("score")).where(F.col("score") > 0))
+    qtc = _written(term_counts(q, "_q", F.col("_qt")).withColumnRenamed("tf", "qtf"), "query-terms")
+    index = build_index(docs, d_id, d_text, d_tags, vocabulary=qtc)
     order = [F.col("score").desc(), F.col("_d")]
-    top = topk_per_group(scored, ["_q"], order, k).drop("rank")
+    top = search_index(index, qtc, q.select("_q", "_qf").where(F.size("_qf") > 0), k, tag_bonus).drop("rank")
     if q_filters is not None and d_tags is not None:
         # a tag without a single token scores by the bonus alone: its first k
         # documents are enough, as any of them with a lexical hit ranks higher
-        tags = d.select("_d", F.explode("_tags").alias("_t")).join(
+        tags = index.tags.select("_d", F.explode("_tags").alias("_t")).join(
             q.select(F.explode("_qf").alias("_t")).distinct(), "_t", "left_semi")
         first = topk_per_group(tags, ["_t"], [F.col("_d")], k).drop("rank")
         only = (q.select("_q", F.explode("_qf").alias("_t")).join(first, "_t")
@@ -77,43 +61,65 @@ def audit_rows(results: DataFrame, q_id: str, d_id: str, rank: str = "rank") ->
         F.count(F.lit(1)).alias("n_sources"))
 
 
+#: Nodes (id, type, label) and edges (source, target, type) of a
+#: case, and the lists that hang on it (list, place, node type, edge source,
+#: edge type).  ``{column}`` stands for a column of the case.
+CASE_NODES = (
+    ("patient:{case}", "Patient", "Patient {case}"),
+    ("encounter:{index_id}", "Encounter", "Encounter {index_id}"),
+    ("risk", "RiskAssessment", "Historical risk: {band}"),
+    ("safety", "SafetyAssessment", "Safety: {safety_status}"),
+    ("pathway", "CarePathway", "{pathway_name}"),
+)
+CASE_EDGES = (
+    ("patient:{case}", "encounter:{index_id}", "HAS_ENCOUNTER"),
+    ("encounter:{index_id}", "risk", "HAS_RISK_ASSESSMENT"),
+    ("encounter:{index_id}", "safety", "HAS_SAFETY_ASSESSMENT"),
+    ("risk", "pathway", "INFORMS"),
+    ("safety", "pathway", "GOVERNS"),
+)
+CASE_LISTS = (("drivers", "driver", "RiskDriver", "risk", "SUPPORTED_BY"),
+              ("providers", "provider", "Provider", "pathway", "MATCHED_TO"))
+CASE_DEFAULTS = {"band": "UNKNOWN", "safety_status": "PENDING", "pathway_name": "Assessment required"}
+
+
+def _fill(template: str, case_id: str) -> Column:
+    """A text with ``{column}`` places as an expression."""
+    parts = [F.lit(text) if i % 2 == 0 else
+             F.coalesce(F.col(case_id if text == "case" else text).cast("string"), F.lit(CASE_DEFAULTS.get(text)))
+             for i, text in enumerate(re.split(r"[{}]", template)) if text]
+    return F.concat(*parts)
+
+
 def case_graph(cases: DataFrame, drivers: DataFrame, providers: DataFrame, case_id: str = "entity_id",
                max_drivers: int = 3, max_providers: int = 3) -> tuple[DataFrame, DataFrame]:
     """K3: nodes(case, node_id, type, label) and edges(case, src, dst, type).
-    ``drivers``: (case, drivers array<string>); ``providers``: (case, rank,
-    provider_id).  Fixed skeleton per case + <=3 drivers + <=3 providers."""
-    c = F.col(case_id).cast("string")
-    pat = F.concat(F.lit("patient:"), c)
-    enc = F.concat(F.lit("encounter:"), F.col("index_id").cast("string"))
-    base = [
-        (pat, F.lit("Patient"), F.concat(F.lit("Patient "), c)),
-        (enc, F.lit("Encounter"), F.concat(F.lit("Encounter "), F.col("index_id").cast("string"))),
-        (F.lit("risk"), F.lit("RiskAssessment"), F.concat(F.lit("Historical risk: "), F.coalesce("band", F.lit("UNKNOWN")))),
-        (F.lit("safety"), F.lit("SafetyAssessment"), F.concat(F.lit("Safety: "), F.coalesce("safety_status", F.lit("PENDING")))),
-        (F.lit("pathway"), F.lit("CarePathway"), F.coalesce("pathway_name", F.lit("Assessment required"))),
-    ]
-    nodes = None
-    for nid, typ, lab in base:
-        part = cases.select(F.col(case_id), nid.alias("node_id"), typ.alias("type"), lab.alias("label"))
-        nodes = part if nodes is None else nodes.unionByName(part)
-    e_base = [(pat, enc, "HAS_ENCOUNTER"), (enc, F.lit("risk"), "HAS_RISK_ASSESSMENT"),
-              (enc, F.lit("safety"), "HAS_SAFETY_ASSESSMENT"), (F.lit("risk"), F.lit("pathway"), "INFORMS"),
-              (F.lit("safety"), F.lit("pathway"), "GOVERNS")]
-    edges = None
-    for s, d, t in e_base:
-        part = cases.select(F.col(case_id), s.alias("src"), d.alias("dst"), F.lit(t).alias("type"))
-        edges = part if edges is None else edges.unionByName(part)
-    dv = drivers.select(F.col(case_id), F.posexplode(F.slice("drivers", 1, max_drivers)).alias("pos", "driver"))
-    nodes = nodes.unionByName(dv.select(case_id, F.concat(F.lit("driver:"), F.col("pos").cast("string")).alias("node_id"),
-                                        F.lit("RiskDriver").alias("type"), F.col("driver").alias("label")))
-    edges = edges.unionByName(dv.select(case_id, F.lit("risk").alias("src"),
-                                        F.concat(F.lit("driver:"), F.col("pos").cast("string")).alias("dst"),
-                                        F.lit("SUPPORTED_BY").alias("type")))
-    pv = providers.where(F.col("rank") <= max_providers).select(
-        F.col(case_id), (F.col("rank") - 1).alias("pos"), F.col("provider_id"))
-    nodes = nodes.unionByName(pv.select(case_id, F.concat(F.lit("provider:"), F.col("pos").cast("string")).alias("node_id"),
-                                        F.lit("Provider").alias("type"), F.col("provider_id").cast("string").alias("label")))
-    edges = edges.unionByName(pv.select(case_id, F.lit("pathway").alias("src"),
-                                        F.concat(F.lit("provider:"), F.col("pos").cast("string")).alias("dst"),
-                                        F.lit("MATCHED_TO").alias("type")))
-    return nodes, edges
+    ``drivers``: (case, drivers array<string>), one row a case; ``providers``:
+    (case, rank, provider_id).  Every case becomes one row with its two bounded
+    lists, and one explode each makes nodes and edges of it: each table is
+    read once."""
+    first = F.sort_array(F.collect_list(F.struct("rank", F.col("provider_id").cast("string").alias("label"))))
+    best = (providers.where(F.col("rank") <= max_providers).groupBy(case_id).agg(first.alias("_p"))
+            .select(case_id, F.col("_p.label").alias("_providers")))
+    whole = (cases.join(drivers.select(case_id, F.slice("drivers", 1, max_drivers).alias("_drivers")), case_id, "left")
+             .join(best, case_id, "left"))
+
+    def listed(make) -> list[Column]:
+        none = F.array().cast("array<string>")
+        return [F.transform(F.coalesce(F.col(f"_{name}"), none), make(place, *rest))
+                for name, place, *rest in CASE_LISTS]
+
+    def at(place: str, i: Column) -> Column:
+        return F.concat(F.lit(f"{place}:"), i.cast("string"))
+
+    nodes = F.concat(
+        F.array(*[F.struct(_fill(i, case_id).alias("node_id"), F.lit(t).alias("type"), _fill(x, case_id).alias("label"))
+                  for i, t, x in CASE_NODES]),
+        *listed(lambda place, kind, *_: lambda label, i: F.struct(
+            at(place, i).alias("node_id"), F.lit(kind).alias("type"), label.alias("label"))))
+    edges = F.concat(
+        F.array(*[F.struct(_fill(a, case_id).alias("src"), _fill(b, case_id).alias("dst"), F.lit(t).alias("type"))
+                  for a, b, t in CASE_EDGES]),
+        *listed(lambda place, kind, source, link: lambda label, i: F.struct(
+            F.lit(source).alias("src"), at(place, i).alias("dst"), F.lit(link).alias("type"))))
+    return tuple(whole.select(case_id, F.explode(x).alias("_x")).select(case_id, "_x.*") for x in (nodes, edges))

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+BUCKETS = 64
 
 
 def bucket_of(key: str, buckets: int = BUCKETS):

@@ -57,6 +57,52 @@ def test_lexical_search_against_brute_force(spark):
     assert _search(spark, qs, docs) == want
 
 
+def test_search_scores_few_of_the_sharing_pairs(spark):
+    import random
+
+    from evtrail.operators import postings as P
+    rng = random.Random(8)
+    common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(400)]
+    docs = [(i, " ".join(rng.choices(common, k=30) + rng.sample(rare, 6)), ["en"] if i % 3 else ["fr"]) for i in range(600)]
+    qs = [(i, " ".join(docs[i * 7][1].split()[20:]), ["en"] if i % 2 else []) for i in range(40)]
+    d = spark.createDataFrame(docs, "d long, text string, tags array<string>")
+    q = spark.createDataFrame(qs, "_q long, text string, _qf array<string>")
+    terms = K.term_counts(q, "_q", F.concat_ws(" ", "text", F.array_join("_qf", " "))).withColumnRenamed("tf", "qtf")
+    index = P.build_index(d, "d", F.col("text"), F.col("tags"))
+    pairs, _, _ = P.candidates(index, terms, q.select("_q", "_qf").where(F.size("_qf") > 0), 4, 3.0)
+    sharing = index.postings.join(terms, "term").select("_q", "_d").distinct().count()
+    assert pairs.count() < sharing / 3
+    got = _search(spark, qs, docs)
+    from collections import Counter
+    tok = lambda t: Counter(t.split())
+    for i, text, f in qs:
+        a = tok(" ".join([text, *f]))
+        ranked = sorted((-(sum((a & tok(" ".join([b, *t]))).values()) + (3 if set(f) & set(t) else 0)), j) for j, b, t in docs)
+        assert [got[i, r] for r in range(1, 5)] == [(j, float(-s)) for s, j in ranked[:4]]
+
+
+def test_case_graph_content(spark):
+    cases = spark.createDataFrame([(1, 10, "HIGH", "RED", "Path"), (2, 20, None, None, None)],
+                                  "entity_id long, index_id long, band string, safety_status string, pathway_name string")
+    drivers = spark.createDataFrame([(1, ["a", "b", "c", "d"])], "entity_id long, drivers array<string>")
+    providers = spark.createDataFrame([(1, 2, 7), (1, 1, 9), (1, 4, 5)], "entity_id long, rank int, provider_id long")
+    nodes, edges = K.case_graph(cases, drivers, providers)
+    assert {tuple(r) for r in nodes.collect()} == {
+        (1, "patient:1", "Patient", "Patient 1"), (1, "encounter:10", "Encounter", "Encounter 10"),
+        (1, "risk", "RiskAssessment", "Historical risk: HIGH"), (1, "safety", "SafetyAssessment", "Safety: RED"),
+        (1, "pathway", "CarePathway", "Path"), (1, "driver:0", "RiskDriver", "a"), (1, "driver:1", "RiskDriver", "b"),
+        (1, "driver:2", "RiskDriver", "c"), (1, "provider:0", "Provider", "9"), (1, "provider:1", "Provider", "7"),
+        (2, "patient:2", "Patient", "Patient 2"), (2, "encounter:20", "Encounter", "Encounter 20"),
+        (2, "risk", "RiskAssessment", "Historical risk: UNKNOWN"), (2, "safety", "SafetyAssessment", "Safety: PENDING"),
+        (2, "pathway", "CarePathway", "Assessment required")}
+    assert {tuple(r) for r in edges.where("entity_id = 1").collect()} == {
+        (1, "patient:1", "encounter:10", "HAS_ENCOUNTER"), (1, "encounter:10", "risk", "HAS_RISK_ASSESSMENT"),
+        (1, "encounter:10", "safety", "HAS_SAFETY_ASSESSMENT"), (1, "risk", "pathway", "INFORMS"),
+        (1, "safety", "pathway", "GOVERNS"), (1, "risk", "driver:0", "SUPPORTED_BY"), (1, "risk", "driver:1", "SUPPORTED_BY"),
+        (1, "risk", "driver:2", "SUPPORTED_BY"), (1, "pathway", "provider:0", "MATCHED_TO"),
+        (1, "pathway", "provider:1", "MATCHED_TO")}
+
+
 def test_lookup_falls_back_to_the_latest_row(spark):
     rows = spark.createDataFrame([(1, 10, 5, "a"), (1, 11, 6, "b"), (2, 20, 1, "c")], "e long, ev long, ts long, v string")
     req = spark.createDataFrame([(1, 10), (1, 99), (2, 20)], "e long, req_event long")
