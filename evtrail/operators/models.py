@@ -11,17 +11,23 @@ from __future__ import annotations
 
 import random
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evtrail.functions.prefix import global_rank
 from evtrail.operators import evaluation as H
+from evtrail.operators.ml_stages import ExactMedianImputer, isotonic_apply, isotonic_fit
+from evtrail.session import cut_lineage
 
 
 # ------------------------------------------------------------- G1..G6 -----
@@ -97,15 +103,17 @@ def make_classifier(kind: str, params: Mapping | None = None, weight_col: str |
 
 def build_pipeline(numeric: Sequence[str], categorical: Sequence[str], kind: str, params: Mapping | None = None,
                    scale: bool = False) -> Pipeline:
-    """Median impute -> (one-hot) -> assemble -> (scale) -> classifier."""
-    # exact medians, as the registered imputation computes them
-    imp = Imputer(strategy="median", relativeError=0.0, inputCols=list(numeric),
-                  outputCols=[f"{c}_imp" for c in numeric])
-    stages = [imp]
+    """Median impute with missing indicators -> (one-hot) -> assemble ->
+    (scale) -> classifier.  Numeric features come first, then one-hot
+    vectors, then the indicators."""
+    missing = [f"{c}_missing" for c in numeric]
+    stages = [ExactMedianImputer(inputCols=list(numeric), outputCols=[f"{c}_imp" for c in numeric],
+                                 indicatorCols=missing)]
     feats = [f"{c}_imp" for c in numeric]
     if categorical:
         stages += one_hot_stages(categorical)
         feats += [f"{c}_ohe" for c in categorical]
+    feats += missing
     stages.append(VectorAssembler(inputCols=feats, outputCol="raw_features" if scale else "features",
                                   handleInvalid="keep"))
     if scale:
@@ -146,44 +154,70 @@ def random_search(train: DataFrame, folds: DataFrame, numeric, categorical, kind
     fold/role per row), scored by AP; returns (trial, params, mean_ap)."""
     rng = random.Random(seed)
     trials = [{k: rng.choice(list(v)) for k, v in space.items()} for _ in range(n_iter)]
-    n_folds = [r["fold"] for r in folds.select("fold").distinct().collect()]   # bounded: a few fold ids
-    rows = []
-    for t, prm in enumerate(trials):
-        aps = []
-        for f in sorted(n_folds):
-            tr = folds.where((F.col("fold") == f) & (F.col("role") == "train"))
-            te = folds.where((F.col("fold") == f) & (F.col("role") == "test"))
-            _, sc = fit_score(tr, te, numeric, categorical, kind, prm)
-            aps.append(score_summary(sc).select(F.lit(t).alias("trial"), F.lit(int(f)).alias("fold"),
-                                                "average_precision"))
-        u = aps[0]
-        for a in aps[1:]:
-            u = u.unionByName(a)
-        rows.append(u.withColumn("params", F.lit(str(prm))))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.groupBy("trial", "params").agg(F.avg("average_precision").alias("mean_ap"),
-                                              F.count(F.lit(1)).alias("n_folds"))
+    scores = fold_scores(folds, numeric, categorical, {str(t): (kind, prm) for t, prm in enumerate(trials)})
+    drawn = folds.sparkSession.createDataFrame([(str(t), str(prm)) for t, prm in enumerate(trials)],
+                                               "model string, params string")
+    return (H.curve_metrics(scores, "label", "p", ["model", "fold"]).groupBy("model")
+            .agg(F.avg("average_precision").alias("mean_ap"), F.count(F.lit(1)).alias("n_folds"))
+            .join(drawn, "model").select(F.col("model").cast("int").alias("trial"), "params", "mean_ap", "n_folds"))
+
+
+def fold_scores(folds: DataFrame, numeric, categorical, models: Mapping[str, tuple[str, Mapping | None]],
+                id_col: str = "index_id", parallelism: int = 4) -> DataFrame:
+    """Scores of the held-out rows, (model, fold, id, label, p), written as a
+    table.  ``folds`` has fold and role (train/test) per row; ``models``: name
+    -> (kind, parameters).  Fits are submitted ``parallelism`` at a time, each
+    a distributed job."""
+    fold_ids = sorted(r["fold"] for r in folds.select("fold").distinct().collect())   # a few fold ids
+
+    def one(task) -> DataFrame:
+        name, fold = task
+        part = folds.where(F.col("fold") == fold)
+        kind, params = models[name]
+        _, sc = fit_score(part.where(F.col("role") == "train"), part.where(F.col("role") == "test"), numeric, categorical,
+                          kind, params)
+        return sc.select(F.lit(name).alias("model"), F.lit(int(fold)).alias("fold"), id_col, "label", "p")
+
+    with ThreadPool(parallelism) as pool:
+        parts = pool.map(inheritable_thread_target(folds.sparkSession)(one), [(m, f) for m in models for f in fold_ids])
+    return cut_lineage(reduce(DataFrame.unionByName, parts))
+
+
+def group_fold_scores(df: DataFrame, fold_col: str, numeric, categorical, kinds: Sequence[str], id_col: str = "index_id",
+                      parallelism: int = 4) -> DataFrame:
+    """Held-out scores of a k-fold cross-validation with given folds (such as
+    group folds, F4): ``CrossValidator`` fits the folds in parallel and keeps
+    each fold's model, which scores the rows that fold held out."""
+    n_folds = int(df.agg(F.max(fold_col)).first()[0]) + 1
+    weighted = cut_lineage(add_balanced_weight(df.withColumn(fold_col, F.col(fold_col).cast("int"))))
+    parts = []
+    for kind in kinds:
+        cv = CrossValidator(estimator=build_pipeline(numeric, categorical, kind), estimatorParamMaps=[{}],
+                            evaluator=BinaryClassificationEvaluator(metricName="areaUnderPR"), numFolds=n_folds,
+                            foldCol=fold_col, parallelism=parallelism, collectSubModels=True)
+        for fold, (model,) in enumerate(cv.fit(weighted).subModels):
+            held = positive_score(model.transform(weighted.where(F.col(fold_col) == fold)))
+            parts.append(held.select(F.lit(kind).alias("model"), F.lit(fold).alias("fold"), id_col, "label", "p"))
+    return cut_lineage(reduce(DataFrame.unionByName, parts))
+
+
+def cv_summary(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Mean and standard deviation over folds of AP, AUC and F1 at
+    ``threshold``, per model, from stored fold scores; all folds in one pass."""
+    hit = (F.col("p") >= threshold).cast("long")
+    f1 = scores.groupBy("model", "fold").agg(
+        F.sum(hit * F.col("label")).alias("tp"), F.sum(hit).alias("called"), F.sum("label").alias("pos"))
+    f1 = f1.select("model", "fold", F.coalesce(F.try_divide(2 * F.col("tp"), F.col("called") + F.col("pos")),
+                                               F.lit(0.0)).alias("f1"))
+    per_fold = H.curve_metrics(scores, "label", "p", ["model", "fold"]).join(f1, ["model", "fold"])
+    return per_fold.groupBy("model").agg(*[f(c).alias(f"{n}_{k}") for c, n in
+                                           (("average_precision", "ap"), ("roc_auc", "auc"), ("f1", "f1"))
+                                           for f, k in ((F.avg, "mean"), (F.stddev_pop, "std"))])
 
 
 def cv_benchmark(folds: DataFrame, numeric, categorical, kinds: Sequence[str]) -> DataFrame:
-    """Models x folds -> mean/std AP and AUC."""
-    fold_ids = sorted(r["fold"] for r in folds.select("fold").distinct().collect())
-    parts = []
-    for k in kinds:
-        for f in fold_ids:
-            tr = folds.where((F.col("fold") == f) & (F.col("role") == "train"))
-            te = folds.where((F.col("fold") == f) & (F.col("role") == "test"))
-            _, sc = fit_score(tr, te, numeric, categorical, k)
-            parts.append(score_summary(sc).select(F.lit(k).alias("model"), F.lit(int(f)).alias("fold"),
-                                                  "average_precision", "roc_auc"))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.groupBy("model").agg(F.avg("average_precision").alias("ap_mean"),
-                                  F.stddev_pop("average_precision").alias("ap_std"),
-                                  F.avg("roc_auc").alias("auc_mean"), F.stddev_pop("roc_auc").alias("auc_std"))
+    """Models x temporal folds -> mean/std AP, AUC and F1."""
+    return cv_summary(fold_scores(folds, numeric, categorical, {k: (k, None) for k in kinds}))
 
 
 def importances(model: PipelineModel, feature_names: Sequence[str], spark) -> DataFrame:
@@ -208,11 +242,12 @@ def calibrate(fit_scored: DataFrame, pick_scored: DataFrame, test_scored: DataFr
     tr = va.transform(fit_scored.withColumn("_logit", logit))
     sig = LogisticRegression(featuresCol="_f", labelCol=label, predictionCol="_sp", probabilityCol="_sprob",
                              rawPredictionCol="_sraw").fit(tr)
-    iso = IsotonicRegression(featuresCol="_f", labelCol=label, predictionCol="_ip").fit(tr)
+    steps = isotonic_fit(fit_scored, label, p)
 
     def briers(scored):
         x = va.transform(scored.withColumn("_logit", logit))
-        x = iso.transform(sig.transform(x)).withColumn("_sp1", vector_to_array("_sprob")[1])
+        x = sig.transform(x).select(label, p, vector_to_array("_sprob")[1].alias("_sp1"))
+        x = isotonic_apply(x, steps, p, "_ip")
         b = x.agg(*[F.avg(F.pow(F.col(c) - F.col(label), 2)).alias(n)
                     for c, n in ((p, "raw"), ("_sp1", "sigmoid"), ("_ip", "isotonic"))])
         return b.unpivot([], ["raw", "sigmoid", "isotonic"], "method", "brier")
@@ -242,6 +277,25 @@ def stacking(train: DataFrame, test: DataFrame, score_cols: Sequence[str], label
     return positive_score(model.transform(test), "p_stack")
 
 
+def save_model(model: PipelineModel, train: DataFrame, inputs: Sequence[str], path: str) -> None:
+    """A fitted pipeline and the names and types of its input columns."""
+    model.write().overwrite().save(f"{path}/pipeline")
+    fields = [(c, train.schema[c].dataType.simpleString()) for c in inputs]
+    train.sparkSession.createDataFrame(fields, "name string, type string").coalesce(1).write.mode("overwrite").parquet(
+        f"{path}/inputs")
+
+
+def score_with_stored(spark, path: str, df: DataFrame, name: str = "p") -> DataFrame:
+    """Load a stored pipeline, check that the table has its input columns
+    with the stored types, and score it."""
+    inputs = {r["name"]: r["type"] for r in spark.read.parquet(f"{path}/inputs").collect()}   # one row a column
+    have = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    wrong = sorted(f"{c}: {t} expected, {have.get(c, 'absent')} found" for c, t in inputs.items() if have.get(c) != t)
+    if wrong:
+        raise ValueError("table does not fit the stored model: " + "; ".join(wrong))
+    return positive_score(PipelineModel.load(f"{path}/pipeline").transform(df), name)
+
+
 def latest_per_entity(scored: DataFrame, entity: str, ts: str, id_col: str) -> DataFrame:
     """The latest scored row per entity (aggregate, not a window)."""
     cols = [c for c in scored.columns if c != entity]

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from evtrail.functions.prefix import exact_quantiles
 from evtrail.operators import models as G
 from evtrail.operators import splits as S
+from evtrail.operators.ml_stages import isotonic_apply, isotonic_fit
 from evtrail.functions.text import text_hash
 from evtrail.plans.q_evaluation import SCORED_SQL, scored
 from evtrail.plans.q_pointintime import E24_SQL, model_table_out
 from evtrail.plans.registry import query
 from evtrail.session import cut_lineage, memo_checkpoint
+from evtrail.sources.io import scratch_path
 
 NUMERIC = ["n_emergency_30d", "n_emergency_90d", "n_emergency_365d", "n_inpatient_90d", "n_outpatient_90d",
            "cost_30d", "cost_90d", "hist_visits", "days_since_prev_visit", "days_since_prev_emergency",
@@ -183,7 +185,15 @@ def g12(spark, sf):
 def g12b(spark, sf):
     tr, te = _train_test(spark, sf)
     model, _ = G.fit_score(tr, te, NUMERIC, [], "random_forest")
-    return G.importances(model, NUMERIC, spark)
+    return G.importances(model, [*NUMERIC, *(f"{c}_missing" for c in NUMERIC)], spark)
+
+
+@query("g12c_group_folds", None)
+def g12c(spark, sf):
+    """Cross-validation over entity folds: no entity on both sides."""
+    tr, _ = _train_test(spark, sf)
+    folds = S.group_kfold(tr, "entity_id", 3)
+    return G.cv_summary(G.group_fold_scores(folds, "fold", NUMERIC, [], ["logistic", "random_forest"]))
 
 
 @query("g13_calibration", None)
@@ -198,6 +208,20 @@ def g13(spark, sf):
                        te.select("label", "p"))
 
 
+@query("g13b_isotonic_steps", f"""WITH {SCORED_SQL},
+pt AS (SELECT p, count(*) AS w, sum(y) AS wy, row_number() OVER (ORDER BY p) AS i FROM s GROUP BY p),
+run AS (SELECT i, p, sum(w) OVER (ORDER BY i) AS cw, sum(wy) OVER (ORDER BY i) AS cy, w, wy FROM pt),
+span AS (SELECT a.i AS a, b.i AS b, (b.cy - a.cy + a.wy) * 1.0 / (b.cw - a.cw + a.w) AS mean
+         FROM run a JOIN run b ON b.i >= a.i),
+low AS (SELECT a, b AS i, min(mean) OVER (PARTITION BY a ORDER BY b DESC) AS least FROM span)
+SELECT round(pt.p, 6) AS p, round(max(least), 6) AS fitted FROM low JOIN pt USING (i) GROUP BY i, pt.p""")
+def g13b(spark, sf):
+    """Isotonic fit of the labelled scores, applied to each distinct score."""
+    d = scored(spark, sf)
+    out = isotonic_apply(d.select("p").distinct(), isotonic_fit(d, "y", "p"), "p", "fitted")
+    return out.select(F.round("p", 6).alias("p"), F.round("fitted", 6).alias("fitted"))
+
+
 @query("g14_ensemble_sweep", f"""WITH {SCORED_SQL},
 w AS (SELECT i / 10.0 AS weight FROM range(0, 11) t(i)),
 e AS (SELECT w.weight, s.y, w.weight * s.p + (1 - w.weight) * s.p2 AS pe FROM s, w),
@@ -231,16 +255,20 @@ def _two_scores(fit, out, kinds):
     for k in kinds:
         _, out = G.fit_score(fit, out, NUMERIC, [], k)
         out = out.withColumnRenamed("p", f"p_{k}")
-        out = out.drop("features", "rawPrediction", "probability", "prediction", *[f"{c}_imp" for c in NUMERIC])
+        out = out.drop("features", "rawPrediction", "probability", "prediction", *[f"{c}_{k}" for c in NUMERIC for k in ("imp", "missing")])
     return out.select("index_id", "label", *[f"p_{k}" for k in kinds])
 
 
 @query("g16_batch_scoring", None)
 def g16(spark, sf):
+    """The model is saved with its schema, loaded again and applied; the
+    latest scored row of every entity."""
     tr, _ = _train_test(spark, sf)
     d = modelling_table(spark, sf)
-    model = G.build_pipeline(NUMERIC, CATEGORICAL, "logistic").fit(G.add_balanced_weight(tr))
-    sc = G.positive_score(model.transform(d)).select("entity_id", "index_id", "index_ts", "p")
+    path = scratch_path(spark, "model")
+    G.save_model(G.build_pipeline(NUMERIC, CATEGORICAL, "logistic").fit(G.add_balanced_weight(tr)), tr,
+                 [*NUMERIC, *CATEGORICAL], path)
+    sc = G.score_with_stored(spark, path, d).select("entity_id", "index_id", "index_ts", "p")
     return G.latest_per_entity(sc, "entity_id", "index_ts", "index_id")
 
 
