@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from evtrail.functions.geo import haversine_km
 from evtrail.functions.topk import topk_per_group
+from evtrail.operators import lookup
+from evtrail.operators.lookup import contains_pairs
 from evtrail.plans import bindings as B
 
 # English function words dropped before TF-IDF (a compact
@@ -70,10 +72,10 @@ def candidate_fetch(needs: DataFrame, providers: DataFrame, need_key: str, need_
     quality defaulting to 50.  Every eligible provider is ranked later; there
     is no limit before scoring.  Needs are distinct keys of a fixed
     vocabulary (specialty x region x pathway, a few dozen)."""
-    nd = needs.select(need_key, need_specialty).distinct()
-    # distinct needs are a bounded categorical product: broadcast them so the
-    # contains-predicate join streams the provider table once
-    j = providers.join(F.broadcast(nd), F.lower(F.col("specialty")).contains(F.lower(F.col(need_specialty))))
+    nd = needs.select(need_key, F.lower(F.col(need_specialty)).alias("needle"), need_specialty).distinct()
+    own = providers.withColumn("text", F.lower(F.col("specialty")))
+    found = contains_pairs(nd, own)
+    j = own.join(found.join(nd, "needle"), "text").drop("text", "needle")
     return j.withColumn("norm_quality", F.coalesce(F.col("quality"), F.lit(50.0)))
 
 
@@ -209,14 +211,10 @@ def provider_enrichment(spark, sf, providers: DataFrame, id_col: str = "provider
 def nearest(points: DataFrame, providers: DataFrame, point_key: str, plat: str, plon: str,
             k: int = 3, on: Sequence[str] = ()) -> DataFrame:
     """K nearest providers per query point by great-circle distance,
-    ties broken by utilisation (desc) then id.  Query points are a bounded
-    set (e.g. nation centroids x specialty), not individual cases."""
-    pr = providers.where(F.col("lat").isNotNull())
-    # query points are bounded (centroids x specialties): broadcast them
-    j = pr.join(F.broadcast(points), list(on)) if on else pr.crossJoin(F.broadcast(points))
-    j = j.withColumn("distance_km", haversine_km(plat, plon, "lat", "lon"))
-    return topk_per_group(j, [point_key], [F.col("distance_km"), F.col("utilization").desc(), F.col("provider_id")],
-                          k)
+    ties broken by utilisation (desc) then id; found by ring search over grid
+    cells."""
+    return lookup.nearest(points, providers, point_key, plat, plon,
+                          [F.col("utilization").desc(), F.col("provider_id")], k, on)
 
 
 def catalog_search(requests: DataFrame, providers: DataFrame, req_key: str, page_size: int = 10) -> DataFrame:
@@ -224,10 +222,12 @@ def catalog_search(requests: DataFrame, providers: DataFrame, req_key: str, page
     providers matching any specialty word, the state and (if asked)
     telehealth='Y'; order: non-null quality first, quality desc, facility
     count desc, id; requests with no match return one NO_PROVIDER_FOUND row."""
-    # requests are distinct (pathway, state, telehealth) triples: bounded, broadcast
-    j = providers.join(F.broadcast(requests), (F.col("req_state") == F.col("state")) &
-                      F.exists("specialties", lambda s: F.col("specialty").contains(s)) &
-                      (~F.col("telehealth_only") | (F.col("telehealth") == "Y")))
+    asked = requests.withColumn("needle", F.explode("specialties"))
+    found = contains_pairs(asked, providers.select(F.col("specialty").alias("text")))
+    fits = (asked.join(found, "needle").select(req_key, F.col("req_state").alias("state"), "telehealth_only",
+                                               F.col("text").alias("specialty")).distinct())
+    j = (providers.join(fits, ["state", "specialty"])
+         .where(~F.col("telehealth_only") | (F.col("telehealth") == "Y")))
     top = topk_per_group(j, [req_key], [F.col("quality").desc_nulls_last(), F.col("n_facilities").desc(),
                                         F.col("provider_id")], page_size, rank_col="page_rank")
     found = top.select(req_key, "page_rank", "provider_id", F.lit("FOUND").alias("result"))
