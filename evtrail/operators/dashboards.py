@@ -61,6 +61,14 @@ def status_counts_with_all(df: DataFrame, status: str) -> DataFrame:
     return r.select(F.when(F.col("_g") == 1, F.lit("All")).otherwise(F.col(status)).alias(status), "n")
 
 
+def status_cube(df: DataFrame, fields: list[str]) -> DataFrame:
+    """L6 by several fields in one scan: counts per combination, per single
+    field and in all (grouping sets); a field that is summed over is 'All'."""
+    sets = [[F.col(f) for f in fields], *([F.col(f)] for f in fields), []]
+    r = df.groupingSets(sets, *fields).agg(F.count(F.lit(1)).alias("n"), *[F.grouping(f).alias(f"_g_{f}") for f in fields])
+    return r.select(*[F.when(F.col(f"_g_{f}") == 1, F.lit("All")).otherwise(F.col(f)).alias(f) for f in fields], "n")
+
+
 def upcoming_past(df: DataFrame, status: str, upcoming=("Scheduled", "Rescheduled")) -> DataFrame:
     """L18."""
     return df.groupBy(F.when(F.col(status).isin(*upcoming), "upcoming").otherwise("past").alias("bucket")) \

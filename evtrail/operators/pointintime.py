@@ -16,7 +16,7 @@ Design (scales to one entity holding a third of all rows):
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -168,6 +168,14 @@ def sweep_count(intervals: DataFrame, queries: DataFrame, entity: str, open_afte
     one row per bucket) plus a running sum inside the query's own bucket, so
     even a hot entity never puts all of its distinct keys in one window
     partition."""
+    return sweep_counts(intervals, queries, entity, open_after, close_after, query_key, {name: F.lit(True)}, bucket_width)
+
+
+def sweep_counts(intervals: DataFrame, queries: DataFrame, entity: str, open_after: str, close_after: str | None,
+                 query_key: str, counts: Mapping[str, Column], bucket_width: int | None = None) -> DataFrame:
+    """Several counts of one sweep: ``counts`` gives each name the condition
+    (over ``intervals``) under which an interval takes part in it."""
+    names = list(counts)
     # one pass over the intervals emits both deltas (+1 open, -1 close)
     plus = F.struct(F.col(open_after).cast("long").alias("k"), F.lit(1).alias("d"))
     if close_after is None:
@@ -177,28 +185,33 @@ def sweep_count(intervals: DataFrame, queries: DataFrame, entity: str, open_afte
                        F.struct(F.greatest(F.col(open_after), F.col(close_after)).cast("long").alias("k"),
                                 F.lit(-1).alias("d")))
         ds = F.array(plus, minus)
-    deltas = (intervals.select(F.col(entity).alias("_e"), F.explode(ds).alias("_x"))
+    part = [f"_in{i}" for i in range(len(names))]
+    delta = [f"_d{i}" for i in range(len(names))]
+    deltas = (intervals.select(F.col(entity).alias("_e"), *[counts[n].cast("int").alias(p) for n, p in zip(names, part)],
+                               F.explode(ds).alias("_x"))
               .where(F.col("_x").isNotNull() & F.col("_x.k").isNotNull())
-              .groupBy("_e", F.col("_x.k").alias("_k")).agg(F.sum("_x.d").alias("_d")))
+              .groupBy("_e", F.col("_x.k").alias("_k"))
+              .agg(*[F.sum(F.col("_x.d") * F.col(p)).alias(d) for p, d in zip(part, delta)]))
     # query points join the delta rows as flagged zero-deltas (no re-aggregation);
     # the RANGE frame ends before the current key, so a delta at the same key
     # never counts, and values are read at the flagged rows only
     qk = queries.select(F.col(entity).alias("_e"), F.col(query_key).cast("long").alias("_k")).distinct()
-    pts = (qk.withColumn("_d", F.lit(0).cast("long")).withColumn("_q", F.lit(True))
+    pts = (qk.withColumns({d: F.lit(0).cast("long") for d in delta} | {"_q": F.lit(True)})
            .unionByName(deltas.withColumn("_q", F.lit(False))))
+    before_key = lambda d, w: F.coalesce(F.sum(d).over(w), F.lit(0))
     if bucket_width is None:
         frame = Window.partitionBy("_e").orderBy("_k").rangeBetween(Window.unboundedPreceding, -1)
-        vals = (pts.select("_e", "_k", "_q", F.coalesce(F.sum("_d").over(frame), F.lit(0)).cast("long").alias(name))
+        vals = (pts.select("_e", "_k", "_q", *[before_key(d, frame).cast("long").alias(n) for n, d in zip(names, delta)])
                 .where("_q").drop("_q"))
     else:
         pts = pts.withColumn("_b", F.floor(F.col("_k") / F.lit(bucket_width)).cast("long"))
-        tot = pts.groupBy("_e", "_b").agg(F.sum("_d").alias("_t"))
+        tot = pts.groupBy("_e", "_b").agg(*[F.sum(d).alias(d) for d in delta])
         before = Window.partitionBy("_e").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        off = tot.select("_e", "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+        off = tot.select("_e", "_b", *[before_key(d, before).alias(f"_off{d}") for d in delta])
         inside = Window.partitionBy("_e", "_b").orderBy("_k").rangeBetween(Window.unboundedPreceding, -1)
-        vals = (pts.select("_e", "_b", "_k", "_q", F.coalesce(F.sum("_d").over(inside), F.lit(0)).alias("_in"))
+        vals = (pts.select("_e", "_b", "_k", "_q", *[before_key(d, inside).alias(d) for d in delta])
                 .where("_q").join(off, ["_e", "_b"])
-                .select("_e", "_k", (F.col("_off") + F.col("_in")).cast("long").alias(name)))
+                .select("_e", "_k", *[(F.col(f"_off{d}") + F.col(d)).cast("long").alias(n) for n, d in zip(names, delta)]))
     return (queries.join(vals, (queries[entity] == vals["_e"]) & (queries[query_key].cast("long") == vals["_k"]),
                          "left").drop("_e", "_k"))
 
@@ -231,6 +244,11 @@ def active_at(intervals: DataFrame, queries: DataFrame, entity: str, start: str,
     mode ``context``: START <= t AND (STOP IS NULL OR STOP >  t)
     ``min_age_days`` > 0 additionally requires START <= t - age (E12), which
     simply shifts the interval's opening point."""
+    return _active(intervals, queries, entity, start, stop, query_ts, {name: F.lit(True)}, mode, min_age_days)
+
+
+def _active(intervals: DataFrame, queries: DataFrame, entity: str, start: str, stop: str, query_ts: str,
+            counts: Mapping[str, Column], mode: str, min_age_days: int) -> DataFrame:
     us = F.lit(86_400_000_000 * min_age_days)
     s = F.unix_micros(F.col(start).cast("timestamp"))
     e = F.unix_micros(F.col(stop).cast("timestamp"))
@@ -242,10 +260,9 @@ def active_at(intervals: DataFrame, queries: DataFrame, entity: str, start: str,
         closes = e - 1                                           # alive while t < STOP
     else:
         raise ValueError(mode)
-    iv = intervals.where(F.col(start).isNotNull()).select(
-        F.col(entity), opens.alias("_open"), closes.alias("_close"))
+    iv = intervals.where(F.col(start).isNotNull()).withColumns({"_open": opens, "_close": closes})
     q = queries.withColumn("_qk", F.unix_micros(F.col(query_ts).cast("timestamp")))
-    return sweep_count(iv, q, entity, "_open", "_close", "_qk", name, bucket_width=86_400_000_000).drop("_qk")
+    return sweep_counts(iv, q, entity, "_open", "_close", "_qk", counts, bucket_width=86_400_000_000).drop("_qk")
 
 
 # ---------------------------------------------------------- misc features ---
@@ -311,15 +328,9 @@ def sum_in_day_window(queries: DataFrame, events: DataFrame, entity: str, q_day:
 def active_by_kind(intervals: DataFrame, queries: DataFrame, entity: str, start: str, stop: str, query_ts: str,
                    kind_col: str, kinds: Sequence[str], prefix: str = "active_", mode: str = "v1",
                    min_age_days: int = 0) -> DataFrame:
-    """Active-interval counts for several interval kinds in ONE sweep: the
-    kind joins the sweep key, the (bounded) kind list fans the queries out,
-    and a pivot folds the counts back to one column per kind."""
-    iv = intervals.where(F.col(kind_col).isin(*kinds)).withColumn(
-        "_ek", F.concat_ws("\x1f", F.col(entity).cast("string"), F.col(kind_col)))
-    q = queries.select(entity, query_ts).distinct().withColumn("_kind", F.explode(F.array(*[F.lit(k) for k in kinds])))
-    q = q.withColumn("_ek", F.concat_ws("\x1f", F.col(entity).cast("string"), F.col("_kind")))
-    counted = active_at(iv, q, "_ek", start, stop, query_ts, "_n", mode=mode, min_age_days=min_age_days)
-    piv = (counted.groupBy(entity, query_ts).pivot("_kind", list(kinds))
-           .agg(F.first(F.coalesce("_n", F.lit(0)))))
-    piv = piv.select(entity, query_ts, *[F.coalesce(F.col(k), F.lit(0)).cast("long").alias(prefix + k) for k in kinds])
-    return queries.join(piv, [entity, query_ts], "left")
+    """Active-interval counts for several interval kinds in one sweep, with
+    one column of deltas per kind (a bounded list)."""
+    iv = intervals.where(F.col(kind_col).isin(*kinds))
+    out = _active(iv, queries, entity, start, stop, query_ts, {prefix + k: F.col(kind_col) == k for k in kinds}, mode,
+                  min_age_days)
+    return out.withColumns({prefix + k: F.coalesce(F.col(prefix + k), F.lit(0)).cast("long") for k in kinds})

@@ -88,6 +88,24 @@ def l06(spark, sf):
     return L.status_counts_with_all(appointments(spark, sf), "status")
 
 
+@query("l06b_status_cube", f"""WITH {APPTS_SQL},
+m AS (SELECT status, strftime(appointment_date, '%Y-%m') AS month FROM ap)
+SELECT status, month, count(*) AS n FROM m GROUP BY status, month UNION ALL
+SELECT status, 'All', count(*) FROM m GROUP BY status UNION ALL
+SELECT 'All', month, count(*) FROM m GROUP BY month UNION ALL SELECT 'All', 'All', count(*) FROM m""")
+def l06b(spark, sf):
+    ap = appointments(spark, sf).withColumn("month", F.date_format("appointment_date", "yyyy-MM"))
+    return L.status_cube(ap, ["status", "month"])
+
+
+@query("l09b_patient_rows", f"""WITH {APPTS_SQL}
+SELECT appointment_id, status, 'patient:17' AS viewer_id FROM ap WHERE patient_id = 17""")
+def l09b(spark, sf):
+    """The rows one patient may see."""
+    return L.row_access(appointments(spark, sf), "patient:17", "patient", "patient_id", 17).select(
+        "appointment_id", "status", "viewer_id")
+
+
 def _status_events(spark, sf):
     ap = appointments(spark, sf)
     first = ap.select("appointment_id", F.lit("Scheduled").alias("status"), F.col("appointment_date").alias("ts"),
