@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -32,7 +31,8 @@ CAPACITY = 2048
 CLASSES = 64          # pieces of at most capacity / CLASSES ids are laid end to end
 SLACK = 128           # a piece stays whole if it wastes at most 1/SLACK of itself
 END_ID = 1
-CACHE_WORDS = 250_000
+CACHE_WORDS = 600_000
+CACHE_PIECES = 150_000
 DRAIN_IDS = 500_000   # ids a worker packs before it hands its rows on
 
 
@@ -72,18 +72,18 @@ class WordEncoder:
         self.spell = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(other)}
         self.limit = cache_words
         self.words = _Index()
-        self.pieces: dict[bytes, array] = {}
+        self.pieces: dict[bytes, tuple] = {}
         self.flat = np.zeros(1 << 16, np.int32)      # the ids of all known words
         self.bounds = np.zeros(1 << 14, np.int64)    # where each word's ids begin; the next one's end
         self.uses = np.zeros(1 << 14, np.int64)
         self.n = 0
 
-    def _piece(self, piece: bytes) -> array:
+    def _piece(self, piece: bytes) -> tuple:
         """Ids of one lower-case piece of the splitter."""
         ids = self.pieces.get(piece)
         if ids is None:
             spelt = piece.decode() if piece.isascii() else piece.decode("latin-1").translate(self.spell)
-            ids = self.pieces[piece] = array("i", [t.id for t in self.tokenize(spelt)])
+            ids = self.pieces[piece] = tuple([t.id for t in self.tokenize(spelt)])
         return ids
 
     def _word(self, word: bytes):
@@ -111,7 +111,7 @@ class WordEncoder:
         self.flat[self.bounds[self.n]:ends[-1]] = list(chain.from_iterable(runs))
         self.bounds[self.n + 1:self.n + 1 + len(runs)] = ends
         self.n += len(runs)
-        if len(self.pieces) > self.limit // 2:
+        if len(self.pieces) > CACHE_PIECES:
             self.pieces = {}
 
     def _forget(self):
