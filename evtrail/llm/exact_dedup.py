@@ -47,7 +47,8 @@ def progressive_exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: s
     unless ``digest_all`` asks for it on every row.
 
     Defined cases: a null text counts as empty, and all empty or white texts
-    are one group; a null id loses to any other id; a row that occurs twice
+    are one group; ids may be numbers or texts (texts compare by their UTF-8
+    bytes); a null id loses to any other id; a row that occurs twice
     (same id, same text) is counted twice and kept once; an empty table gives
     an empty result; other columns of ``docs``, whatever their names, are
     not read.
@@ -79,15 +80,16 @@ def _verdicts(docs: DataFrame, id_col: str, text_col: str, row: Column, prefix_c
     cand = materialize(cand, "exact-cand")
     groups = (cand.where("alive").groupBy("sha")
               .agg(F.count(F.lit(1)).alias("n"),
-                   F.max(F.struct("code", (-F.col("id")).alias("neg"), (-F.col("rid")).alias("negrid"))).alias("top"))
-              .where("n > 1").select("sha", "n", "top.neg", "top.negrid"))
+                   F.min(F.struct((-F.col("code")).alias("shorter"), F.col("id").isNull().alias("none"),
+                                  F.col("id").alias("keep"), F.col("rid").alias("top_rid"))).alias("top"))
+              .where("n > 1").select("sha", "n", "top.keep", "top.top_rid"))
     groups = materialize(groups, "exact-groups")
     out = cand.join(groups, "sha", "left")
     single = F.col("n").isNull()
     return out.select(F.col("id").alias(id_col),
-                      F.when(single, F.col("id")).otherwise(-F.col("neg")).alias("keep_id"),
+                      F.when(single, F.col("id")).otherwise(F.col("keep")).alias("keep_id"),
                       F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-                      (single | (F.col("rid") == -F.col("negrid"))).alias("kept"),
+                      (single | (F.col("rid") == F.col("top_rid"))).alias("kept"),
                       F.col("sha").alias("text_sha256"), "rid")
 
 

@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from evtrail.llm import simhash
@@ -28,6 +29,15 @@ def test_exact_dedup_against_brute_force(spark):
     assert [r.doc_id for r in got if r.kept and r.group_size == 5] == [3]      # the longest original stays
 
 
+@pytest.mark.parametrize("kind,least,other", [("long", -(2 ** 63), 5), ("string", "a1", "b"), ("double", -1.5, 0.0)])
+def test_exact_dedup_of_any_ids(spark, kind, least, other):
+    rows = [(other, "same text"), (least, "sametext "), (None, "same text"), (other, "same text"), (least, "else")]
+    got = progressive_exact_dedup(spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(2)).collect()
+    same = [r for r in got if r.group_size == 4]
+    assert {r.keep_id for r in same} == {min(least, other)} and sum(r.kept for r in same) == 1
+    assert [(r.doc_id, r.keep_id, r.kept) for r in got if r.group_size == 1] == [(least, least, True)]
+
+
 def test_exact_dedup_refines_only_what_collides(spark):
     rows = [(1, "alpha"), (2, "alphb"), (3, "a l p h a"), (4, "longer text")]
     got = {r.doc_id: r for r in progressive_exact_dedup(frame(spark, rows)).collect()}
