@@ -42,6 +42,7 @@ KINDS = [
      "E", True, 8, False),
 ]
 COMPLEMENTS = {"account": ("S",), "key": ("I", "E"), "endpoint": ("S", "I")}
+BARE = ("hex", "key")
 BASE_KINDS = ("assign", "access", "hex")
 SCOPE = 200
 
@@ -88,10 +89,22 @@ def _parts(docs: DataFrame, kinds) -> DataFrame:
 def _link(parts: DataFrame, kinds, scope: int, gap: bool) -> DataFrame:
     """Keep strong parts, and weak parts with a complementary part within
     ``scope``: from the end of one to the start of the next (``gap``), else
-    from start to start."""
+    from start to start.  Over a gap, a part without a name (a hex run, a bare
+    key) and the part it overlaps are no evidence for each other: a hash
+    inside an address does not make the address an endpoint of a credential,
+    a ``password=`` inside it does."""
     lookup = lambda i: F.create_map(*[F.lit(x) for k in kinds for x in (k[0], k[i])])
     parts = parts.withColumn("class", lookup(2)[F.col("kind")]).withColumn("weak", lookup(3)[F.col("kind")])
-    parts = parts.withColumn("stop", F.col("end" if gap else "start"))
+    if gap:
+        named = parts.where(~F.col("kind").isin(*BARE)).withColumn("stop", F.col("end"))
+        linked = _within(named, scope).unionByName(_apart(parts, scope)).distinct()
+    else:
+        linked = _within(parts.withColumn("stop", F.col("start")), scope).distinct()
+    return parts.where("not weak").select("id", "h", "kind", "start", "end").unionByName(linked)
+
+
+def _within(parts: DataFrame, scope: int) -> DataFrame:
+    """The weak parts with a complementary part within ``scope`` of [start, stop]."""
     of = lambda x: F.floor(x / scope).cast("long")
     # least and greatest place of each class in each bin it touches: a
     # candidate's reach is longer than a bin, so it takes a bin's beginning,
@@ -105,11 +118,41 @@ def _link(parts: DataFrame, kinds, scope: int, gap: bool) -> DataFrame:
             .withColumn("near", F.explode(F.sequence(of(F.col("start")) - 1, of(F.col("stop")) + 1)))
             .withColumn("other", F.explode(needs[F.col("kind")])))
     c, b = cand.alias("c"), bins.alias("b")
-    linked = (c.join(b, F.col("c.id").eqNullSafe(F.col("b.id")) & (F.col("c.h") == F.col("b.h"))
-                     & (F.col("c.near") == F.col("b.near")) & (F.col("c.other") == F.col("b.other"))
-                     & (F.col("b.lo") <= F.col("c.stop") + scope) & (F.col("b.hi") >= F.col("c.start") - scope))
-              .select("c.id", "c.h", "c.kind", "c.start", "c.end").distinct())
-    return parts.where("not weak").select("id", "h", "kind", "start", "end").unionByName(linked)
+    return (c.join(b, F.col("c.id").eqNullSafe(F.col("b.id")) & (F.col("c.h") == F.col("b.h"))
+                   & (F.col("c.near") == F.col("b.near")) & (F.col("c.other") == F.col("b.other"))
+                   & (F.col("b.lo") <= F.col("c.stop") + scope) & (F.col("b.hi") >= F.col("c.start") - scope))
+            .select("c.id", "c.h", "c.kind", "c.start", "c.end"))
+
+
+def _apart(parts: DataFrame, scope: int) -> DataFrame:
+    """The weak parts with a complementary part that lies outside them: it ends
+    at most ``scope`` before the candidate starts, or starts at most ``scope``
+    after it ends.
+
+    Each part stands with its end and with its start in one bin of ``scope``
+    places; a candidate asks the bin of its own start and the one before for
+    ends, the bin of its own end and the next for starts.  Of a bin's places
+    the least and the greatest decide, so no two parts are paired.
+    """
+    of = lambda x: F.floor(x / scope).cast("long")
+    place = F.explode(F.array(F.struct(F.lit("end").alias("side"), F.col("end").alias("at")),
+                              F.struct(F.lit("start").alias("side"), F.col("start").alias("at"))))
+    bins = (parts.select("id", "h", F.col("class").alias("other"), place.alias("p"))
+            .groupBy("id", "h", "other", "p.side", of(F.col("p.at")).alias("near"))
+            .agg(F.min("p.at").alias("lo"), F.max("p.at").alias("hi")))
+    needs = F.create_map(*[x for k, c in COMPLEMENTS.items() for x in (F.lit(k), F.array(*map(F.lit, c)))])
+    ask = lambda side, at, shift, low, high: F.struct(
+        F.lit(side).alias("side"), (of(at) + shift).alias("near"), low.alias("low"), high.alias("high"))
+    s, e = F.col("start"), F.col("end")
+    asks = F.array(*[ask("end", s, i, s - scope, s) for i in (-1, 0)], *[ask("start", e, i, e, e + scope) for i in (0, 1)])
+    cand = (parts.where("weak").select("id", "h", "kind", "start", "end", F.explode(asks).alias("q"))
+            .withColumn("other", F.explode(needs[F.col("kind")])))
+    c, b = cand.alias("c"), bins.alias("b")
+    return (c.join(b, F.col("c.id").eqNullSafe(F.col("b.id")) & (F.col("c.h") == F.col("b.h"))
+                   & (F.col("c.q.side") == F.col("b.side")) & (F.col("c.q.near") == F.col("b.near"))
+                   & (F.col("c.other") == F.col("b.other"))
+                   & (F.col("b.lo") <= F.col("c.q.high")) & (F.col("b.hi") >= F.col("c.q.low")))
+            .select("c.id", "c.h", "c.kind", "c.start", "c.end"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
