@@ -9,7 +9,7 @@ pattern is its label, and these labels train a hashed linear scorer
 Plan.  One scan for the votes.  The sufficient statistic of EM is the count of
 each pattern, at most ``3 ** len(LABELLERS)`` rows whatever the corpus, and it
 covers all documents.  The scorer is fitted on a bounded sample
-(``SAMPLE`` documents, the least hashes of the id), in ``SHARDS`` parts whose
+(``SAMPLE`` documents, the least hashes of the id, one text an id), in ``SHARDS`` parts whose
 weights are averaged.  Scoring is one scan without a shuffle.
 """
 
@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evtrail.llm.common import in_arrow, materialize, read_table, text_bytes
+from evtrail.llm.common import in_arrow, least_hashed, materialize, read_table, text_bytes
 from evtrail.llm.registry import query
 
 GOOD, BAD, ABSTAIN = 1, 0, 2
@@ -80,7 +80,8 @@ def _vote_batches(batches):
     import pyarrow as pa
     for b in batches:
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([votes(t.as_py()) for t in b.column(1)], pa.int32())], ["id", "pattern"])
+            [b.column(0), b.column(2), pa.array([votes(t.as_py()) for t in b.column(1)], pa.int32())],
+            ["id", "th", "pattern"])
 
 
 def label_model(patterns: dict[int, int], rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float]:
@@ -205,22 +206,26 @@ def weak_label_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Defined cases: a null or empty text has no features, and its score is the
     scorer's bias; a null id stays null and is not in the sample; rows that
     repeat are judged alike, and count as often as they occur in the label
-    model; an empty table gives an empty result; other columns are not read.
+    model, but an id is in the scorer's sample once, with the text of the
+    least hash; an empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("t"))
     kind = own.schema["id"].dataType.simpleString()
-    cast = materialize(in_arrow(own, _vote_batches, f"id {kind}, pattern int"), "weak-votes")
+    cast = materialize(in_arrow(own.withColumn("th", F.xxhash64("t")), _vote_batches,
+                                f"id {kind}, th long, pattern int"), "weak-votes")
     patterns = {r["pattern"]: r["count"] for r in cast.groupBy("pattern").count().collect()}  # <= 3^labellers rows
     post, _, _ = label_model(patterns)
 
-    chosen = (cast.where("id is not null").select("id", "pattern", F.xxhash64("id").alias("h"))
-              .orderBy("h", "id").limit(sample).dropDuplicates(["id"]))
+    chosen = least_hashed(cast, "id", sample, F.min(F.struct("th", "pattern")).alias("one"))
     labels = spark.createDataFrame([(int(p), float(post[p])) for p in patterns], "pattern int, post double")
-    chosen = chosen.join(F.broadcast(labels), "pattern").select("id", "h", "post")
-    rows = in_arrow(own.join(F.broadcast(chosen), "id").select("h", "post", "t"),          # <= sample ids
-                    _feature_batches, "h long, post double, at binary, value binary")
-    shards = rows.repartition(SHARDS, F.pmod("h", F.lit(SHARDS))).mapInArrow(_train_batches(epochs), "w binary")
+    chosen = (chosen.select("id", "h", "one.th", "one.pattern").join(F.broadcast(labels), "pattern")
+              .select("id", "h", "th", "post"))                                           # <= sample rows
+    texts = own.withColumn("th", F.xxhash64("t")).join(F.broadcast(chosen), ["id", "th"])
+    rows = in_arrow(texts.select("h", "post", "t"), _feature_batches, "h long, post double, at binary, value binary")
+    # copies of one id and text have equal features; one row a hash is left, before the shuffle
+    rows = rows.groupBy("h").agg(F.min(F.struct("post", "at", "value")).alias("one")).select("h", "one.*")
+    shards = rows.repartitionById(SHARDS, F.pmod("h", F.lit(SHARDS)).cast("int")).mapInArrow(_train_batches(epochs), "w binary")
     trained = [np.frombuffer(r["w"], float) for r in shards.collect()]            # <= SHARDS vectors
     w = np.mean(trained, axis=0) if trained else np.zeros((1 << HASH_BITS) + 1)
     shared = spark.sparkContext.broadcast((post, w))

@@ -37,6 +37,24 @@ def with_row_key(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
     return materialize(docs.withColumn(key, F.monotonically_increasing_id()), name), key
 
 
+def least_hashed(rows: DataFrame, id_col: str, n: int, *aggs, where: str = "true") -> DataFrame:
+    """At most ``n`` rows ``<id>, h, <aggs>``: one for each of the ids with the
+    least hashes ``h`` whose aggregates meet ``where``.  Repeated ids are one
+    row before the limit.  Only rows below a hash bound are grouped, and the
+    bound widens until it holds ``n`` ids or all rows, so the sample is the
+    same whatever the estimate it starts from; null ids are not in it."""
+    rows = rows.where(F.col(id_col).isNotNull())
+    known = rows.agg(F.approx_count_distinct(id_col)).first()[0]
+    share = 4.0 * n / max(known, 1)
+    while True:
+        near = rows if share >= 1 else rows.where(F.xxhash64(id_col) < F.lit(int(-2 ** 63 + share * 2 ** 64)))
+        out = (near.groupBy(id_col).agg(*aggs).where(where).withColumn("h", F.xxhash64(id_col))
+               .orderBy("h", id_col).limit(n))
+        if share >= 1 or out.count() == n:
+            return out
+        share *= 8
+
+
 def in_arrow(df: DataFrame, fn, schema) -> DataFrame:
     """``mapInArrow`` for rows that hold whole texts: batches of at most a
     thousand rows, so that what a task has in hand stays small."""

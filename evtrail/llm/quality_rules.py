@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evtrail.llm.common import in_arrow, read_table, text_bytes
+from evtrail.llm.common import in_arrow, least_hashed, read_table, text_bytes
 from evtrail.llm.registry import query
 
 SAMPLE = 1000             # labelled documents of each class
@@ -190,27 +190,34 @@ def fit_field(sequences: list[tuple[list[int], list[int]]], rounds: int = 120, r
 def _sample_batches(batches):
     import pyarrow as pa
     for b in batches:
-        good, lines = [], []
-        for q, text in zip(b.column(0).to_pylist(), b.column(1)):
+        fits, lines = [], []
+        for text in b.column(2):
             own = [f for _, _, f in document_lines(text.as_py())]
-            if 0 < len(own) <= SAMPLE_LINES:
-                good.append(q)
+            fits.append(0 < len(own) <= SAMPLE_LINES)
+            if fits[-1]:
                 lines.append(own)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(good, pa.int32()), pa.array(lines, pa.list_(pa.int32()))], ["quality", "lines"])
+        rows = b.select([0, 1, 3]).filter(pa.array(fits, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lines, pa.list_(pa.int32()))],
+                                         ["h", "quality", "th", "lines"])
 
 
 def train_line_field(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineField:
     """Fit the field on at most ``sample`` labelled documents of each class
     (the least hashes of ``doc_id``).  ``docs``: doc_id, text; ``labels``:
     doc_id, quality (1 good, 0 bad; other rows are not used).  Without
-    labels of both classes the prior is returned."""
-    chosen = labels.where("quality in (0, 1) and doc_id is not null").select(
-        "doc_id", F.col("quality").cast("int").alias("quality"))
-    parts = [chosen.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
-    ids = parts[0].unionByName(parts[1]).dropDuplicates(["doc_id"])
-    own = docs.select("doc_id", text_bytes().alias("t")).join(F.broadcast(ids), "doc_id").select("quality", "t")
-    rows = in_arrow(own, _sample_batches, "quality int, lines array<int>").collect()   # <= 2 * sample rows
+    labels of both classes the prior is returned.
+
+    An id labelled both ways is not used; one that is labelled more than once
+    counts once, and of the texts of a repeated id the one with the least
+    hash is taken, so at most ``2 * sample`` rows reach the driver."""
+    chosen = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("q"))
+    ids = [least_hashed(chosen, "doc_id", sample, F.min("q").alias("quality"), F.max("q").alias("most"),
+                        where=f"quality = {q} and most = {q}").select("doc_id", "h", "quality") for q in (0, 1)]
+    own = (docs.select("doc_id", text_bytes().alias("t")).join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
+           .select("h", "quality", "t", F.xxhash64("t").alias("th")))
+    rows = in_arrow(own, _sample_batches, "h long, quality int, th long, lines array<int>")
+    rows = (rows.groupBy("h", "quality").agg(F.min(F.struct("th", "lines")).alias("one"))
+            .select("quality", "one.lines").collect())                                   # <= 2 * sample rows
     if len({r["quality"] for r in rows}) < 2:
         return LineField()
     noise = sum(_BIT[x] for x in NOISE)
