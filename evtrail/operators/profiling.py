@@ -9,6 +9,7 @@ so a wide table costs one shuffle, not one job per column.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +58,32 @@ def table_inventory(df: DataFrame, name: str, date_cols: Sequence[str] = ()) ->
                     *[c for d in date_cols for c in (f"{d}_min", f"{d}_max")]))
 
 
+def schema_catalogue(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row per table and column (place, name, type) with the table's
+    files and rows.  Only file names and row counts are asked of the tables,
+    which Parquet answers from its footers: no column is read."""
+    spark = next(iter(tables.values())).sparkSession
+    columns = spark.createDataFrame(
+        [(t, i + 1, f.name, f.dataType.simpleString()) for t, df in tables.items() for i, f in enumerate(df.schema.fields)],
+        "table_name string, position int, column_name string, dtype string")
+    counts = reduce(DataFrame.unionByName, [
+        df.select(F.col("_metadata.file_path").alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_files"))
+        .select(F.lit(t).alias("table_name"), "n_rows", "n_files") for t, df in tables.items()])
+    return columns.join(F.broadcast(counts), "table_name")                      # one row a table
+
+
+def inventory(tables: dict[str, tuple[DataFrame, str | None]]) -> DataFrame:
+    """C1 over several tables: rows, columns, duplicate rows and the first and
+    last day of each table's date column (null without one)."""
+    def one(name, df, day):
+        t = table_inventory(df, name, [day] if day else [])
+        ends = [F.col(f"{day}_{e}") if day else F.lit(None).cast("string") for e in ("min", "max")]
+        return t.select("table_name", "n_rows", "n_cols", "duplicate_rows", ends[0].alias("first_day"),
+                        ends[1].alias("last_day"))
+    return reduce(DataFrame.unionByName, [one(n, df, day) for n, (df, day) in tables.items()])
+
+
 def _long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
         [], list(cols), "column_name", "value")

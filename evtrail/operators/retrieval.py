@@ -61,6 +61,35 @@ def audit_rows(results: DataFrame, q_id: str, d_id: str, rank: str = "rank") ->
         F.count(F.lit(1)).alias("n_sources"))
 
 
+def audit_events(answers: DataFrame, q_id: str, user: Column, question: Column, created_at: Column,
+                 source_ids: str = "source_ids") -> DataFrame:
+    """K4: audit rows to append, one per answer: id (a hash of user, question
+    and time, so that a replay has the same), day, mode (grounded with
+    sources, else fallback) and the source ids."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    grounded = F.coalesce(F.col(source_ids), F.lit("")) != ""
+    return answers.select(
+        F.sha2(F.concat_ws("\x1f", text(user), text(F.col(q_id)), text(question), text(created_at)), 256).alias("audit_id"),
+        created_at.alias("created_at"), F.to_date(created_at).alias("day"), user.alias("user_id"), F.col(q_id),
+        question.alias("question"), F.when(grounded, "grounded").otherwise("fallback").alias("mode"),
+        F.coalesce(F.col(source_ids), F.lit("")).alias(source_ids))
+
+
+def append_audit(rows: DataFrame, path: str) -> None:
+    """K4: append to the audit table at ``path``, a folder per day.  Ids that a
+    day's folder holds already are left out (only the days in ``rows`` are
+    read), so a replayed batch appends nothing."""
+    spark = rows.sparkSession
+    rows = rows.dropDuplicates(["audit_id"])
+    known = spark.read.schema(rows.schema).option("basePath", path)
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
+        old = known.parquet(path).select("day", "audit_id")
+        days = F.broadcast(rows.select("day").distinct())                     # one row a day
+        rows = rows.join(old.join(days, "day", "left_semi"), ["day", "audit_id"], "left_anti")
+    rows.write.mode("append").partitionBy("day").parquet(path)
+
+
 #: Nodes (id, type, label) and edges (source, target, type) of a
 #: case, and the lists that hang on it (list, place, node type, edge source,
 #: edge type).  ``{column}`` stands for a column of the case.

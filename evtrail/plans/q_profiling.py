@@ -32,6 +32,38 @@ _C03_SQL = " UNION ALL ".join(
                  ("c_acctbal", "double"), ("c_mktsegment", "string")])
 
 
+# Fixed values (our binding): the tables of the inventory, their columns and date column.
+_INVENTORY = [("region", 2, None), ("nation", 3, None), ("customer", 5, None), ("supplier", 4, None), ("part", 6, None),
+              ("orders", 6, "o_orderdate"), ("events", 6, "ts"), ("labels", 3, None)]
+
+
+@query("c01c_inventory_of_tables", lambda: " UNION ALL ".join(f"""
+SELECT '{t}' AS table_name, count(*) AS n_rows, {n} AS n_cols,
+  count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {t})) AS duplicate_rows,
+  {f"strftime(min({d}), '%Y-%m-%d')" if d else 'CAST(NULL AS VARCHAR)'} AS first_day,
+  {f"strftime(max({d}), '%Y-%m-%d')" if d else 'CAST(NULL AS VARCHAR)'} AS last_day FROM {t}""" for t, n, d in _INVENTORY))
+def c01c(spark, sf):
+    return P.inventory({t: (_t(spark, sf, t), d) for t, _, d in _INVENTORY})
+
+
+# Columns and types of the catalogued tables.
+_CATALOGUE = [
+    ("nation", "n_nationkey int, n_name string, n_regionkey int"),
+    ("customer", "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"),
+    ("supplier", "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double"),
+    ("part", "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"),
+    ("labels", "doc_id bigint, quality int, toxic int"),
+]
+
+
+@query("c03c_schema_catalogue", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, {i} AS position, '{c.split()[0]}' AS column_name, '{c.split()[1]}' AS dtype, "
+    f"count(*) AS n_rows FROM {t}" for t, cols in _CATALOGUE for i, c in enumerate(cols.split(", "), 1)))
+def c03c(spark, sf):
+    """Columns, types and rows of several tables, without reading a column."""
+    return P.schema_catalogue({t: _t(spark, sf, t) for t, _ in _CATALOGUE}).drop("n_files")
+
+
 # The role each column of events has by its name.
 _EVENT_ROLES = [("event_id", "id"), ("ts", "date"), ("user_id", "id"), ("event_type", "other"), ("value", "other"),
                 ("props", "other")]
