@@ -73,6 +73,12 @@ def test_no_content_is_left_out_for_length_or_links(page, text):
     ("<article><p>Body.</p></article><div class=comments-area><p>nice " + "nice " * 40 + "</p></div>", "Body."),
     ("<p>Body.</p><div class=comments><p>nice " + "nice " * 40 + "</p></div>", "Body."),
     ("<div class=cookie-notice>We use cookies</div><p>Body of the page.</p>", "Body of the page."),
+    ("<article><p data-class='ad'>One.</p><p data-id='menu-1'>Two.</p><p title='class=ad x'>Three.</p></article>",
+     "One.\nTwo.\nThree."),
+    ("<article><p data-hidden=1 x-style='display:none'>One.</p><p CLASS = ad>no</p><p hidden>no</p></article>", "One."),
+    ("<p aria-hidden=false>One.</p><p aria-hidden='true'>no</p><p class=a id=ad-1>no</p>", "One."),
+    ("<main><div class='search results'><p>one result text</p></div></main><div class=ad>x</div>", "one result text"),
+    ("<main><p>Text.</p><div class='search results'><p>other</p></div></main>", "Text."),
 ])
 def test_layout_words_do_not_drop_the_content(page, text):
     assert wrapper.main_text(page) == text
