@@ -147,6 +147,77 @@ def test_template_of_few_pages_and_of_several_layouts(spark):
     assert text[300] == "Head 0\nalone\nSubscribe to our letter today."
 
 
+def test_folding_keeps_places_and_counts():
+    def tree(html, n=1):
+        return wrapper.skeleton(wrapper.compact(wrapper.parse(html)), n)
+
+    def plain(node):
+        return node[3], [plain(kid) for kid in node[2]]
+    whole = tree("<div><p>a</p></div><ul><li>b</li></ul><h2>c</h2>", 3)
+    wrapper.fold(whole, tree("<div><p>x</p><h3>new</h3></div><table><tr><td>n</td></tr></table><h2>c</h2>", 2))
+    # the table comes before the next node that both have; the list stays where it was
+    assert plain(whole) == (5, [(5, [(5, []), (2, [])]), (2, [(2, [(2, [])])]), (3, [(3, [])]), (5, [])])
+    wrapper.name_nodes(whole)
+    todo, names = [whole], []
+    while todo:
+        node = todo.pop()
+        names.append(node[4])
+        todo += node[2]
+    assert len(set(names)) == len(names) == 10
+    assert plain(wrapper.pruned(whole, 3)) == (5, [(5, [(5, [])]), (3, [(3, [])]), (5, [])])
+
+
+def test_long_sibling_lists_are_paired_in_order():
+    a = ("r", (), tuple((f"s{i % 7}", (), ()) for i in range(400)))
+    b = ("r", (), tuple(x for i, x in enumerate(a[2]) if i % 5 != 3))
+    assert len(a[2]) * len(b[2]) > wrapper.CELLS
+    pairs = list(wrapper.aligned(a, b))
+    assert len(pairs) == len(b[2]) + 1 and all(p[0] == q[0] for p, q in pairs)
+
+
+def test_extraction_of_planted_sites_is_their_content(spark, monkeypatch):
+    """Sites of random blocks: each slot is either constant or varies, blocks
+    are equal in tag and class, and some are on a part of the pages only.  The
+    text has to be the varying ones and headings, by the plan of the site."""
+    monkeypatch.setattr(wrapper, "CHUNK", 5)
+    monkeypatch.setattr(wrapper, "FAN", 2)
+    rng = random.Random(11)
+    rows, want = [], {}
+    for site in range(6):
+        plan = [(rng.random() < 0.5, rng.choice(["always", "always", "half"]), rng.randint(1, 3)) for _ in range(9)]
+        for n in range(40):
+            body, text = [f"<h1>Head {site} {n}</h1>"], [f"Head {site} {n}"]
+            for slot, (constant, when, depth) in enumerate(plan):
+                if when == "half" and (n + slot) % 2:
+                    continue
+                t = f"slot {slot} of site {site}" + ("" if constant else f" on page {n}")
+                # the boxes are equal; what they hold tells them apart
+                body.append("<div class=box>" + f"<section class=slot{chr(97 + slot)}>" * depth + f"<p>{t}</p>" + "</section>" * depth
+                            + "</div>")
+                if not constant:
+                    text.append(t)
+            key = site * 100 + n
+            rows.append((key, f"http://site{site}.org/{n}", "<article>" + "".join(body) + "</article>"))
+            want[key] = "\n".join(text)
+    got = {r.page_id: r.text for r in wrapper.extract_main_text(pages(spark, rows).repartition(4)).collect()}
+    assert got == want
+
+
+def test_equal_siblings_are_told_apart_by_alignment(spark):
+    """Two equal elements, the second always the same: its place in the tree,
+    not its path, makes it template."""
+    def page(i):
+        return (f"<article><h1>Head {i}</h1><div class=b><p>text {i}</p><ul><li>a {i}</li></ul></div>"
+                f"<div class=b><p>our fixed line</p></div></article>")
+    rows = [(i, "http://same.org/", page(i)) for i in range(6)]
+    # the fixed line as a page's own text elsewhere in the tree is content
+    rows.append((50, "http://same.org/", "<article><h1>Head</h1><div class=b><p>our fixed line</p><ul><li>x</li></ul></div>"
+                                         "<div class=b><p>our fixed line</p></div></article>"))
+    text = {r.page_id: r.text for r in wrapper.extract_main_text(pages(spark, rows)).collect()}
+    assert text[3] == "Head 3\ntext 3\na 3"
+    assert text[50] == "Head\nour fixed line\nx"
+
+
 # ------------------------------------------------------------- urls ------
 
 def test_url_verdicts(spark):
