@@ -42,7 +42,7 @@ from evtrail.llm.registry import query
 
 TOP = 1 << 17             # tokens whose counts every worker has
 MAX_TOKEN = 64            # bytes; longer tokens are joined like rare ones
-HEAD, CLASS_SIZE = 1024, 32
+HEAD, CLASS_SIZE = 4096, 64
 BUCKETS = 512             # of each feature template
 OWN = 319                 # contexts with a bucket of their own; then the start, then hashed endings
 TEMPLATES = 3
