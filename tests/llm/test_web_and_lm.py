@@ -53,6 +53,10 @@ def test_main_text_of_odd_pages(page, text):
      "Body.\nSee a long reference, another reference.\n1. third reference"),
     ("<p>text</p>\n<ul>\n <li><a href=1>one</a> | </li>\n <li><a href=2>two</a>&nbsp;</li>\n</ul>", "text"),
     ("<article></article><div id=content><p>text</p></div>", "text"),
+    ("<main><div><article><p>Text.</p></article></div><p>After.</p></main><section><article>Teaser</article></section>",
+     "Text.\nAfter."),
+    ("<main><p>Intro.</p></main><article><p>Text.</p></article>", "Intro.\nText."),
+    ("<main><article></article></main><article><p>Text.</p></article>", "Text."),
 ])
 def test_no_content_is_left_out_for_length_or_links(page, text):
     assert wrapper.main_text(page) == text
