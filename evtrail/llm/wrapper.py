@@ -28,6 +28,7 @@ host's wrapper once.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections import Counter
 
@@ -40,7 +41,7 @@ from evtrail.llm.url_reputation import host_and_path
 
 CHUNK = 250               # shapes of trees that one task folds, about
 FAN = 16                  # folded trees that meet in one task
-CELLS = 1 << 14           # of a matching table; longer sibling lists are paired in order
+CELLS = 1 << 14           # of a matching table held whole; the same pairs are found row by row beyond
 HOSTS = 64                # wrappers a task keeps unpacked
 VOTES = 200_000           # votes a task has in hand
 MIN_PAGES = 2             # distinct pages that have to hold a text before it counts as constant
@@ -251,23 +252,8 @@ def _shape(node, memo: dict) -> tuple[int, int]:
     return known
 
 
-def _in_order(x, y) -> list[tuple]:
-    """Pairs of two long sibling lists: each of ``y`` with the next of its
-    signature in ``x``, if no more than a few are skipped."""
-    pairs, i = [], 0
-    for q in y:
-        for j in range(i, min(i + 16, len(x))):
-            if x[j][0] == q[0]:
-                pairs.append((x[j], q))
-                i = j + 1
-                break
-    return pairs
-
-
 def _best_pairs(x, y, memo: dict) -> list[tuple]:
     """Pairs of two sibling lists, in order, whose matchings add up to most."""
-    if len(x) * len(y) > CELLS:
-        return _in_order(x, y)
     table = [[0] * (len(y) + 1)]
     for p in x:
         row, above = [0], table[-1]
@@ -287,6 +273,56 @@ def _best_pairs(x, y, memo: dict) -> list[tuple]:
     return pairs[::-1]
 
 
+def _long_pairs(x, y, memo: dict) -> list[tuple]:
+    """The pairs of ``_best_pairs`` for lists whose table would be large: a row
+    is an array, every so many rows one is kept, and those between are made
+    again on the way back.  Trees of one shape weigh the same; what was
+    remembered to weigh a pair is forgotten, so ``memo`` does not grow with
+    the table.  The shapes of all nodes are known already."""
+    import numpy as np
+    kinds: dict = {}
+    for q in y:
+        kinds.setdefault(_shape(q, memo)[0], (len(kinds), q))
+    kind = np.array([kinds[_shape(q, memo)[0]][0] for q in y])
+    weights: dict = {}
+
+    def rows(above, nodes):
+        for p in nodes:
+            shape = _shape(p, memo)[0]
+            if shape not in weights:
+                if len(weights) * len(kinds) > CELLS << 6:
+                    weights.clear()
+                known = len(memo)
+                weights[shape] = np.array([tree_match(p, q, memo) for _, q in kinds.values()], np.int64)
+                while len(memo) > known:
+                    memo.popitem()
+            w = weights[shape][kind]
+            row = above.copy()
+            np.maximum(row[1:], np.where(w > 0, above[:-1] + w, 0), out=row[1:])
+            above = np.maximum.accumulate(row)
+            yield above
+
+    step = math.isqrt(len(x)) + 1
+    kept, row = [], np.zeros(len(y) + 1, np.int64)
+    for lo in range(0, len(x), step):
+        kept.append(row)
+        for row in rows(row, x[lo:lo + step]):
+            pass
+    pairs, i, j = [], len(x), len(y)
+    while i and j:
+        lo = (i - 1) // step * step
+        table = [kept[lo // step], *rows(kept[lo // step], x[lo:i])]
+        while i > lo and j:
+            if table[i - lo][j] == table[i - lo - 1][j]:
+                i -= 1
+            elif table[i - lo][j] == table[i - lo][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((x[i], y[j]))
+    return pairs[::-1]
+
+
 def tree_match(a, b, memo: dict) -> int:
     """Size of the largest simple matching of two compact trees; ``memo``
     keeps the pairs of children it is made of.  Equal subtrees at the ends of
@@ -305,7 +341,8 @@ def tree_match(a, b, memo: dict) -> int:
         lo += 1
     while min(i, j) > lo and _shape(x[i - 1], memo)[0] == _shape(y[j - 1], memo)[0]:
         i, j = i - 1, j - 1
-    pairs = [*zip(x[:lo], y[:lo]), *_best_pairs(x[lo:i], y[lo:j], memo), *zip(x[i:], y[j:])]
+    best = _long_pairs if (i - lo) * (j - lo) > CELLS else _best_pairs
+    pairs = [*zip(x[:lo], y[:lo]), *best(x[lo:i], y[lo:j], memo), *zip(x[i:], y[j:])]
     memo[key] = 1 + sum(tree_match(p, q, memo) for p, q in pairs), pairs
     return memo[key][0]
 

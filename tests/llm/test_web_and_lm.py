@@ -179,6 +179,29 @@ def test_long_sibling_lists_are_paired_in_order():
     assert len(pairs) == len(b[2]) + 1 and all(p[0] == q[0] for p, q in pairs)
 
 
+def test_long_sibling_lists_are_matched_as_short_ones(monkeypatch):
+    rng = random.Random(5)
+
+    def leaves(n, kinds):
+        return tuple((rng.choice(kinds), (), tuple((rng.choice("xy"), (), ()) for _ in range(rng.randint(0, 2))))
+                     for _ in range(n))
+
+    for n in range(60):
+        a, b = (("r", (), leaves(rng.randint(1, 14), "ab" if n % 2 else "abcdef")) for _ in range(2))
+        monkeypatch.setattr(wrapper, "CELLS", 1 << 14)
+        whole = [(id(p), id(q)) for p, q in wrapper.aligned(a, b)]
+        monkeypatch.setattr(wrapper, "CELLS", 0)                # all by rows
+        assert [(id(p), id(q)) for p, q in wrapper.aligned(a, b)] == whole
+    # the row that both have is 200 places on in one of them: no list is too long to find it
+    monkeypatch.setattr(wrapper, "CELLS", 1 << 14)
+    one, rest = [tuple((f"{s}{i}", (), ()) for i in range(150)) for s in "ab"]
+    a, b = ("r", (), (*one, ("same", (), ()), *one)), ("r", (), (*rest, ("same", (), ()), *rest[:20]))
+    memo = {}
+    assert wrapper.tree_match(a, b, memo) == 2
+    assert [p[0] for p, q in wrapper.aligned(a, b, memo)] == ["r", "same"]
+    assert len(memo) < 1000                                     # not one entry a cell
+
+
 def test_extraction_of_planted_sites_is_their_content(spark, monkeypatch):
     """Sites of random blocks: each slot is either constant or varies, blocks
     are equal in tag and class, and some are on a part of the pages only.  The
