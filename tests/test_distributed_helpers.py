@@ -1,6 +1,7 @@
 """Distributed helpers (bucketed prefix sums, exact quantiles, global rank,
 top-k) and evaluation metrics against brute-force references."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -113,3 +114,28 @@ def test_bootstrap_ci_brackets_point(spark):
     for m in ("precision", "recall", "f1"):
         assert ci[m]["ci_low"] <= ci[m]["point"] + 0.05 and ci[m]["ci_high"] >= ci[m]["point"] - 0.05
         assert ci[m]["n_boot"] == 30
+
+
+def test_bootstrap_draws_weights_once_and_deals_them(spark):
+    rows = [(i, int(i % 3 == 0), (i * 7 % 10) / 10) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, y int, p double").coalesce(1)
+    out = H.bootstrap_ci(df, "y", "p", "id", 0.5, n_boot=20)
+    assert "md5" not in out._jdf.queryExecution().toString()           # no draw is left to be made a second time
+    cdf = H.poisson1_cdf()
+
+    def weight(i, b):
+        u = int(hashlib.md5(f"42:{i}:{b}".encode()).hexdigest()[:8], 16) / 2 ** 32
+        return sum(c <= u for c in cdf)
+
+    recalls, aps = [], []
+    for b in range(20):
+        drawn = [(weight(i, b), y, p) for i, y, p in rows]
+        total = sum(w for w, y, _ in drawn if y)
+        recalls.append(sum(w for w, y, p in drawn if y and p >= 0.5) / total)
+        above = lambda s, all_: sum(w for w, y, p in drawn if p >= s and (y or all_))
+        aps.append(sum(w * above(p, False) / above(p, True) for w, y, p in drawn if y and w) / total)
+    got = {r["metric"]: r for r in out.collect()}
+    for name, values in (("recall", recalls), ("average_precision", aps)):
+        low, high = np.percentile(values, [2.5, 97.5])
+        assert abs(got[name]["ci_low"] - low) < 1e-9 and abs(got[name]["ci_high"] - high) < 1e-9
+        assert got[name]["n_boot"] == 20
