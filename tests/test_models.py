@@ -110,3 +110,62 @@ def test_stored_model_scores_the_same_and_checks_its_table(spark):
     assert pick(again) == pick(scored)
     with pytest.raises(ValueError, match="z: double expected, string found"):
         G.score_with_stored(spark, path, df.withColumn("z", F.col("z").cast("string")))
+
+
+def test_medians_are_exact_whatever_is_around_them(spark, monkeypatch):
+    rng = random.Random(8)
+    inf = float("inf")
+    cols = {"a": [rng.random() for _ in range(501)], "b": [rng.choice([1.0, 5.0]) for _ in range(500)] + [None],
+            "c": [-inf] * 300 + [2.0] * 201, "d": [None] * 501, "e": [None, 4.0, 7.0] + [float("nan")] * 498}
+    df = spark.createDataFrame(list(zip(*cols.values())), "a double, b double, c double, d double, e double")
+    want = {c: statistics.median(x for x in v if x is not None and x == x) for c, v in cols.items() if c != "d"}
+    for accuracy in (10_000, 5):                     # by 5 the values around the median are far from it, and many
+        monkeypatch.setattr(M, "ACCURACY", accuracy)
+        assert M.exact_medians(df, list(cols)) == want
+    assert M.exact_medians(df.limit(0), list(cols)) == {}
+
+
+@pytest.fixture
+def imputed(monkeypatch):
+    """The columns of each imputer that is fitted."""
+    seen, fit = [], M.ExactMedianImputer._fit
+    monkeypatch.setattr(M.ExactMedianImputer, "_fit", lambda self, df: seen.append(self.getInputCols()) or fit(self, df))
+    return seen
+
+
+def test_each_fold_is_prepared_once_for_all_models(spark, imputed):
+    df = _table(spark).withColumn("fold", (F.col("index_id") % 3).cast("int"))
+    scores = G.group_fold_scores(df, "fold", ["x", "z"], [], ["logistic", "random_forest"])
+    assert scores.count() == 2 * df.count() and len(imputed) == 3
+    # the scores of a fold are those of a model fitted by itself
+    weighted = G.add_balanced_weight(df)
+    one = G.build_pipeline(["x", "z"], [], "logistic").fit(weighted.where("fold <> 1")).transform(df.where("fold = 1"))
+    own = {r["index_id"]: r["p"] for r in G.positive_score(one).select("index_id", "p").collect()}
+    got = scores.where("model = 'logistic' AND fold = 1").collect()
+    assert len(got) == len(own) and all(abs(r["p"] - own[r["index_id"]]) < 1e-6 for r in got)
+    with pytest.raises(ValueError, match="rows by fold"):
+        G.group_fold_scores(df.withColumn("fold", F.when(F.col("index_id") > 9, F.col("fold"))), "fold", ["x"], [], ["logistic"])
+
+
+def test_ablation_imputes_once_and_scores_as_single_models(spark, imputed):
+    df = _table(spark).withColumn("u", F.pmod(F.xxhash64("index_id"), F.lit(9)).cast("double"))
+    tr, te = df.where("index_id % 3 > 0"), df.where("index_id % 3 = 0")
+    got = {r["feature_set"]: r["average_precision"] for r in G.ablation(tr, te, ["u"], ["x", "z"]).collect()}
+    assert len(imputed) == 1 and set(got) == {"base", "base+x", "base+z", "base+top2", "base+top3"}
+    for name, cols in (("base", ["u"]), ("base+x", ["u", "x"])):
+        _, sc = G.fit_score(tr, te, cols, [], "logistic")
+        assert abs(G.score_summary(sc).first()["average_precision"] - got[name]) < 1e-6
+
+
+def test_permutation_ranks_rows_once_for_all_features(spark, monkeypatch):
+    df = _table(spark)
+    model, _ = G.fit_score(df, df, ["x", "z"], [], "logistic")
+    ranked, rank = [], G.global_rank
+    monkeypatch.setattr(G, "global_rank", lambda *a, **k: ranked.append(a[1]) or rank(*a, **k))
+    got = {r["feature"]: r for r in G.permutation_importance(model, df, ["x", "z"], "index_id").collect()}
+    assert len(ranked) == 2 and sorted(r["importance_rank"] for r in got.values()) == [1, 2]
+    base = G.score_summary(G.positive_score(model.transform(df))).first()["average_precision"]
+    for f in ("x", "z"):
+        moved = G.permute_column(df, f, "index_id")
+        ap = G.score_summary(G.positive_score(model.transform(moved))).first()["average_precision"]
+        assert abs(got[f]["average_precision"] - ap) < 1e-9 and abs(got[f]["ap_drop"] - (base - ap)) < 1e-9
