@@ -119,12 +119,9 @@ LEFT JOIN cs ON cs.entity_id = dp.entity_id LEFT JOIN top5 t ON t.need_key = cs.
 @query("i22b_explanation", lambda: _explanation_sql())
 def i22b(spark, sf):
     """The explanation of each case from risk, safety, pathway and match."""
-    from evtrail.operators.cleaning import keep_first
     from evtrail.plans.q_ranking import cases, top5
-    from evtrail.plans.q_rules import assessed, decision_table, navigation
-    last = assessed(spark, sf).withColumn("_nd", -F.unix_date(F.to_date("day")))
-    last = keep_first(last.select("user_id", "_nd", "reason"), ["user_id"], ["_nd"]).select(
-        F.col("user_id").alias("entity_id"), "reason")
+    from evtrail.plans.q_rules import decision_table, last_assessed, navigation
+    last = last_assessed(spark, sf).select("entity_id", "reason")
     best = cases(spark, sf).select("entity_id", "need_key").join(
         top5(spark, sf).where("rank = 1").select("need_key", "provider_id"), "need_key").drop("need_key")
     nav = navigation(spark, sf).select("entity_id", "drivers")

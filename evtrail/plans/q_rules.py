@@ -107,20 +107,36 @@ def i09(spark, sf):
 
 
 # I10 / I23 --------------------------------------------------------------------
+@memo_checkpoint
+def risk_rows(spark, sf):
+    """What the rules read of the model table's index rows, and the risk: made
+    once for decisions and navigation."""
+    mt = model_table_out(spark, sf).withColumn("risk", risk_expr())
+    return mt.select("entity_id", "index_id", "index_date", "risk", "n_emergency_90d", "n_outpatient_90d",
+                     "n_inpatient_90d", "days_since_prev_emergency")
+
+
+@memo_checkpoint
+def last_assessed(spark, sf):
+    """Status and reason of each user's last assessed day; (user, day) is
+    unique, so no two rows compete."""
+    from evtrail.operators.cleaning import keep_first
+    sa = assessed(spark, sf).withColumn("_nd", -F.unix_date(F.to_date("day")))
+    return keep_first(sa.select("user_id", "_nd", "status", "reason"), ["user_id"], ["_nd"]).select(
+        F.col("user_id").alias("entity_id"), "status", "reason")
+
+
 @memo_checkpoint
 def decision_table(spark, sf):
     """Latest index row per customer (model table) -> risk band; latest
     clinical context of the same id (PENDING when none) -> safety; pathway."""
     from evtrail.operators.cleaning import keep_first
-    mt = model_table_out(spark, sf).withColumn("risk", risk_expr())
-    latest = keep_first(mt.select("entity_id", "index_id", "risk", "n_emergency_90d", "n_outpatient_90d",
+    latest = keep_first(risk_rows(spark, sf).select("entity_id", "index_id", "risk", "n_emergency_90d", "n_outpatient_90d",
                                   "n_inpatient_90d", "days_since_prev_emergency",
                                   (-F.unix_date(F.to_date("index_date"))).alias("_nd"),
                                   (-F.col("index_id")).alias("_ni")),
                         ["entity_id"], ["_nd", "_ni"]).drop("_nd", "_ni")
-    sa = assessed(spark, sf).withColumn("_nd", -F.unix_date(F.to_date("day")))
-    last_sa = keep_first(sa.select("user_id", "_nd", "status"), ["user_id"], ["_nd"])
-    j = latest.join(last_sa.select(F.col("user_id").alias("entity_id"), "status"), "entity_id", "left")
+    j = latest.join(last_assessed(spark, sf).select("entity_id", "status"), "entity_id", "left")
     band = R.risk_band(F.col("risk"))
     status = F.coalesce(F.col("status"), F.lit("PENDING"))
     pid = R.care_pathway(band, status)
@@ -195,7 +211,9 @@ def navigation(spark, sf):
     burden = F.col("active_conditions")
     from evtrail.operators.pointintime import active_at
     iv = B.intervals(spark, sf).where(F.col("kind") == "condition")
-    mt = model_table_out(spark, sf).select("entity_id", "index_id", F.to_timestamp("index_date").alias("index_ts"))
+    # the index rows of decisions only: the others meet nothing below
+    mt = (risk_rows(spark, sf).select("entity_id", "index_id", F.to_timestamp("index_date").alias("index_ts"))
+          .join(d.select("entity_id", "index_id"), ["entity_id", "index_id"], "left_semi"))
     mt = active_at(iv, mt, "entity_id", "start_ts", "stop_ts", "index_ts", "active_conditions", mode="v1")
     d = d.join(mt.select("entity_id", "index_id", F.coalesce("active_conditions", F.lit(0)).alias("active_conditions")),
                ["entity_id", "index_id"], "left")
