@@ -21,6 +21,7 @@ from evtrail.functions.topk import topk_per_group
 from evtrail.operators import lookup
 from evtrail.operators.lookup import contains_pairs
 from evtrail.plans import bindings as B
+from evtrail.session import cut_lineage
 
 # English function words dropped before TF-IDF (a compact
 # list; pass ``stop_words`` to use another).
@@ -32,6 +33,10 @@ TOKEN_PATTERN = r"(?U)\b\w\w+\b"      # Unicode words
 
 # ------------------------------------------------------------- catalogue ---
 
+def _lines_by_type_and_brand(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("l_suppkey", "p_type", "p_brand").agg(F.count(F.lit(1)).alias("n"))
+
+
 def provider_catalog(spark, sf) -> DataFrame:
     """Binding: suppliers as providers.  specialty = most supplied part type +
     region (null when the nation key is a multiple of 7), quality = account
@@ -43,12 +48,13 @@ def provider_catalog(spark, sf) -> DataFrame:
     r = B.table(spark, sf, "region")
     li = B.table(spark, sf, "lineitem").select("l_suppkey", "l_partkey")
     p = B.table(spark, sf, "part").select("p_partkey", "p_type", "p_brand")
-    lp = li.join(p, li.l_partkey == p.p_partkey)
-    util = lp.groupBy("l_suppkey", "p_type").agg(F.count(F.lit(1)).alias("n_lines"))
+    # lines meet parts once: types and brands are both read off these counts
+    lines = _lines_by_type_and_brand(li.join(p, li.l_partkey == p.p_partkey))
+    util = lines.groupBy("l_suppkey", "p_type").agg(F.sum("n").alias("n_lines"))
     top_type = util.groupBy("l_suppkey").agg(
         F.min(F.struct((-F.col("n_lines")).alias("nl"), F.col("p_type").alias("t")))["t"].alias("main_type"),
         F.sum("n_lines").alias("utilization"))
-    fac = lp.groupBy("l_suppkey").agg(F.count_distinct("p_brand").alias("n_facilities"))
+    fac = lines.groupBy("l_suppkey").agg(F.count_distinct("p_brand").alias("n_facilities"))
     geo = s.join(n, s.s_nationkey == n.n_nationkey, "left").join(r, F.col("n_regionkey") == r.r_regionkey, "left")
     cat = geo.join(top_type, geo.s_suppkey == top_type.l_suppkey, "left").drop("l_suppkey") \
         .join(fac, geo.s_suppkey == fac.l_suppkey, "left")
@@ -110,7 +116,10 @@ def tfidf_similarity(need_docs: DataFrame, cand_docs: DataFrame, group: str, doc
     """Per group, corpus = the group's need text + every candidate's
     text; raw term counts, smooth idf ln((1+n)/(1+df))+1, L2-normalised,
     cosine(need, candidate) scaled so the group's max is 100 (0 when all
-    zero).  ``need_docs``: (group, text); ``cand_docs``: (group, doc_id, text)."""
+    zero).  ``need_docs``: (group, text); ``cand_docs``: (group, doc_id, text).
+    Candidates, term counts and weights are each read several times and
+    written before, so that none is made, or planned, once for every use."""
+    cand_docs = cut_lineage(cand_docs)
     stop = F.array(*[F.lit(w) for w in stop_words])
 
     def terms(df, is_need):
@@ -121,10 +130,11 @@ def tfidf_similarity(need_docs: DataFrame, cand_docs: DataFrame, group: str, doc
         return base.groupBy(group, "_d", "_t").agg(F.count(F.lit(1)).alias("_tf"))
     nt, ct = terms(need_docs, True), terms(cand_docs, False)
     n_docs = cand_docs.groupBy(group).agg((F.count(F.lit(1)) + 1).alias("_n"))   # + the need document
-    allt = nt.unionByName(ct)
+    allt = cut_lineage(nt.unionByName(ct))
     df_ = allt.groupBy(group, "_t").agg(F.count(F.lit(1)).alias("_df"))
     w = (allt.join(df_, [group, "_t"]).join(n_docs, group)
          .withColumn("_w", F.col("_tf") * (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1)))
+    w = cut_lineage(w.select(group, "_d", "_t", "_w"))
     norms = w.groupBy(group, "_d").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
     w = w.join(norms, [group, "_d"]).withColumn("_u", F.col("_w") / F.col("_norm"))
     qv = w.where(F.col("_d") == "__need__").select(group, "_t", F.col("_u").alias("_q"))
@@ -133,8 +143,8 @@ def tfidf_similarity(need_docs: DataFrame, cand_docs: DataFrame, group: str, doc
     # them so a term shared by every candidate of a group is never a hot key
     dot = cv.join(F.broadcast(qv), [group, "_t"]).groupBy(group, "_d").agg(
         F.sum(F.col("_u") * F.col("_q")).alias("_cos"))
-    allc = (cand_docs.select(group, doc_id, F.col(doc_id).cast("string").alias("_d"))
-            .join(dot, [group, "_d"], "left").fillna({"_cos": 0.0}).drop("_d"))
+    allc = cut_lineage(cand_docs.select(group, doc_id, F.col(doc_id).cast("string").alias("_d"))
+                       .join(dot, [group, "_d"], "left").fillna({"_cos": 0.0}).drop("_d"))
     mx = allc.groupBy(group).agg(F.max("_cos").alias("_mx"))
     return (allc.join(mx, group)
             .select(group, doc_id, F.when(F.col("_mx") > 0, F.col("_cos") / F.col("_mx") * 100.0)
@@ -192,15 +202,19 @@ def rank_topk(df: DataFrame, group: str, score: str, id_col: str, k: int = 5) ->
 def provider_enrichment(spark, sf, providers: DataFrame, id_col: str = "provider_id") -> DataFrame:
     """Distinct facilities (brands supplied) and 'category: count'
     utilisation list per provider, with default texts when empty.  Lists
-    are bounded by the brand / type vocabularies."""
+    are bounded by the brand / type vocabularies.  ``providers`` are the few
+    ranked ones (k for each need of a fixed vocabulary): their ids go to every
+    task, so that lines of other providers are dropped before any shuffle."""
+    providers = cut_lineage(providers)
     li = B.table(spark, sf, "lineitem").select("l_suppkey", "l_partkey")
     p = B.table(spark, sf, "part").select("p_partkey", "p_type", "p_brand")
     ids = providers.select(F.col(id_col).alias("_pid")).distinct()
-    lp = li.join(ids, li.l_suppkey == ids._pid, "left_semi").join(p, li.l_partkey == p.p_partkey)
-    util = lp.groupBy("l_suppkey", "p_type").agg(F.count(F.lit(1)).alias("n"))
+    own = li.join(F.broadcast(ids), li.l_suppkey == ids._pid, "left_semi")
+    lines = _lines_by_type_and_brand(own.join(p, own.l_partkey == p.p_partkey))
+    util = lines.groupBy("l_suppkey", "p_type").agg(F.sum("n").alias("n"))
     util = util.groupBy("l_suppkey").agg(F.array_join(F.sort_array(F.collect_list(
         F.concat(F.col("p_type"), F.lit(": "), F.col("n").cast("string")))), "; ").alias("procedure_volumes"))
-    fac = lp.groupBy("l_suppkey").agg(F.array_join(F.sort_array(F.collect_set("p_brand")), ", ").alias("facilities"))
+    fac = lines.groupBy("l_suppkey").agg(F.array_join(F.sort_array(F.collect_set("p_brand")), ", ").alias("facilities"))
     out = providers.join(util, providers[id_col] == util.l_suppkey, "left").drop("l_suppkey") \
         .join(fac, providers[id_col] == fac.l_suppkey, "left").drop("l_suppkey")
     return out.withColumns({

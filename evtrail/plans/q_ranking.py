@@ -13,7 +13,7 @@ from evtrail.operators import ranking as J
 from evtrail.plans import bindings as B
 from evtrail.plans.q_rules import _DECISION_SQL, decision_table
 from evtrail.plans.registry import query
-from evtrail.session import memo_checkpoint
+from evtrail.session import cut_lineage, memo_checkpoint
 
 # Fixed values (our binding): pathway -> required provider specialty word.
 PATHWAY_SPECIALTY = {"P1": "large", "P2": "promo", "P3": "standard", "P4": "standard", "P5": "economy",
@@ -61,13 +61,14 @@ def scored_candidates(spark, sf):
     cs = cases(spark, sf)
     prov = provider_catalog_cp(spark, sf)
     needs = cs.select("need_key", "need_specialty", "need_text").distinct()
-    cand = J.candidate_fetch(needs, prov, "need_key", "need_specialty")
+    cand = cut_lineage(J.candidate_fetch(needs, prov, "need_key", "need_specialty")
+                       .select("need_key", "provider_id", "norm_quality", "specialty"))
     sem = J.tfidf_similarity(needs.select("need_key", F.col("need_text").alias("text")),
                              cand.select("need_key", "provider_id", F.col("specialty").alias("text")),
                              "need_key", "provider_id", "text")
     sc = cand.select("need_key", "provider_id", "norm_quality").join(sem, ["need_key", "provider_id"])
     # bounded (#needs x eligible providers) and reused by several rankings
-    return J.topsis(sc, "need_key", ["semantic_score", "norm_quality"], [0.5, 0.5])
+    return J.topsis(cut_lineage(sc), "need_key", ["semantic_score", "norm_quality"], [0.5, 0.5])
 
 
 @memo_checkpoint
@@ -244,6 +245,7 @@ def j07(spark, sf):
     return _r6(scored_candidates(spark, sf).select("need_key", "provider_id", "topsis_score"), ["topsis_score"])
 
 
+@memo_checkpoint
 def top5(spark, sf):
     return J.rank_topk(scored_candidates(spark, sf), "need_key", "topsis_score", "provider_id", 5)
 

@@ -61,3 +61,33 @@ def test_model_table_and_assessment_are_made_once(spark, folder, monkeypatch):
     assert sorted(made) == ["assessed", "model_table_out"]
     assert {r["entity_id"] for r in told} == {r["entity_id"] for r in q_rules.decision_table(spark, folder).collect()}
     assert told and all(r["explanation"] for r in told)
+
+
+def test_similarity_is_planned_once(spark):
+    needs = spark.createDataFrame([("n1", "large asia"), ("n2", "small")], "need string, text string")
+    cands = spark.createDataFrame([("n1", 1, "large asia"), ("n1", 2, "large europe"), ("n1", 3, None), ("n2", 4, "promo")],
+                                  "need string, id long, text string")
+    out = J.tfidf_similarity(needs, cands, "need", "id", "text")
+    assert out._jdf.queryExecution().analyzed().toString().count("Join") == 1
+    got = {r["id"]: r["semantic_score"] for r in out.collect()}
+    assert got[1] == 100.0 and 0 < got[2] < 100 and got[3] == 0 and got[4] == 0
+
+
+def test_lines_of_other_providers_are_dropped_before_a_shuffle(spark, folder):
+    ranked = spark.createDataFrame([("n", 1, 2), ("n", 2, 99)], "need_key string, rank int, provider_id long")
+    out = J.provider_enrichment(spark, folder, ranked)
+    assert "strategy=broadcast" in _plan(out)
+    li, part = (B.table(spark, folder, t) for t in ("lineitem", "part"))
+    own = li.where("l_suppkey = 2").join(part, F.col("l_partkey") == F.col("p_partkey")).collect()
+    got = {r["provider_id"]: r for r in out.collect()}
+    types = sorted({r["p_type"] for r in own})
+    assert got[2]["procedure_volumes"] == "; ".join(f"{t}: {sum(r['p_type'] == t for r in own)}" for t in types)
+    assert got[2]["facilities"] == ", ".join(sorted({r["p_brand"] for r in own}))
+    assert got[99]["facilities"].startswith("No facility")
+
+
+def test_catalogue_counts_types_and_brands(spark, folder):
+    lp = B.table(spark, folder, "lineitem").join(B.table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey")).collect()
+    for r in J.provider_catalog(spark, folder).collect():
+        own = [x for x in lp if x["l_suppkey"] == r["provider_id"]]
+        assert (r["utilization"], r["n_facilities"]) == (len(own), len({x["p_brand"] for x in own}))
