@@ -91,3 +91,16 @@ def test_catalogue_counts_types_and_brands(spark, folder):
     for r in J.provider_catalog(spark, folder).collect():
         own = [x for x in lp if x["l_suppkey"] == r["provider_id"]]
         assert (r["utilization"], r["n_facilities"]) == (len(own), len({x["p_brand"] for x in own}))
+
+
+def test_lines_and_sweeps_are_dealt_by_rows(spark, folder, monkeypatch):
+    plain = sorted(B.claim_lines(spark, folder).collect())
+    ev = B.claim_lines(spark, folder).select(F.col("member_id").alias("e"), "provider_id", pit.day_number("from_ts").alias("d"))
+    qs = ev.select("e", F.col("d").alias("day")).distinct()
+    want = sorted(map(tuple, pit.distinct_in_window(ev, qs, "e", "d", "provider_id", 60, "n").collect()))
+    monkeypatch.setattr(prefix, "ROWS_PER_TASK", 5)
+    dealt = B.claim_lines(spark, folder)
+    assert sorted(dealt.collect()) == plain and _plan(dealt).count("RepartitionByExpression") == 2
+    out = pit.distinct_in_window(ev, qs, "e", "d", "provider_id", 60, "n", rows=B.n_lines(spark, folder))
+    assert _plan(out).count("RepartitionByExpression") >= 3
+    assert sorted(map(tuple, out.collect())) == want
