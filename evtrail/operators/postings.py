@@ -26,11 +26,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evtrail.functions.prefix import dealt_by_rows
 from evtrail.functions.text import word_tokens
 from evtrail.functions.topk import topk_per_group
 from evtrail.sources.io import scratch_path
 
 SEED_DOCS = 16      # times k: documents of rare terms that set the threshold
+DOCS_PER_TASK = 5000     # their words are made and counted in one task
 SHARE = 0.5         # of the threshold that a query's common terms stay below together
 
 
@@ -46,6 +48,7 @@ class PostingsIndex:
     postings: DataFrame         # _d, term, tf
     terms: DataFrame            # term, df, max_tf
     tags: DataFrame             # _d, _tags (documents with a tag)
+    rows: int                   # postings
 
 
 def build_index(docs: DataFrame, d_id: str, d_text: Column, d_tags: Column | None = None,
@@ -58,19 +61,21 @@ def build_index(docs: DataFrame, d_id: str, d_text: Column, d_tags: Column | Non
                     F.array_distinct(F.transform(F.coalesce(d_tags if d_tags is not None else none, none),
                                                  lambda t: F.lower(t))).alias("_tags"))
     # dealt by document before the words are made: their counts stay in place
-    words = d.select("_d", "_text").repartition("_d").select("_d", F.explode(word_tokens(F.col("_text"))).alias("term"))
+    texts = dealt_by_rows(d.select("_d", "_text").repartition("_d"), docs.count(), "_d", per_task=DOCS_PER_TASK)
+    words = texts.select("_d", F.explode(word_tokens(F.col("_text"))).alias("term"))
     if vocabulary is not None:
         words = words.join(vocabulary.select("term").distinct(), "term", "left_semi")
     postings = _written(words.groupBy("_d", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf"))
-    return PostingsIndex(postings, terms, d.select("_d", "_tags").where(F.size("_tags") > 0))
+    return PostingsIndex(postings, terms, d.select("_d", "_tags").where(F.size("_tags") > 0), postings.count())
 
 
 def _score(index: PostingsIndex, dealt: DataFrame, pairs: DataFrame, query_terms: DataFrame, filters: DataFrame,
            tag_bonus: float) -> DataFrame:
     """(_q, _d, score) of the pairs, all their terms counted."""
     wanted = pairs.join(query_terms.select("_q", "term", "qtf"), "_q")
-    lexical = (wanted.join(dealt, ["_d", "term"])
+    own = lambda df: dealt_by_rows(df, index.rows, "_d", "term")
+    lexical = (own(wanted).join(own(dealt), ["_d", "term"])
                .groupBy("_q", "_d").agg(F.sum(F.least("tf", "qtf")).alias("_l")))
     with_tags = lexical.join(index.tags, "_d", "left").join(filters, "_q", "left")
     bonus = F.when(F.arrays_overlap("_tags", "_qf"), tag_bonus).otherwise(0.0)
@@ -87,7 +92,8 @@ def candidates(index: PostingsIndex, query_terms: DataFrame, filters: DataFrame,
         own.withColumn("seen", F.coalesce(F.sum("df").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("left", F.sum("bound").over(rising.rowsBetween(Window.currentRow, Window.unboundedFollowing))),
         "query-bounds")
-    dealt = index.postings.join(own.select("term").distinct(), "term", "left_semi").repartition("_d")
+    dealt = index.postings.join(own.select("term").distinct(), "term", "left_semi")
+    dealt = dealt_by_rows(dealt.repartition("_d"), index.rows, "_d")
 
     def holders(terms: DataFrame) -> DataFrame:
         return dealt.join(terms.select("_q", "term"), "term").select("_q", "_d").distinct()
@@ -96,8 +102,9 @@ def candidates(index: PostingsIndex, query_terms: DataFrame, filters: DataFrame,
     threshold = (topk_per_group(seeds, ["_q"], [F.col("score").desc(), F.col("_d")], k)
                  .where(F.col("rank") == k).select("_q", F.col("score").alias("least")))
     most_bonus = F.when(F.col("_qf").isNotNull(), F.lit(tag_bonus)).otherwise(0.0)
-    bounded = own.join(threshold, "_q", "left").join(filters, "_q", "left").withColumn(
-        "common", F.coalesce(F.col("left") < SHARE * F.col("least") - most_bonus, F.lit(False)))
+    # written: used twice, and where it is small the postings are met in place
+    bounded = _written(own.join(threshold, "_q", "left").join(filters, "_q", "left").withColumn(
+        "common", F.coalesce(F.col("left") < SHARE * F.col("least") - most_bonus, F.lit(False))), "query-reach")
     reach = bounded.groupBy("_q").agg(F.max("least").alias("least"), F.max(most_bonus).alias("most_bonus"),
                                       F.coalesce(F.max(F.when(F.col("common"), F.col("left"))), F.lit(0)).alias("rest"))
     met = (dealt.join(bounded.where(~F.col("common")).select("_q", "term", "qtf"), "term")

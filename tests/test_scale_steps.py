@@ -104,3 +104,13 @@ def test_lines_and_sweeps_are_dealt_by_rows(spark, folder, monkeypatch):
     out = pit.distinct_in_window(ev, qs, "e", "d", "provider_id", 60, "n", rows=B.n_lines(spark, folder))
     assert _plan(out).count("RepartitionByExpression") >= 3
     assert sorted(map(tuple, out.collect())) == want
+
+
+def test_postings_are_dealt_by_documents(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a b{i} c{i % 5} d", ["en"]) for i in range(300)], "d long, text string, tags array<string>")
+    build = lambda: P.build_index(docs, "d", F.col("text"), F.col("tags"))
+    plain = sorted(map(tuple, build().postings.collect()))
+    monkeypatch.setattr(P, "DOCS_PER_TASK", 10)
+    index = build()
+    assert len(index.postings.inputFiles()) > 20
+    assert sorted(map(tuple, index.postings.collect())) == plain and index.rows == len(plain)
