@@ -114,3 +114,12 @@ def test_postings_are_dealt_by_documents(spark, monkeypatch):
     index = build()
     assert len(index.postings.inputFiles()) > 20
     assert sorted(map(tuple, index.postings.collect())) == plain and index.rows == len(plain)
+
+
+def test_fits_read_few_parts(spark, monkeypatch):
+    monkeypatch.setattr(q_models, "_modelling_rows", lambda spark, sf: spark.range(1000).repartition(100))
+    cores = spark.sparkContext.defaultParallelism
+    d = q_models.modelling_table(spark, "")
+    assert d.rdd.getNumPartitions() == cores and d.count() == 1000
+    monkeypatch.setattr(q_models, "ROWS_PER_FIT_TASK", 20)
+    assert q_models.modelling_table(spark, "").rdd.getNumPartitions() == max(cores, 50)
